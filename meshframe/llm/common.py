@@ -105,7 +105,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     flat = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    return F.filter(F.split(F.coalesce(flat, F.lit("")), " +"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(flat, F.lit("")), " "), "")
 
 
 def n_words(text: Column) -> Column:

@@ -11,12 +11,14 @@ from .common import WORD, n_words, words_of
 
 #: Fixed values of the query contract.
 SYMBOLS = "#*$%&|<>"
-#: Phrases of pages rather than of prose; a line of at most BOILERPLATE_WORDS words that holds one fails.
+#: Marks between the items of a menu.
+SEPARATORS = "|»›•·"
+#: Phrases of pages rather than of prose; a line of at most BOILERPLATE_CHARS characters that holds one fails.
 BOILERPLATE = (
     r"(?i)all rights reserved|terms of (use|service)|privacy policy|accept (all )?cookies|enable javascript|click here|"
     r"sign (in|up) (to|for|now)|log ?in to|subscribe to|copyright (\(c\)|©|\d{4})|follow us|share this|read more|skip to content"
 )
-BOILERPLATE_WORDS = 25
+BOILERPLATE_CHARS = 200
 #: A line of at least so many words must hold a mark of punctuation after one of them.
 SENTENCE_WORDS = 12
 MARK = r"""[.!?…:;,。！？]["'”’»)\]]*(\s|$)"""
@@ -31,13 +33,14 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def line_fails(line: Column) -> Column:
     """True for a line that is navigation, boilerplate, symbols or shouting, or a long one without punctuation."""
+    # each rule begins with a cheap test that spares most lines its patterns
     n = F.regexp_count(line, F.lit(WORD))
-    chars = _chars(line)
-    navigation = (F.regexp_count(line, F.lit(r"(^|\s)[|»›•·](\s|$)")) >= 3) & (F.regexp_count(line, F.lit(r"(^|\s)[|»›•·](\s|$)")) * 4 >= n)
-    boilerplate = (n <= BOILERPLATE_WORDS) & line.rlike(BOILERPLATE)
-    symbols = _count_of(line, SYMBOLS) * 10 > chars
-    shouting = F.regexp_count(line, F.lit(r"!!(\s|$)")) * 3 > n
-    unmarked = (n >= SENTENCE_WORDS) & ~line.rlike(MARK)
+    bars = F.regexp_count(line, F.lit(rf"(^|\s)[{SEPARATORS}](\s|$)"))
+    navigation = (_count_of(line, SEPARATORS) >= 3) & (bars >= 3) & (bars * 4 >= n)
+    boilerplate = (F.char_length(line) <= BOILERPLATE_CHARS) & line.rlike(BOILERPLATE)
+    symbols = _count_of(line, SYMBOLS) * 10 > _chars(line)
+    shouting = F.contains(line, F.lit("!!")) & (F.regexp_count(line, F.lit(r"!!(\s|$)")) * 3 > n)
+    unmarked = ~line.rlike(MARK) & (n >= SENTENCE_WORDS)
     return navigation | boilerplate | symbols | shouting | unmarked
 
 
