@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from .minhash import op10_bayes_minhash
 from .mixing import op2_pivotal
 from .packing import op4_bin_slack
+from .projections import op1_collision_counting
 from .quality import op7_line_first
 from .sharding import op6_rendezvous
 from .sstable import op9_sstable
+from .substrings import op5_super_kmers
 from .url_filter import OP8_SQL, op8_blocked_bloom
 from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
+    "op1_collision_counting": op1_collision_counting,
     "op2_pivotal": op2_pivotal,
     "op3_warc": op3_warc,
     "op4_bin_slack": op4_bin_slack,
+    "op5_super_kmers": op5_super_kmers,
     "op6_rendezvous": op6_rendezvous,
     "op7_line_first": op7_line_first,
     "op8_blocked_bloom": op8_blocked_bloom,
     "op9_sstable": op9_sstable,
+    "op10_bayes_minhash": op10_bayes_minhash,
 }
 
 ORACLE_SQL = {"op3_warc": OP3_SQL, "op8_blocked_bloom": OP8_SQL}
