@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import gapless_rank, stash
-from .tokens import ChunkEncoder, tokenizer_path
+from .tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
 
@@ -72,10 +72,10 @@ def pieces(df: DataFrame, key: str, text: str, path: str, capacity: int = CAPACI
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder = ChunkEncoder(path)
+        encode = encoder(path).encode
         for batch in batches:
             keys, rows = [], []
-            for k, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for k, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 for start in range(0, len(ids), capacity):
                     part = ids[start : start + capacity]
                     keys.append(k)

@@ -25,6 +25,8 @@ def range_shards(df: DataFrame, key: str, weight: Column, target: int | None = N
     if facts["lo"] is None:
         return F.lit(0), 1
     lo, total = facts["lo"], facts["all"] or 0
+    if facts["hi"] - lo >= 1 << 63:
+        raise ValueError(f"values of {key} lie more than 2**63 apart")
     target = target or max(LEAST_BYTES, min(MOST_BYTES, total // 1024))
     step = (facts["hi"] - lo) // CELLS + 1
     live = narrow.where("k is not null")

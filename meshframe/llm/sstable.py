@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import fresh_path, stash
 from .files import committed, open_fs
 from .ranges import range_shards
-from .tokens import ChunkEncoder, tokenizer_path
+from .tokens import encoder, tokenizer_path
 
 #: Fixed values of the file format.
 MAGIC = b"MFSST01\n"
@@ -188,10 +188,10 @@ def write_tables(df: DataFrame, folder: str, key: str = "doc_id", text: str = "t
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        encoder, writer, at, manifest, held = ChunkEncoder(path), None, None, [], None
+        encode, writer, at, manifest, held = encoder(path).encode, None, None, [], None
         for batch in batches:
             shards, keys = batch.column(2).to_pylist(), batch.column(0).to_pylist()
-            for shard, k, ids in zip(shards, keys, encoder.encode(batch.column(1).to_pylist()), strict=True):
+            for shard, k, ids in zip(shards, keys, encode(batch.column(1).to_pylist()), strict=True):
                 if shard != at:
                     if writer is not None:
                         writer.close()

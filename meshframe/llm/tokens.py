@@ -1,19 +1,27 @@
-"""Token ids of whole texts, encoded chunk by chunk with a bounded cache."""
+"""Token ids of whole texts, encoded word by word with bounded caches."""
 
 from __future__ import annotations
 
 import os
 import re
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 
 #: The id that ends a document (query contract).
 END_ID = 1
-#: Characters encoded at once, and chunks kept; both bound a worker's memory.
-SLICE_CHARS, KEPT_CHUNKS = 1 << 20, 300_000
+#: Characters encoded at once, and words and pieces kept; both bound a worker's memory.
+SLICE_CHARS, KEPT_WORDS, KEPT_PIECES = 1 << 20, 1_000_000, 600_000
+#: Pieces that are encoded as one text.
+JOINED = 256
 
 _CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
+#: Texts with other characters, or with the opening of a special token, are encoded chunk by chunk.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*")
+#: The pre-tokenizer's split for plain, lower-cased text: endings, letters, one digit, or other marks.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ɏ0-9²³¹¼½¾]+")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -22,61 +30,135 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Rows(dict):
+    """Row numbers of strings; a new string gets the next one when it is first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
+class _Table:
+    """Strings and the ids of each, in arrays that grow by doubling."""
+
+    def __init__(self):
+        self.rows = _Rows()
+        self.starts, self.lengths, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        self.used = 0
+
+    def ask(self, keys: Sequence[str]) -> tuple[np.ndarray, list[str]]:
+        """(row of each key, the keys that are new and must be filled in this order)."""
+        before = len(self.rows)
+        rows = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
+        return rows, list(islice(reversed(self.rows), len(self.rows) - before))[::-1]
+
+    def fill(self, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Ids of the next rows."""
+        m, n = len(self.rows), len(self.rows) - len(lengths)
+        while m > len(self.starts):
+            self.starts, self.lengths = np.concatenate([self.starts, self.starts]), np.concatenate([self.lengths, self.lengths])
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, self.pool])
+        self.starts[n:m] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[n:m] = lengths
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+
+    def ids(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows one after another, number of each)."""
+        lengths = self.lengths[rows]
+        ends = np.cumsum(lengths)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.pool[np.repeat(self.starts[rows] - (ends - lengths), lengths) + np.arange(total)], lengths
+
+
 class ChunkEncoder:
     """Ids of texts under a tokenizer that never joins text across ASCII white space.
 
-    Such a tokenizer drops or splits at white space before it merges, so the ids of a text are those of its chunks one
-    after another. Each distinct chunk is encoded once while the cache holds it. ``path`` is a file of the tokenizers
-    library, loaded in the process that encodes.
+    Such a tokenizer drops or splits at white space before it merges, so the ids of a text are those of its words one
+    after another. Each distinct word is encoded once while the cache holds it. For plain text under the split of
+    ``word_bpe_49k.json`` words are cut into pieces first, which repeat more, and pieces new to the cache are encoded
+    many at a time: a piece ends with its only token that carries the end-of-word suffix. ``path`` is a file of the
+    tokenizers library, loaded in the process that encodes.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-        self.pool = np.zeros(0, np.uint32)
-
-    def _learn(self, chunks: set[str]) -> None:
-        new = sorted(chunks.difference(self.known))
-        if not new:
-            return
-        if len(self.known) + len(new) > KEPT_CHUNKS and self.known:
-            self._forget()
-            new = sorted(chunks)
-        ids = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
+        spec = json.loads(self.tokenizer.to_str())
+        suffix = spec["model"].get("end_of_word_suffix")
+        split = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.pieced = bool(suffix) and r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in split
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = bool(suffix) and token.endswith(suffix)
+        self.words, self.pieces = _Table(), _Table()
+
+    def _each(self, new: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(list(new), add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        starts = len(self.pool) + np.cumsum(lengths) - lengths
-        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))])
-        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
+
+    def _joined(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [" ".join(new[i : i + JOINED]) for i in range(0, len(new), JOINED)]
+        found = []
+        for i, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            some, ids = new[i * JOINED : (i + 1) * JOINED], np.array(e.ids, np.uint32)
+            at = np.flatnonzero(self.ends[ids]) + 1
+            found.append((ids, np.diff(at, prepend=0)) if len(at) == len(some) and at[-1] == len(ids) else self._each(some))
+        return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
+
+    def _rows(self, words: list[str], plain: bool) -> np.ndarray:
+        """Rows of the words in the table, new ones encoded."""
+        if len(self.words.rows) > KEPT_WORDS:
+            self.words = _Table()
+        rows, new = self.words.ask(words)
+        if new and not (plain and self.pieced):
+            self.words.fill(*self._each(new))
+        elif new:
+            if len(self.pieces.rows) > KEPT_PIECES:
+                self.pieces = _Table()
+            cut = [_PIECE.findall(w.lower()) for w in new]
+            parts, unknown = self.pieces.ask(list(chain.from_iterable(cut)))
+            if unknown:
+                self.pieces.fill(*self._joined(unknown))
+            ids, lengths = self.pieces.ids(parts)
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            self.words.fill(ids, np.diff(ends[np.cumsum([0, *map(len, cut)])]))
+        return rows
 
     def encode(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
         """uint32 ids of each text, END_ID last; null is an empty text."""
         at = 0
         while at < len(texts):
-            chars, end = 0, at
-            while end < len(texts) and (end == at or chars + len(texts[end] or "") <= SLICE_CHARS):
-                chars += len(texts[end] or "")
+            chars, end, words = 0, at, []
+            plain = self._plain(texts[at])
+            while end < len(texts) and (end == at or chars + len(texts[end] or "") <= SLICE_CHARS) and self._plain(texts[end]) == plain:
+                text = texts[end] or ""
+                words.append(text.split() if plain else _CHUNK.findall(text))
+                chars += len(text)
                 end += 1
-            chunks = [_CHUNK.findall(t or "") for t in texts[at:end]]
-            flat = [c for x in chunks for c in x]
-            self._learn(set(flat))
-            rows = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-            lengths = self.lengths[rows]
-            ends = np.cumsum(lengths)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = self.pool[np.repeat(self.starts[rows] - (ends - lengths), lengths) + np.arange(total)]
-            seen = 0
-            for x in chunks:
-                a = int(ends[seen - 1]) if seen else 0
-                seen += len(x)
-                b = int(ends[seen - 1]) if seen else 0
-                yield np.append(ids[a:b], np.uint32(END_ID))
+            flat = list(chain.from_iterable(words))
+            rows = self._rows(flat, plain)  # may begin a new table
+            ids, lengths = self.words.ids(rows)
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            cuts = ends[np.cumsum([0, *map(len, words)])]
+            out = np.insert(ids, cuts[1:], np.uint32(END_ID))
+            cuts = cuts + np.arange(len(cuts))
+            for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                yield out[a:b]
             at = end
+
+    @staticmethod
+    def _plain(text: str | None) -> bool:
+        return not text or ("<|" not in text and _PLAIN.fullmatch(text) is not None)
+
+
+@lru_cache(1)
+def encoder(path: str) -> ChunkEncoder:
+    """The encoder of this process, whose cache serves all its tasks."""
+    return ChunkEncoder(path)
