@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, components, stash
-from .substrings import SLICE_CHARS, Words, _factor, _mix, grams
+from .substrings import SLICE_CHARS, Slice, _factor, _mix, grams
 
 #: Lanes of a signature (a byte each) in bands: a pair at 0.8 shares no band with probability 5e-7.
 BANDS, ROWS = 48, 6
@@ -19,7 +19,7 @@ LANES = BANDS * ROWS
 #: Lanes compared before each look at the posterior, and the chance to lose a pair at or above the threshold in a look.
 BATCH, MISS = 48, 1e-6
 #: Members up to which a bucket gives all pairs; larger ones begin with a star and go on by blocks of so many.
-SMALL, BLOCK = 8, 1024
+SMALL, BLOCK = 8, 4096
 #: Ids up to which the candidates' texts are picked by broadcast (16 MB); beyond, by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -81,16 +81,12 @@ def sketch(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
         import pyarrow as pa
 
         a, b = _lanes()
-        vocabulary = Words()
 
         def rows(texts: list[str]) -> list[tuple]:
             out = []
-            words = [_WORDS.findall(lower_ascii(t)) for t in texts]
-            ids = vocabulary.number([w for x in words for w in x])
-            at = 0
-            for x in words:
-                h = vocabulary.hashes[ids[at : at + len(x)]]
-                at += len(x)
+            part = Slice([], [t.encode("utf-8", "surrogatepass").lower() for t in texts])
+            for first, end in zip(part.docs.tolist(), part.docs[1:].tolist(), strict=False):
+                x = h = part.hashes[first:end]
                 if not len(x):
                     out.append((0, 0, 0, b""))
                     continue
@@ -110,8 +106,6 @@ def sketch(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 while end < len(texts) and (end == at or chars < SLICE_CHARS):
                     chars += len(texts[end])
                     end += 1
-                if len(vocabulary.ids) > 1_000_000:
-                    vocabulary = Words()
                 n, one, two, sig = zip(*rows(texts[at:end]), strict=True)
                 yield pa.RecordBatch.from_arrays([keys.slice(at, end - at), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary())], ["key", "n_shingles", "set_a", "set_b", "sig"])
                 at = end

@@ -31,6 +31,7 @@ LEAST_LOCAL = 4
 
 _WORDS = re.compile(WORD)
 _TOP = np.uint64(1 << 63)
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -43,25 +44,43 @@ def _factor(i: int) -> np.uint64:
     return _mix(np.array([i + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0] | np.uint64(1)
 
 
-class Words:
-    """Ids of words, exact within this object, and a 64-bit hash of each that is the same everywhere."""
+def tokenise(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, end) of each word of UTF-8 text.
 
-    def __init__(self):
-        self.ids: dict[str, int] = {}
-        self.hashes = np.zeros(1024, np.uint64)
-
-    def number(self, words: list[str]) -> np.ndarray:
-        import xxhash
-
-        new = set(words).difference(self.ids)
-        if new:
-            base = len(self.ids)
-            while base + len(new) > len(self.hashes):
-                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)])
-            for i, w in enumerate(new):
-                self.ids[w] = base + i
-                self.hashes[base + i] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
+    The hash is a polynomial over the word's bytes, from running sums over all bytes, and the same everywhere.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    space = _SPACE[raw]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.concatenate([[0], edge])
+    if not space[-1]:
+        edge = np.concatenate([edge, [len(raw)]])
+    starts, ends = edge[::2], edge[1::2]
+    up, down = _powers(len(raw))
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
+    return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends
+
+
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse modulo 2**64, kept for the next call unless they are very many."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0], _POWERS[1]
+    base = 0x9E3779B97F4A7C15
+    found = []
+    for r in (base, pow(base, -1, 1 << 64)):
+        out = np.full(n, r, np.uint64)
+        out[0] = 1
+        found.append(np.cumprod(out))
+    if n <= 1 << 22:
+        _POWERS[:] = found
+    return found[0], found[1]
 
 
 def grams(hashes: np.ndarray, m: int) -> np.ndarray:
@@ -87,8 +106,12 @@ def minimisers(ranks: np.ndarray, w: int) -> np.ndarray:
     return at
 
 
-def equal_windows(ids: np.ndarray, starts: np.ndarray, g: np.ndarray, k: int, m: int) -> np.ndarray:
-    """A label for each window start; labels are equal where the words are, which is checked word by word."""
+def equal_windows(starts: np.ndarray, hashes: np.ndarray, g: np.ndarray, k: int, m: int, spell) -> np.ndarray:
+    """A label for each window start; labels are equal where the words are.
+
+    Windows are sorted by a hash of their grams. Neighbours with one hash are compared word by word: by the words' hashes
+    and, for each stretch of such windows, by what ``spell(first, end)`` says that the words are.
+    """
     key = np.zeros(len(starts), np.uint64)
     for i, off in enumerate([*range(0, k - m, m), k - m]):
         key += g[starts + off] * _factor(100 + i)
@@ -96,16 +119,24 @@ def equal_windows(ids: np.ndarray, starts: np.ndarray, g: np.ndarray, k: int, m:
     order = np.argsort(key, kind="stable")
     ordered, s = key[order], starts[order]
     same = ordered[1:] == ordered[:-1]
-    near = np.flatnonzero(same)
-    differ = np.zeros(len(near), bool)
-    for j in range(k):
-        differ |= ids[s[near] + j] != ids[s[near + 1] + j]
     labels = np.zeros(len(starts), np.int64)
     labels[order] = np.concatenate([[0], np.cumsum(~same)])[: len(starts)]
-    if differ.any():  # windows of different words have one hash: label those by their words
-        exact: dict[bytes, int] = {}
-        for i in np.flatnonzero(np.isin(labels, labels[order[near[differ]]])):
-            labels[i] = len(starts) + exact.setdefault(ids[starts[i] : starts[i] + k].tobytes(), len(exact))
+    near = np.flatnonzero(same)
+    x, y = s[near], s[near + 1]
+    sure = np.ones(len(near), bool)
+    for j in range(k):
+        sure &= hashes[x + j] == hashes[y + j]
+    by = np.lexsort((x, y - x))
+    first, n = _runs(x[by], (y - x)[by], sure[by])
+    for at, length in zip(first.tolist(), n.tolist(), strict=True):
+        i = by[at]
+        if sure[i] and spell(int(x[i]), int(x[i]) + length + k - 1) != spell(int(y[i]), int(y[i]) + length + k - 1):
+            sure[by[at : at + length]] = False
+    if not sure.all():  # windows of different words have one hash: label those by their words
+        exact: dict = {}
+        for i in np.flatnonzero(np.isin(labels, labels[order[near[~sure]]])):
+            words = tuple(spell(int(starts[i]), int(starts[i]) + k))
+            labels[i] = len(starts) + exact.setdefault(words, len(exact))
     return labels
 
 
@@ -120,51 +151,73 @@ def _runs(starts: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return first, np.diff(np.concatenate([first, [len(starts)]]))
 
 
-def _slices(batches: Iterator) -> Iterator[tuple[list, list[str], np.ndarray]]:
-    """(keys, words, first word of each document and the end) of about SLICE_CHARS of text at a time."""
+class Slice:
+    """Some texts together: their keys, UTF-8 bytes, words, and the first word of each text and the end."""
+
+    def __init__(self, keys: list, texts: list[bytes]):
+        self.keys, self.data = keys, b"\n".join(texts)
+        self.hashes, self.starts, self.ends = tokenise(self.data)
+        bytes_before = np.cumsum([0, *[len(t) + 1 for t in texts]])
+        self.docs = np.searchsorted(self.starts, bytes_before)
+
+    def text(self, first: int, end: int) -> bytes:
+        """From the first word up to the one before ``end``."""
+        return self.data[self.starts[first] : self.ends[end - 1]]
+
+    def spell(self, first: int, end: int) -> list[bytes]:
+        return _split(self.text(first, end))
+
+
+def _split(text: bytes) -> list[bytes]:
+    return text.split()  # bytes.split knows exactly the ASCII white space
+
+
+def _slices(batches: Iterator) -> Iterator[Slice]:
+    """About SLICE_CHARS of text at a time."""
     keys: list = []
-    words: list[str] = []
-    ends = [0]
-    chars = 0
+    texts: list[bytes] = []
+    size = 0
     for batch in batches:
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            text = text.as_py() or ""
-            words += _WORDS.findall(text)
+            data = text.as_buffer().to_pybytes() if text.is_valid else b""
+            texts.append(data)
             keys.append(key)
-            ends.append(len(words))
-            chars += len(text)
-            if chars >= SLICE_CHARS:
-                yield keys, words, np.array(ends)
-                keys, words, ends, chars = [], [], [0], 0
+            size += len(data)
+            if size >= SLICE_CHARS:
+                yield Slice(keys, texts)
+                keys, texts, size = [], [], 0
     if keys:
-        yield keys, words, np.array(ends)
+        yield Slice(keys, texts)
 
 
 def _starts(ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of all windows that lie in one document, and the documents' indexes."""
     counts = np.maximum(np.diff(ends) - k + 1, 0)
-    doc = np.repeat(np.arange(len(counts)), counts)
-    first = np.repeat(ends[:-1] - (np.cumsum(counts) - counts), counts)
-    return first + np.arange(len(doc)), doc
+    return _spans(ends[:-1], counts), np.repeat(np.arange(len(counts)), counts)
 
 
-def _pack(kind: int, keys: np.ndarray, starts: np.ndarray, counts: np.ndarray, text: str = "") -> bytes:
+def _pack(kind: int, keys: np.ndarray, starts: np.ndarray, counts: np.ndarray, text: bytes = b"") -> bytes:
+    """Super-k-mers of a bucket as one string: their places and their words."""
     import zstandard
 
-    raw = struct.pack("<BI", kind, len(keys)) + keys.astype("<i8").tobytes() + starts.astype("<i4").tobytes() + counts.astype("<i4").tobytes() + text.encode("utf-8", "surrogatepass")
-    return zstandard.ZstdCompressor(level=3).compress(raw)
+    places = keys.astype("<i8").tobytes() + starts.astype("<i4").tobytes() + counts.astype("<i4").tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<BI", kind, len(keys)) + places + text)
 
 
-def _unpack(blob: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, str]:
+def _unpack(blob: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, bytes]:
     import zstandard
 
     raw = zstandard.ZstdDecompressor().decompress(blob)
     kind, n = struct.unpack_from("<BI", raw)
     at = 5
-    keys = np.frombuffer(raw, "<i8", n, at)
-    starts = np.frombuffer(raw, "<i4", n, at + 8 * n)
-    counts = np.frombuffer(raw, "<i4", n, at + 12 * n)
-    return kind, keys, starts, counts, raw[at + 16 * n :].decode("utf-8", "surrogatepass")
+    keys, starts, counts = np.frombuffer(raw, "<i8", n, at), np.frombuffer(raw, "<i4", n, at + 8 * n), np.frombuffer(raw, "<i4", n, at + 12 * n)
+    return kind, keys, starts, counts, raw[at + 16 * n :]
+
+
+def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``lengths`` of them, one span after another."""
+    ends = np.cumsum(lengths)
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 def frequent_grams(keyed: DataFrame, k: int = K, m: int = M) -> tuple[np.ndarray, int]:
@@ -177,16 +230,13 @@ def frequent_grams(keyed: DataFrame, k: int = K, m: int = M) -> tuple[np.ndarray
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        vocabulary, total = Words(), 0
-        for _, words, ends in _slices(batches):
-            if len(vocabulary.ids) > 1_000_000:
-                vocabulary = Words()
-            total += len(words)
-            ids = vocabulary.number(words)
-            g = grams(vocabulary.hashes[ids], m)
+        total = 0
+        for part in _slices(batches):
+            total += len(part.hashes)
+            g = grams(part.hashes, m)
             inside = np.ones(len(g), bool)
             for back in range(1, m):
-                cut = ends[1:-1] - back
+                cut = part.docs[1:-1] - back
                 inside[cut[(cut >= 0) & (cut < len(g))]] = False
             found, n = np.unique(g[inside], return_counts=True)
             often = n >= LEAST_LOCAL
@@ -214,17 +264,15 @@ def repeated_windows(keyed: DataFrame, k: int = K, m: int = M) -> DataFrame:
     def split(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        hot, vocabulary = sent.value, Words()
-        for at, (keys, words, ends) in enumerate(_slices(batches)):
-            if len(vocabulary.ids) > 1_000_000:
-                vocabulary = Words()
+        hot = sent.value
+        for at, piece in enumerate(_slices(batches)):
+            ends = piece.docs
             starts, doc = _starts(ends, k)
             if not len(starts):
                 continue
-            keys = np.array(keys, np.int64)
-            ids = vocabulary.number(words)
-            g = grams(vocabulary.hashes[ids], m)
-            labels = equal_windows(ids, starts, g, k, m)
+            keys = np.array(piece.keys, np.int64)
+            g = grams(piece.hashes, m)
+            labels = equal_windows(starts, piece.hashes, g, k, m, piece.spell)
             _, first, of, times = np.unique(labels, return_index=True, return_inverse=True, return_counts=True)
             again = times[of] > 1
             rows: list[tuple[int, bytes]] = []
@@ -243,7 +291,8 @@ def repeated_windows(keyed: DataFrame, k: int = K, m: int = M) -> DataFrame:
             bucket = (_mix(g[place[a]]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                text = "\n".join([" ".join(words[x : x + y]) for x, y in zip(begin[part].tolist(), (n[part] + k - 1).tolist(), strict=True)])
+                froms, tos = piece.starts[begin[part]].tolist(), piece.ends[begin[part] + n[part] + k - 2].tolist()
+                text = b"\n".join([piece.data[x:y] for x, y in zip(froms, tos, strict=True)])
                 rows.append((int(bucket[part[0]]), _pack(1, keys[d[part]], begin[part] - ends[d[part]], n[part], text)))
             b, blobs = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
@@ -254,21 +303,34 @@ def repeated_windows(keyed: DataFrame, k: int = K, m: int = M) -> DataFrame:
         def ranges(keys, starts, counts):
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(counts, pa.int32())], ["key", "start", "n"])
 
-        vocabulary, held = Words(), []
+        held, texts = [], []
         for batch in batches:
             for blob in batch.column(1):
                 kind, keys, starts, counts, text = _unpack(blob.as_py())
                 if kind == 0:
                     yield ranges(keys, starts, counts)
                 else:
-                    held.append((vocabulary.number(_WORDS.findall(text)), keys, starts, counts))
+                    held.append((keys, starts, counts))
+                    texts.append(text)
         if not held:
             return
-        ids, keys, starts, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+        keys, starts, counts = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
+        hashes, spots, base = [], [], 0
+        for text in texts:  # one at a time: running sums over all of them would take eight times their size
+            h, a, b = tokenise(text)
+            hashes.append(h)
+            spots.append(np.stack([a + base, b + base]))
+            base += len(text) + 1
+        data, hashes, spots = b"\n".join(texts), np.concatenate(hashes), np.concatenate(spots, axis=1)
+        texts.clear()
+
+        def spell(first: int, end: int) -> list[bytes]:
+            return _split(data[spots[0, first] : spots[1, end - 1]])
+
         sizes = counts.astype(np.int64) + k - 1
         at, of = _starts(np.concatenate([[0], np.cumsum(sizes)]), k)
-        labels = equal_windows(ids, at, grams(vocabulary.hashes[ids], m), k, m)
+        labels = equal_windows(at, hashes, grams(hashes, m), k, m, spell)
         _, inverse, times = np.unique(labels, return_inverse=True, return_counts=True)
         again = times[inverse] > 1
         a, n = _runs(at[again], of[again])

@@ -245,11 +245,20 @@ def test_substrings(docs, rows, monkeypatch, hot):
         assert sorted(map(tuple, out.collect())) == sorted(brute.repeats(rows, k))
 
 
-def test_equal_windows_survive_hash_collisions(monkeypatch):
-    ids = np.array([0, 1, 2, 3, 0, 1, 2, 4, 5, 6], np.int32)
-    g = np.zeros(9, np.uint64)  # every window has one hash
-    labels = substrings.equal_windows(ids, np.arange(8), g, 3, 2)
-    assert labels[0] == labels[4] and len(set(labels)) == 7
+def test_equal_windows_survive_hash_collisions():
+    words = [b"0", b"1", b"2", b"3", b"0", b"1", b"2", b"4", b"5", b"6"]
+    # every window has one hash; then all words have one hash too
+    for hashes in (np.array([int(w) for w in words], np.uint64), np.zeros(10, np.uint64)):
+        labels = substrings.equal_windows(np.arange(8), hashes, np.zeros(9, np.uint64), 3, 2, lambda a, b: words[a:b])
+        assert labels[0] == labels[4] and len(set(labels)) == 7
+
+
+def test_words_are_those_of_the_pattern(rows):
+    for _, t in rows:
+        data = (t or "").encode()
+        h, a, b = substrings.tokenise(data)
+        assert [data[x:y].decode() for x, y in zip(a, b)] == brute.WORD.findall(t or "")
+        assert len(set(h)) == len(set(brute.WORD.findall(t or "")))
 
 
 def test_substrings_edges(spark):
