@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .validity import in_bins
+from .windows import field_of
 
 #: Slices that a numbering over all rows is made of.
 SLICES = 256
@@ -115,7 +116,7 @@ def multi_config(frames: Sequence[DataFrame], key: str, batch_size: int, seed: i
 def stacked(df: DataFrame, features: Sequence[str], by: Sequence[str] = ("batch",), order: str = "row") -> DataFrame:
     """One row for each batch, each feature an array in the rows' order."""
     listed = F.array_sort(F.collect_list(F.struct(order, *features)))
-    return df.groupBy(*by).agg(listed.alias("__r")).select(*by, *[F.transform("__r", lambda x, f=f: x[f]).alias(f) for f in features])
+    return df.groupBy(*by).agg(listed.alias("__r")).select(*by, *[field_of("__r", f).alias(f) for f in features])
 
 
 def nested(row, structure):

@@ -24,15 +24,15 @@ def gather(source: Source, centers: DataFrame) -> DataFrame:
     wide = [d for d in source.dim_names if span[d] != (0, 0)]
     axes = [[*range(-span[d][0], span[d][1] + 1)] for d in source.dim_names]
     offsets = list(itertools.product(*axes))
-    rows = F.array(*[F.struct(F.lit(n).alias("n"), *[F.lit(o).cast("long").alias(f"o_{d}") for d, o in zip(source.dim_names, at, strict=True)]) for n, at in enumerate(offsets)])
+    rows = F.array(*[F.struct(F.lit(n).alias("__p"), *[F.lit(o).cast("long").alias(f"o_{d}") for d, o in zip(source.dim_names, at, strict=True)]) for n, at in enumerate(offsets)])
     spread = centers.select(*keys).withColumn("__o", F.explode(rows))
-    spread = spread.select(*keys, "__o.n", *[(F.col(f"i_{d}") + F.col(f"__o.o_{d}")).alias(f"a_{d}") for d in source.dim_names])
+    spread = spread.select(*keys, F.col("__o.__p").alias("__p"), *[(F.col(f"i_{d}") + F.col(f"__o.o_{d}")).alias(f"a_{d}") for d in source.dim_names])
     values = df.select(*[F.col(f"i_{d}").alias(f"a_{d}") for d in source.dim_names], *source.feature_names)
     at = [f"a_{d}" for d in source.dim_names]
     cells = spread.join(values, at, "left")
-    lists = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("n", *source.feature_names))).alias("__w"))
+    lists = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__p", *source.feature_names))).alias("__w"))
     out = centers.select(*keys).join(lists, keys)
-    out = out.select(*keys, *[F.transform("__w", lambda x, f=f: x[f]).alias(f) for f in source.feature_names])
+    out = out.select(*keys, *[field_of("__w", f).alias(f) for f in source.feature_names])
     for d in source.dim_names:
         if d in wide:
             axis = source.axis(d).select(F.col("idx").alias("a"), F.col(d).alias("v"))
@@ -45,6 +45,11 @@ def gather(source: Source, centers: DataFrame) -> DataFrame:
     return out.select(*keys, *source.feature_names, *source.dim_names)
 
 
+def field_of(array: str, name: str) -> Column:
+    """One field of an array of structs, as an array."""
+    return F.transform(array, lambda x: x[name])
+
+
 def gather_1d(df: DataFrame, order: str, value: str, before: int, after: int, partition: Sequence[str] = (), out: str = "window") -> DataFrame:
     """``df`` with the values from ``before`` steps before to ``after`` after, in order; nulls keep their place."""
     w = Window.partitionBy(*partition).orderBy(order).rangeBetween(-before, after)
