@@ -23,7 +23,7 @@ from .common import WORD, stash, width
 
 K, M = 35, 4
 #: Characters of text that a task looks at together, and text of super-k-mers that a bucket is laid out for.
-SLICE_CHARS, BUCKET_BYTES = 4 << 20, 48 << 20
+SLICE_CHARS, BUCKET_BYTES = 4 << 20, 20 << 20
 #: A gram is frequent if it makes up this share of a bucket's super-k-mers; no gram is below the least count.
 HOT_SHARE, LEAST_HOT = 0.25, 64
 #: Times in a slice from which a gram is reported; a frequent one has more in some slice.
@@ -320,10 +320,11 @@ def repeated_windows(keyed: DataFrame, k: int = K, m: int = M) -> DataFrame:
         for text in texts:  # one at a time: running sums over all of them would take eight times their size
             h, a, b = tokenise(text)
             hashes.append(h)
-            spots.append(np.stack([a + base, b + base]))
+            spots.append(np.stack([a + base, b + base]).astype(np.int64 if base > 1 << 30 else np.int32))
             base += len(text) + 1
-        data, hashes, spots = b"\n".join(texts), np.concatenate(hashes), np.concatenate(spots, axis=1)
+        data = b"\n".join(texts)
         texts.clear()
+        hashes, spots = np.concatenate(hashes), np.concatenate(spots, axis=1)
 
         def spell(first: int, end: int) -> list[bytes]:
             return _split(data[spots[0, first] : spots[1, end - 1]])
