@@ -105,3 +105,35 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
 def op7_line_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return measure(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _sql_chars(x: str) -> str:
+    return f"length(regexp_replace({x}, '[\\x20\\x09-\\x0D]', '', 'g'))"
+
+
+def _sql_count(x: str, chars: str) -> str:
+    return f"(length({x}) - length(translate({x}, '{chars}', '')))"
+
+
+def _sql_hits(x: str, pattern: str) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"len(regexp_extract_all({x}, '{quoted}'))"
+
+
+_BARS = _sql_hits("x", rf"(^|\s)[{SEPARATORS}](\s|$)")
+_FAILS = f"""({_sql_count("x", SEPARATORS)} >= 3 AND {_BARS} >= 3 AND {_BARS} * 4 >= {_sql_hits("x", WORD)}
+  OR length(x) <= {BOILERPLATE_CHARS} AND regexp_matches(x, '{BOILERPLATE}')
+  OR {_sql_count("x", SYMBOLS)} * 10 > {_sql_chars("x")}
+  OR {_sql_hits("x", r"!!(\s|$)")} * 3 > {_sql_hits("x", WORD)}
+  OR NOT regexp_matches(x, '{MARK.replace("'", "''")}') AND {_sql_hits("x", WORD)} >= {SENTENCE_WORDS})"""
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
+g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) > 1 AS again FROM p),
+c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM g WHERE again) GROUP BY doc_id),
+b AS (SELECT doc_id, t, len(w) AS n_words, {_sql_chars("t")} AS word_chars, {_sql_count("t", SYMBOLS)} AS n_symbols, coalesce(n, 0) AS n_repeat_words,
+  len(list_filter(lines, lambda x: regexp_matches(x, '{WORD}'))) - len(list_distinct(list_filter(lines, lambda x: regexp_matches(x, '{WORD}')))) AS n_dup_lines,
+  array_to_string(list_filter(lines, lambda x: NOT {_FAILS}), chr(10)) AS cleaned FROM d LEFT JOIN c USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND word_chars - {_sql_chars("cleaned")} <= {MAX_LOST} * word_chars AS kept FROM b
+"""

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from .minhash import op10_bayes_minhash
+from .minhash import OP10_SQL, op10_bayes_minhash
 from .mixing import op2_pivotal
 from .packing import op4_bin_slack
-from .projections import op1_collision_counting
-from .quality import op7_line_first
+from .projections import OP1_SQL, op1_collision_counting
+from .quality import OP7_SQL, op7_line_first
 from .sharding import op6_rendezvous
 from .sstable import op9_sstable
-from .substrings import op5_super_kmers
+from .substrings import OP5_SQL, op5_super_kmers
 from .url_filter import OP8_SQL, op8_blocked_bloom
 from .warc import OP3_SQL, op3_warc
 
@@ -26,4 +26,11 @@ QUERIES = {
     "op10_bayes_minhash": op10_bayes_minhash,
 }
 
-ORACLE_SQL = {"op3_warc": OP3_SQL, "op8_blocked_bloom": OP8_SQL}
+ORACLE_SQL = {
+    "op1_collision_counting": OP1_SQL,
+    "op3_warc": OP3_SQL,
+    "op5_super_kmers": OP5_SQL,
+    "op7_line_first": OP7_SQL,
+    "op8_blocked_bloom": OP8_SQL,
+    "op10_bayes_minhash": OP10_SQL,
+}
