@@ -91,7 +91,7 @@ def sketch(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
                     out.append((0, 0, 0, b""))
                     continue
                 if len(x) < size:
-                    g = _mix((h * np.array([_factor(200 + i) for i in range(len(x))])).sum(keepdims=True))
+                    g = _whole(h)
                 else:
                     g = np.unique(grams(h, size))
                 one, two = int(g.sum(dtype=np.uint64)), int(_mix(g ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
@@ -113,6 +113,28 @@ def sketch(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return df.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInArrow(run, "key long, n_shingles long, set_a long, set_b long, sig binary")
 
 
+def _with_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(rep, text, set): with the hashes of the text's shingles, packed."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            sets = []
+            for text in batch.column(1).to_pylist():
+                part = Slice([], [text.encode("utf-8", "surrogatepass").lower()])
+                h = part.hashes
+                sets.append((np.unique(grams(h, size)) if len(h) >= size else _whole(h)).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.binary())], ["rep", "text", "set"])
+
+    return texts.select("rep", "text").mapInArrow(run, "rep long, text string, set binary")
+
+
+def _whole(h: np.ndarray) -> np.ndarray:
+    """The one shingle of a text that is shorter than a shingle."""
+    return _mix((h * np.array([_factor(200 + i) for i in range(len(h))], np.uint64)).sum(keepdims=True))
+
+
 def _matrix(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, LANES)
 
@@ -151,38 +173,54 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, threshold: float, forest: bool) -> DataFrame:
-    """Plausible pairs (a, b) of different components in the buckets' blocks (key, i, j) of (rep, comp, sig, side).
+def _across(rows: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """Links (a, b) between components in the buckets' blocks (key, band, i, j) of (rep, comp, sig, set, side).
 
-    With ``forest``, of each block only a spanning forest of the likeliest pairs: what they join needs no more pairs.
+    A block compares members of different components, each pair in the first band that the two share. Plausible pairs are
+    tested on the full sets of shingle hashes, likeliest first, unless links found before already join their components:
+    what leaves a block is a spanning forest of links, however many pairs it tested.
     """
 
-    def group(reps: np.ndarray, comps: np.ndarray, sigs: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def group(band: int, reps: np.ndarray, comps: np.ndarray, sigs: np.ndarray, sets: list, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left = np.flatnonzero(sides <= 1)
-        right = left if not (sides == 2).any() else np.flatnonzero(sides == 2)
-        found: list[tuple[int, int, int]] = []
+        right = np.flatnonzero(sides == 2) if (sides == 2).any() else left
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for i in left:
             others = right[(comps[right] != comps[i]) & ((reps[right] > reps[i]) | (sides[right] == 2))]
             live, matches = plausible(np.broadcast_to(sigs[i], (len(others), LANES)), sigs[others], threshold)
-            found += [(int(m), int(i), int(j)) for m, j in zip(matches, others[live], strict=True)]
-        if forest:
-            parent: dict[int, int] = {}
-
-            def root(c: int) -> int:
-                while parent.get(c, c) != c:
-                    c = parent[c]
-                return c
-
-            kept = []
-            for m, i, j in sorted(found, reverse=True):
-                x, y = root(int(comps[i])), root(int(comps[j]))
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    kept.append((m, i, j))
-            found = kept
-        at = np.array([(i, j) for _, i, j in found], np.int64).reshape(-1, 2)
-        x, y = reps[at[:, 0]], reps[at[:, 1]]
-        return np.minimum(x, y), np.maximum(x, y)
+            others = others[live]
+            shared = (sigs[i].reshape(BANDS, ROWS) == sigs[others].reshape(-1, BANDS, ROWS)).all(axis=2)
+            own = shared.argmax(axis=1) == band
+            found.append((matches[own], np.full(int(own.sum()), i), others[own]))
+        if not found:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        m, x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = parent.get(up, up)
+                c = up
+            return c
+
+        full: dict[int, frozenset] = {}
+
+        def members(i: int) -> frozenset:
+            if i not in full:
+                full[i] = frozenset(np.frombuffer(sets[i], np.int64).tolist())
+            return full[i]
+
+        kept = []
+        for at in np.argsort(-m, kind="stable").tolist():
+            i, j = int(x[at]), int(y[at])
+            p, q = root(int(comps[i])), root(int(comps[j]))
+            if p != q:
+                shared = len(members(i) & members(j))
+                if 100 * shared >= percent * (len(members(i)) + len(members(j)) - shared):
+                    parent[max(p, q)] = min(p, q)
+                    kept.append((reps[i], reps[j]))
+        pairs = np.array(kept, np.int64).reshape(-1, 2)
+        return pairs.min(axis=1), pairs.max(axis=1)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -193,7 +231,7 @@ def _across(rows: DataFrame, threshold: float, forest: bool) -> DataFrame:
             if not parts:
                 return None
             table = pa.Table.from_batches(parts)
-            a, b = group(np.asarray(table["rep"]), np.asarray(table["comp"]), _matrix(table["sig"]), np.asarray(table["side"]))
+            a, b = group(table["band"][0].as_py(), np.asarray(table["rep"]), np.asarray(table["comp"]), _matrix(table["sig"]), table["set"].to_pylist(), np.asarray(table["side"]))
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         last = None
@@ -215,7 +253,7 @@ def _across(rows: DataFrame, threshold: float, forest: bool) -> DataFrame:
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select("key", "i", "j", "rep", "comp", "sig", "side").mapInArrow(run, "a long, b long")
+    return dealt.select("key", "i", "j", "band", "rep", "comp", "sig", "set", "side").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -227,17 +265,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     component_id null and are kept. Rows with one key are one document of several texts. An empty table gives none.
 
     Equal sets become one class at once. Classes share buckets, one for each band. A small bucket gives all its pairs.
-    A large one begins with a star around its best-connected member; while its members are in more than one component,
-    blocks of it are compared again and give a spanning forest of plausible pairs, then all plausible pairs that still
-    cross components. So a group of near copies costs links, not pairs, and yet no pair of different components goes
-    untested. Pairs are pruned by the posterior of their signatures and verified on the full texts.
+    A large one begins with a star around its best-connected member; then its blocks compare members of different
+    components, and give a spanning forest of the links between them. So a group of near copies costs links, not pairs,
+    and yet no plausible pair of different components goes untested. Pairs are pruned by the posterior of their
+    signatures, and every link is verified on the full texts.
     """
     threshold = percent / 100
     docs = stash(sketch(df, key, text, size), "minhash-sketch")
     real = docs.where(F.col("key").isNotNull() & (F.col("n_shingles") > 0))
     classes = stash(real.groupBy("n_shingles", "set_a", "set_b").agg(F.min("key").alias("rep"), F.max("sig").alias("sig")), "minhash-classes")
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)])
-    banded = classes.select("rep", F.explode(keys).alias("key"))
+    banded = classes.select("rep", F.posexplode(keys).alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     live = stash(banded.join(shared, "key"), "minhash-buckets")
 
@@ -245,7 +283,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     few = ids.count() <= BROADCAST_IDS
     wanted = df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
     texts = wanted.join(F.broadcast(ids) if few else ids, "rep", "left_semi")
-    texts = stash(texts.where(F.col("text").isNotNull()), "minhash-texts")
+    texts = stash(_with_sets(texts.where(F.col("text").isNotNull()), size), "minhash-texts")
     sigs = classes.select("rep", "sig").join(ids, "rep", "left_semi")
     sigs = stash(sigs, "minhash-signatures")
 
@@ -260,21 +298,17 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     first = pairs.unionByName(star).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).select("a", "b")
     links = stash(_verified(_pruned(first, sigs, threshold), texts, percent, size), "minhash-links")
     parts = components(links, "minhash-components")
-    for forest in (True, False):
-        parts = stash(parts, "minhash-parts")
-        state = large.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n", "rep", F.coalesce("component", "rep").alias("comp"))
-        mixed = state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-        if not mixed.limit(1).count():
-            break
-        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-        own = F.pmod(F.xxhash64("rep", "key"), blocks).cast("int")
-        to = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"), F.when(o == own, 0).when(own < o, 1).otherwise(2).alias("side")))
-        dealt = state.join(mixed, "key", "left_semi").select("key", "rep", "comp", F.explode(to).alias("at")).select("key", "at.i", "at.j", "at.side", "rep", "comp")
-        again = _across(dealt.join(sigs, "rep"), threshold, forest)
-        again = again.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).select("a", "b")
-        more = stash(_verified(again, texts, percent, size), "minhash-links")
-        links = links.unionByName(more)
-        parts = components(links, "minhash-components")
+    parts = stash(parts, "minhash-parts")
+    state = large.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "n", "rep", F.coalesce("component", "rep").alias("comp"))
+    mixed = state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("rep", "key"), blocks).cast("int")
+    to = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"), F.when(o == own, 0).when(own < o, 1).otherwise(2).alias("side")))
+    dealt = state.join(mixed, "key", "left_semi").select("key", "band", "rep", "comp", F.explode(to).alias("at")).select("key", "band", "at.i", "at.j", "at.side", "rep", "comp")
+    sets = sigs.join(texts.select("rep", "set"), "rep")
+    again = stash(_across(dealt.join(sets, "rep"), threshold, percent).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).select("a", "b"), "minhash-across")
+    more = _verified(again, texts, percent, size)
+    parts = components(links.unionByName(more), "minhash-components")
 
     of_class = classes.select("n_shingles", "set_a", "set_b", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("n_shingles", "set_a", "set_b", F.coalesce("component", "rep").alias("found"))
