@@ -97,7 +97,7 @@ def json_safe(value, as_string: bool = False):
 
 def total_bytes(df: DataFrame) -> int:
     """Estimate of a frame's size by the optimizer, without reading it."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def kelvin_to(c: Column, unit: str) -> Column:
