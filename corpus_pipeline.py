@@ -56,7 +56,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the words of repeated windows; texts without repeats stay as they are, emptied ones go."""
-    names = ["n_words", "n_removed", "kept_text", "__left"]
+    names = ["n_words", "n_removed", "kept_text", "__left", "__key", "__ranges"]
     found = remove_repeats(_aside(docs, names)).where("n_removed = 0 or n_removed < n_words")
     return _back(found.withColumn("__left", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))), docs, "__left")
 

@@ -24,6 +24,8 @@ from .common import WORD, stash, width
 K, M = 35, 4
 #: Characters of text that a task looks at together, and text of super-k-mers that a bucket is laid out for.
 SLICE_CHARS, BUCKET_BYTES = 4 << 20, 20 << 20
+#: Bytes over which sums run at once.
+STRETCH = 1 << 19
 #: A gram is frequent if it makes up this share of a bucket's super-k-mers; no gram is below the least count.
 HOT_SHARE, LEAST_HOT = 0.25, 64
 #: Times in a slice from which a gram is reported; a frequent one has more in some slice.
@@ -59,10 +61,18 @@ def tokenise(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not space[-1]:
         edge = np.concatenate([edge, [len(raw)]])
     starts, ends = edge[::2], edge[1::2]
-    up, down = _powers(len(raw))
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], out=sums[1:])
-    return _mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts, ends
+    hashes = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):  # a stretch of words at a time
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + STRETCH)))
+        base, end = int(starts[first]), int(ends[last - 1])
+        up, down = _powers(end - base)
+        sums = np.zeros(end - base + 1, np.uint64)
+        np.cumsum((raw[base:end].astype(np.uint64) + np.uint64(1)) * up[: end - base], out=sums[1:])
+        x, y = starts[first:last] - base, ends[first:last] - base
+        hashes[first:last] = _mix((sums[y] - sums[x]) * down[x] + (y - x).astype(np.uint64))
+        first = last
+    return hashes, starts, ends
 
 
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -72,13 +82,14 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2**64, kept for the next call unless they are very many."""
     if len(_POWERS[0]) >= n:
         return _POWERS[0], _POWERS[1]
+    n = max(n, STRETCH)
     base = 0x9E3779B97F4A7C15
     found = []
     for r in (base, pow(base, -1, 1 << 64)):
         out = np.full(n, r, np.uint64)
         out[0] = 1
         found.append(np.cumprod(out))
-    if n <= 1 << 22:
+    if n <= STRETCH:
         _POWERS[:] = found
     return found[0], found[1]
 

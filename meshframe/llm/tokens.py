@@ -13,7 +13,7 @@ import numpy as np
 #: The id that ends a document (query contract).
 END_ID = 1
 #: Characters encoded at once, and words and pieces kept; both bound a worker's memory.
-SLICE_CHARS, KEPT_WORDS, KEPT_PIECES = 1 << 20, 1_000_000, 600_000
+SLICE_CHARS, KEPT_WORDS, KEPT_PIECES = 1 << 20, 400_000, 250_000
 #: Pieces that are encoded as one text.
 JOINED = 256
 
@@ -45,11 +45,31 @@ class _Table:
         self.rows = _Rows()
         self.starts, self.lengths, self.pool = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
         self.used = 0
+        self.seen = np.zeros(1024, np.int64)
+
+    def trim(self, most: int) -> None:
+        """Halves a table that has outgrown ``most``: strings seen once go first, then those seen more rarely than others."""
+        n = len(self.rows)
+        if n <= most:
+            return
+        seen, least = self.seen[:n], 2
+        while (keep := np.flatnonzero(seen >= least)).size > most // 2:
+            least *= 2
+        names = list(self.rows)
+        ids, lengths = self.ids(keep)
+        self.rows = _Rows((names[i], k) for k, i in enumerate(keep.tolist()))
+        self.used = 0
+        self.seen[: len(keep)], self.seen[len(keep) :] = seen[keep] // 2 + 1, 0
+        self.fill(ids, lengths)
 
     def ask(self, keys: Sequence[str]) -> tuple[np.ndarray, list[str]]:
         """(row of each key, the keys that are new and must be filled in this order)."""
         before = len(self.rows)
         rows = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
+        counts = np.bincount(rows, minlength=1)
+        if len(counts) > len(self.seen):
+            self.seen = np.concatenate([self.seen, np.zeros(2 * len(counts) - len(self.seen), np.int64)])
+        self.seen[: len(counts)] += counts
         return rows, list(islice(reversed(self.rows), len(self.rows) - before))[::-1]
 
     def fill(self, ids: np.ndarray, lengths: np.ndarray) -> None:
@@ -114,14 +134,12 @@ class ChunkEncoder:
 
     def _rows(self, words: list[str], plain: bool) -> np.ndarray:
         """Rows of the words in the table, new ones encoded."""
-        if len(self.words.rows) > KEPT_WORDS:
-            self.words = _Table()
+        self.words.trim(KEPT_WORDS)
         rows, new = self.words.ask(words)
         if new and not (plain and self.pieced):
             self.words.fill(*self._each(new))
         elif new:
-            if len(self.pieces.rows) > KEPT_PIECES:
-                self.pieces = _Table()
+            self.pieces.trim(KEPT_PIECES)
             cut = [_PIECE.findall(w.lower()) for w in new]
             parts, unknown = self.pieces.ask(list(chain.from_iterable(cut)))
             if unknown:
@@ -143,7 +161,7 @@ class ChunkEncoder:
                 chars += len(text)
                 end += 1
             flat = list(chain.from_iterable(words))
-            rows = self._rows(flat, plain)  # may begin a new table
+            rows = self._rows(flat, plain)  # may trim the table
             ids, lengths = self.words.ids(rows)
             ends = np.concatenate([[0], np.cumsum(lengths)])
             cuts = ends[np.cumsum([0, *map(len, words)])]
