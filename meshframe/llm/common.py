@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value of the query contracts: a word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +41,14 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of BATCH_BYTES at most: long texts would fill a worker, and its executor's buffers."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def width(spark: SparkSession) -> int:
     """Partitions for explicit exchanges: what the session gives its shuffles."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -81,7 +90,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").groupBy("u", "v").agg(F.lit(1).alias("one")).drop("one"),
         label,
     )
-    while True:
+    mark = _mark(now)
+    while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Large star: every larger neighbour of u moves to the least of u and its neighbours.
@@ -93,15 +103,19 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.unionByName(low.select("u", F.col("m").alias("v")))
         following = stash(small.groupBy("u", "v").agg(F.lit(1).alias("one")).drop("one"), label)
-        changed = following.join(now, ["u", "v"], "left_anti").limit(1).count() + now.join(following, ["u", "v"], "left_anti").limit(1).count()
-        now = following
-        if not changed:
+        before, now, mark = mark, following, _mark(following)
+        if mark == before:
             break
     return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component").unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).groupBy("node").agg(F.min("component").alias("component"))
     )
 
 
+def _mark(edges: DataFrame) -> tuple[int, int | None]:
+    """Number and hash of a set of edges."""
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+
+
 def words_of(text: Column) -> Column:
     """The words of a text as an array; null and blank texts have none."""
     flat = F.translate(text, "\t\n\x0b\x0c\r", "     ")

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, components, stash
+from .common import WORD, bounded_batches, components, stash
 from .substrings import SLICE_CHARS, Slice, _factor, _mix, grams
 
 #: Lanes of a signature (a byte each) in bands: a pair at 0.8 shares no band with probability 5e-7.
@@ -159,11 +159,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        cached = lru_cache(64)(lambda text: frozenset(shingles(text, size)))
+        cached = lru_cache(8)(lambda text: frozenset(shingles(text, size)))
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = cached(x), cached(y)
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                p, q = cached(x.as_py()), cached(y.as_py())
                 shared = len(p & q)
                 keep.append(100 * shared >= percent * (len(p) + len(q) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -270,6 +270,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     and yet no plausible pair of different components goes untested. Pairs are pruned by the posterior of their
     signatures, and every link is verified on the full texts.
     """
+    bounded_batches(df.sparkSession)
     threshold = percent / 100
     docs = stash(sketch(df, key, text, size), "minhash-sketch")
     real = docs.where(F.col("key").isNotNull() & (F.col("n_shingles") > 0))

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, stash
+from .common import bounded_batches, gapless_rank, stash
 from .tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -94,6 +94,7 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | Non
     of its length, which is numbered in slices so that a common length is no single task. Null keys are kept, repeated
     rows packed each, null and empty texts are one end id. An empty table gives no spans.
     """
+    bounded_batches(df.sparkSession)
     cut = stash(pieces(df, key, text, path or tokenizer_path(), capacity), "pack-pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     patterns = plan(counts, capacity)

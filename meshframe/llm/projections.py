@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, stash, width
+from .common import bounded_batches, components, stash, width
 from .substrings import _mix
 
 #: Chance that a pair at the threshold meets in no table, and that its count stays below the calibrated one.
@@ -168,6 +168,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     table where it meets, so that links are numbers per class and a spanning forest, not rows per pair. A large cell is
     cut in blocks, each two of which are a piece of work of bounded size.
     """
+    bounded_batches(df.sparkSession)
     vectors = stash(_packed(df, key, vector), "vectors")
     real = vectors.where(F.col("key").isNotNull() & F.col("raw").isNotNull())
     classes = stash(real.groupBy("raw").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("times")), "vector-classes")

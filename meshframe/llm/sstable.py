@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, stash
+from .common import bounded_batches, fresh_path, stash
 from .files import committed, open_fs
 from .ranges import range_shards
 from .tokens import encoder, tokenizer_path
@@ -180,6 +180,7 @@ def write_tables(df: DataFrame, folder: str, key: str = "doc_id", text: str = "t
     not depend on how the input lay. Null keys come first, repeated keys follow each other, null texts are empty. A task
     holds one slice of texts and one block. Files get their names when whole; the manifest, written last, is the commit.
     """
+    bounded_batches(df.sparkSession)
     spark, path = df.sparkSession, path or tokenizer_path()
     rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     shard_of, n = range_shards(rows, "key", F.coalesce(F.octet_length("text"), F.lit(0)) + 16, target)

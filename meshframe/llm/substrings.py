@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, stash, width
+from .common import WORD, bounded_batches, stash, width
 
 K, M = 35, 4
 #: Characters of text that a task looks at together, and text of super-k-mers that a bucket is laid out for.
@@ -362,6 +362,7 @@ def remove_repeats(df: DataFrame, text: str = "text", k: int = K, m: int = M) ->
     hash of all their columns, so repeated or null ids do no harm; equal rows are repeats of each other and lose alike.
     Columns of ``df`` with the names of results are replaced.
     """
+    bounded_batches(df.sparkSession)
     base = df.drop("n_words", "n_removed", "kept_text", "__key", "__ranges")
     keyed = base.withColumn("__key", F.xxhash64(*[F.col(c) for c in base.columns]))
     found = repeated_windows(keyed.select("__key", text), k, m)

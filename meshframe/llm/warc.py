@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .common import bounded_batches, fresh_path
 from .files import committed, open_fs
 from .ranges import range_shards
 
@@ -74,6 +74,7 @@ def write_warc(df: DataFrame, folder: str, key: str = "page_id", url: str = "url
     size. Null html is an empty payload; null keys come first and are responses only if no other key has the payload.
     Further columns are ignored; an empty table gives a manifest without files.
     """
+    bounded_batches(df.sparkSession)
     spark = df.sparkSession
     pages = df.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
     size = F.octet_length("html")

@@ -111,5 +111,5 @@ def test_odd_inputs(spark, name):
     rows = out.collect()
     if name != "packing":
         assert out.columns == df.columns and all(r[c] == f"own {c}" for r in rows for c in clashing)
-    assert len(rows) == {"quality": 3, "near_dedup": 4, "substring_dedup": 2, "packing": 5}.get(name, len(rows))
+    assert len(rows) == {"quality": 3, "near_dedup": 4, "substring_dedup": 3, "packing": 5}.get(name, len(rows))
     assert stage(name)(spark, df.limit(0), "").count() == 0
