@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 from .validity import in_bins
 from .windows import field_of
 
-#: Slices that a numbering over all rows is made of.
-SLICES = 256
-
 
 def shuffle_key(key: str, seed: int) -> Column:
     """A text that orders rows at random, the same in every engine that has md5."""
@@ -23,11 +20,11 @@ def shuffle_key(key: str, seed: int) -> Column:
 def numbered(df: DataFrame, order: Sequence[Column], out: str = "row") -> DataFrame:
     """Rows numbered from 0 in the order of ``order``, whose first column is text from ``shuffle_key``.
 
-    The first two digits of the text deal rows into ordered slices; slices are counted and rows numbered inside, so that
+    The first three digits of the text deal rows into 4096 ordered slices; slices are counted and rows numbered inside, so that
     no task sorts all of them.
     """
     text = order[0]
-    sliced = df.withColumn("__s", F.substring(text, 1, 2))
+    sliced = df.withColumn("__s", F.substring(text, 1, 3))
     counts = sliced.groupBy("__s").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("__s", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
@@ -85,7 +82,7 @@ def stratified(df: DataFrame, key: str, filters: Sequence[Mapping[str, tuple[flo
     """
     tags = F.array_compact(F.array(*[F.when(in_bins(f), F.lit(i)) for i, f in enumerate(filters)]))
     tagged = df.withColumn("config", F.explode(tags))
-    sliced = tagged.withColumn("__s", F.substring(shuffle_key(key, seed), 1, 2))
+    sliced = tagged.withColumn("__s", F.substring(shuffle_key(key, seed), 1, 3))
     counts = sliced.groupBy("config", "__s").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("config").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")

@@ -156,6 +156,17 @@ def match_anchor(sources: Sequence[Points], allow_empty: bool = False) -> DataFr
     return out
 
 
+def sampled(matches: DataFrame, n: int, seed: int = 0, by: Sequence[str] = ()) -> DataFrame:
+    """n random matches, or n for each group of ``by`` (blocks of a first source, say); a hash of the keys is the order.
+
+    Without groups it is a top-n, of which each task keeps n rows at most."""
+    order = F.md5(F.concat(*[F.coalesce(F.to_json(F.struct(c)), F.lit("-")) for c in matches.columns if c not in by], F.lit(f"_{seed}")))
+    if not by:
+        return matches.withColumn("__o", order).orderBy("__o").limit(n).drop("__o")
+    w = Window.partitionBy(*by).orderBy("__o")
+    return matches.withColumn("__o", order).withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= n).drop("__o", "__r")
+
+
 def implode(matches: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The inverse of exploding: from the last column to the first, rows equal in all others become one with a list."""
     columns = list(columns or matches.columns)

@@ -15,6 +15,7 @@ from .functions import scalar as X
 from .functions.transforms import Transform
 from .operators import archive, batching, halo, matching, regions, stats, validity, windows
 from .plans.graph import Graph, Node, recurrence
+from .plans.gridded import GriddedRun
 from .sources.grid import Source, cell_valid, is_valid
 from .streaming import incremental
 
@@ -407,6 +408,13 @@ def implode_matches(spark, sf_dir):
     return m.select(text("k0").alias("a"), text("k1").alias("b"))
 
 
+@query("match_sampled", f"WITH {AB}, m AS (SELECT hourly.t AS a, b.t AS b FROM hourly JOIN b ON abs(hourly.t - b.t) <= 1.5 + 1e-5) SELECT a, b FROM (SELECT a, b, row_number() OVER (PARTITION BY b ORDER BY md5(concat('{{\"a\":', CAST(CAST(a AS BIGINT) AS VARCHAR), '}}_5'))) AS r FROM m) WHERE r <= 2")
+def match_sampled(spark, sf_dir):
+    m = keys(matching.match([pts(s) for s in three(spark, sf_dir)[:2]]), "a", "b")
+    out = matching.sampled(m.select(F.col("a").cast("long").alias("a"), "b"), 2, seed=5, by=["b"])
+    return out.select(F.col("a").cast("double").alias("a"), "b")
+
+
 def _axis(spark) -> DataFrame:
     return spark.range(12).select((F.col("id") * 40.0 + 5).alias("c"), F.col("id").alias("idx"))
 
@@ -470,6 +478,30 @@ def sample_mean_coordinate(spark, sf_dir):
     return sel.mean_coordinates(df)
 
 
+def _last_total(spark, sf_dir, **kw) -> GriddedRun:
+    a = Source("hours", hourly(spark, sf_dir).drop("h"), ["t"], match_radius={"t": 0.5}, window={"t": (2, 0)}, valid_percent={"t": 1.0})
+    return GriddedRun([a, kind_source(spark, sf_dir, 3, "error", 1.5)], ["n", "error__m"], {"t": ("t@0", True)}, **kw)
+
+
+GRIDDED = f"WITH {SAMPLES} SELECT a AS t, CAST((SELECT sum(n) FROM ix o WHERE o.i BETWEEN p.i - 2 AND p.i) * 2 + m AS DOUBLE) AS y FROM pairs p"
+
+
+@query("gridded_graph", GRIDDED)
+def gridded_graph(spark, sf_dir):
+    def net(c):
+        return {"y": (F.aggregate(c["n"], F.lit(0).cast("long"), lambda a, x: a + x) * 2 + F.get(c["error__m"], F.lit(0))).cast("double")}
+
+    return _last_total(spark, sf_dir, graph=net).predictions()
+
+
+@query("gridded_model", GRIDDED)
+def gridded_model(spark, sf_dir):
+    def model():
+        return lambda pdf: pdf.assign(y=[float(sum(n) * 2 + m[0]) for n, m in zip(pdf["n"], pdf["error__m"], strict=True)])[["t", "y"]]
+
+    return _last_total(spark, sf_dir, model=model, outputs="y double").predictions()
+
+
 # 2.4 aggregations
 
 

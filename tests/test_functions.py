@@ -385,6 +385,34 @@ def test_stream_into_archive(spark, tmp_path):
     assert {r.x: r.v for r in a.read().collect()} == pytest.approx(want) and a.generation() == 2
 
 
+def test_gridded_runs(spark, tmp_path):
+    """Predictions of matched windows reach their cells; extents one after another give what all at once gives."""
+    import itertools as it
+
+    from meshframe.plans.gridded import GriddedRun, cast
+
+    a = Source("a", synthetic(spark, {"t": range(12), "y": range(5)}), ["t", "y"], window={"t": (2, 0), "y": 1}, valid_percent={("t", "y"): 1.0})
+    b = Source("b", synthetic(spark, {"y": [0, 1, 2, 3, 4]}), ["y"])
+    run = GriddedRun([a, b], ["var_0@0", "var_0@1"], {"t": ("t", True), "y": ("y", False)}, graph=lambda c: {"v": F.element_at(c["var_0@0"], -1) + F.get(c["var_0@1"], F.lit(0))}, after={"v": lambda c: c / 2})
+    want = {(float(t), float(y)): ((t * 5 + y + 1) + y) / 2 for t, y in it.product(range(2, 12), range(1, 4))}
+    assert {(r.t, r.y): r.v for r in run.predictions().collect()} == want
+    axes = {"t": axis(spark, range(12), "t"), "y": axis(spark, range(5), "y")}
+    whole, parts = (archive.Archive(spark, str(tmp_path / n), axes, ["v"]) for n in ("whole", "parts"))
+    assert cast(run, whole) and cast(run, parts, [{"t": (0, 6)}, {"t": (5, 11)}])
+    assert {(r.t, r.y): r.v for r in whole.read().collect()} == want == {(r.t, r.y): r.v for r in parts.read().collect()}
+    assert not cast(run, whole, [{"t": (0,)}])
+
+
+def test_config(tmp_path):
+    from meshframe.sources.config import Config
+
+    c = Config(tmp_path / "c.yml")
+    c.a = 1
+    c.update(b=[1, 2]).save()
+    again = Config(tmp_path / "c.yml")
+    assert again.a == 1 and again.b == [1, 2] and again.other is None
+
+
 def test_late_events_close_windows(spark, tmp_path):
     from datetime import datetime, timedelta
 
