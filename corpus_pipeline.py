@@ -41,7 +41,7 @@ def _back(frame: DataFrame, docs: DataFrame, text: str | None = None) -> DataFra
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without the lines that fail."""
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cleaned", "kept"]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "cleaned", "kept", "__words"]
     return _back(measure(_aside(docs, names)).where("kept"), docs, "cleaned")
 
 
