@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Iterator, Sequence
@@ -10,14 +11,15 @@ from itertools import chain, islice
 
 import numpy as np
 
+from .substrings import Slice
+
 #: The id that ends a document (query contract).
 END_ID = 1
 #: Characters encoded at once, and words and pieces kept; both bound a worker's memory.
-SLICE_CHARS, KEPT_WORDS, KEPT_PIECES = 1 << 20, 400_000, 250_000
+SLICE_CHARS, KEPT_WORDS, KEPT_PIECES = 3 << 20, 400_000, 250_000
 #: Pieces that are encoded as one text.
 JOINED = 256
 
-_CHUNK = re.compile(r"[^\x20\x09-\x0D]+")
 #: Texts with other characters, or with the opening of a special token, are encoded chunk by chunk.
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*")
 #: The pre-tokenizer's split for plain, lower-cased text: endings, letters, one digit, or other marks.
@@ -33,7 +35,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 class _Rows(dict):
     """Row numbers of strings; a new string gets the next one when it is first asked for."""
 
-    def __missing__(self, key: str) -> int:
+    def __missing__(self, key: str | bytes) -> int:
         self[key] = n = len(self)
         return n
 
@@ -62,7 +64,7 @@ class _Table:
         self.seen[: len(keep)], self.seen[len(keep) :] = seen[keep] // 2 + 1, 0
         self.fill(ids, lengths)
 
-    def ask(self, keys: Sequence[str]) -> tuple[np.ndarray, list[str]]:
+    def ask(self, keys: Sequence) -> tuple[np.ndarray, list]:
         """(row of each key, the keys that are new and must be filled in this order)."""
         before = len(self.rows)
         rows = np.fromiter(map(self.rows.__getitem__, keys), np.int64, len(keys))
@@ -113,6 +115,10 @@ class ChunkEncoder:
         suffix = spec["model"].get("end_of_word_suffix")
         split = [p.get("pattern", {}).get("Regex") for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
         self.pieced = bool(suffix) and r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in split
+        # pieces are lower-cased and split already: the same model behind a split at spaces alone gives the same ids
+        spec["normalizer"] = None
+        spec["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *[p for p in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "ByteLevel"]]}
+        self.joiner = Tokenizer.from_str(json.dumps(spec)) if self.pieced else None
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, i in self.tokenizer.get_vocab().items():
             self.ends[i] = bool(suffix) and token.endswith(suffix)
@@ -126,21 +132,24 @@ class ChunkEncoder:
     def _joined(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
         texts = [" ".join(new[i : i + JOINED]) for i in range(0, len(new), JOINED)]
         found = []
-        for i, e in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+        for i, e in enumerate(self.joiner.encode_batch_fast(texts, add_special_tokens=False)):
             some, ids = new[i * JOINED : (i + 1) * JOINED], np.array(e.ids, np.uint32)
             at = np.flatnonzero(self.ends[ids]) + 1
             found.append((ids, np.diff(at, prepend=0)) if len(at) == len(some) and at[-1] == len(ids) else self._each(some))
         return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
-    def _rows(self, words: list[str], plain: bool) -> np.ndarray:
+    def _rows(self, words: list[bytes], plain: bool) -> np.ndarray:
         """Rows of the words in the table, new ones encoded."""
         self.words.trim(KEPT_WORDS)
         rows, new = self.words.ask(words)
-        if new and not (plain and self.pieced):
-            self.words.fill(*self._each(new))
-        elif new:
+        if not new:
+            return rows
+        said = [w.decode("utf-8", "surrogatepass") for w in new]
+        if not (plain and self.pieced):
+            self.words.fill(*self._each(said))
+        else:
             self.pieces.trim(KEPT_PIECES)
-            cut = [_PIECE.findall(w.lower()) for w in new]
+            cut = [[w] if w.isalpha() else _PIECE.findall(w) for w in map(str.lower, said)]
             parts, unknown = self.pieces.ask(list(chain.from_iterable(cut)))
             if unknown:
                 self.pieces.fill(*self._joined(unknown))
@@ -150,21 +159,29 @@ class ChunkEncoder:
         return rows
 
     def encode(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
-        """uint32 ids of each text, END_ID last; null is an empty text."""
+        """uint32 ids of each text, END_ID last; null is an empty text.
+
+        Equal words of a slice are found by a 64-bit hash, so that each is looked up once."""
         at = 0
         while at < len(texts):
-            chars, end, words = 0, at, []
+            chars, end, some = 0, at, []
             plain = self._plain(texts[at])
             while end < len(texts) and (end == at or chars + len(texts[end] or "") <= SLICE_CHARS) and self._plain(texts[end]) == plain:
-                text = texts[end] or ""
-                words.append(text.split() if plain else _CHUNK.findall(text))
-                chars += len(text)
+                some.append(texts[end] or "")
+                chars += len(some[-1])
                 end += 1
-            flat = list(chain.from_iterable(words))
-            rows = self._rows(flat, plain)  # may trim the table
+            part = Slice([], [t.encode("utf-8", "surrogatepass") for t in some])
+            _, first, of = np.unique(part.hashes, return_index=True, return_inverse=True)
+            distinct = [part.data[x:y] for x, y in zip(part.starts[first].tolist(), part.ends[first].tolist(), strict=True)]
+            collects = gc.isenabled()
+            gc.disable()  # the lists made here hold no cycles; a collection would walk all of them
+            try:
+                rows = self._rows(distinct, plain)[of]  # may trim the table
+            finally:
+                if collects:
+                    gc.enable()
             ids, lengths = self.words.ids(rows)
-            ends = np.concatenate([[0], np.cumsum(lengths)])
-            cuts = ends[np.cumsum([0, *map(len, words)])]
+            cuts = np.concatenate([[0], np.cumsum(lengths)])[part.docs]
             out = np.insert(ids, cuts[1:], np.uint32(END_ID))
             cuts = cuts + np.arange(len(cuts))
             for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
