@@ -160,7 +160,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 
     Two rows link if the cosine of their vectors, in double precision, is ``cosine`` or more. Null, empty, zero and
     non-finite vectors, such with null components and rows with a null key link with nothing; vectors of different
-    dimensions do not link. component_id is the smallest key reachable (null for a null key, which is kept), n_links the
+    dimensions do not link, and each dimension has a plan of its own. component_id is the smallest key reachable (null for a null key, which is kept), n_links the
     other rows linked directly. Links below the threshold never come; one at the threshold is missed with about 1e-5,
     nearer ones with less. An empty table gives none.
 
@@ -172,9 +172,10 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     vectors = stash(_packed(df, key, vector), "vectors")
     real = vectors.where(F.col("key").isNotNull() & F.col("raw").isNotNull())
     classes = stash(real.groupBy("raw").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("times")), "vector-classes")
-    facts = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.octet_length("raw")).alias("size")).first()
-    plan = calibrate(facts["n"], max(1, (facts["size"] or 8) // 8), cosine)
-    block = max(BLOCK, -(-facts["n"] * plan.tables // MAX_LARGE))
+    by_dim = classes.groupBy((F.octet_length("raw") / 8).cast("int").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    dims = {r["dim"]: r["n"] for r in by_dim.where("n > 1").collect()}  # a class alone in its dimension links with no other
+    plans = {dim: calibrate(n, dim, cosine) for dim, n in dims.items()}
+    block = max(BLOCK, -(-sum(n * plans[dim].tables for dim, n in dims.items()) // MAX_LARGE))
 
     def file(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -182,7 +183,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         for batch in batches:
             raws = batch.column(0).to_pylist()
             for _, v in _vectors(raws):
-                yield pa.RecordBatch.from_arrays([pa.array(cells(_unit(v), plan).view(np.int64).ravel())], ["cell"])
+                if plan := plans.get(v.shape[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array(cells(_unit(v), plan).view(np.int64).ravel())], ["cell"])
 
     sizes = classes.select("raw").mapInArrow(file, "cell long").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
     large = {r["cell"]: -(-r["n"] // block) for r in sizes.collect()}
@@ -196,7 +198,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             large, raws = sent.value, batch.column(0).to_pylist()
             reps, times = np.asarray(batch.column(1)), np.asarray(batch.column(2))
             for at, v in _vectors(raws):
-                for lo in range(0, len(at), 512):
+                plan = plans.get(v.shape[1])
+                for lo in range(0, len(at) if plan else 0, 512):
                     some = at[lo : lo + 512]
                     c = cells(_unit(v[lo : lo + 512]), plan)
                     row = np.repeat(np.arange(len(some)), plan.tables)
@@ -231,7 +234,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             raws = table["raw"].to_pylist()
             links, edges = np.zeros(len(reps), np.int64), []
             for at, v in _vectors(raws):
-                unit = _unit(v)
+                plan, unit = plans[v.shape[1]], _unit(v)
                 cell = cells(unit, plan)
                 near = unit.astype(np.float32) @ rotation(unit.shape[1], 0)
                 w, t, s, r, m = work[at], tab[at], sides[at], reps[at], times[at]

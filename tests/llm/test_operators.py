@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import sys
 import zlib
@@ -97,6 +98,21 @@ def test_vectors(spark, monkeypatch):
     assert sorted(map(tuple, projections.near_duplicates(df).collect())) == want
 
 
+def test_vectors_of_several_dimensions(spark):
+    """Short vectors link beside long ones, near pairs and parallel ones, and a stray long one changes nothing."""
+    rng, out = np.random.default_rng(8), []
+    for dim in (2, 8, 24, 32, 64):
+        for _ in range(30):
+            x, z = rng.standard_normal((2, dim))
+            z -= z @ x / (x @ x) * x
+            c = rng.uniform(0.905, 0.99)
+            out += [x, c * x / np.linalg.norm(x) + math.sqrt(1 - c * c) * z / np.linalg.norm(z), 3 * x]
+    out += [rng.standard_normal(768), np.array([3.0])]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(out)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, projections.near_duplicates(df).collect())) == brute_vectors(rows)
+
+
 def test_vectors_ties_and_nothing(spark):
     df = spark.createDataFrame([(5, [1.0, 0.0]), (5, [1.0, 0.0]), (7, [1.0, 0.0]), (None, [1.0, 0.0]), (8, None)], "vec_id long, embedding array<float>")
     out = sorted(map(tuple, projections.near_duplicates(df).collect()), key=str)
