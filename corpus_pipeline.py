@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from meshframe.llm.common import n_words, stash
-from meshframe.llm.minhash import near_duplicates
+from meshframe.llm.minhash import BROADCAST_IDS, near_duplicates
 from meshframe.llm.mixing import mix
 from meshframe.llm.packing import pack
 from meshframe.llm.quality import measure
@@ -46,12 +46,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the least id, of each group of near duplicates (five words, 0.8)."""
-    kept = near_duplicates(docs.select("doc_id", "text")).where("kept and doc_id is not null").select("doc_id").distinct()
-    own = _aside(docs, ["__nth"])
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    real = own.where("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("__nth", first).where("__nth = 1").drop("__nth")
-    return _back(real.select(*own.columns).unionByName(own.where("doc_id is null")), docs)
+    """One row of each group of near duplicates (five words, 0.8), whatever its id: that with the least id.
+
+    A row is told apart by a hash of id and text. All rows are compared, so rows that share an id stay unless their texts
+    are alike. A group with and without ids keeps one row of each kind; rows without words link with nothing and stay.
+    """
+    own = _aside(docs, ["__key", "__nth"]).withColumn("__key", F.xxhash64("doc_id", "text"))
+    keys = stash(own.groupBy("__key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")), "pipeline-keys")
+    again = keys.where("n > 1").select("__key")
+    repeated = again.count()
+    texts = own.select("__key", "text")
+    if repeated:  # equal rows are compared once; few of them are broadcast, so that none is gathered in one task
+        again = F.broadcast(again) if repeated <= BROADCAST_IDS else again
+        texts = texts.join(again, "__key", "left_anti").unionByName(texts.join(again, "__key", "left_semi").dropDuplicates())
+    found = near_duplicates(texts, "__key").join(keys, "__key")
+    least = found.where("n_shingles > 0").groupBy("component_id", F.col("doc_id").isNull().alias("no_id")).agg(F.min(F.struct("doc_id", "__key", "n")).alias("least"))
+    blank = found.where("n_shingles = 0").select("__key", F.lit(1).cast("long").alias("n"))
+    kept = stash(least.select("least.__key", "least.n").unionByName(blank), "pipeline-kept")
+    out = own.join(kept.where("n = 1"), "__key", "left_semi")
+    if repeated:
+        several = kept.where("n > 1")
+        several = F.broadcast(several) if repeated <= BROADCAST_IDS else several
+        first = F.row_number().over(Window.partitionBy("__key").orderBy(F.xxhash64(*own.columns)))
+        out = out.unionByName(own.join(several, "__key", "left_semi").withColumn("__nth", first).where("__nth = 1").drop("__nth"))
+    return _back(out, docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

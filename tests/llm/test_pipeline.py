@@ -70,6 +70,17 @@ def test_near_dedup(spark, docs):
     assert pairs(stage("near_dedup")(spark, docs, "")) == [p for p in pairs(docs) if p[0] in want]
 
 
+def test_near_dedup_drops_only_what_is_alike(spark):
+    """Shared ids, null texts under an id and rows without an id: only copies and near copies go."""
+    rng = random.Random(4)
+    a, b, c, d, e = (ops.prose(rng, 60, 5000) for _ in range(5))
+    rows = [(1, a), (1, b), (1, None), (2, None), (2, c), (3, a + " more"), (3, d), (3, d), (None, e), (None, e), (None, e + " more"), (None, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], ops.DOCS)
+    kept = pairs(stage("near_dedup")(spark, df, ""))
+    assert sum(i is None and (t or "").startswith(e) for i, t in kept) == 1
+    assert [p for p in kept if not (p[0] is None and p[1])] == sorted([(1, a), (1, b), (1, None), (2, None), (2, c), (3, d), (None, "")], key=str)
+
+
 def test_substring_dedup(spark, docs):
     want = []
     for (i, n, gone, kept), (_, t) in zip(brute.repeats(pairs(docs), 35), pairs(docs), strict=True):
