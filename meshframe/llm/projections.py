@@ -165,7 +165,9 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     nearer ones with less. An empty table gives none.
 
     Equal vectors are one class with a multiplicity. A class is filed in every table; a pair is counted in the first
-    table where it meets, so that links are numbers per class and a spanning forest, not rows per pair. A large cell is
+    table where it meets, so that links are numbers per class and a spanning forest, not rows per pair; for that, a row
+    carries 32 bits of its cell in each table before, as products computed again may round otherwise (two cells look
+    equal with about 1e-7 over all tables, and then a pair is missed). A large cell is
     cut in blocks, each two of which are a piece of work of bounded size.
     """
     bounded_batches(df.sparkSession)
@@ -193,7 +195,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     def deal(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        names = ["work", "tab", "side", "rep", "times", "raw"]
+        names = ["work", "tab", "side", "rep", "times", "raw", "before"]
         for batch in batches:
             large, raws = sent.value, batch.column(0).to_pylist()
             reps, times = np.asarray(batch.column(1)), np.asarray(batch.column(2))
@@ -219,9 +221,11 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
                             work = np.concatenate([work, pieces[others]])
                             side = np.concatenate([side, np.array([1 if own < o else 2 for o in others], np.int8)])
                     which = some[row]
-                    yield pa.RecordBatch.from_arrays([pa.array(work), pa.array(tab.astype(np.int32)), pa.array(side.astype(np.int32)), pa.array(reps[which]), pa.array(times[which]), pa.array([raws[i] for i in which], pa.binary())], names)
+                    marks = [x.tobytes() for x in c.astype("<u4")]
+                    before = [marks[i][: 4 * t] for i, t in zip(row.tolist(), tab.tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(work), pa.array(tab.astype(np.int32)), pa.array(side.astype(np.int32)), pa.array(reps[which]), pa.array(times[which]), pa.array([raws[i] for i in which], pa.binary()), pa.array(before, pa.binary())], names)
 
-    dealt = classes.select("raw", "rep", "times").mapInArrow(deal, "work long, tab int, side int, rep long, times long, raw binary")
+    dealt = classes.select("raw", "rep", "times").mapInArrow(deal, "work long, tab int, side int, rep long, times long, raw binary, before binary")
     dealt = dealt.repartition(width(df.sparkSession), "work").sortWithinPartitions("work")
 
     def count(batches: Iterator) -> Iterator:
@@ -231,13 +235,14 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
             """All whole groups of a sorted table."""
             work, tab = np.asarray(table["work"]), np.asarray(table["tab"])
             sides, reps, times = np.asarray(table["side"]), np.asarray(table["rep"]), np.asarray(table["times"])
-            raws = table["raw"].to_pylist()
+            raws, before = table["raw"].to_pylist(), table["before"].to_pylist()
             links, edges = np.zeros(len(reps), np.int64), []
             for at, v in _vectors(raws):
                 plan, unit = plans[v.shape[1]], _unit(v)
-                cell = cells(unit, plan)
                 near = unit.astype(np.float32) @ rotation(unit.shape[1], 0)
                 w, t, s, r, m = work[at], tab[at], sides[at], reps[at], times[at]
+                cell = np.zeros((len(at), plan.tables), np.uint32)
+                cell[np.arange(plan.tables) < t[:, None]] = np.frombuffer(b"".join([before[i] for i in at]), "<u4")
                 first = np.concatenate([[0], np.flatnonzero(w[1:] != w[:-1]) + 1])
                 size = np.diff(np.concatenate([first, [len(w)]]))
                 local = np.zeros(len(at), np.int64)
