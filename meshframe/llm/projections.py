@@ -1,8 +1,8 @@
 """Embedding near-dedup by collision-counting projections.
 
-Every vector lies on many one-dimensional projections. Groups of projections (the axes of random rotations) are tables; a
-vector is filed under the ends of the sorted projections where it lies furthest out, so that only vectors which are near
-on those meet in a cell. There, the pairs of a cell are counted: on how many projections does one lie in the window
+Every vector lies on many one-dimensional projections, the axes of random rotations. No projection is sorted: at cosine 0.9
+the window around a vector holds about a quarter of all rows on any projection, which is quadratic. Candidates come from
+cross-polytope hashing instead: a table files a vector under the axes, and their sides, where it lies furthest out. There, the pairs of a cell are counted: on how many projections does one lie in the window
 centred on the other. Pairs whose count reaches the number calibrated for recall at the threshold are verified exactly.
 """
 
