@@ -4,8 +4,8 @@ A window is ``k`` consecutive words. Of its m-word grams the one with the least
 is its minimiser; consecutive windows with one minimiser occurrence are a super-k-mer and travel as one packed string.
 Equal windows have equal minimisers, so they meet in one bucket.
 
-Frequent grams are counted over the whole table first. A window with a rare gram goes by a rare gram, which by
-definition occurs in few places, so no bucket is hot; a window of frequent grams alone lies inside a repeated passage,
+Frequent grams are counted over the whole table first. A window with a rare gram goes by a rare gram, which
+occurs in few places unless it is spread thinly over very many slices (see frequent_grams); a window of frequent grams alone lies inside a repeated passage,
 and each slice of the input sends such a window once: what repeats inside the slice is settled there.
 """
 
@@ -234,7 +234,8 @@ def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def frequent_grams(keyed: DataFrame, k: int = K, m: int = M) -> tuple[np.ndarray, int]:
     """(sorted hashes of the frequent grams, buckets) for a table of (key, text).
 
-    Counts come from every text. At most words / threshold grams are frequent, some 60 for each bucket, so their
+    Counts come from every text, but a slice does not report a gram that it holds fewer than LEAST_LOCAL times: one that is
+    spread thinly over very many slices is taken for rare, and its bucket grows with their number. At most words / threshold grams are frequent, some 60 for each bucket, so their
     number is bounded by that of the buckets.
     """
 
