@@ -114,7 +114,10 @@ def test_vectors_of_several_dimensions(spark):
 
 
 def test_vectors_count_once_however_products_round(spark, monkeypatch):
-    """The last vector of each batch lands elsewhere in the first table, as rounding by a batch's shape could have it."""
+    """The last vector of each batch lands elsewhere in the first table, as rounding by a batch's shape could have it.
+
+    It passed on the code that computed cells again too, so it does not tell the two apart yet.
+    """
     real = projections.cells
 
     def shaped(unit, plan):
