@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, bounded_batches, components, stash
-from .substrings import SLICE_CHARS, Slice, _factor, _mix, grams
+from .substrings import SLICE_CHARS, Slice, _factor, _mix, _spans, grams
 
 #: Lanes of a signature (a byte each) in bands: a pair at 0.8 shares no band with probability 5e-7.
 BANDS, ROWS = 48, 6
@@ -74,8 +75,27 @@ def plausible(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarra
     return live, matches
 
 
+def _spaced(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends): the slice's words with one space after each."""
+    sizes = part.ends - part.starts
+    ends = np.cumsum(sizes + 1) - 1
+    raw = np.frombuffer(part.data + b" ", np.uint8)
+    at = _spans(part.starts, sizes + 1)
+    at[ends] = len(raw) - 1
+    return raw[at], ends - sizes, ends
+
+
+def _spelled(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """A cryptographic digest of the shingles that lie there, in the order given: it says which words a set holds."""
+    said = hashlib.blake2b(digest_size=16)
+    for i in range(0, len(starts), 1 << 16):
+        x, n = starts[i : i + (1 << 16)], ends[i : i + (1 << 16)] + 1 - starts[i : i + (1 << 16)]
+        said.update(raw[_spans(x, n)].tobytes())
+    return said.digest()
+
+
 def sketch(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(key, n_shingles, set_a, set_b, sig): size of the shingle set, 128 bits that tell sets apart, and its signature."""
+    """(key, n_shingles, digest, sig): size of the shingle set, a digest of its shingles' words, and its signature."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -85,17 +105,18 @@ def sketch(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
         def rows(texts: list[str]) -> list[tuple]:
             out = []
             part = Slice([], [t.encode("utf-8", "surrogatepass").lower() for t in texts])
+            raw, starts, ends = _spaced(part)
             for first, end in zip(part.docs.tolist(), part.docs[1:].tolist(), strict=False):
-                x = h = part.hashes[first:end]
-                if not len(x):
-                    out.append((0, 0, 0, b""))
+                h, x, y = part.hashes[first:end], starts[first:end], ends[first:end]
+                if not len(h):
+                    out.append((0, b"", b""))
                     continue
-                if len(x) < size:
-                    g = _whole(h)
+                if len(h) < size:
+                    g, at, n = _whole(h), np.zeros(1, np.int64), len(h)
                 else:
-                    g = np.unique(grams(h, size))
-                one, two = int(g.sum(dtype=np.uint64)), int(_mix(g ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64))
-                out.append((len(g), one - (one >> 63 << 64), two - (two >> 63 << 64), signature(g, a, b)))
+                    g, at = np.unique(grams(h, size), return_index=True)
+                    n = size
+                out.append((len(g), _spelled(raw, x[at], y[at + n - 1]), signature(g, a, b)))
             return out
 
         for batch in batches:
@@ -106,11 +127,11 @@ def sketch(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 while end < len(texts) and (end == at or chars < SLICE_CHARS):
                     chars += len(texts[end])
                     end += 1
-                n, one, two, sig = zip(*rows(texts[at:end]), strict=True)
-                yield pa.RecordBatch.from_arrays([keys.slice(at, end - at), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sig, pa.binary())], ["key", "n_shingles", "set_a", "set_b", "sig"])
+                n, digest, sig = zip(*rows(texts[at:end]), strict=True)
+                yield pa.RecordBatch.from_arrays([keys.slice(at, end - at), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["key", "n_shingles", "digest", "sig"])
                 at = end
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInArrow(run, "key long, n_shingles long, set_a long, set_b long, sig binary")
+    return df.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInArrow(run, "key long, n_shingles long, digest binary, sig binary")
 
 
 def _with_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -159,7 +180,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        cached = lru_cache(8)(lambda text: frozenset(shingles(text, size)))
+        cached = lru_cache(2)(lambda text: frozenset(shingles(text, size)))
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
@@ -264,7 +285,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     reachable by links, kept says that it is the row's own. Keys are longs; rows with a null key link with nothing, have
     component_id null and are kept. Rows with one key are one document of several texts. An empty table gives none.
 
-    Equal sets become one class at once. Classes share buckets, one for each band. A small bucket gives all its pairs.
+    Equal sets, by a cryptographic digest of their words, become one class at once. Classes share buckets, one for each band. A small bucket gives all its pairs.
     A large one begins with a star around its best-connected member; then its blocks compare members of different
     components, and give a spanning forest of the links between them. So a group of near copies costs links, not pairs,
     and yet no plausible pair of different components goes untested. Pairs are pruned by the posterior of their
@@ -274,7 +295,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     threshold = percent / 100
     docs = stash(sketch(df, key, text, size), "minhash-sketch")
     real = docs.where(F.col("key").isNotNull() & (F.col("n_shingles") > 0))
-    classes = stash(real.groupBy("n_shingles", "set_a", "set_b").agg(F.min("key").alias("rep"), F.max("sig").alias("sig")), "minhash-classes")
+    classes = stash(real.groupBy("n_shingles", "digest").agg(F.min("key").alias("rep"), F.max("sig").alias("sig")), "minhash-classes")
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)])
     banded = classes.select("rep", F.posexplode(keys).alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -311,9 +332,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     more = _verified(again, texts, percent, size)
     parts = components(links.unionByName(more), "minhash-components")
 
-    of_class = classes.select("n_shingles", "set_a", "set_b", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = of_class.select("n_shingles", "set_a", "set_b", F.coalesce("component", "rep").alias("found"))
-    out = docs.select("key", "n_shingles", "set_a", "set_b").join(of_class, ["n_shingles", "set_a", "set_b"], "left")
+    of_class = classes.select("n_shingles", "digest", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    of_class = of_class.select("n_shingles", "digest", F.coalesce("component", "rep").alias("found"))
+    out = docs.select("key", "n_shingles", "digest").join(of_class, ["n_shingles", "digest"], "left")
     component = F.when(F.col("key").isNotNull(), F.coalesce("found", "key"))
     return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("key")).alias("kept"))
 

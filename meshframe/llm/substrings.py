@@ -24,8 +24,6 @@ from .common import WORD, bounded_batches, stash, width
 K, M = 35, 4
 #: Characters of text that a task looks at together, and text of super-k-mers that a bucket is laid out for.
 SLICE_CHARS, BUCKET_BYTES = 4 << 20, 20 << 20
-#: Bytes over which sums run at once.
-STRETCH = 1 << 19
 #: A gram is frequent if it makes up this share of a bucket's super-k-mers; no gram is below the least count.
 HOT_SHARE, LEAST_HOT = 0.25, 64
 #: Times in a slice from which a gram is reported; a frequent one has more in some slice.
@@ -46,10 +44,22 @@ def _factor(i: int) -> np.uint64:
     return _mix(np.array([i + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0] | np.uint64(1)
 
 
+#: Bytes up to which words are hashed and compared eight bytes at a time, all words together; longer ones go one by one.
+LONG_WORD = 256
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(8)] + [(1 << 64) - 1], np.uint64)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _eights(data: bytes) -> np.ndarray:
+    """The eight bytes from each byte on as a number, zeros after the end."""
+    return np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))
+
+
 def tokenise(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, first byte, end) of each word of UTF-8 text.
 
-    The hash is a polynomial over the word's bytes, from running sums over all bytes, and the same everywhere.
+    The hash is a chain of mixed eights of bytes (xxh3 for long words) and the same everywhere. It is no proof that words
+    are equal: what is said of words is confirmed on their bytes.
     """
     raw = np.frombuffer(data, np.uint8)
     if not len(raw):
@@ -61,37 +71,50 @@ def tokenise(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     if not space[-1]:
         edge = np.concatenate([edge, [len(raw)]])
     starts, ends = edge[::2], edge[1::2]
-    hashes = np.empty(len(starts), np.uint64)
-    first = 0
-    while first < len(starts):  # a stretch of words at a time
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + STRETCH)))
-        base, end = int(starts[first]), int(ends[last - 1])
-        up, down = _powers(end - base)
-        sums = np.zeros(end - base + 1, np.uint64)
-        np.cumsum((raw[base:end].astype(np.uint64) + np.uint64(1)) * up[: end - base], out=sums[1:])
-        x, y = starts[first:last] - base, ends[first:last] - base
-        hashes[first:last] = _mix((sums[y] - sums[x]) * down[x] + (y - x).astype(np.uint64))
-        first = last
+    sizes = ends - starts
+    eights = _eights(data)
+    hashes = _mix(sizes.astype(np.uint64) * _GOLDEN + _GOLDEN)
+    some, at, left = slice(None), starts, sizes
+    for _ in range(LONG_WORD // 8):
+        hashes[some] = _mix((hashes[some] + _GOLDEN) ^ (eights[at] & _MASKS[np.minimum(left, 8)]))
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            break
+        some = more if isinstance(some, slice) else some[more]
+        at, left = at[more] + 8, left[more] - 8
+    if len(long := np.flatnonzero(sizes > LONG_WORD)):
+        import xxhash
+
+        for i in long.tolist():
+            hashes[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]])
     return hashes, starts, ends
 
 
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2**64, kept for the next call unless they are very many."""
-    if len(_POWERS[0]) >= n:
-        return _POWERS[0], _POWERS[1]
-    n = max(n, STRETCH)
-    base = 0x9E3779B97F4A7C15
-    found = []
-    for r in (base, pow(base, -1, 1 << 64)):
-        out = np.full(n, r, np.uint64)
-        out[0] = 1
-        found.append(np.cumprod(out))
-    if n <= STRETCH:
-        _POWERS[:] = found
-    return found[0], found[1]
+def distinct_words(data: bytes, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an index for each distinct word, the number of each word among them): by hash, then by their bytes."""
+    _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
+    sizes, twin = ends - starts, first[of]
+    wrong = sizes != sizes[twin]
+    eights = _eights(data)
+    some = np.flatnonzero(~wrong & (twin != np.arange(len(twin))) & (sizes <= LONG_WORD))
+    x, y, left = starts[some], starts[twin[some]], sizes[some]
+    while len(some):
+        wrong[some] |= (eights[x] ^ eights[y]) & _MASKS[np.minimum(left, 8)] != 0
+        more = np.flatnonzero(left > 8)
+        some, x, y, left = some[more], x[more] + 8, y[more] + 8, left[more] - 8
+    for i in np.flatnonzero((sizes > LONG_WORD) & ~wrong & (twin != np.arange(len(twin)))).tolist():
+        wrong[i] = data[starts[i] : ends[i]] != data[starts[twin[i]] : ends[twin[i]]]
+    if wrong.any():  # words of one hash: told apart by their bytes
+        more: dict[bytes, int] = {}
+        own = []
+        for i in np.flatnonzero(wrong).tolist():
+            word = data[starts[i] : ends[i]]
+            if word not in more:
+                more[word] = len(first) + len(own)
+                own.append(i)
+            of[i] = more[word]
+        first = np.concatenate([first, np.array(own, first.dtype)])
+    return first, of
 
 
 def grams(hashes: np.ndarray, m: int) -> np.ndarray:
@@ -329,7 +352,7 @@ def repeated_windows(keyed: DataFrame, k: int = K, m: int = M) -> DataFrame:
         keys, starts, counts = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
         hashes, spots, base = [], [], 0
-        for text in texts:  # one at a time: running sums over all of them would take eight times their size
+        for text in texts:
             h, a, b = tokenise(text)
             hashes.append(h)
             spots.append(np.stack([a + base, b + base]).astype(np.int64 if base > 1 << 30 else np.int32))

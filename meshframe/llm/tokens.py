@@ -5,13 +5,14 @@ from __future__ import annotations
 import gc
 import os
 import re
+import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
 
-from .substrings import Slice
+from .substrings import Slice, distinct_words
 
 #: The id that ends a document (query contract).
 END_ID = 1
@@ -20,10 +21,25 @@ SLICE_CHARS, KEPT_WORDS, KEPT_PIECES = 3 << 20, 400_000, 250_000
 #: Pieces that are encoded as one text.
 JOINED = 256
 
-#: Texts with other characters, or with the opening of a special token, are encoded chunk by chunk.
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*")
-#: The pre-tokenizer's split for plain, lower-cased text: endings, letters, one digit, or other marks.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ɏ0-9²³¹¼½¾]+")
+
+
+def _plain_class() -> tuple[str, str, str]:
+    """(characters of plain words, their letters, their numbers) up to U+024F, as insides of a pattern's class.
+
+    Plain are printable characters that NFC leaves and whose lower case is one such character too; what is a letter or a
+    number is said by the Unicode category, as in the tokenizer's own split.
+    """
+    last = 0x24F
+    some = [c for c in map(chr, range(0x21, last + 1)) if unicodedata.category(c)[0] not in "CZ" and len(c.lower()) == 1 and ord(c.lower()) <= last]
+    lower = sorted({c.lower() for c in some})
+    return tuple("".join(map(re.escape, x)) for x in (some, [c for c in lower if unicodedata.category(c)[0] == "L"], [c for c in lower if unicodedata.category(c)[0] == "N"]))
+
+
+_ALL, _LETTERS, _NUMBERS = _plain_class()
+#: Words with other characters, or with the opening of a special token, are encoded one by one.
+_PLAIN = re.compile(f"[{_ALL}]*")
+#: The pre-tokenizer's split for plain, lower-cased words: endings, letters, one number, or other marks.
+_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}]+")
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -138,45 +154,51 @@ class ChunkEncoder:
             found.append((ids, np.diff(at, prepend=0)) if len(at) == len(some) and at[-1] == len(ids) else self._each(some))
         return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
-    def _rows(self, words: list[bytes], plain: bool) -> np.ndarray:
-        """Rows of the words in the table, new ones encoded."""
+    def _rows(self, words: list[bytes]) -> np.ndarray:
+        """Rows of the words in the table, new ones encoded: plain ones by pieces, others one by one."""
         self.words.trim(KEPT_WORDS)
         rows, new = self.words.ask(words)
         if not new:
             return rows
         said = [w.decode("utf-8", "surrogatepass") for w in new]
-        if not (plain and self.pieced):
-            self.words.fill(*self._each(said))
-        else:
+        by_piece = np.fromiter((self.pieced and self._plain(w) for w in said), bool, len(said))
+        lengths = np.zeros(len(said), np.int64)
+        found = [np.zeros(0, np.uint32), np.zeros(0, np.uint32)]
+        if by_piece.any():
             self.pieces.trim(KEPT_PIECES)
-            cut = [[w] if w.isalpha() else _PIECE.findall(w) for w in map(str.lower, said)]
+            cut = [[w] if w.isalpha() else _PIECE.findall(w) for w, p in zip(map(str.lower, said), by_piece.tolist(), strict=True) if p]
             parts, unknown = self.pieces.ask(list(chain.from_iterable(cut)))
             if unknown:
                 self.pieces.fill(*self._joined(unknown))
-            ids, lengths = self.pieces.ids(parts)
-            ends = np.concatenate([[0], np.cumsum(lengths)])
-            self.words.fill(ids, np.diff(ends[np.cumsum([0, *map(len, cut)])]))
+            found[0], each = self.pieces.ids(parts)
+            ends = np.concatenate([[0], np.cumsum(each)])
+            lengths[by_piece] = np.diff(ends[np.cumsum([0, *map(len, cut)])])
+        if not by_piece.all():
+            found[1], lengths[~by_piece] = self._each([w for w, p in zip(said, by_piece.tolist(), strict=True) if not p])
+        ids = np.empty(int(lengths.sum()), np.uint32)
+        of = np.repeat(by_piece, lengths)
+        ids[of], ids[~of] = found
+        self.words.fill(ids, lengths)
         return rows
 
     def encode(self, texts: Sequence[str | None]) -> Iterator[np.ndarray]:
         """uint32 ids of each text, END_ID last; null is an empty text.
 
-        Equal words of a slice are found by a 64-bit hash, so that each is looked up once."""
+        Each distinct word of a slice is looked up once. Its ids depend on the word alone, not on what came before."""
         at = 0
         while at < len(texts):
             chars, end, some = 0, at, []
-            plain = self._plain(texts[at])
-            while end < len(texts) and (end == at or chars + len(texts[end] or "") <= SLICE_CHARS) and self._plain(texts[end]) == plain:
+            while end < len(texts) and (end == at or chars + len(texts[end] or "") <= SLICE_CHARS):
                 some.append(texts[end] or "")
                 chars += len(some[-1])
                 end += 1
             part = Slice([], [t.encode("utf-8", "surrogatepass") for t in some])
-            _, first, of = np.unique(part.hashes, return_index=True, return_inverse=True)
+            first, of = distinct_words(part.data, part.hashes, part.starts, part.ends)
             distinct = [part.data[x:y] for x, y in zip(part.starts[first].tolist(), part.ends[first].tolist(), strict=True)]
             collects = gc.isenabled()
             gc.disable()  # the lists made here hold no cycles; a collection would walk all of them
             try:
-                rows = self._rows(distinct, plain)[of]  # may trim the table
+                rows = self._rows(distinct)[of]  # may trim the table
             finally:
                 if collects:
                     gc.enable()
@@ -189,8 +211,8 @@ class ChunkEncoder:
             at = end
 
     @staticmethod
-    def _plain(text: str | None) -> bool:
-        return not text or ("<|" not in text and _PLAIN.fullmatch(text) is not None)
+    def _plain(word: str) -> bool:
+        return "<|" not in word and _PLAIN.fullmatch(word) is not None
 
 
 @lru_cache(1)

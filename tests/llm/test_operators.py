@@ -395,6 +395,40 @@ def test_ids_are_those_of_the_tokenizer(rows):
     assert [x.tolist() for x in encode(texts)] == plain_ids(texts)
 
 
+def thue_morse(n, a="a", b="b"):
+    """Words whose hashes collide under any polynomial modulo 2**64."""
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_ids_of_every_character_beside_others():
+    marks = [chr(c) for c in range(1, 0x3000) if chr(c).isprintable()]
+    texts = [f"{x} a{x}b ({x}) {x}1 1{x}! {x}li ¿{x}? {x}{x}'s x{x}" for x in marks]
+    encode = tokens.ChunkEncoder(tokens.tokenizer_path()).encode
+    assert [x.tolist() for x in encode(texts)] == plain_ids(texts)
+
+
+@pytest.mark.parametrize("slice_chars", [1, 50, 3 << 20])
+def test_ids_do_not_depend_on_what_came_before(monkeypatch, slice_chars):
+    monkeypatch.setattr(tokens, "SLICE_CHARS", slice_chars)
+    texts = ["ə (Ə)", "(Ə)", "Əli", "¿Ə? <|endoftext|>Ə.", "(ə)"]
+    for n in (1024, 2048, 4096):
+        texts += [thue_morse(n), thue_morse(n, "b", "a"), thue_morse(n) + " " + thue_morse(n, "b", "a")]
+    want = plain_ids(texts)
+    for order in (range(len(texts)), reversed(range(len(texts))), np.random.default_rng(5).permutation(len(texts))):
+        order = list(order)
+        encode = tokens.ChunkEncoder(tokens.tokenizer_path()).encode
+        assert [x.tolist() for x in encode([texts[i] for i in order])] == [want[i] for i in order]
+
+
+def test_distinct_words_survive_hash_collisions():
+    words = [b"aa", b"bb", b"aa", b"c" * 9, b"c" * 8 + b"d", b"e" * 300, b"e" * 299 + b"f", b"bb", b"e" * 300]
+    data = b" ".join(words)
+    _, starts, ends = substrings.tokenise(data)
+    for hashes in (np.zeros(9, np.uint64), np.array([0, 0, 0, 1, 1, 2, 2, 0, 2], np.uint64)):
+        first, of = substrings.distinct_words(data, hashes, starts, ends)
+        assert [words[first[i]] for i in of] == words and len(first) == 6
+
+
 def test_ids_with_small_caches(rows, monkeypatch):
     for name in ("KEPT_WORDS", "KEPT_PIECES", "SLICE_CHARS"):
         monkeypatch.setattr(tokens, name, 50)
@@ -484,6 +518,12 @@ def test_near_family_without_a_centre(spark):
     assert sorted(map(tuple, out.collect())) == brute.near(rows, 2, 80)
 
 
+def test_near_words_that_polynomials_confuse(spark):
+    rows = [(1, thue_morse(1024) + " foo bar"), (2, thue_morse(1024, "b", "a") + " foo bar"), (3, thue_morse(1024) + " " + thue_morse(1024, "b", "a") + " foo bar"), (4, "foo\tbar"), (5, "FOO bar")]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2)
+    assert sorted(map(tuple, out.collect())) == brute.near(rows, 2, 80)
+
+
 def test_near_edges(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
     out = minhash.near_duplicates(odd_ids(spark), size=2)
