@@ -1,9 +1,13 @@
 """Embedding near-dedup by collision-counting projections.
 
-Every vector lies on many one-dimensional projections, the axes of random rotations. No projection is sorted: at cosine 0.9
-the window around a vector holds about a quarter of all rows on any projection, which is quadratic. Candidates come from
-cross-polytope hashing instead: a table files a vector under the axes, and their sides, where it lies furthest out. There, the pairs of a cell are counted: on how many projections does one lie in the window
-centred on the other. Pairs whose count reaches the number calibrated for recall at the threshold are verified exactly.
+Every vector is projected on many axes. Each projection of a block of vectors is sorted, and around the value of every
+query lies a window; a pair collides on a projection where one is in the window of the other. Pairs that collide on as many
+projections as the calibrated count are verified in double precision. Counts are kept for a query against 64 vectors at a
+time: a window of a sorted list is the difference of two of its prefixes, each a bitmap, and bitmaps are added bitwise.
+
+The windows of one projection hold about half of all vectors where vectors are spread evenly, so no single list can leave
+pairs out: each pair of blocks is one piece of work, whose pairs below the count never leave it. The work grows with the
+square of the number of vectors, at a few nanoseconds a pair.
 """
 
 from __future__ import annotations
@@ -18,89 +22,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, components, stash, width
-from .substrings import _mix
 
-#: Chance that a pair at the threshold meets in no table, and that its count stays below the calibrated one.
-MISS_TABLES, MISS_COUNT = 1e-5, 1e-6
-#: Most projections of a rotation, and most tables.
-AXES, MAX_TABLES = 64, 400
-#: Members of a cell up to which it is one piece of work, and cells that may be larger (their list is broadcast).
-BLOCK, MAX_LARGE = 1024, 1_000_000
-#: Pairs compared at once.
-CHUNK = 1 << 16
+#: Most projections, windows' half width in standard deviations of a pair at the threshold, and its chance to be missed.
+AXES, WIDE, MISS = 64, 2.0, 1e-6
+#: Vectors of a block, and bytes of its doubles.
+BLOCK, BLOCK_BYTES = 32_768, 32 << 20
+#: Queries and vectors compared at once, and prefixes kept of a sorted list.
+QUERIES, TILE, STEPS = 512, 4096, 64
+#: Most partitions that pieces of work are dealt to; beyond, a partition has several, one after another.
+MAX_PARTS = 10_000
 
 
 @lru_cache
-def rotation(dim: int, seed: int) -> np.ndarray:
-    """``dim`` x axes with orthonormal columns."""
-    q, _ = np.linalg.qr(np.random.default_rng((dim, seed)).standard_normal((dim, dim)))
-    return np.ascontiguousarray(q[:, :AXES]).astype(np.float32)
+def rotation(dim: int) -> np.ndarray:
+    """``dim`` x axes with orthonormal columns, drawn from a fixed seed."""
+    q, _ = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, dim)))
+    return np.ascontiguousarray(q[:, :AXES])
 
 
 @dataclass(frozen=True)
 class Plan:
-    """Tables, rotations whose ends make up a table's cell, windows' half width and calibrated count."""
+    """Half width of the windows, collisions that a pair must reach, and the threshold."""
 
-    tables: int
-    parts: int
     half: float
     count: int
     cosine: float
 
 
-def calibrate(n: int, dim: int, cosine: float) -> Plan:
-    """The plan with the least work for n vectors that misses a pair at ``cosine`` with MISS_TABLES at most.
+def calibrate(dim: int, cosine: float) -> Plan:
+    """Windows and count for the recall wanted of pairs at ``cosine`` or above.
 
-    The chance that a pair at the threshold has one end in common is measured on drawn pairs; n is a count of all rows.
+    Two unit vectors at the threshold lie sqrt(2 - 2 * cosine) apart. Where all axes of a rotation are projections, the
+    squares of a pair's distances on them add up to the square of that, so fewer than dim / WIDE**2 can pass the
+    half width: the count then misses no pair at all. Of more dimensions AXES random axes are taken and the count
+    is that below which a pair falls with MISS (binomial; orthogonal axes vary less).
     """
-    rng = np.random.default_rng(dim)
-    x = rng.standard_normal((4000, dim))
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    z = rng.standard_normal((4000, dim))
-    z -= (z * x).sum(axis=1, keepdims=True) * x
-    z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
-    y = cosine * x + math.sqrt(1 - cosine**2) * z
-    axes = min(dim, AXES)
-    near = max(0.02, float((_ends(x[:, :axes]) == _ends(y[:, :axes])).mean()))
-    options = []
-    for parts in range(1, 6):
-        tables = max(1, math.ceil(math.log(MISS_TABLES) / math.log1p(-(near**parts)))) if near < 1 else 1
-        options.append((tables * (n + n * n * (2 * axes) ** -parts / 20), tables, parts))
-    _, tables, parts = min([o for o in options if o[1] <= MAX_TABLES] or options[:1])
-    half = math.sqrt((2 - 2 * cosine) / dim)
-    inside, tail, count = math.erf(1 / math.sqrt(2)), 0.0, 0
-    while count < axes:
-        tail += math.comb(axes, count) * inside**count * (1 - inside) ** (axes - count)
-        if tail > MISS_COUNT:
+    half = WIDE * math.sqrt(max(0.0, 2 - 2 * cosine) / dim) + 1e-9
+    if dim <= AXES:
+        return Plan(half, dim - (math.ceil(dim / WIDE**2) - 1), cosine)
+    inside, tail, count = math.erf(WIDE / math.sqrt(2)), 0.0, 0
+    while count < AXES:
+        tail += math.comb(AXES, count) * inside**count * (1 - inside) ** (AXES - count)
+        if tail > MISS:
             break
         count += 1
-    return Plan(tables, parts, half, count, cosine)
+    return Plan(half, count, cosine)
 
 
-def _ends(projected: np.ndarray) -> np.ndarray:
-    """The axis where each row lies furthest out, and on which side."""
-    axis = np.abs(projected).argmax(axis=1)
-    return (axis * 2 + (projected[np.arange(len(projected)), axis] < 0)).astype(np.uint64)
-
-
-def cells(unit: np.ndarray, plan: Plan) -> np.ndarray:
-    """(rows x tables) ids of the cells of unit vectors."""
-    unit = unit.astype(np.float32)
-    out = np.zeros((len(unit), plan.tables), np.uint64)
-    for t in range(plan.tables):
-        code = np.full(len(unit), t * 1_000_003 + unit.shape[1], np.uint64)
-        for p in range(plan.parts):
-            code = _mix(code * np.uint64(1031) + _ends(unit @ rotation(unit.shape[1], t * plan.parts + p)))
-        out[:, t] = code
-    return out
-
-
-def _vectors(raws: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _vectors(raws: list[bytes], wire: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(indexes, vectors) of each dimension among the packed vectors."""
     sizes = np.fromiter(map(len, raws), np.int64, len(raws))
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
-        yield at, np.frombuffer(b"".join([raws[i] for i in at]), "<f8").reshape(len(at), -1)
+        yield at, np.frombuffer(b"".join([raws[i] for i in at]), wire).astype(np.float64).reshape(len(at), -1)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -108,39 +82,106 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return scaled / np.sqrt((scaled * scaled).sum(axis=1, keepdims=True))
 
 
-def _packed(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(key, raw): the vector as bytes of doubles, null where it can link with nothing."""
+def _packed(df: DataFrame, key: str, vector: str, wire: str) -> DataFrame:
+    """(key, raw): the vector as bytes of its floats, null where it can link with nothing."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             raws: list[bytes | None] = []
-            for x in batch.column(1).to_pylist():
-                v = None if not x or any(y is None for y in x) else np.array(x, np.float64)
-                raws.append(v.astype("<f8").tobytes() if v is not None and np.isfinite(v).all() and v.any() else None)
+            for x in batch.column(1):
+                v = x.values.to_numpy(zero_copy_only=False).astype(wire) if x.is_valid and len(x.values) and not x.values.null_count else None
+                raws.append(v.tobytes() if v is not None and np.isfinite(v).all() and v.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raws, pa.binary())], ["key", "raw"])
 
     return df.select(F.col(key).cast("long").alias("key"), F.col(vector)).mapInArrow(run, "key long, raw binary")
 
 
-def _linked(rows: np.ndarray, sides: np.ndarray, table: int, unit: np.ndarray, ids: np.ndarray, cell: np.ndarray, near: np.ndarray, times: np.ndarray, plan: Plan, links: np.ndarray, edges: list) -> None:
-    """Counts, verifies and records the pairs of one or many groups given as pairs of row numbers."""
-    a, b = rows
-    ok = ((sides[a] == 0) & (sides[b] == 0)) | (sides[a] + sides[b] == 3)
-    a, b = a[ok], b[ok]
-    for at in range(0, len(a), CHUNK):
-        x, y = a[at : at + CHUNK], b[at : at + CHUNK]
-        if table:  # the first table where two meet has their pair
-            first = ~(cell[x, :table] == cell[y, :table]).any(axis=1)
-            x, y = x[first], y[first]
-        hits = (np.abs(near[x] - near[y]) <= plan.half).sum(axis=1) >= plan.count
-        x, y = x[hits], y[hits]
-        close = np.einsum("ij,ij->i", unit[x], unit[y]) >= plan.cosine
-        x, y = x[close], y[close]
-        np.add.at(links, x, times[y])
-        np.add.at(links, y, times[x])
-        parent = {}
+class Lists:
+    """The sorted projections of a tile of vectors, and bitmaps of their prefixes."""
+
+    def __init__(self, near: np.ndarray):
+        n, axes = near.shape
+        self.step = -(-n // STEPS)
+        order = np.argsort(near, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(near, order, axis=0).T.copy()
+        rank = np.full((axes, -(-n // 64) * 64), n, np.int32)
+        np.put_along_axis(rank, order.T, np.arange(n, dtype=np.int32)[None, :], axis=1)
+        to = np.arange(STEPS + 1, dtype=np.int32)[:, None] * self.step
+        self.prefixes = [np.packbits(rank[p] < np.minimum(to, n), axis=1, bitorder="little").view("<u8") for p in range(axes)]
+        self.low, self.high = self.sorted[:, 0], self.sorted[:, -1]
+
+    def reach(self, near: np.ndarray, plan: Plan) -> np.ndarray:
+        """(queries x words) bitmap of the vectors that collide with each query on ``plan.count`` projections or more.
+
+        Windows are widened to whole steps of the list, so that they hold all that is near and little else.
+        """
+        planes: list[np.ndarray] = []
+        waiting: list[np.ndarray | None] = []
+
+        def add(bits: np.ndarray, level: int) -> None:
+            """Carry-save addition: two bitmaps and a plane give a plane and one carry."""
+            if level == len(planes):
+                planes.append(np.zeros_like(bits))
+                waiting.append(None)
+            other, waiting[level] = waiting[level], None
+            if other is None:
+                waiting[level] = bits
+                return
+            odd = planes[level] ^ other
+            carry = planes[level] & other
+            carry |= odd & bits
+            planes[level] = odd ^ bits
+            add(carry, level + 1)
+
+        for p, values in enumerate(self.sorted):
+            first = np.searchsorted(values, near[:, p] - plan.half, "left") // self.step
+            last = -(-np.searchsorted(values, near[:, p] + plan.half, "right") // self.step)
+            hits = self.prefixes[p][last]
+            hits ^= self.prefixes[p][first]
+            add(hits, 0)
+        level = 0
+        while level < len(planes):
+            left, waiting[level] = waiting[level], None
+            if left is not None:
+                carry = planes[level] & left
+                planes[level] = planes[level] ^ left
+                if level + 1 < len(self.sorted).bit_length():  # a sum has no higher digit
+                    add(carry, level + 1)
+            level += 1
+        above, equal = np.zeros_like(planes[0]), ~np.zeros_like(planes[0])
+        for level in reversed(range(max(len(planes), plan.count.bit_length()))):
+            plane = planes[level] if level < len(planes) else np.zeros_like(above)
+            if plan.count >> level & 1:
+                equal &= plane
+            else:
+                above |= equal & plane
+                equal &= ~plane
+        return above | equal
+
+
+def _pairs(reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) of each bit."""
+    q, word = np.nonzero(reach)
+    hit, bit = np.nonzero(np.unpackbits(reach[q, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    return q[hit], word[hit] * 64 + bit
+
+
+class Forest:
+    """A label for each of n rows; links join labels, and those that joined two are kept."""
+
+    def __init__(self, n: int):
+        self.labels, self.links = np.arange(n), []
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> None:
+        p, q = self.labels[x], self.labels[y]
+        live = np.flatnonzero(p != q)
+        if not len(live):
+            return
+        _, first = np.unique(np.minimum(p, q)[live] * len(self.labels) + np.maximum(p, q)[live], return_index=True)
+        live = live[first]
+        parent: dict[int, int] = {}
 
         def root(i: int) -> int:
             while (up := parent.get(i, i)) != i:
@@ -148,11 +189,58 @@ def _linked(rows: np.ndarray, sides: np.ndarray, table: int, unit: np.ndarray, i
                 i = up
             return i
 
-        for i, j in zip(x.tolist(), y.tolist(), strict=True):
-            p, q = root(i), root(j)
-            if p != q:
-                parent[q] = p
-                edges.append((int(ids[i]), int(ids[j])))
+        for i, a, b in zip(live.tolist(), p[live].tolist(), q[live].tolist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                self.links.append((int(x[i]), int(y[i])))
+        to = np.arange(len(self.labels))
+        to[list(parent)] = [root(i) for i in parent]
+        self.labels = to[self.labels]
+
+
+def count_block(unit: np.ndarray, queries: int, times: np.ndarray, plan: Plan) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(links of each row, a spanning forest of the links) between the first ``queries`` rows and the others.
+
+    With no other rows the pairs are those among the queries. Rows are laid in the order of their sides on the first
+    projections, and tiles whose ranges cannot collide often enough are passed over.
+    """
+    near = unit @ rotation(unit.shape[1])
+    code = (near[:, :16] > 0) @ (1 << np.arange(min(16, near.shape[1])))
+    own = queries == len(unit)
+    left = np.argsort(code[:queries], kind="stable")
+    right = left if own else queries + np.argsort(code[queries:], kind="stable")
+    links, forest = np.zeros(len(unit), np.int64), Forest(len(unit))
+    for at in range(0, len(right), TILE):
+        some = right[at : at + TILE]
+        lists = Lists(near[some])
+        for begin in range(0, min(len(left), at + TILE) if own else len(left), QUERIES):
+            asked = left[begin : begin + QUERIES]
+            mine = near[asked]
+            apart = (lists.low > mine.max(axis=0) + plan.half) | (lists.high < mine.min(axis=0) - plan.half)
+            if near.shape[1] - apart.sum() < plan.count:
+                continue
+            x, y = _pairs(lists.reach(mine, plan))
+            if own:
+                once = begin + x < at + y
+                x, y = x[once], y[once]
+            if not len(x):
+                continue
+            x, y = asked[x], some[y]
+            if len(x) * 16 > len(asked) * len(some):  # most of a tile of near copies: all products at once
+                where = np.zeros(len(unit), np.int64)
+                where[asked] = np.arange(len(asked))
+                place = np.zeros(len(unit), np.int64)
+                place[some] = np.arange(len(some))
+                cosines = (unit[asked] @ unit[some].T)[where[x], place[y]]
+                close = np.flatnonzero(np.abs(cosines - plan.cosine) < 1e-9)
+                cosines[close] = np.einsum("ij,ij->i", unit[x[close]], unit[y[close]])
+            else:
+                cosines = np.concatenate([np.einsum("ij,ij->i", unit[x[i : i + 65536]], unit[y[i : i + 65536]]) for i in range(0, len(x), 65536)])
+            x, y = x[cosines >= plan.cosine], y[cosines >= plan.cosine]
+            links += np.bincount(x, times[y], len(unit)).astype(np.int64) + np.bincount(y, times[x], len(unit)).astype(np.int64)
+            forest.join(x, y)
+    return links, forest.links
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = 0.9) -> DataFrame:
@@ -160,132 +248,77 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
 
     Two rows link if the cosine of their vectors, in double precision, is ``cosine`` or more. Null, empty, zero and
     non-finite vectors, such with null components and rows with a null key link with nothing; vectors of different
-    dimensions do not link, and each dimension has a plan of its own. component_id is the smallest key reachable (null for a null key, which is kept), n_links the
-    other rows linked directly. Links below the threshold never come; one at the threshold is missed with about 1e-5,
-    nearer ones with less. An empty table gives none.
-
-    Equal vectors are one class with a multiplicity. A class is filed in every table; a pair is counted in the first
-    table where it meets, so that links are numbers per class and a spanning forest, not rows per pair; for that, a row
-    carries 32 bits of its cell in each table before, as products computed again may round otherwise (two cells look
-    equal with about 1e-7 over all tables, and then a pair is missed). A large cell is
-    cut in blocks, each two of which are a piece of work of bounded size.
+    dimensions do not link, and each dimension has windows and a count of its own. component_id is the smallest key
+    reachable (null for a null key, which is kept), n_links the other rows linked directly. Links below the threshold
+    never come; up to AXES dimensions none is missed, beyond them one at the threshold with MISS. An empty table gives
+    none; further columns are ignored.
+
+    Equal vectors are one class with a multiplicity. Classes are dealt to blocks by a hash, so no vector, however many are
+    like it, makes a block larger. Each two blocks are counted in one piece of work of bounded memory, which gives
+    numbers of links and a spanning forest, not rows per pair.
     """
     bounded_batches(df.sparkSession)
-    vectors = stash(_packed(df, key, vector), "vectors")
+    wire = "<f4" if df.schema[vector].dataType.elementType.simpleString() == "float" else "<f8"
+    vectors = stash(_packed(df, key, vector, wire), "vectors")
     real = vectors.where(F.col("key").isNotNull() & F.col("raw").isNotNull())
     classes = stash(real.groupBy("raw").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("times")), "vector-classes")
-    by_dim = classes.groupBy((F.octet_length("raw") / 8).cast("int").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
-    dims = {r["dim"]: r["n"] for r in by_dim.where("n > 1").collect()}  # a class alone in its dimension links with no other
-    plans = {dim: calibrate(n, dim, cosine) for dim, n in dims.items()}
-    block = max(BLOCK, -(-sum(n * plans[dim].tables for dim, n in dims.items()) // MAX_LARGE))
-
-    def file(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        for batch in batches:
-            raws = batch.column(0).to_pylist()
-            for _, v in _vectors(raws):
-                if plan := plans.get(v.shape[1]):
-                    yield pa.RecordBatch.from_arrays([pa.array(cells(_unit(v), plan).view(np.int64).ravel())], ["cell"])
-
-    sizes = classes.select("raw").mapInArrow(file, "cell long").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
-    large = {r["cell"]: -(-r["n"] // block) for r in sizes.collect()}
-    sent = df.sparkSession.sparkContext.broadcast(large)
-
-    def deal(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        names = ["work", "tab", "side", "rep", "times", "raw", "before"]
-        for batch in batches:
-            large, raws = sent.value, batch.column(0).to_pylist()
-            reps, times = np.asarray(batch.column(1)), np.asarray(batch.column(2))
-            for at, v in _vectors(raws):
-                plan = plans.get(v.shape[1])
-                for lo in range(0, len(at) if plan else 0, 512):
-                    some = at[lo : lo + 512]
-                    c = cells(_unit(v[lo : lo + 512]), plan)
-                    row = np.repeat(np.arange(len(some)), plan.tables)
-                    tab = np.tile(np.arange(plan.tables), len(some))
-                    work, side = c.ravel().view(np.int64).copy(), np.zeros(len(row), np.int8)
-                    if large:
-                        parts = np.array([large.get(x, 1) for x in work.tolist()])
-                        for i in np.flatnonzero(parts > 1).tolist():
-                            n, cell = int(parts[i]), work[i : i + 1].view(np.uint64)
-                            own = int(_mix(reps[some[row[i : i + 1]]].view(np.uint64) + np.uint64(7))[0] % np.uint64(n))
-                            to = [(min(o, own), max(o, own)) for o in range(n)]
-                            pieces = _mix(cell + np.array([x * n + y + 1 for x, y in to], np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-                            work[i] = pieces[own]
-                            others = [o for o in range(n) if o != own]
-                            row = np.concatenate([row, np.full(n - 1, row[i])])
-                            tab = np.concatenate([tab, np.full(n - 1, tab[i])])
-                            work = np.concatenate([work, pieces[others]])
-                            side = np.concatenate([side, np.array([1 if own < o else 2 for o in others], np.int8)])
-                    which = some[row]
-                    marks = [x.tobytes() for x in c.astype("<u4")]
-                    before = [marks[i][: 4 * t] for i, t in zip(row.tolist(), tab.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(work), pa.array(tab.astype(np.int32)), pa.array(side.astype(np.int32)), pa.array(reps[which]), pa.array(times[which]), pa.array([raws[i] for i in which], pa.binary()), pa.array(before, pa.binary())], names)
-
-    dealt = classes.select("raw", "rep", "times").mapInArrow(deal, "work long, tab int, side int, rep long, times long, raw binary, before binary")
-    dealt = dealt.repartition(width(df.sparkSession), "work").sortWithinPartitions("work")
+    by_dim = classes.groupBy((F.octet_length("raw") / int(wire[2])).cast("int").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    plans, blocks, base, works = {}, {}, {}, 0
+    spread = math.ceil(math.sqrt(2 * width(df.sparkSession)))
+    for r in by_dim.where("n > 1").collect():  # a class alone in its dimension links with no other
+        dim, n = r["dim"], r["n"]
+        plans[dim] = calibrate(dim, cosine)
+        b = max(-(-n // max(1, min(BLOCK, BLOCK_BYTES // (8 * dim)))), min(spread, -(-n // 1024)))
+        blocks[dim], base[dim] = b, works
+        works += b * (b + 1) // 2
+    parts = max(1, min(works, MAX_PARTS))
+    dim = (F.octet_length("raw") / int(wire[2])).cast("int")
+
+    def deal() -> DataFrame:
+        """(work, side, rep, times, raw): a class for each piece of work of its block."""
+        rows = classes.withColumn("dim", dim)
+        facts = [F.create_map(*[F.lit(x) for kv in d.items() for x in kv]) for d in (blocks, base)]
+        rows = rows.withColumns({"of": facts[0][F.col("dim")], "base": facts[1][F.col("dim")].cast("long")}).where("of is not null")
+        rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", "raw"), "of")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+        low, high = F.least("own", "other"), F.greatest("own", "other")
+        work = F.col("base") + F.call_function("div", high * (high + 1), F.lit(2)) + low
+        return rows.select(work.cast("long").alias("work"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "times", "raw")
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def groups(table) -> pa.RecordBatch:
-            """All whole groups of a sorted table."""
-            work, tab = np.asarray(table["work"]), np.asarray(table["tab"])
-            sides, reps, times = np.asarray(table["side"]), np.asarray(table["rep"]), np.asarray(table["times"])
-            raws, before = table["raw"].to_pylist(), table["before"].to_pylist()
-            links, edges = np.zeros(len(reps), np.int64), []
-            for at, v in _vectors(raws):
-                plan, unit = plans[v.shape[1]], _unit(v)
-                near = unit.astype(np.float32) @ rotation(unit.shape[1], 0)
-                w, t, s, r, m = work[at], tab[at], sides[at], reps[at], times[at]
-                cell = np.zeros((len(at), plan.tables), np.uint32)
-                cell[np.arange(plan.tables) < t[:, None]] = np.frombuffer(b"".join([before[i] for i in at]), "<u4")
-                first = np.concatenate([[0], np.flatnonzero(w[1:] != w[:-1]) + 1])
-                size = np.diff(np.concatenate([first, [len(w)]]))
-                local = np.zeros(len(at), np.int64)
-                args = (unit, r, cell, near, m, plan, local, edges)
-                for n in np.unique(size[(size > 1) & (size <= 64)]):
-                    i, j = np.triu_indices(n, 1)
-                    starts = first[size == n]
-                    for table_no in np.unique(t[starts]):
-                        begin = starts[t[starts] == table_no]
-                        for lo in range(0, len(begin), max(1, CHUNK // len(i))):
-                            part = begin[lo : lo + max(1, CHUNK // len(i)), None]
-                            _linked(np.stack([(part + i).ravel(), (part + j).ravel()]), s, int(table_no), *args)
-                for begin, n in zip(first[size > 64].tolist(), size[size > 64].tolist(), strict=True):
-                    for lo in range(0, n, 64):
-                        i, j = np.meshgrid(np.arange(lo, min(n, lo + 64)), np.arange(lo, n), indexing="ij")
-                        up = i < j
-                        _linked(np.stack([i[up] + begin, j[up] + begin]), s, int(t[begin]), *args)
-                links[at] += local
+        def said(held: list) -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            reps, times = np.asarray(table["rep"]), np.asarray(table["times"])
+            _, v = next(_vectors(table["raw"].to_pylist(), wire))
+            queries = int((np.asarray(table["side"]) == 0).sum())
+            links, edges = count_block(_unit(v), queries, times, plans[v.shape[1]])
             hit = np.flatnonzero(links)
             e = np.array(edges, np.int64).reshape(-1, 2)
-            null = pa.nulls(len(hit), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(reps[hit]), pa.array(e[:, 0])]), pa.concat_arrays([null, pa.array(e[:, 1])]), pa.concat_arrays([pa.array(links[hit]), pa.nulls(len(e), pa.int64())])], ["a", "b", "links"])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(reps[hit]), pa.array(reps[e[:, 0]])]), pa.concat_arrays([pa.nulls(len(hit), pa.int64()), pa.array(reps[e[:, 1]])]), pa.concat_arrays([pa.array(links[hit]), pa.nulls(len(e), pa.int64())])], ["a", "b", "links"])
 
         held: list = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
             work = np.asarray(batch.column(0))
-            cut = int(np.searchsorted(work, work[-1]))
-            if cut or (held and held[-1].column(0)[0].as_py() != work[0]):
-                ready = pa.Table.from_batches([*held, batch.slice(0, cut)])
-                if ready.num_rows:
-                    yield groups(ready)
-                held = []
-            held.append(batch.slice(cut))
+            cuts = [0, *(np.flatnonzero(work[1:] != work[:-1]) + 1).tolist(), len(work)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if held and a < b and held[-1].column(0)[0].as_py() != work[a]:
+                    yield said(held)
+                    held = []
+                if a < b:
+                    held.append(batch.slice(a, b - a))
         if held:
-            yield groups(pa.Table.from_batches(held))
+            yield said(held)
 
-    found = stash(dealt.mapInArrow(count, "a long, b long, links long"), "vector-links")
+    if works:
+        dealt = deal().repartitionById(parts, F.pmod(F.col("work"), F.lit(parts)).cast("int")).sortWithinPartitions("work", "side", "rep", "raw")
+        found = stash(dealt.mapInArrow(count, "a long, b long, links long"), "vector-links")
+    else:
+        found = df.sparkSession.createDataFrame([], "a long, b long, links long")
     links = found.where("links is not null").groupBy("a").agg(F.sum("links").alias("links"))
     edges = found.where("b is not null").select("a", "b")
-    parts = components(edges, "vector-components")
-    of_class = classes.join(links.withColumnRenamed("a", "rep"), "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    parts_of = components(edges, "vector-components")
+    of_class = classes.join(links.withColumnRenamed("a", "rep"), "rep", "left").join(parts_of.withColumnRenamed("node", "rep"), "rep", "left")
     of_class = of_class.select("raw", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     out = vectors.join(of_class, "raw", "left")
     live = F.col("key").isNotNull()

@@ -113,24 +113,43 @@ def test_vectors_of_several_dimensions(spark):
     assert sorted(map(tuple, projections.near_duplicates(df).collect())) == brute_vectors(rows)
 
 
-def test_vectors_count_once_however_products_round(spark, monkeypatch):
-    """The last vector of each batch lands elsewhere in the first table, as rounding by a batch's shape could have it.
-
-    It passed on the code that computed cells again too, so it does not tell the two apart yet.
-    """
-    real = projections.cells
-
-    def shaped(unit, plan):
-        out = real(unit, plan)
-        out[-1, 0] ^= np.uint64(len(unit))
-        return out
-
-    rng = np.random.default_rng(2)
-    base = rng.standard_normal(64)
-    rows = [(i, (base + 0.01 * rng.standard_normal(64)).tolist()) for i in range(12)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
-    monkeypatch.setattr(projections, "cells", shaped)
-    assert sorted(map(tuple, projections.near_duplicates(df).collect())) == brute_vectors(rows)
+@pytest.mark.parametrize("dim", [1, 2, 3, 5, 16, 64, 200])
+def test_count_misses_no_pair_at_the_threshold(dim):
+    rng, plan = np.random.default_rng(dim), projections.calibrate(dim, 0.9)
+    x, z = rng.standard_normal((2, 20000, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + math.sqrt(1 - 0.81) * z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-300) if dim > 1 else x
+    axes = projections.rotation(dim)
+    assert ((np.abs(x @ axes - y @ axes) <= plan.half).sum(axis=1) >= plan.count).all()
+
+
+@pytest.mark.parametrize("tile,queries", [(64, 7), (100, 50), (4096, 512)])
+def test_collisions_are_counted(monkeypatch, tile, queries):
+    """Every pair of rows that collides often enough is reached, few others, in tiles of any size."""
+    monkeypatch.setattr(projections, "TILE", tile)
+    monkeypatch.setattr(projections, "QUERIES", queries)
+    rng = np.random.default_rng(1)
+    v = rng.standard_normal((300, 24))
+    v[100:200] = v[0] + 0.15 * rng.standard_normal((100, 24))
+    unit, plan = projections._unit(v), projections.calibrate(24, 0.9)
+    near = unit @ projections.rotation(24)
+    lists = projections.Lists(near[:tile])
+    x, y = projections._pairs(lists.reach(near, plan))
+    want = (np.abs(near[:, None] - near[None, :tile]) <= plan.half).sum(axis=2) >= plan.count
+    got = np.zeros(want.shape, bool)
+    got[x, y] = True
+    assert (got >= want).all() and got.sum() < 1.3 * want.sum()
+    times = np.arange(1, 301)
+    true = unit @ unit.T >= 0.9
+    np.fill_diagonal(true, False)
+    links, edges = projections.count_block(unit, 300, times, plan)
+    assert links.tolist() == (true @ times).tolist()
+    assert brute.roots(range(300), edges) == brute.roots(range(300), list(zip(*np.nonzero(true))))
+    links, edges = projections.count_block(unit, 130, times, plan)
+    true[:130, :130] = true[130:, 130:] = False
+    assert links.tolist() == (true @ times).tolist()
+    assert brute.roots(range(300), edges) == brute.roots(range(300), list(zip(*np.nonzero(true))))
 
 
 def test_vectors_ties_and_nothing(spark):
