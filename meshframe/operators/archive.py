@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,19 +43,25 @@ def means(sums: DataFrame, cells: Sequence[str], features: Sequence[str], keep_s
 class Archive:
     """A table of sums and counts in numbered generations, each written whole before it becomes the current one.
 
-    ``stage`` places values on the grid; ``flush`` merges what was staged. Readers see the newest generation that is
-    complete, so a failed flush changes nothing; the last two are kept.
+    ``stage`` places values on the grid and writes them as a fragment; ``flush`` merges the fragments into the next
+    generation. Readers see the newest generation that is complete, so a failed flush changes nothing; the last ``keep``
+    are kept, for readers that began before. ``existing`` says what to do with an archive that is there: "error",
+    "append" (its generation and the fragments not merged yet stay) or "overwrite".
     """
 
-    def __init__(self, spark: SparkSession, path: str, axes: Mapping[str, DataFrame], features: Sequence[str], overwrite: bool = False, mode: str = "nearest", tol: Mapping[str, float] | None = None):
+    def __init__(self, spark: SparkSession, path: str, axes: Mapping[str, DataFrame], features: Sequence[str], overwrite: bool = False, mode: str = "nearest", tol: Mapping[str, float] | None = None, existing: str = "error", keep: int = 3):
+        if existing not in ("error", "append", "overwrite"):
+            raise ValueError("existing must be error, append or overwrite")
         self.spark, self.path, self.axes, self.features, self.mode, self.tol = spark, path.rstrip("/"), axes, list(features), mode, tol
-        self.cells = [f"i_{d}" for d in axes]
+        self.cells, self.keep = [f"i_{d}" for d in axes], max(2, keep)
         self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         if self._exists(self.path):
-            if not overwrite:
+            if overwrite or existing == "overwrite":
+                self._fs.delete(self._path(self.path), True)
+            elif existing == "error":
                 raise FileExistsError(path)
-            self._fs.delete(self._path(self.path), True)
-        self.staged: list[DataFrame] = []
+            elif self.generation() >= 0 and set(self.sums().columns) != {*self.cells, *(f"{f}__{k}" for f in features for k in ("sum", "count"))}:
+                raise ValueError("the archive has other dims or features")
 
     def _path(self, p: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(p)
@@ -62,30 +69,53 @@ class Archive:
     def _exists(self, p: str) -> bool:
         return self._fs.exists(self._path(p))
 
-    def generation(self) -> int:
-        n = -1
-        if self._exists(self.path):
-            for s in self._fs.listStatus(self._path(self.path)):
-                name = s.getPath().getName()
-                if name.startswith("g") and self._exists(f"{self.path}/{name}/_SUCCESS"):
-                    n = max(n, int(name[1:]))
-        return n
+    def _names(self, folder: str) -> list[str]:
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(folder))) if self._exists(folder) else []
 
-    def stage(self, df: DataFrame) -> None:
-        self.staged.append(cell_sums(placed(df, self.axes, self.mode, self.tol), self.cells, self.features))
+    def _whole(self) -> list[int]:
+        names = self._names(self.path)
+        return sorted(int(n[1:]) for n in names if n[:1] == "g" and n[1:].isdigit() and self._exists(f"{self.path}/{n}/_SUCCESS"))
 
-    def flush(self) -> None:
-        if not self.staged:
+    def generation(self) -> int:
+        return max(self._whole(), default=-1)
+
+    def mark(self) -> int:
+        """The greatest mark given to the flushes so far, or -1: what a stream has merged."""
+        marks = [-1]
+        for n in self._whole():
+            marks += [int(m[5:]) for m in self._names(f"{self.path}/g{n}") if m.startswith("_mark")]
+        return max(marks)
+
+    def _next(self) -> str:
+        """Fragments are staged for the generation to come; those of earlier ones were merged."""
+        return f"{self.path}/stage-{self.generation() + 1}"
+
+    def fragments(self) -> list[str]:
+        """The fragments that are whole and not merged yet."""
+        return [f"{self._next()}/{n}" for n in self._names(self._next()) if self._exists(f"{self._next()}/{n}/_SUCCESS")]
+
+    def stage(self, df: DataFrame, name: str | None = None) -> None:
+        """Writes the sums of ``df`` as a fragment; one of the same name is replaced, so a batch may come again."""
+        sums = cell_sums(placed(df, self.axes, self.mode, self.tol), self.cells, self.features)
+        sums.write.mode("overwrite").parquet(f"{self._next()}/{name or 'f' + uuid.uuid4().hex}")
+
+    def flush(self, mark: int | None = None) -> None:
+        """Merges what is staged into the next generation; ``mark`` is kept with it."""
+        staged = self.fragments()
+        if not staged:
             return
-        n = self.generation()
-        new = self.staged[0]
-        for s in self.staged[1:]:
-            new = new.unionByName(s)
-        old = self.sums() if n >= 0 else new.limit(0)
-        merged(old, new, self.cells, self.features).write.mode("overwrite").parquet(f"{self.path}/g{n + 1}")
-        self.staged = []
-        if n >= 1:
-            self._fs.delete(self._path(f"{self.path}/g{n - 1}"), True)
+        n, of = self.generation(), self._next()
+        parts = self.spark.read.parquet(*staged)
+        old = self.sums() if n >= 0 else parts.limit(0)
+        to, draft = f"{self.path}/g{n + 1}", f"{self.path}/draft-{n + 1}"
+        merged(old, parts, self.cells, self.features).write.mode("overwrite").parquet(draft)
+        if mark is not None:  # files that begin with an underscore are no data
+            self._fs.create(self._path(f"{draft}/_mark{mark}")).close()
+        self._fs.delete(self._path(to), True)
+        self._fs.rename(self._path(draft), self._path(to))
+        self._fs.delete(self._path(of), True)
+        for g in self._whole()[: -self.keep]:
+            self._fs.delete(self._path(f"{self.path}/g{g}"), True)
 
     def sums(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/g{self.generation()}")

@@ -24,19 +24,20 @@ def statistic_names() -> list[str]:
     return ["mean", "std", "min", "max", "null", "logstd", *["median" if p == 50 else f"p{p}" for p in PERCENTS]]
 
 
-def summary(source: Source, exact: bool = True, coordinates: bool = True, accuracy: int = 10_000) -> DataFrame:
+def summary(source: Source, exact: bool = False, coordinates: bool = True, accuracy: int = 10_000) -> DataFrame:
     """One row for each feature (and numeric coordinate): mean, std (population), min, max, null, logstd, p1..p99.
 
     One aggregation over all features. Missing and infinite values are left out; ``null`` counts them, for a sparse source
-    also the cells that are not stored. logstd is null unless all values are above 0. Percentiles are exact, or
-    approximate with a bounded sketch.
+    also the cells that are not stored. logstd is null unless all values are above 0. Percentiles are those of a sketch of bounded size, whose
+    ranks are off by at most 1 / ``accuracy`` of all values; ``exact`` ones keep each distinct value in one task, which is
+    for small sources.
     """
     df = source.cells()
     names = list(source.feature_names)
     if coordinates:
         names += [d for d in source.dim_names if df.schema[d].dataType.simpleString() not in ("timestamp", "timestamp_ntz", "date", "string")]
     fractions = [p / 100 for p in PERCENTS]
-    size = F.lit(math.prod(source.axis(d).count() for d in source.dim_names)) if source.sparse else F.count(F.lit(1))
+    size = F.lit(math.prod(source.axis_size(d) for d in source.dim_names)) if source.sparse else F.count(F.lit(1))
     aggs = []
     for f in names:
         x = _finite(F.col(f))
@@ -64,7 +65,7 @@ def summaries(sources: Sequence[Source], keep: str = "last", prefixed: bool = Fa
 def sparsity(source: Source) -> DataFrame:
     """(sparsity): the share of a source's values, over all features and the whole array, that are missing."""
     df = source.cells()
-    size = math.prod(source.axis(d).count() for d in source.dim_names) if source.sparse else None
+    size = math.prod(source.axis_size(d) for d in source.dim_names) if source.sparse else None
     there = sum((F.count(_finite(F.col(f))) for f in source.feature_names), F.lit(0))
     total = F.lit(size) if size is not None else F.count(F.lit(1))
     return df.agg((1 - F.try_divide(there.cast("double"), total * len(source.feature_names))).alias("sparsity"))

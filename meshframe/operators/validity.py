@@ -29,14 +29,33 @@ def in_bins(bins: Mapping[str, tuple[float | None, float | None]]) -> Column:
 
 def indexed(source: Source, dims: Sequence[str] | None = None) -> tuple[DataFrame, dict[str, int]]:
     """Cells with i_<dim>, their step on each axis, and the axes' sizes. Axes are joined on; AQE broadcasts short ones."""
-    df, sizes = source.cells(), {}
+    df, sizes = source.table(), {}
     for d in dims or source.dim_names:
-        axis = source.axis(d)
-        sizes[d] = axis.count()
-        df = df.join(axis.withColumnRenamed("idx", f"i_{d}"), d)
+        sizes[d] = source.axis_size(d)
+        df = df.join(source.axis(d).withColumnRenamed("idx", f"i_{d}"), d)
     return df, sizes
 
 
+#: Steps of a stretch of an array with one dim, at least.
+STRETCH = 65_536
+
+
+def frame_sum(df: DataFrame, value: Column, dim: str, others: Sequence[str], before: int, after: int, out: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over the steps from ``before`` before to ``after`` after along i_<dim>.
+
+    Other dims part the array. An array of one dim is cut in stretches; cells near the end of one come to its
+    neighbours too, so no task holds the whole dim.
+    """
+    w = Window.orderBy(f"i_{dim}").rangeBetween(-before, after)
+    if others:
+        return df.withColumn(out, F.sum(value).over(w.partitionBy(*[f"i_{o}" for o in others])))
+    size = max(STRETCH, 4 * (before + after + 1))
+    i = F.col(f"i_{dim}")
+    own = F.floor(i / size)
+    spread = df.withColumn(out, value).withColumn("__b", F.explode(F.sequence(F.floor((i - after) / size), F.floor((i + before) / size))))
+    return spread.withColumn(out, F.sum(out).over(w.partitionBy("__b"))).where(F.col("__b") == own).drop("__b")
+
+
 def centers(source: Source, bins: Mapping[str, tuple[float | None, float | None]] | None = None, percents: Mapping | None = None, pad_edges: bool = False) -> DataFrame:
     """Cells (with steps i_<dim>) whose windows are valid enough and lie inside the axes.
 
@@ -60,8 +79,7 @@ def centers(source: Source, bins: Mapping[str, tuple[float | None, float | None]
         total = math.prod(1 + sum(span[d]) for d in group)
         held = F.col("__ok")
         for n, d in enumerate(group):
-            w = Window.partitionBy(*[f"i_{o}" for o in source.dim_names if o != d]).orderBy(f"i_{d}").rangeBetween(-span[d][0], span[d][1])
-            df = df.withColumn(f"__sum{n}", F.sum(held).over(w))
+            df = frame_sum(df, held, d, [o for o in source.dim_names if o != d], *span[d], f"__sum{n}")
             held = F.col(f"__sum{n}")
         df = df.withColumn("__ok", (held >= least_valid(percent, total)).cast("int")).drop(*[f"__sum{n}" for n in range(len(group))])
     if bins:

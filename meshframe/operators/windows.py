@@ -15,8 +15,8 @@ from .validity import indexed
 def gather(source: Source, centers: DataFrame) -> DataFrame:
     """``centers`` (with i_<dim>) with an array column for each feature and dim: the window's values in row-major order.
 
-    Along one dim it is a RANGE frame of steps. Along several, centres are exploded to the steps of their window (its
-    size, a constant, bounds the copies) and joined to the cells. Missing cells are null.
+    Centres are exploded to the steps of their window (its size, a constant, bounds the copies) and joined to the cells,
+    which were written once with the source's axes. Missing cells are null.
     """
     df, sizes = indexed(source)
     span = {d: source.span(d, sizes[d]) for d in source.dim_names}
@@ -72,6 +72,27 @@ def samples(sources: Sequence[Source], matches: DataFrame, centers: Sequence[Dat
     return out.select(*matches.columns, *[f"s{i}" for i in range(len(sources))])
 
 
+def dropped(df: DataFrame, sources: Sequence[Source], which: Sequence[int | str], keep_coordinates: bool = False) -> DataFrame:
+    """Samples without the sources named by number or label: their structs are null, or only their features.
+
+    In a label $ may stand for /. Samples keep their shape, so selectors work as before and give null.
+    """
+    labels = [s.name for s in sources]
+    out = {}
+    for w in which:
+        i = int(w) if str(w).lstrip("-").isdigit() else next((n for n, own in enumerate(labels) if own == str(w).replace("$", "/")), None)
+        if i is None or not -len(sources) <= i < len(sources):
+            raise KeyError(f"no source {w}")
+        i %= len(sources)
+        kind, s = df.schema[f"s{i}"].dataType, F.col(f"s{i}")
+        if not keep_coordinates:
+            out[f"s{i}"] = F.lit(None).cast(kind)
+            continue
+        parts = [F.lit(None).cast(f.dataType).alias(f.name) if f.name in sources[i].feature_names else s[f.name].alias(f.name) for f in kind]
+        out[f"s{i}"] = F.when(s.isNotNull(), F.struct(*parts))
+    return df.withColumns(out)
+
+
 class Selector:
     """Resolves names against the structs of a sample.
 

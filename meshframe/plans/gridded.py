@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -60,8 +61,22 @@ class GriddedRun:
         archive.flush()
 
 
-def cast(run: GriddedRun, archive: Archive, extents: Sequence[Mapping[str, tuple]] = ({},), before: Callable | None = None, after: Callable | None = None) -> bool:
-    """Runs all extents into the archive; hooks see the run and the archive. False, with the error printed, if it fails."""
+@dataclass(frozen=True)
+class Outcome:
+    """What came of a run; true if it went well, else with the error."""
+
+    error: Exception | None = None
+
+    def __bool__(self) -> bool:
+        return self.error is None
+
+
+def cast(run: GriddedRun, archive: Archive, extents: Sequence[Mapping[str, tuple]] = ({},), before: Callable | None = None, after: Callable | None = None, strict: bool = False) -> Outcome:
+    """Runs all extents into the archive; hooks see the run and the archive.
+
+    What fails is logged with its trace and kept in the outcome, so that a schedule may go on with other models;
+    ``strict`` raises it.
+    """
     try:
         if before:
             run = before(run) or run
@@ -69,7 +84,9 @@ def cast(run: GriddedRun, archive: Archive, extents: Sequence[Mapping[str, tuple
             run.within(e).into(archive)
         if after:
             after(archive)
-    except Exception as error:  # the caller's schedule goes on with other models
-        print(f"the run failed: {error}")
-        return False
-    return True
+    except Exception as error:
+        logging.getLogger(__name__).exception("the run failed")
+        if strict:
+            raise
+        return Outcome(error)
+    return Outcome()

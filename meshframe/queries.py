@@ -17,6 +17,7 @@ from .operators import archive, batching, halo, matching, regions, stats, validi
 from .plans.graph import Graph, Node, recurrence
 from .plans.gridded import GriddedRun
 from .sources.grid import Source, cell_valid, is_valid
+from .sources.tables import fresh_path
 from .streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -346,13 +347,6 @@ def match_optional_source(spark, sf_dir):
     return keys(matching.match([pts(s) for s in three(spark, sf_dir, required=False)]), "a", "b", "c")
 
 
-@query("drop_source", f"WITH {AB} SELECT hourly.t AS a, b.m AS m, CAST(NULL AS BIGINT) AS dropped FROM hourly JOIN b ON abs(hourly.t - b.t) <= 1.5 + 1e-5")
-def drop_source(spark, sf_dir):
-    a, b, _ = three(spark, sf_dir)
-    m = keys(matching.match([pts(a), pts(b)]), "a", "t")
-    return m.join(b.cells(), "t").select("a", "m", F.lit(None).cast("long").alias("dropped"))
-
-
 @query("match_radius_percent", f"WITH {GRID} SELECT a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM grid a JOIN grid b ON abs(a.x - b.x) <= 1.25 + 1e-5 AND abs(a.y - b.y) <= 0.5 + 1e-5")
 def match_radius_percent(spark, sf_dir):
     s = [grid_source(spark, sf_dir, match_radius={"x": "125%"}), grid_source(spark, sf_dir)]
@@ -516,7 +510,7 @@ def summary_stats(spark, sf_dir):
 
 @query("summary_percentiles", f"WITH {HOURLY} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, quantile_cont(CAST({f} AS DOUBLE), 0.05) AS p5, quantile_cont(CAST({f} AS DOUBLE), 0.25) AS p25, quantile_cont(CAST({f} AS DOUBLE), 0.5) AS median, quantile_cont(CAST({f} AS DOUBLE), 0.75) AS p75 FROM hourly" for f in ("n", "s")))
 def summary_percentiles(spark, sf_dir):
-    return stats.summary(hour_source(spark, sf_dir), coordinates=False).select("feature", "p5", "p25", "median", "p75")
+    return stats.summary(hour_source(spark, sf_dir), exact=True, coordinates=False).select("feature", "p5", "p25", "median", "p75")
 
 
 @query("summaries_keep_last", f"WITH {ABC} SELECT 'm' AS feature, CAST(max(m) AS DOUBLE) AS max FROM c UNION ALL SELECT 'n', CAST(max(n) AS DOUBLE) FROM hourly UNION ALL SELECT 's', CAST(max(s) AS DOUBLE) FROM hourly UNION ALL SELECT 't', max(t) FROM c")
@@ -779,22 +773,24 @@ _halo("constant", "j", value="CASE WHEN j < 0 OR j >= size THEN -5 ELSE n END")
 
 @query("extent_steps", f"WITH {HOURLY}, i AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i, (SELECT count(*) FROM hourly) - 1 AS last FROM hourly) SELECT a.t AS low, b.t AS high FROM i a JOIN i b ON b.i = least(a.i + 100, a.last) WHERE a.i % 100 = 0 AND a.i < a.last")
 def extent_steps(spark, sf_dir):
-    axis = hour_source(spark, sf_dir).axis("t").cache()
-    found = [e["t"] for e in incremental.Extents("t", "steps", steps=100).all(axis)]
-    axis.unpersist()
+    found = [e["t"] for e in incremental.Extents("t", "steps", steps=100).all(hour_source(spark, sf_dir).axis("t"))]
     return spark.createDataFrame(found, "low double, high double")
 
 
 def _streamed(spark, sf_dir, build, mode: str) -> DataFrame:
-    """What a stream over the events' file gives once all of it has arrived."""
-    import uuid
-
+    """What a stream over the events' file gives once all of it has arrived: the last batch's table in the shared folder."""
     raw = table(spark, sf_dir, "events")
-    name = f"stream_{uuid.uuid4().hex}"
     stream = spark.readStream.schema(raw.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
-    q = build(stream.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    out = build(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+    path = fresh_path(spark, "stream")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{epoch}")
+
+    q = out.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}-checkpoint").outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    last = (q.lastProgress or {"batchId": 0})["batchId"]
+    return spark.read.schema(out.schema).parquet(f"{path}/{last}" if mode == "complete" else f"{path}/*")
 
 
 @query("stream_running_mean", "SELECT event_type, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS DOUBLE) / count(*) AS cents, count(*) AS n FROM events GROUP BY 1")
@@ -825,3 +821,6 @@ SELECT CAST(i AS BIGINT) AS i, (SELECT CAST(sum(n) AS BIGINT) FROM ix o WHERE o.
 def flagship_rows(spark, sf_dir):
     out = flagship(spark, sf_dir)
     return out.select(F.col("i_t").alias("i"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), F.element_at("t", -1).alias("t"), "m")
+
+
+from . import queries_more  # noqa: E402,F401  (adds to QUERIES and ORACLE_SQL)

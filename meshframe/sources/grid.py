@@ -12,10 +12,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import stash
+
 #: What counts as missing besides null and NaN.
 INVALID = (-2147483648.0, -9223372036854775808.0, math.inf, -math.inf)
 #: Slack of every tolerance, default radius in units of the resolution, decimals that gaps are rounded to.
 EPS, RADIUS, DECIMALS = 1e-5, 0.5, 5
+#: Coordinates up to which one task numbers an axis; a longer one is numbered in stretches.
+SHORT_AXIS, STRETCHES = 100_000, 1000
 #: Gaps of a uniform axis differ by less.
 UNIFORM = 1e-3
 
@@ -49,6 +53,7 @@ class Source:
     required: bool = True
     sparse: bool = False
     sort_dims: bool = True
+    _kept: dict = field(default_factory=dict, init=False, repr=False, compare=False)
 
     def __post_init__(self):
         if self.valid_feature not in ("all", "any"):
@@ -102,22 +107,34 @@ class Source:
         kind = self.frame.schema[dim].dataType
         return minutes(F.col(dim)) if isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType) else F.col(dim).cast("double")
 
+    def table(self) -> DataFrame:
+        """The cells, written to the shared folder when first asked for: a source is read once, however often it is used."""
+        if "cells" not in self._kept:
+            self._kept["cells"] = stash(self.cells(), "cells")
+        return self._kept["cells"]
+
     def axis(self, dim: str) -> DataFrame:
-        """(dim, idx): the distinct coordinates in ascending order, numbered from 0.
+        """(dim, idx): the distinct coordinates in ascending order, numbered from 0; made once for each dim.
 
-        An axis is short next to its cells (that many steps, not rows), so one task numbers it.
+        Up to SHORT_AXIS of them are numbered in one task. More are cut at quantiles into stretches, which are counted and
+        numbered apart.
         """
-        from pyspark.sql import Window
+        if dim not in self._kept:
+            values = stash(self.table().select(dim).where(F.col(dim).isNotNull()).groupBy(dim).agg(F.count(F.lit(1)).alias("__n")).select(dim), "axis")
+            self._kept[dim, "size"] = n = values.count()
+            self._kept[dim] = stash(_numbered(values, dim, n), "axis")
+        return self._kept[dim]
 
-        values = self.cells().select(dim).where(F.col(dim).isNotNull()).groupBy(dim).agg(F.count(F.lit(1)).alias("__n")).select(dim)
-        return values.withColumn("idx", (F.row_number().over(Window.orderBy(dim)) - 1).cast("long"))
+    def axis_size(self, dim: str) -> int:
+        self.axis(dim)
+        return self._kept[dim, "size"]
 
     def span(self, dim: str, size: int | None = None) -> tuple[int, int]:
         """Steps before and after a centre; None is the whole dim of ``size`` steps."""
         w = self.window.get(dim, 0)
         if w is None:
             if size is None:
-                size = self.axis(dim).count()
+                size = self.axis_size(dim)
             return size // 2, size - size // 2 - 1
         return (w, w) if isinstance(w, int) else (int(w[0]), int(w[1]))
 
@@ -126,12 +143,60 @@ class Source:
         return not self.required or (bool(self.valid_percent) and math.prod(self.valid_percent.values()) == 0)
 
     def config_hash(self) -> str:
-        """Of what decides the cells; sources with equal configuration share a cache."""
-        said = {k: getattr(self, k) for k in ("name", "dims", "features", "extent", "valid_feature", "invalid_value")}
-        said["preprocessors"] = [f"{f.__module__}.{f.__qualname__}" for f in self.preprocessors]
+        """Of all that decides the cells and their validity: the data with its files and their versions, and the rules.
+
+        Functions count by their code and what they hold. Frames without files count by their content, which is read
+        for it.
+        """
+        said = {k: getattr(self, k) for k in ("name", "dims", "features", "extent", "valid_feature", "invalid_value", "sort_dims")}
+        said["extent"] = {d: [str(x) for x in e] for d, e in self.extent.items()}
+        said["preprocessors"] = [hashlib.sha256(_function_bytes(f)).hexdigest() for f in self.preprocessors]
+        said["schema"], said["data"] = self.frame.schema.json(), _data_version(self.frame)
         return hashlib.sha256(json.dumps(said, sort_keys=True, default=str).encode()).hexdigest()
 
 
+def _function_bytes(f: Callable) -> bytes:
+    from pyspark import cloudpickle
+
+    try:
+        return cloudpickle.dumps(f)
+    except Exception as error:
+        raise ValueError(f"{f} cannot be told apart from others, so its results cannot be cached") from error
+
+
+def _data_version(frame: DataFrame) -> str:
+    """What changes when the rows of a frame may have: plan, files, sizes and times; else a digest of its rows."""
+    spark = frame.sparkSession
+    files = sorted(frame.inputFiles())
+    if not files:
+        row = frame.select(F.xxhash64(*[F.col(c) for c in frame.columns]).alias("h")).agg(F.count(F.lit(1)), F.bit_xor("h"), F.sum(F.shiftright("h", 20))).first()
+        return json.dumps(list(row))
+    folders = sorted({f.rsplit("/", 1)[0] for f in files})
+    listed = spark.read.format("binaryFile").load(folders).select("path", "length", F.col("modificationTime").cast("string").alias("t"))
+    wanted = listed.join(F.broadcast(spark.createDataFrame([(f,) for f in files], "path string")), "path", "left_semi") if len(files) <= 10_000 else listed
+    row = wanted.select(F.xxhash64("path", "length", "t").alias("h")).agg(F.count(F.lit(1)), F.bit_xor("h"), F.sum(F.shiftright("h", 20))).first()
+    return json.dumps([frame.semanticHash(), *files[:1], len(files), *row])
+
+
+def _numbered(values: DataFrame, dim: str, n: int) -> DataFrame:
+    from pyspark.sql import Window
+
+    if n <= SHORT_AXIS:
+        return values.select(dim, (F.row_number().over(Window.orderBy(dim)) - 1).cast("long").alias("idx"))
+    kind = values.schema[dim].dataType
+    at = F.unix_micros(F.col(dim).cast("timestamp")) if isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType) else F.col(dim).cast("double")
+    edges = sorted(set(values.agg(F.percentile_approx(at, [i / STRETCHES for i in range(1, STRETCHES)], 10 * STRETCHES)).first()[0]))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(edges).bit_length()))])
+    bounds = F.array(*[F.lit(e) for e in edges])
+    stretch = F.aggregate(steps, F.lit(0), lambda k, step: F.when(F.get(bounds, k + step - 1) <= at, k + step).otherwise(k))
+    cut = values.withColumn("__s", stretch)
+    counts = cut.groupBy("__s").agg(F.count(F.lit(1)).alias("__n"))  # at most STRETCHES rows
+    before = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("__s", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    local = F.row_number().over(Window.partitionBy("__s").orderBy(dim)) - 1
+    return cut.withColumn("__l", local).join(F.broadcast(bases), "__s").select(dim, (F.col("__base") + F.col("__l")).cast("long").alias("idx"))
+
+
 def is_valid(value: Column, invalid_value: float | None = None) -> Column:
     """Not null, not NaN, not the source's own mark, and none of the fixed marks."""
     x = value.cast("double")
@@ -207,7 +272,8 @@ def reader(spark: SparkSession, path: str, **options) -> DataFrame:
 def cache(source: Source, folder: str, overwrite: bool = False) -> Source:
     """The source's preprocessed cells with their validity as a table under its configuration's hash.
 
-    A table that is there already is used again, as its name says that it was made by the same configuration.
+    A table that is there already is used again, as its name says that it was made by the same configuration from the same
+    data: another frame, changed files or rules, or a function with other contents give another name.
     """
     spark = source.frame.sparkSession
     path = f"{folder.rstrip('/')}/{source.name}-{source.config_hash()[:16]}"
@@ -236,7 +302,7 @@ def shared_extent(sources: Sequence[Source]) -> dict[str, tuple[float, float]]:
     """For each dim the interval that all sources with it have, in coordinates."""
     found: dict[str, tuple[float, float]] = {}
     for s in sources:
-        row = s.cells().agg(*[f(s.coordinate(d)).alias(f"{n}_{d}") for d in s.dim_names for n, f in (("lo", F.min), ("hi", F.max))]).first()
+        row = s.table().agg(*[f(s.coordinate(d)).alias(f"{n}_{d}") for d in s.dim_names for n, f in (("lo", F.min), ("hi", F.max))]).first()
         for d in s.dim_names:
             lo, hi = row[f"lo_{d}"], row[f"hi_{d}"]
             if lo is not None:
@@ -249,11 +315,11 @@ def equal_extents(sources: Sequence[Source]) -> list[Source]:
     """The sources cut to the extent they share, with one more coordinate on each side where a source has it."""
     shared, out = shared_extent(sources), []
     for s in sources:
-        df = s.cells()
+        df = s.table()
         for d in s.dim_names:
             lo, hi = shared[d]
             c = s.coordinate(d)
-            below, above = s.cells().agg(F.max(F.when(c < lo, c)), F.min(F.when(c > hi, c))).first()
+            below, above = s.table().agg(F.max(F.when(c < lo, c)), F.min(F.when(c > hi, c))).first()
             df = df.where(c.between(lo if below is None else below, hi if above is None else above))
         out.append(replace(s, frame=df, extent={}, preprocessors=()))
     return out

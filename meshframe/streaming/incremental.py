@@ -45,6 +45,17 @@ class Extents:
         return {self.dim: (low, high)}
 
     def all(self, axis: DataFrame) -> Iterator[dict[str, tuple]]:
+        """All extents that are there now; those of steps are found in one pass over the axis."""
+        if self.strategy == "steps":
+            last = axis.agg(F.max("idx")).first()[0]
+            if last is None or self.position >= last:
+                return
+            here = (F.col("idx") >= self.position) & (((F.col("idx") - self.position) % self.steps == 0) | (F.col("idx") == last))
+            ends = [r[0] for r in axis.where(here).orderBy("idx").select(self.dim).collect()]  # one for each step
+            for low, high in itertools.pairwise(ends):
+                self.position = min(last, self.position + self.steps)
+                yield {self.dim: (low, high)}
+            return
         while e := self.next(axis):
             yield e
             if self.strategy == "fixed":
@@ -65,18 +76,27 @@ def windowed(stream: DataFrame, time: str, width: str, late: str, keys: Sequence
 
 
 def into_archive(stream: DataFrame, archive: Archive, checkpoint: str, every: int = 1):
-    """Runs what is there now into the archive: each micro-batch is placed on the grid and merged.
+    """Runs what is there now into the archive: micro-batches are staged and merged, ``every`` so many and at the end.
 
-    A batch is a generation of the archive; one that was merged before a restart is not merged again.
+    A batch is a fragment under its number, and a generation is marked with the last batch it holds. So one that was
+    merged or staged before a restart, with the archive opened to append, is not counted again.
     """
+    if every < 1:
+        raise ValueError("every must be 1 or more")
+    last = -1
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        if archive.generation() < epoch:
-            archive.stage(batch)
-            archive.flush()
+        nonlocal last
+        if archive.mark() < epoch:
+            archive.stage(batch, f"e{epoch}")
+            last = epoch
+            if (epoch + 1) % every == 0:
+                archive.flush(epoch)
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    staged = [int(f.rsplit("/e", 1)[1]) for f in archive.fragments() if f.rsplit("/e", 1)[-1].isdigit()]
+    archive.flush(max([last, *staged]))
     return query
 
 
