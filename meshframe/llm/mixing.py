@@ -7,13 +7,15 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, stash
+from .common import n_words, stash, width
 
 #: Fixed values of the query contract.
 WEIGHTS: Sequence[float] = (5.0, 2.0, 1.0)
 SHARE, MOST = 1.5, 2.0
 #: Units that a leaf of the tree has on average, and children of an inner node.
 LEAF, FANOUT = 256, 128
+#: Equal rows that are written out in one go.
+RUN = 4096
 #: Sources up to which their table (a few numbers for each) is broadcast; beyond, it is joined by shuffle.
 BROADCAST_SOURCES = 50_000
 
@@ -85,6 +87,19 @@ def _fold(units: Column, seed: int) -> Column:
     return F.aggregate(F.slice(units, F.lit(2), F.greatest(F.size(units) - 1, F.lit(0))), start, step)
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """(unit, size, source, nth): equal rows counted and numbered, so that they are dealt apart.
+
+    Nothing else tells them apart, so which is which does not matter. Many of them are written out in runs by many tasks.
+    """
+    counted = rows.groupBy("unit", "size", "source").agg(F.count(F.lit(1)).alias("n"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    few = counted.where(F.col("n") <= RUN).select("unit", "size", "source", F.explode(F.sequence(zero, F.col("n") - one)).alias("nth"))
+    many = counted.where(F.col("n") > RUN).select("unit", "size", "source", "n", F.explode(F.sequence(zero, F.col("n") - one, F.lit(RUN).cast("long"))).alias("from"))
+    many = many.repartition(width(rows.sparkSession), "unit", "from").select("unit", "size", "source", F.explode(F.sequence("from", F.least(F.col("from") + F.lit(RUN), F.col("n")) - one)).alias("nth"))
+    return few.unionByName(many)
+
+
 def mix(df: DataFrame, unit: list[str], size: str = "size", source: str = "source", seed: int = 17, **rules: float) -> DataFrame:
     """(unit columns, size, source, source_size, target, copies): how often the mix takes each row of ``df``.
 
@@ -92,12 +107,13 @@ def mix(df: DataFrame, unit: list[str], size: str = "size", source: str = "sourc
     dependently within the source. Rows are dealt to leaves by a hash; leaves fold their rows, and what each leaves over,
     one unit, goes up a tree of bounded fan-out to one unit for a source, which is rounded to the nearer side. So a hot
     source takes more leaves, not longer ones, and all draws are hashes: reruns agree. Rows of size 0 (null counts as 0)
-    take the whole part. Null sources are a source. An empty table gives none. Equal rows must differ in ``unit`` to be
-    dealt apart; if they do not, they share a leaf.
+    take the whole part. Null sources are a source, null units units. An empty table gives none. Equal rows are numbered,
+    so they are dealt apart as others are. Further columns are ignored; texts do not come here, only their sizes.
     """
     named = F.struct(*[F.col(c) for c in unit]).alias("unit")
     rows = df.select(named, F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), F.col(source).alias("source"))
     plan = stash(targets(rows.select("source", "size"), **rules), "mix-targets")
+    rows = _told_apart(rows).select(F.struct("unit.*", F.col("nth").alias("__nth")).alias("unit"), "size", "source")
     facts = plan.agg(F.count(F.lit(1)).alias("sources"), F.max("n").alias("n")).first()
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     plan = plan.select(F.col("source").alias("of"), "source_size", "target", share.alias("share"), F.ceil(F.col("n") / LEAF).alias("leaves"))
@@ -108,7 +124,7 @@ def mix(df: DataFrame, unit: list[str], size: str = "size", source: str = "sourc
     keep = ["source", "source_size", "target", "whole"]
 
     def said(units: DataFrame, took: Column) -> DataFrame:
-        return units.select("unit.*", "size", "source", "source_size", "target", (F.col("whole") + took).cast("int").alias("copies"))
+        return units.select(*[F.col(f"unit.{c}").alias(c) for c in unit], "size", "source", "source_size", "target", (F.col("whole") + took).cast("int").alias("copies"))
 
     draws = (F.col("size") > 0) & (F.col("p") > 0)
     found = [said(dealt.where(~draws), F.lit(0))]
