@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, fresh_path
 from .files import committed, open_fs
-from .ranges import range_shards
+from .ranges import range_shards, shard_bytes
 
 #: Payloads shorter than this are never revisits (query contract).
 LEAST_PAYLOAD = 100
-#: Compressed bytes after which a file is closed and the next begun.
-ROLL_BYTES = 64 << 20
+#: A file is closed and the next begun after this share of a shard's bytes, compressed.
+ROLL_SHARE = 8
+#: Bytes read at once; what is left of them after a member is copied, so they are few.
+READ_BYTES = 1 << 14
 #: Fixed values of WARC/1.1 and its profile for revisits.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -65,13 +67,14 @@ def _gzip(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def write_warc(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", roll: int = ROLL_BYTES, target: int | None = None) -> DataFrame:
+def write_warc(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", roll: int | None = None, target: int | None = None) -> DataFrame:
     """Writes one record a row; the manifest (shard, file, records, bytes, sha256), written beside the archives.
 
     Of rows with equal payloads of LEAST_PAYLOAD bytes or more the least key is the response and the others revisit it
     (rows that repeat key and payload: the first of them). Only keys and digests meet to find that out; the pages travel
     once, together with the revisits, by ranges of the key. A shard is written in key order and rolled by compressed
-    size. Null html is an empty payload; null keys come first and are responses only if no other key has the payload.
+    size (``roll``; an eighth of a shard's raw bytes unless given). Long pages are records of their own in memory, one at a
+    time beside the batch they came in. Null html is an empty payload; null keys come first and are responses only if no other key has the payload.
     Further columns are ignored; an empty table gives a manifest without files.
     """
     bounded_batches(df.sparkSession)
@@ -83,7 +86,10 @@ def write_warc(df: DataFrame, folder: str, key: str = "page_id", url: str = "url
     later = long_ones.join(groups, "digest").where(~F.col("key").eqNullSafe(F.col("first")))
     later = later.groupBy("key", "digest").agg(F.min("first").alias("first"))
     rows = pages.select("key", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("first"))
-    shard, n = range_shards(rows, "key", F.octet_length("html") + 256, target)
+    weight = F.octet_length("html") + 256
+    target = target or shard_bytes(rows.agg(F.sum(weight)).first()[0] or 0)
+    roll = roll or target // ROLL_SHARE
+    shard, n = range_shards(rows, "key", weight, target)
     marks = later.select("key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "first")
     both = rows.unionByName(marks).withColumn("__shard", shard)
     dealt = both.repartitionById(n, F.col("__shard")).sortWithinPartitions("__shard", F.col("key").asc_nulls_first(), "kind", "url", "html")
@@ -151,7 +157,7 @@ def read_records(source) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of a gzipped archive, member by member; one record is in memory at a time."""
     z, data, tail = zlib.decompressobj(31), bytearray(), b""
     while True:
-        chunk = tail or source.read(1 << 20)
+        chunk = tail or source.read(READ_BYTES)
         if not chunk:
             break
         data += z.decompress(chunk)
