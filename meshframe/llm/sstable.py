@@ -17,7 +17,7 @@ from .ranges import range_shards
 from .tokens import encoder, tokenizer_path
 
 #: Fixed values of the file format.
-MAGIC = b"MFSST01\n"
+MAGIC = b"MFSST02\n"
 FOOTER = struct.Struct("<QQQQQQQII8s")
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
@@ -70,7 +70,7 @@ class Writer:
         self.at = self.records = self.ids = 0
         self.index: list[tuple[bytes, int, int]] = []
         self.keys: list[bytes] = []
-        self.block, self.first, self.last = bytearray(), b"", b""
+        self.block, self.first, self.last, self.lowest = bytearray(), b"", b"", b""
         self._put(MAGIC)
 
     def _put(self, data: bytes) -> None:
@@ -80,6 +80,8 @@ class Writer:
     def add(self, key: bytes, ids: np.ndarray) -> None:
         if self.records and key < self.last:
             raise ValueError("keys must ascend")
+        if not self.records:
+            self.lowest = key
         if not self.block:
             self.first = self.last = key
             shared = 0
@@ -99,14 +101,15 @@ class Writer:
     def _flush(self) -> None:
         if self.block:
             data = self.zip.compress(bytes(self.block))
-            self.index.append((self.first, self.at, len(data)))
+            self.index.append((self.first, self.at, len(data), zlib.crc32(data)))
             self._put(data)
             self.block = bytearray()
 
     def close(self) -> None:
         self._flush()
         index_at = self.at
-        self._put(b"".join(_varint(len(k)) + k + _varint(at) + _varint(n) for k, at, n in self.index))
+        index = b"".join(_varint(len(k)) + k + _varint(at) + _varint(n) + struct.pack("<I", crc) for k, at, n, crc in self.index)
+        self._put(index)
         bloom_at = self.at
         bits = max(64, -(-len(self.keys) * BLOOM_BITS // 8) * 8)
         bloom = bytearray(bits // 8)
@@ -114,7 +117,7 @@ class Writer:
             for p in _bloom_places(k, bits):
                 bloom[p >> 3] |= 1 << (p & 7)
         self._put(bytes(bloom))
-        crc = zlib.crc32(bytes(bloom))
+        crc = zlib.crc32(bytes(bloom), zlib.crc32(index))
         self._put(FOOTER.pack(index_at, bloom_at - index_at, bloom_at, len(bloom), self.records, self.ids, len(self.index), bits, crc, MAGIC))
 
 
@@ -128,24 +131,29 @@ class Reader:
         size = source.size()
         index_at, index_n, bloom_at, bloom_n, self.records, self.ids, blocks, self.bits, crc, magic = FOOTER.unpack(self._at(size - FOOTER.size, FOOTER.size))
         self.bloom = self._at(bloom_at, bloom_n)
-        if magic != MAGIC or self._at(0, len(MAGIC)) != MAGIC or zlib.crc32(self.bloom) != crc:
-            raise ValueError("not a whole table")
         data, at = self._at(index_at, index_n), 0
+        if magic != MAGIC or self._at(0, len(MAGIC)) != MAGIC or zlib.crc32(self.bloom, zlib.crc32(data)) != crc:
+            raise ValueError("not a whole table")
         self.firsts: list[bytes] = []
-        self.places: list[tuple[int, int]] = []
+        self.places: list[tuple[int, int, int]] = []
         for _ in range(blocks):
             n, at = _read_varint(data, at)
             self.firsts.append(data[at : at + n])
             start, at = _read_varint(data, at + n)
             length, at = _read_varint(data, at)
-            self.places.append((start, length))
+            self.places.append((start, length, struct.unpack_from("<I", data, at)[0]))
+            at += 4
 
     def _at(self, start: int, n: int) -> bytes:
         self.source.seek(start)
         return self.source.read(n)
 
     def _block(self, i: int) -> Iterator[tuple[bytes, np.ndarray]]:
-        data, at, key = self.zip.decompress(self._at(*self.places[i])), 0, b""
+        start, length, crc = self.places[i]
+        packed = self._at(start, length)
+        if zlib.crc32(packed) != crc:
+            raise ValueError("a block differs from its checksum")
+        data, at, key = self.zip.decompress(packed), 0, b""
         while at < len(data):
             shared, at = _read_varint(data, at)
             n, at = _read_varint(data, at)
@@ -174,10 +182,10 @@ class Reader:
 
 
 def write_tables(df: DataFrame, folder: str, key: str = "doc_id", text: str = "text", path: str | None = None, target: int | None = None) -> DataFrame:
-    """Encodes texts into one table a range shard; the manifest (shard, file, records, ids), written beside them.
+    """Encodes texts into one table a range shard; the manifest, written beside them: (shard, file, records, ids, first_key, last_key).
 
     ``df`` is range-partitioned by exact sums of its bytes and sorted in each shard by key, then text, so the files do
-    not depend on how the input lay. Null keys come first, repeated keys follow each other, null texts are empty. A task
+    not depend on how the input lay. Further columns are ignored, an empty table gives a manifest without files. Null keys come first, repeated keys follow each other, null texts are empty. A task
     holds one slice of texts and one block. Files get their names when whole; the manifest, written last, is the commit.
     """
     bounded_batches(df.sparkSession)
@@ -197,20 +205,32 @@ def write_tables(df: DataFrame, folder: str, key: str = "doc_id", text: str = "t
                     if writer is not None:
                         writer.close()
                         held.__exit__(None, None, None)
-                        manifest.append((at, f"shard-{at:06d}.sst", writer.records, writer.ids))
+                        manifest.append((at, f"shard-{at:06d}.sst", writer.records, writer.ids, key_value(writer.lowest), key_value(writer.last)))
                     held = committed(folder, f"shard-{shard:06d}.sst")
                     writer, at = Writer(held.__enter__()), shard
                 writer.add(key_bytes(k), ids)
         if writer is not None:
             writer.close()
             held.__exit__(None, None, None)
-            manifest.append((at, f"shard-{at:06d}.sst", writer.records, writer.ids))
-        columns = list(zip(*manifest, strict=True)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], ["shard", "file", "records", "ids"])
-
-    manifest = dealt.mapInArrow(write, "shard int, file string, records long, ids long")
-    manifest.write.parquet(f"{folder}/_manifest")
-    return spark.read.schema("shard int, file string, records long, ids long").parquet(f"{folder}/_manifest")
+            manifest.append((at, f"shard-{at:06d}.sst", writer.records, writer.ids, key_value(writer.lowest), key_value(writer.last)))
+        columns = list(zip(*manifest, strict=True)) or [()] * 6
+        types = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["shard", "file", "records", "ids", "first_key", "last_key"])
+
+    schema = "shard int, file string, records long, ids long, first_key long, last_key long"
+    dealt.mapInArrow(write, schema).write.parquet(f"{folder}/_manifest")
+    return spark.read.schema(schema).parquet(f"{folder}/_manifest")
+
+
+def lookup(manifest: DataFrame, folder: str, key: int | None) -> list[np.ndarray]:
+    """The ids of all records with this key: the manifest's key ranges name the file, its filter and index the block."""
+    within = F.lit(key is None) & F.col("first_key").isNull() if key is None else (F.coalesce(F.col("first_key") <= key, F.lit(True)) & (F.col("last_key") >= key))
+    fs, base = open_fs(folder)
+    found: list[np.ndarray] = []
+    for r in manifest.where(within).select("file").orderBy("file").collect():
+        with fs.open_input_file(f"{base}/{r['file']}") as source:
+            found += Reader(source).get(key_bytes(key))
+    return found
 
 
 def read_tables(manifest: DataFrame, folder: str) -> DataFrame:
