@@ -7,7 +7,7 @@ from .mixing import op2_pivotal
 from .packing import op4_bin_slack
 from .projections import OP1_SQL, op1_collision_counting
 from .quality import OP7_SQL, op7_line_first
-from .sharding import op6_rendezvous
+from .sharding import OP6_SQL, op6_rendezvous
 from .sstable import op9_sstable
 from .substrings import OP5_SQL, op5_super_kmers
 from .url_filter import OP8_SQL, op8_blocked_bloom
@@ -30,6 +30,7 @@ ORACLE_SQL = {
     "op1_collision_counting": OP1_SQL,
     "op3_warc": OP3_SQL,
     "op5_super_kmers": OP5_SQL,
+    "op6_rendezvous": OP6_SQL,
     "op7_line_first": OP7_SQL,
     "op8_blocked_bloom": OP8_SQL,
     "op10_bayes_minhash": OP10_SQL,

@@ -9,11 +9,19 @@ from pyspark.sql import functions as F
 
 from .common import gapless_rank
 
+#: Slices of a shard that are numbered apart.
+SLICES = 64
+
+
+def draw(*parts: Column) -> Column:
+    """A number from 0 to 2**52 - 1, by the first 13 hex digits of the MD5 of the parts joined by |; null parts are empty."""
+    text = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
 
 def _score(key: Column, shard: int, weight: float) -> Column:
-    """Least wins: -ln(u) / weight, where u in (0, 1) comes from the hash of key and shard."""
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(shard)), 11) + F.lit(0.5)) / F.lit(float(2**53))
-    return -F.log(u) / F.lit(float(weight))
+    """Least wins: -ln(u) / weight, where u in (0, 1) is drawn by key and shard."""
+    return -F.log((draw(key, F.lit(shard)) + F.lit(0.5)) / F.lit(float(2**52))) / F.lit(float(weight))
 
 
 def rendezvous(key: Column, weights: Sequence[float]) -> Column:
@@ -37,7 +45,8 @@ def shard(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[flo
     """
     placed = df.drop("shard", "slot", "grown_shard").withColumn("shard", rendezvous(F.col(key), weights).cast("int"))
     after = rendezvous(F.col(key), grown).cast("int") if grown else F.lit(None).cast("int")
-    ranked = gapless_rank(placed, ["shard"], F.xxhash64(F.col(key), F.lit("slot")), [F.xxhash64(F.col(key), F.lit("slot")), F.col(key)], "slot")
+    order = draw(F.col(key), F.lit("slot"))
+    ranked = gapless_rank(placed, ["shard"], order, [order, F.col(key)], "slot", SLICES)
     return ranked.withColumn("grown_shard", after)
 
 
@@ -46,3 +55,16 @@ def op6_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     rows = docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 8).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"))
     return shard(rows, "doc_id", [1.0] * 24, [1.0] * 25).select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+#: The CRC-32 polynomial is a fixed value.
+OP6_SQL = """
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(n AS BIGINT))) AS t),
+d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(CAST(doc_id AS VARCHAR), '') AS k FROM documents),
+b AS (SELECT *, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM d),
+s AS (SELECT *, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS crc,
+  list_transform(range(25), lambda j: -ln((CAST('0x' || md5(k || '|' || j)[1:13] AS BIGINT) + 0.5) / 4503599627370496.0)) AS score, CAST('0x' || md5(k || '|slot')[1:13] AS BIGINT) AS o FROM b, crc),
+p AS (SELECT *, list_position(score[1:24], list_min(score[1:24])) - 1 AS shard, list_position(score, list_min(score)) - 1 AS grown FROM s)
+SELECT doc_id, CAST(octet_length(encode(text)) + 8 AS BIGINT) AS size, crc AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY o % 64, o, doc_id) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard FROM p
+"""
