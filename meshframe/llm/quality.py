@@ -21,7 +21,12 @@ BOILERPLATE = (
 BOILERPLATE_CHARS = 200
 #: A line of at least so many words must hold a mark of punctuation after one of them.
 SENTENCE_WORDS = 12
-MARK = r"""[.!?…:;,。！？]["'”’»)\]]*(\s|$)"""
+#: Marks that end or part sentences, of Latin, Greek, Armenian, Hebrew, Arabic, Syriac, Indic, Ethiopic,
+#: Mongolian and East Asian writing.
+MARKS = ".!?…:;," + "·;" + "։՜՝՞" + "׃" + "،؛؟۔" + "܀܂" + "।॥" + "።፣፤፥፦፧" + "᠂᠃" + "。！？，、；：｡､" + "‼⁇⁈⁉—–"
+MARK = rf"""[{MARKS}]["'”’»)\]]*(\s|$)"""
+#: Thai, Lao, Tibetan, Burmese and Khmer part sentences by spaces or by marks inside the run of letters.
+UNMARKED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff"
 #: Most of a document's characters (white space aside) that failing lines may take with them.
 MAX_LOST = 0.3
 
@@ -40,7 +45,7 @@ def line_fails(line: Column) -> Column:
     boilerplate = (F.char_length(line) <= BOILERPLATE_CHARS) & line.rlike(BOILERPLATE)
     symbols = line.rlike(f"[{SYMBOLS}]") & (_count_of(line, SYMBOLS) * 10 > _chars(line))
     shouting = F.contains(line, F.lit("!!")) & (F.regexp_count(line, F.lit(r"!!(\s|$)")) * 3 > n)
-    unmarked = ~line.rlike(MARK) & (n >= SENTENCE_WORDS)
+    unmarked = ~line.rlike(MARK) & (n >= SENTENCE_WORDS) & ~line.rlike(f"[{UNMARKED}]")
     return navigation | boilerplate | symbols | shouting | unmarked
 
 
@@ -82,8 +87,8 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
 
     cleaned is the text without its failing lines (line breaks in between stay); kept is false if base_failed or if the
     failing lines hold more than MAX_LOST of the characters. Null and blank texts count nothing and fail; cleaned stays
-    null for a null text. Rows are judged on their own in one narrow pass: repeated rows give repeated results, and no
-    row leaves its partition. Columns of ``df`` with the names of results are replaced.
+    null for a null text. Rows are judged on their own in one narrow pass: repeated rows give repeated results, no row
+    leaves its partition, and an empty table gives none. A text of any length is one row in memory with its words and lines. Columns of ``df`` with the names of results are replaced.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -129,7 +134,7 @@ _FAILS = f"""({_sql_count("x", SEPARATORS)} >= 3 AND {_BARS} >= 3 AND {_BARS} *
   OR length(x) <= {BOILERPLATE_CHARS} AND regexp_matches(x, '{BOILERPLATE}')
   OR {_sql_count("x", SYMBOLS)} * 10 > {_sql_chars("x")}
   OR {_sql_hits("x", r"!!(\s|$)")} * 3 > {_sql_hits("x", WORD)}
-  OR NOT regexp_matches(x, '{MARK.replace("'", "''")}') AND {_sql_hits("x", WORD)} >= {SENTENCE_WORDS})"""
+  OR NOT regexp_matches(x, '{MARK.replace("'", "''")}') AND {_sql_hits("x", WORD)} >= {SENTENCE_WORDS} AND NOT regexp_matches(x, '[{UNMARKED}]'))"""
 OP7_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
