@@ -16,7 +16,7 @@ BATCH_BYTES = 8 << 20
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (tests on one machine) a temporary one is set.
+    Only where the session names none and all runs on one machine (tests) a temporary one is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
     jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
     if jvm_dir.isDefined():
         return jvm_dir.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     made = f"file://{tempfile.mkdtemp(prefix='meshframe-')}"
     spark.sparkContext.setCheckpointDir(made)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")

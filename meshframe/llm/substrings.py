@@ -31,6 +31,8 @@ LEAST_LOCAL = 4
 
 _WORDS = re.compile(WORD)
 _TOP = np.uint64(1 << 63)
+#: What tells rows apart: 96 bits.
+KEY = np.dtype([("key", "<i8"), ("tag", "<i4")])
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
@@ -212,10 +214,10 @@ def _slices(batches: Iterator) -> Iterator[Slice]:
     texts: list[bytes] = []
     size = 0
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for *key, text in zip(*(c.to_pylist() for c in batch.columns[:-1]), batch.columns[-1], strict=True):
             data = text.as_buffer().to_pybytes() if text.is_valid else b""
             texts.append(data)
-            keys.append(key)
+            keys.append(tuple(key))
             size += len(data)
             if size >= SLICE_CHARS:
                 yield Slice(keys, texts)
@@ -234,7 +236,7 @@ def _pack(kind: int, keys: np.ndarray, starts: np.ndarray, counts: np.ndarray, t
     """Super-k-mers of a bucket as one string: their places and their words."""
     import zstandard
 
-    places = keys.astype("<i8").tobytes() + starts.astype("<i4").tobytes() + counts.astype("<i4").tobytes()
+    places = keys.tobytes() + starts.astype("<i4").tobytes() + counts.astype("<i4").tobytes()
     return zstandard.ZstdCompressor(level=3).compress(struct.pack("<BI", kind, len(keys)) + places + text)
 
 
@@ -244,8 +246,8 @@ def _unpack(blob: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, bytes
     raw = zstandard.ZstdDecompressor().decompress(blob)
     kind, n = struct.unpack_from("<BI", raw)
     at = 5
-    keys, starts, counts = np.frombuffer(raw, "<i8", n, at), np.frombuffer(raw, "<i4", n, at + 8 * n), np.frombuffer(raw, "<i4", n, at + 12 * n)
-    return kind, keys, starts, counts, raw[at + 16 * n :]
+    keys, starts, counts = np.frombuffer(raw, KEY, n, at), np.frombuffer(raw, "<i4", n, at + 12 * n), np.frombuffer(raw, "<i4", n, at + 16 * n)
+    return kind, keys, starts, counts, raw[at + 20 * n :]
 
 
 def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -255,7 +257,7 @@ def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def frequent_grams(keyed: DataFrame, k: int = K, m: int = M) -> tuple[np.ndarray, int]:
-    """(sorted hashes of the frequent grams, buckets) for a table of (key, text).
+    """(sorted hashes of the frequent grams, buckets) for a table of (key, tag, text).
 
     Counts come from every text, but a slice does not report a gram that it holds fewer than LEAST_LOCAL times: one that is
     spread thinly over very many slices is taken for rare, and its bucket grows with their number. At most words / threshold grams are frequent, some 60 for each bucket, so their
@@ -289,9 +291,9 @@ def frequent_grams(keyed: DataFrame, k: int = K, m: int = M) -> tuple[np.ndarray
 
 
 def repeated_windows(keyed: DataFrame, k: int = K, m: int = M) -> DataFrame:
-    """(key, start, n): n windows from the word at ``start`` of text ``key`` are found elsewhere too, in any text.
+    """(key, tag, start, n): n windows from the word at ``start`` of text ``key`` are found elsewhere too, in any text.
 
-    ``keyed`` has (key long, text). Overlapping rows may come; every repeated window is in at least one.
+    ``keyed`` has (key long, tag int, text). Overlapping rows may come; every repeated window is in at least one.
     """
     hot, buckets = frequent_grams(keyed, k, m)
     sent = keyed.sparkSession.sparkContext.broadcast(hot)
@@ -305,7 +307,7 @@ def repeated_windows(keyed: DataFrame, k: int = K, m: int = M) -> DataFrame:
             starts, doc = _starts(ends, k)
             if not len(starts):
                 continue
-            keys = np.array(piece.keys, np.int64)
+            keys = np.array(piece.keys, KEY)
             g = grams(piece.hashes, m)
             labels = equal_windows(starts, piece.hashes, g, k, m, piece.spell)
             _, first, of, times = np.unique(labels, return_index=True, return_inverse=True, return_counts=True)
@@ -314,7 +316,7 @@ def repeated_windows(keyed: DataFrame, k: int = K, m: int = M) -> DataFrame:
             a, n = _runs(starts[again], doc[again])
             if len(a):
                 d = doc[again][a]
-                rows.append(((int(keys[0]) + at) % buckets, _pack(0, keys[d], starts[again][a] - ends[d], n)))
+                rows.append(((int(keys[0]['key']) + at) % buckets, _pack(0, keys[d], starts[again][a] - ends[d], n)))
             sends = np.zeros(len(starts), bool)
             sends[first] = True
             ranks = g >> np.uint64(1)
@@ -336,7 +338,7 @@ def repeated_windows(keyed: DataFrame, k: int = K, m: int = M) -> DataFrame:
         import pyarrow as pa
 
         def ranges(keys, starts, counts):
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts, pa.int32()), pa.array(counts, pa.int32())], ["key", "start", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(keys["key"]), pa.array(keys["tag"]), pa.array(starts, pa.int32()), pa.array(counts, pa.int32())], ["key", "tag", "start", "n"])
 
         held, texts = [], []
         for batch in batches:
@@ -375,23 +377,25 @@ def repeated_windows(keyed: DataFrame, k: int = K, m: int = M) -> DataFrame:
 
     packed = keyed.mapInArrow(split, "bucket int, blob binary")
     dealt = packed.repartitionById(buckets, F.pmod(F.col("bucket"), F.lit(buckets)))
-    return dealt.mapInArrow(count, "key long, start int, n int")
+    return dealt.mapInArrow(count, "key long, tag int, start int, n int")
 
 
 def remove_repeats(df: DataFrame, text: str = "text", k: int = K, m: int = M) -> DataFrame:
     """``df`` with n_words, n_removed (long) and kept_text: the words outside repeated windows joined by one space.
 
     A word goes if it is in a window of ``k`` words whose words also start anywhere else, in the same text too; windows
-    are judged on the input. Null and short texts lose nothing (kept_text '' for null). Rows are told apart by a 64-bit
-    hash of all their columns, so repeated or null ids do no harm; equal rows are repeats of each other and lose alike.
+    are judged on the input. Null and short texts lose nothing (kept_text '' for null). Rows are told apart by 96 bits of
+    hashes of all their columns, so repeated or null ids do no harm; equal rows are repeats of each other and lose alike.
+    An empty table gives none. A text of any length is one row in memory with its words.
     Columns of ``df`` with the names of results are replaced.
     """
     bounded_batches(df.sparkSession)
-    base = df.drop("n_words", "n_removed", "kept_text", "__key", "__ranges")
-    keyed = base.withColumn("__key", F.xxhash64(*[F.col(c) for c in base.columns]))
-    found = repeated_windows(keyed.select("__key", text), k, m)
-    ranges = found.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("__ranges"))
-    joined = keyed.join(ranges.withColumnRenamed("key", "__key"), "__key", "left").drop("__key")
+    base = df.drop("n_words", "n_removed", "kept_text", "__key", "__tag", "__ranges")
+    own = [F.col(c) for c in base.columns]
+    keyed = base.withColumns({"__key": F.xxhash64(*own), "__tag": F.hash(*own)})
+    found = repeated_windows(keyed.select("__key", "__tag", text), k, m).distinct()  # equal rows give each range as often as they are
+    ranges = found.groupBy("key", "tag").agg(F.collect_list(F.struct("start", "n")).alias("__ranges"))
+    joined = keyed.join(ranges.withColumnsRenamed({"key": "__key", "tag": "__tag"}), ["__key", "__tag"], "left").drop("__key", "__tag")
     others = list(base.columns)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields)
 
@@ -407,8 +411,9 @@ def remove_repeats(df: DataFrame, text: str = "text", k: int = K, m: int = M) ->
                 if r:
                     edge = np.zeros(len(words) + 1, np.int32)
                     at = np.array([x["start"] for x in r])
+                    to = at + np.array([x["n"] for x in r]) + k - 1
                     np.add.at(edge, at, 1)
-                    np.add.at(edge, at + np.array([x["n"] for x in r]) + k - 1, -1)
+                    np.add.at(edge, to, -1)
                     stay = np.cumsum(edge[:-1]) == 0
                     left = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
                 else:

@@ -48,7 +48,8 @@ def judge(df: DataFrame, url: str, rules: DataFrame, default: str = "allow") ->
 
     ``rules``: rule_host, rule_path, verdict. A rule fits its host and all subdomains if the path starts with its path;
     the longest (host and path together, then host) wins, of repeated rules the lesser verdict. Rows without a rule have
-    rule null and the verdict ``default``. Null urls and such without :// have empty host and path and fit no rule.
+    rule null and the verdict ``default``. Repeated rows are judged each; an empty table or no rules give no hits; very long
+    urls make as many keys as their host has labels, times the lengths of rules' paths. Null urls and such without :// have empty host and path and fit no rule.
 
     The suffixes of a host and the starts of a path (only at the lengths that rules have) make the keys of a row that may
     be listed. A key passes the blocked Bloom filter, whose size is bounded by MAX_BLOCKS and which may so be broadcast,
@@ -65,7 +66,7 @@ def judge(df: DataFrame, url: str, rules: DataFrame, default: str = "allow") ->
     blocks = 1
     while blocks < MAX_BLOCKS and blocks * WORDS * 64 < facts["n"] * BITS_PER_KEY:
         blocks *= 2
-    base = df.drop("host", "path", "rule", "verdict").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
+    base = df.drop("host", "path", "rule", "verdict", "__host").withColumns({"host": host_of(F.col(url)), "path": path_of(F.col(url))})
     if not lengths:
         return base.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     labels = F.split("host", r"\.")
@@ -86,8 +87,12 @@ def judge(df: DataFrame, url: str, rules: DataFrame, default: str = "allow") ->
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("key", "listed"), rank).alias("best"))
     tied = hits.groupBy("host", "path", "key").agg(F.min("listed").alias("verdict"))
     best = best.select("host", "path", F.col("best.key").alias("key")).join(tied, ["host", "path", "key"]).select("host", "path", F.col("key").alias("rule"), "verdict")
-    out = base.join(best, ["host", "path"], "left")
-    return out.select(*base.columns, "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    # rows without a host fit no rule: a key of their own keeps them from meeting in one task
+    alone = F.concat(F.lit("\x00"), F.xxhash64(*[F.col(c) for c in df.drop("host", "path", "rule", "verdict").columns]).cast("string"))
+    rows = base.withColumn("__host", F.when(F.col("host") == "", alone).otherwise(F.col("host")))
+    best = best.withColumnsRenamed({"host": "__h", "path": "__p"})
+    out = rows.join(best, (rows["__host"] == best["__h"]) & (rows["path"] == best["__p"]) & (rows["host"] != ""), "left")
+    return out.select(*[rows[c] for c in base.columns], "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
 #: Fixed values of the query contract: host, path, verdict.

@@ -203,6 +203,14 @@ def test_mix_edges(spark):
     assert mixing.mix(odd_ids(spark).drop("size").withColumn("size", F.lit(None).cast("long")), ["doc_id"]).count() == 6
 
 
+def test_mix_of_equal_rows(spark, monkeypatch):
+    """Equal rows, here with null ids, are dealt apart: no leaf has them all, and the source meets its target."""
+    monkeypatch.setattr(mixing, "RUN", 100)
+    df = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(7).alias("size"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("source"))
+    out = mixing.mix(df, ["doc_id"], weights=(5.0, 3.0), share=0.9).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("n"), F.max("target").alias("t"), F.count("*").alias("rows")).collect()
+    assert all(abs(r.n - r.t) <= 7 and r.rows == 2500 for r in out) and len(out) == 2
+
+
 # 3
 
 
@@ -337,6 +345,22 @@ def test_sharding_moves_little(spark):
     assert all(lighter[r.doc_id] == r.shard or r.shard == 0 for r in heavy)
 
 
+def test_sharding_is_that_of_a_plain_scorer(spark):
+    def u(*parts):
+        return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:13], 16)
+
+    keys, weights = [*range(-40, 400), None, 7, 7], [1.0, 2.0, 0.5, 1.0]
+    out = sharding.shard(spark.createDataFrame([(k,) for k in keys], "doc_id long"), "doc_id", weights, [*weights, 3.0]).collect()
+
+    def best(k, w):
+        return min(range(len(w)), key=lambda j: -math.log((u("" if k is None else k, j) + 0.5) / 2**52) / w[j])
+
+    assert all(r.shard == best(r.doc_id, weights) and r.grown_shard == best(r.doc_id, [*weights, 3.0]) for r in out)
+    for group in brute.by_key(out, lambda r: r.shard).values():
+        order = [u("" if r.doc_id is None else r.doc_id, "slot") for r in sorted(group, key=lambda r: r.slot)]
+        assert [r.slot for r in sorted(group, key=lambda r: r.slot)] == list(range(len(group))) and order == sorted(order, key=lambda o: (o % 64, o))
+
+
 def test_sharding_edges(spark):
     out = sharding.shard(odd_ids(spark), "doc_id", [1.0] * 4).collect()
     assert len(out) == 6 and len({r.shard for r in out if r.doc_id is None}) == 1
@@ -372,6 +396,12 @@ def test_lines(spark):
 # 8
 
 
+@pytest.mark.parametrize("line", ["यह एक लंबी पंक्ति है जिसमें बहुत सारे शब्द हैं और यह यहाँ समाप्त होती है।", "هذه جملة طويلة فيها كلمات كثيرة جدا ولا يوجد فيها سوى علامة واحدة في آخرها هنا؟", "ነገር ግን ይህ ረጅም ዓረፍተ ነገር ነው እና ብዙ ቃላት በውስጡ አሉ እዚህ ያበቃል ።", "คน ไทย เขียน ข้อความ ยาว ๆ โดย ไม่ มี เครื่องหมาย วรรคตอน ใด ๆ เลย ครับ", "Это длинная строка из многих слов, которая кончается здесь точкой, как и положено.", "this line has a great many words but no mark of punctuation at all in it"])
+def test_lines_of_other_scripts(spark, line):
+    fails = spark.createDataFrame([(line,)], "x string").select(quality.line_fails(F.col("x"))).first()[0]
+    assert fails == line.startswith("this")
+
+
 def judge_plain(url, rules):
     if url is None or "://" not in url:
         return "", "", None, "allow"
@@ -475,6 +505,8 @@ def test_tables(spark, docs, rows):
                     assert [x.tolist() for x in hit] == [ids[i]]
                     found.add(i)
     assert found == set(ids)
+    for i in [*list(ids)[::7], -5, 10**9, None]:
+        assert [x.tolist() for x in sstable.lookup(manifest, folder, i)] == ([ids[i]] if i in ids else [])
 
 
 def test_table_blocks(tmp_path):
@@ -511,6 +543,21 @@ def test_range_shards(spark):
     assert [r.s for r in out] == list(range(n)) and all(a.hi < b.lo for a, b in zip(out, out[1:])) and max(r.n for r in out) <= 700
 
 
+def test_range_shards_of_any_two_longs(spark):
+    df = spark.createDataFrame([(-(2**63),), (2**63 - 1,), (0,), (None,)], "k long")
+    shard, n = ranges.range_shards(df, "k", F.lit(10), 10)
+    assert n == 3 and {r.k: r.s for r in df.withColumn("s", shard).collect()} == {None: 0, -(2**63): 0, 0: 1, 2**63 - 1: 2}
+
+
+def test_bounds_are_searched_not_scanned(spark):
+    """25,000 shards take 15 comparisons a row."""
+    bounds = list(range(-50_000, 200_000, 10))
+    n = ranges.count_up_to(bounds, F.col("id"))
+    assert "sequence" not in str(n) and len(bounds).bit_length() == 15
+    out = spark.range(-50_020, 200_020, 7).select("id", n.alias("n")).collect()
+    assert all(r.n == sum(1 for _ in range(-50_000, min(r.id, 199_990) + 1, 10)) for r in out[::50])
+
+
 # 10
 
 
