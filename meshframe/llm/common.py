@@ -2,47 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import fresh_path, shared_dir, stash
+
+__all__ = ["fresh_path", "shared_dir", "stash"]
+
 #: Fixed value of the query contracts: a word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = 8 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the session names none and all runs on one machine (tests) a temporary one is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jvm_dir.isDefined():
-        return jvm_dir.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = f"file://{tempfile.mkdtemp(prefix='meshframe-')}"
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/meshframe/{label}-{uuid.uuid4().hex}"
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again: lineage ends here, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(spark: SparkSession) -> None:
     """Rows go to Python in batches of BATCH_BYTES at most: long texts would fill a worker, and its executor's buffers."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

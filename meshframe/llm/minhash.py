@@ -21,6 +21,8 @@ LANES = BANDS * ROWS
 BATCH, MISS = 48, 1e-6
 #: Members up to which a bucket gives all pairs; larger ones begin with a star and go on by blocks of so many.
 SMALL, BLOCK = 8, 4096
+#: Bytes of shingle sets that a block has on average at most; long texts make more blocks, not larger ones.
+BLOCK_BYTES = 32 << 20
 #: Ids up to which the candidates' texts are picked by broadcast (16 MB); beyond, by shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -224,20 +226,14 @@ def _across(rows: DataFrame, threshold: float, percent: int) -> DataFrame:
                 c = up
             return c
 
-        full: dict[int, frozenset] = {}
-
-        def members(i: int) -> frozenset:
-            if i not in full:
-                full[i] = frozenset(np.frombuffer(sets[i], np.int64).tolist())
-            return full[i]
-
         kept = []
         for at in np.argsort(-m, kind="stable").tolist():
             i, j = int(x[at]), int(y[at])
             p, q = root(int(comps[i])), root(int(comps[j]))
             if p != q:
-                shared = len(members(i) & members(j))
-                if 100 * shared >= percent * (len(members(i)) + len(members(j)) - shared):
+                one, two = np.frombuffer(sets[i], np.uint64), np.frombuffer(sets[j], np.uint64)
+                shared = len(np.intersect1d(one, two, assume_unique=True))
+                if 100 * shared >= percent * (len(one) + len(two) - shared):
                     parent[max(p, q)] = min(p, q)
                     kept.append((reps[i], reps[j]))
         pairs = np.array(kept, np.int64).reshape(-1, 2)
@@ -321,12 +317,13 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     links = stash(_verified(_pruned(first, sigs, threshold), texts, percent, size), "minhash-links")
     parts = components(links, "minhash-components")
     parts = stash(parts, "minhash-parts")
-    state = large.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "band", "n", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    state = large.join(parts.withColumnRenamed("node", "rep"), "rep", "left").join(classes.select("rep", "n_shingles"), "rep")
+    state = state.select("key", "band", "n", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
+    mixed = state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n_shingles").alias("total")).where("low < high").select("key", "total")
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") * 8 / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("rep", "key"), blocks).cast("int")
     to = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"), F.when(o == own, 0).when(own < o, 1).otherwise(2).alias("side")))
-    dealt = state.join(mixed, "key", "left_semi").select("key", "band", "rep", "comp", F.explode(to).alias("at")).select("key", "band", "at.i", "at.j", "at.side", "rep", "comp")
+    dealt = state.join(mixed, "key").select("key", "band", "rep", "comp", F.explode(to).alias("at")).select("key", "band", "at.i", "at.j", "at.side", "rep", "comp")
     sets = sigs.join(texts.select("rep", "set"), "rep")
     again = stash(_across(dealt.join(sets, "rep"), threshold, percent).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).select("a", "b"), "minhash-across")
     more = _verified(again, texts, percent, size)

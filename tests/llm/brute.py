@@ -87,3 +87,53 @@ def by_key(rows, key):
     for r in rows:
         out[key(r)].append(r)
     return out
+
+
+def pivotal(rows, targets, leaf, fanout, seed):
+    """Copies of each (unit, nth, size, source) by sequential pivotal rounding over a tree, on the draws of the operator."""
+    import math
+    import struct
+
+    import xxhash
+
+    def hashed(*values):
+        h = 42
+        for v in values:
+            if v is not None:
+                h = xxhash.xxh64(struct.pack("<q" if isinstance(v, int) else "<i", v if isinstance(v, int) else v[0]), seed=h).intdigest()
+        return h
+
+    sizes, counts = defaultdict(int), Counter()
+    for _, _, size, source in rows:
+        sizes[source] += size
+        counts[source] += 1
+    out, now = {}, defaultdict(list)
+    for unit, nth, size, source in rows:
+        share = targets[source] / sizes[source] if sizes[source] else 0.0
+        whole = math.floor(share)
+        out[unit, nth, source] = whole
+        if size > 0 and share > whole:
+            h = hashed(unit, nth, size, (seed,))
+            now[source, (h - (h >> 63 << 64)) % math.ceil(counts[source] / leaf)].append([(unit, nth), size, share - whole])
+    nodes = math.ceil(max(counts.values()) / leaf)
+    while True:
+        left = defaultdict(list)
+        for (source, node), units in now.items():
+            units.sort(key=lambda u: (u[1], u[0], u[2]), reverse=True)
+            i = units[0]
+            for j in units[1:]:
+                a, b = min((1 - i[2]) * i[1], j[2] * j[1]), min((1 - j[2]) * j[1], i[2] * i[1])
+                u = (hashed(*i[0], *j[0], (seed,)) >> 11) / 2.0**53
+                if u * (a + b) < b:
+                    done, carry = ((i, 1), [j[0], j[1], max(j[2] - a / j[1], 0.0)]) if (1 - i[2]) * i[1] <= j[2] * j[1] else ((j, 0), [i[0], i[1], min(i[2] + a / i[1], 1.0)])
+                else:
+                    done, carry = ((j, 1), [i[0], i[1], max(i[2] - b / i[1], 0.0)]) if (1 - j[2]) * j[1] <= i[2] * i[1] else ((i, 0), [j[0], j[1], min(j[2] + b / j[1], 1.0)])
+                out[(*done[0][0], source)] += done[1]
+                i = carry
+            left[source, node // fanout].append(i)
+            last = (source, i)
+            if nodes <= 1:
+                out[(*last[1][0], source)] += math.floor(i[2] + 0.5)
+        if nodes <= 1:
+            return out
+        nodes, now = -(-nodes // fanout), left

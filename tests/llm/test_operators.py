@@ -203,6 +203,20 @@ def test_mix_edges(spark):
     assert mixing.mix(odd_ids(spark).drop("size").withColumn("size", F.lit(None).cast("long")), ["doc_id"]).count() == 6
 
 
+def test_mix_is_that_of_plain_rounding(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAF", 8)
+    monkeypatch.setattr(mixing, "FANOUT", 4)
+    rng = random.Random(4)
+    rows = [(i, rng.choice([0, 1, 5, 60, 900]) + rng.randrange(9), "aab"[rng.randrange(3)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, size long, source string")
+    out = mixing.mix(df, ["doc_id"], share=0.9).collect()
+    targets = {r.source: r.target for r in out}
+    sizes = {s: sum(r[1] for r in rows if r[2] == s) for s in "ab"}
+    assert all(abs(targets[s] - t) < 1e-6 for s, t in brute.water_fill(sizes, {"a": 5.0, "b": 2.0}, 0.9, 2.0).items())
+    want = brute.pivotal([(i, 0, n, s) for i, n, s in rows], targets, 8, 4, 17)
+    assert {(r.doc_id, 0, r.source): r.copies for r in out} == want
+
+
 def test_mix_of_equal_rows(spark, monkeypatch):
     """Equal rows, here with null ids, are dealt apart: no leaf has them all, and the source meets its target."""
     monkeypatch.setattr(mixing, "RUN", 100)
@@ -590,6 +604,17 @@ def test_near_words_that_polynomials_confuse(spark):
     assert sorted(map(tuple, out.collect())) == brute.near(rows, 2, 80)
 
 
+def test_near_long_texts_in_a_large_bucket(spark, monkeypatch):
+    """Long near copies share buckets; their blocks are cut by the bytes of their sets."""
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 200_000)
+    monkeypatch.setattr(minhash, "SMALL", 3)
+    rng = random.Random(6)
+    base = prose(rng, 9000).split()
+    rows = [(i, " ".join(w if rng.random() > 0.03 else f"w{rng.random()}" for w in base)) for i in range(14)] + [(20, None), (21, "a" * 100_000)]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2)
+    assert sorted(map(tuple, out.collect())) == brute.near(rows, 2, 80)
+
+
 def test_near_edges(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
     out = minhash.near_duplicates(odd_ids(spark), size=2)
