@@ -92,6 +92,12 @@ def r_squared(t: Column, p: Column) -> Column:
     return F.pow(F.corr(t, p), F.lit(2.0))
 
 
+def loss_of(true: Column, predicted: Column, loss, transform=None) -> Column:
+    """``masked_loss`` of a loss of both columns, each first through ``transform``."""
+    t, p = (transform(true), transform(predicted)) if transform else (true, predicted)
+    return masked_loss(loss(t, p))
+
+
 def masked_loss(loss: Column) -> Column:
     """Mean of the losses that are numbers, 0 if none is."""
     x = loss.cast("double")
@@ -136,3 +142,18 @@ class Metrics:
     @staticmethod
     def from_json(text: str) -> dict[str, float]:
         return json.loads(text)
+
+
+class LastBatch:
+    """Metrics of the last batch seen, not of all: each update replaces the values, as a sink of a stream may call it."""
+
+    def __init__(self, names: list[str], true: str, predicted: str, metrics: Metrics | None = None):
+        self.names, self.true, self.predicted, self.metrics = names, true, predicted, metrics or Metrics()
+        self.values: dict[str, float] = {}
+
+    def update(self, batch: DataFrame, epoch: int = 0) -> dict[str, float]:
+        self.values = self.metrics.evaluate(batch, self.true, self.predicted, self.names).first().asDict()
+        return self.values
+
+    def reset(self) -> None:
+        self.values = {}

@@ -147,6 +147,30 @@ class Batches:
     def save(self, path: str) -> None:
         self.plan().write.mode("overwrite").parquet(path)
 
+    def replay(self, path: str, n_samples: int | None = None) -> Iterator:
+        """What is stored at ``path``, written by the first run; ``n_samples`` ends it, which a repeating run needs.
+
+        Batches of a later epoch follow those of the first in the same order.
+        """
+        from ..sources.store import SharedPath
+
+        if self.repeat and n_samples is None:
+            raise ValueError("a repeating run needs n_samples")
+        spark, left = self.df.sparkSession, n_samples
+        if not SharedPath(spark, f"{path}/_SUCCESS").exists():
+            self.save(path)
+        while left is None or left > 0:
+            any_row = False
+            for row in spark.read.parquet(path).orderBy("batch").toLocalIterator():
+                any_row = True
+                yield nested(row, self.features)
+                if left is not None:
+                    left -= len(row[names_in(self.features)[0]])
+                    if left <= 0:
+                        return
+            if not (self.repeat and any_row):
+                return
+
     @staticmethod
     def load(spark, path: str, features) -> Iterator:
         for row in spark.read.parquet(path).orderBy("batch").toLocalIterator():

@@ -32,12 +32,12 @@ def overlap(df: DataFrame, index: str, value: str, n: int, block: int, before: i
     return out.withColumnsRenamed({"block_0": "block", "position_0": "position"})
 
 
-def overlap_nd(df: DataFrame, indexes: Sequence[str], value: str, sizes: Sequence[int], blocks: Sequence[int], depths: Sequence[tuple[int, int]], boundaries: Sequence[str], constant: float | None = None) -> DataFrame:
+def overlap_nd(df: DataFrame, indexes: Sequence[str], value: str, sizes: Sequence[int], blocks: Sequence[int], depths: Sequence[tuple[int, int]], boundaries: Sequence[str], constant: float | None = None, sparse: bool = False) -> DataFrame:
     """(block_0, ..., position_0, ..., value): every block of an array with its halo along all dims, corners too.
 
     For each dim: the array's size, the block's, steps before and after, and what stands beyond the array's ends. Each
     position is found per dim and joined to its cell by an equi-join on the steps; what is outside in a dim with
-    "constant" is the constant, and in one with "none" is left out.
+    "constant" is the constant, and in one with "none" is left out. Of a sparse array only stored cells come.
     """
     spark, out = df.sparkSession, None
     dims = range(len(indexes))
@@ -52,7 +52,7 @@ def overlap_nd(df: DataFrame, indexes: Sequence[str], value: str, sizes: Sequenc
             spans = spans.where(~outside)
         # the positions of all blocks are the result's rows, so this product is no larger than the result
         out = spans if out is None else out.crossJoin(spans)
-    out = out.join(df.select(*[F.col(c).alias(f"__at{d}") for d, c in enumerate(indexes)], F.col(value).alias("__v")), [f"__at{d}" for d in dims], "left")
+    out = out.join(df.select(*[F.col(c).alias(f"__at{d}") for d, c in enumerate(indexes)], F.col(value).alias("__v")), [f"__at{d}" for d in dims], "inner" if sparse else "left")
     filled = F.col("__v")
     for d in dims:
         filled = F.when(F.col(f"__const{d}"), F.lit(constant)).otherwise(filled)

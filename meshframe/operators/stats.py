@@ -120,6 +120,26 @@ def barycenter_edges(sources: Sequence[Source], dim: str, bins: int) -> list[flo
     return [float(sum(x) / len(x)) for x in zip(*rows, strict=True)]
 
 
+def uniform_chunks(sources: Sequence[Source], dim: str, bins: int, least: Sequence[int] | None = None) -> list[list[int]]:
+    """Steps of each source in common bins of a dim, about even: edges are mean quantiles, the outer ones the least and
+    greatest coordinate of all. Bins in which any source has fewer steps than ``least`` join a neighbour."""
+    from .policies import merged_chunks
+
+    edges = barycenter_edges(sources, dim, bins)
+    ends = [s.axis(dim).agg(F.min(s.coordinate(dim)), F.max(s.coordinate(dim))).first() for s in sources]
+    edges[0], edges[-1] = min(e[0] for e in ends), max(e[1] for e in ends)
+    counts = []
+    for s in sources:
+        h = histogram(s.axis(dim).select(s.coordinate(dim).alias("c")), "c", edges).orderBy("bin").collect()  # one row a bin
+        counts.append([r["n"] for r in h])
+    return counts if least is None else merged_chunks(counts, least)
+
+
+def summary_if_valid(sources: Sequence[Source], **kw) -> DataFrame | None:
+    """The summaries of a set of sources, or None if one of them has no valid cell at all."""
+    return summaries(sources, **kw) if all(has_valid(s) for s in sources) else None
+
+
 def max_resolution(source: Source) -> dict[str, float]:
     """The largest gap of each dim; 0 for sparse sources and single coordinates."""
     if source.sparse:

@@ -160,6 +160,33 @@ class Selector:
     def to_struct(self, df: DataFrame, names: Sequence[str], out: str = "values") -> DataFrame:
         return df.select(F.struct(*[self.column(n).alias(n) for n in names]).alias(out))
 
+    def available(self, names) -> list[str]:
+        """The names of a nested list that some source has, in order; an explicit source that lacks one is an error."""
+        out: list[str] = []
+        for n in [names] if isinstance(names, str) else names:
+            if not isinstance(n, str):
+                out += self.available(n)
+                continue
+            try:
+                self.find(n)
+            except KeyError:
+                if "@" in n:
+                    raise
+                continue
+            out.append(n)
+        return out
+
+    def only(self, name: str) -> Column:
+        """A feature that exactly one source has."""
+        has = [i for i, (_, data, _) in enumerate(self.schemas) if name in data]
+        if len(has) != 1:
+            raise KeyError(f"{len(has)} sources have {name}")
+        return F.col(f"s{has[0]}.{name}")
+
+    def groups(self) -> dict[str, dict[str, list[str]]]:
+        """For each label its data and coordinates."""
+        return {label: {"data": data, "coords": coords} for label, data, coords in self.schemas}
+
     def mean_coordinates(self, df: DataFrame) -> DataFrame:
         """For each dim the mean over the sources of their mean coordinate, missing ones left out."""
         out = {}

@@ -43,7 +43,9 @@ class Edge:
 class Node:
     """A function of columns with the names it reads and gives, and steps before and after."""
 
-    def __init__(self, call: Nodelike, inputs: Sequence[str] | None = None, outputs: Sequence[str] | None = None, before: Sequence[Nodelike] = (), after: Sequence[Nodelike] = (), grouped: bool = False):
+    def __init__(self, call: Nodelike, inputs: Sequence[str] | None = None, outputs: Sequence[str] | None = None, before: Sequence[Nodelike] = (), after: Sequence[Nodelike] = (), grouped: bool = False, takes: Sequence = (), gives: Sequence = ()):
+        """``takes`` and ``gives`` are specs of values; where both ends of an edge have one, they must agree."""
+        self.takes, self.gives = {s.name: s for s in takes}, {s.name: s for s in gives}
         self.call, self.inputs, self.outputs, self.before, self.after, self.grouped = call, inputs, outputs, before, after, grouped
 
     def __call__(self, columns: Columns) -> Columns:
@@ -121,6 +123,7 @@ class Graph:
         for e in self.edges:
             if e.target == target and given & {e.rename.get(f, f) for f in e.features or ()}:
                 raise ValueError(f"{target} gets {given} twice")
+        self._check(edge)
         self.edges.append(edge)
         try:
             self.order()
@@ -128,6 +131,56 @@ class Graph:
             self.edges.pop()
             raise
 
+    def _check(self, edge: Edge) -> None:
+        """Values that both ends declare agree in rank, dtype, sizes and dims; an edge between declared ends carries one."""
+        gives, takes = getattr(self.nodes[edge.source], "gives", {}), getattr(self.nodes[edge.target], "takes", {})
+        if not gives or not takes:
+            return
+        sent = {edge.rename.get(k, k): s for k, s in gives.items() if (edge.features is None and not edge.labels) or k in (edge.features or ()) or s.label in edge.labels}
+        both = sent.keys() & takes.keys()
+        if not both:
+            raise ValueError(f"{edge.source} -> {edge.target}: no value in common")
+        for k in sorted(both):
+            a, b = sent[k], takes[k]
+            if not b.accepts(a) or (a.dims and b.dims and a.dims != b.dims):
+                raise ValueError(f"{edge.source} -> {edge.target}: {k} is {a.dtype}{a.shape}{a.dims}, wanted {b.dtype}{b.shape}{b.dims}")
+
+    def degree(self, name: str) -> int:
+        return sum((e.source == name) + (e.target == name) for e in self.edges)
+
+    def adjacent(self, name: str) -> list[str]:
+        return sorted({e.target for e in self.edges if e.source == name} | {e.source for e in self.edges if e.target == name})
+
+    def copy(self) -> Graph:
+        """Another graph of the same nodes."""
+        g = Graph(self.name)
+        g.nodes, g.edges = dict(self.nodes), list(self.edges)
+        return g
+
+    def is_isomorphic(self, other: Graph) -> bool:
+        """Whether some renaming of nodes makes the edges those of the other: search over nodes of like degrees."""
+        own, theirs = {(e.source, e.target) for e in self.edges}, {(e.source, e.target) for e in other.edges}
+        if len(self.nodes) != len(other.nodes) or len(own) != len(theirs):
+            return False
+
+        def mark(edges: set, n: str) -> tuple[int, int]:
+            return sum(b == n for _, b in edges), sum(a == n for a, _ in edges)
+
+        names = list(self.nodes)
+
+        def place(i: int, to: dict[str, str]) -> bool:
+            if i == len(names):
+                return True
+            for m in other.nodes:
+                if m in to.values() or mark(own, names[i]) != mark(theirs, m):
+                    continue
+                now = {**to, names[i]: m}
+                if all((((a, b) in own) == ((now[a], now[b]) in theirs)) for a in now for b in now if names[i] in (a, b)) and place(i + 1, now):
+                    return True
+            return False
+
+        return place(0, {})
+
     def add_edges(self, edges: Sequence[tuple]) -> None:
         for e in edges:
             self.add_edge(*e)
@@ -256,6 +309,32 @@ def select_flat(columns: Mapping, name: str) -> Column:
     return found[0]
 
 
+def rename_found(columns: Mapping, names: Mapping[str, str]) -> Columns:
+    """Nested columns made flat, the entries that names end with (parts joined by /) renamed; two may not become one."""
+    out: Columns = {}
+    found = dict.fromkeys(names, 0)
+
+    def walk(part: Mapping, path: tuple) -> None:
+        for k, v in part.items():
+            if isinstance(v, Mapping):
+                walk(v, (*path, k))
+                continue
+            at = (*path, k)
+            hits = [n for n in names if at[-len(n.split("/")) :] == tuple(n.split("/"))]
+            for n in hits:
+                found[n] += 1
+            name = names[hits[0]] if hits else k
+            if name in out:
+                raise ValueError(f"two columns become {name}")
+            out[name] = v
+
+    walk(columns, ())
+    for n, times in found.items():
+        if times != 1:
+            raise KeyError(f"{times} columns match {n}")
+    return out
+
+
 def recurrence(inputs: Column, initial: Column, step: Callable[[Column, Column], Column], sequence: bool = False) -> Column:
     """state[0] = initial, state[i] = step(inputs[i - 1], state[i - 1]) along an array; the last state, or all of them."""
     if not sequence:
@@ -297,6 +376,40 @@ def lstm(inputs: Column, weights: Mapping[str, Sequence]) -> Column:
     return recurrence(inputs, F.struct(zero.alias("h"), zero.alias("c")), step)["h"]
 
 
+def cross_stitch(inputs: Column, cells: Sequence[Mapping[str, Sequence]]) -> Column:
+    """The last hidden states, one array for each cell, of LSTM cells that see each other.
+
+    Every cell reads the step's inputs, then the hidden states of the other cells in order, and its own state; weights as
+    for ``lstm``, "W" having a row for each of these.
+    """
+    sizes = [len(c["b"]) // 4 for c in cells]
+
+    def sigmoid(x: Column) -> Column:
+        return 1 / (1 + F.exp(-x))
+
+    def gate(k: int, j: int, x: Column, s: Column, n: int) -> Column:
+        w, u, b = cells[k]["W"], cells[k]["U"], cells[k]["b"]
+        seen = [F.get(x, F.lit(i)) for i in range(n)] + [F.get(s[f"h{o}"], F.lit(i)) for o in range(len(cells)) if o != k for i in range(sizes[o])]
+        total = F.lit(float(b[j]))
+        for v, row in zip(seen, w, strict=True):
+            total = total + v * float(row[j])
+        for i in range(sizes[k]):
+            total = total + F.get(s[f"h{k}"], F.lit(i)) * float(u[i][j])
+        return total
+
+    def step(x: Column, s: Column) -> Column:
+        pairs = []
+        for k, units in enumerate(sizes):
+            n = len(cells[k]["W"]) - sum(sizes) + units
+            c = [sigmoid(gate(k, units + j, x, s, n)) * F.get(s[f"c{k}"], F.lit(j)) + sigmoid(gate(k, j, x, s, n)) * F.tanh(gate(k, 2 * units + j, x, s, n)) for j in range(units)]
+            pairs += [F.array(*c).alias(f"c{k}"), F.array(*[sigmoid(gate(k, 3 * units + j, x, s, n)) for j in range(units)]).alias(f"o{k}")]
+        return F.element_at(F.transform(F.array(F.struct(*pairs)), lambda p: F.struct(*[v for k in range(len(cells)) for v in (F.zip_with(p[f"o{k}"], p[f"c{k}"], lambda o, c: o * F.tanh(c)).alias(f"h{k}"), p[f"c{k}"].alias(f"c{k}"))])), 1)
+
+    zero = F.struct(*[v for k, n in enumerate(sizes) for v in (F.array(*[F.lit(0.0)] * n).alias(f"h{k}"), F.array(*[F.lit(0.0)] * n).alias(f"c{k}"))])
+    last = recurrence(inputs, zero, step)
+    return F.array(*[last[f"h{k}"] for k in range(len(cells))])
+
+
 def score(df: DataFrame, model: Callable, schema: str) -> DataFrame:
     """A Python model over batches of rows: ``model()`` is made once in each task and called with pandas frames."""
 

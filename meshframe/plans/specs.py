@@ -78,10 +78,11 @@ def span_of(size: int) -> tuple[int, int]:
     return size // 2, size - size // 2 - 1
 
 
-def sources_from(specs: Sequence[IOSpec], open_source: Callable[[str], tuple[DataFrame, Sequence[str]]], depths: Mapping[str, int] | None = None, options: Mapping[str, Mapping] | None = None) -> list[Source]:
+def sources_from(specs: Sequence[IOSpec], open_source: Callable[[str], tuple[DataFrame, Sequence[str]]], depths: Mapping[str, int] | None = None, options: Mapping[str, Mapping] | None = None, find_location: Callable[[str], str] | None = None, adapt: Callable[[str, DataFrame], DataFrame] | None = None) -> list[Source]:
     """One source for each distinct source and window; sizes None come from ``depths``; options["*"] hold for all.
 
-    A coordinate that is asked for as a feature joins the first source whose window is the same.
+    A coordinate that is asked for as a feature joins the first source whose window is the same. ``find_location`` says
+    where a source lies, for ``open_source``; ``adapt`` changes what was opened, e.g. its names.
     """
     groups: dict[tuple, list[str]] = {}
     for s in specs:
@@ -90,7 +91,8 @@ def sources_from(specs: Sequence[IOSpec], open_source: Callable[[str], tuple[Dat
         own += [f for f in s.features if f not in own]
     out = []
     for (name, window), features in groups.items():
-        frame, dims = open_source(name)
+        frame, dims = open_source(find_location(name) if find_location else name)
+        frame = adapt(name, frame) if adapt else frame
         absent = [f for f in features if f not in frame.columns]
         if absent:
             raise ValueError(f"{name} has no {absent}")

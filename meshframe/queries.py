@@ -376,16 +376,25 @@ def match_virtual_dim(spark, sf_dir):
     return m.select(F.col("k0.x").alias("x"), F.col("k0.y").alias("y"), F.col("k1").alias("other"))
 
 
+def moments(spark: SparkSession, sf_dir: str, kind: str) -> Source:
+    """The minutes in which events of a kind came: an axis with gaps of all sizes."""
+    e = table(spark, sf_dir, "events").where(F.col("event_type") == kind)
+    m = e.groupBy(F.expr("unix_micros(cast(ts as timestamp)) div 60000000").cast("double").alias("t")).agg(F.count(F.lit(1)).alias("m"))
+    return Source(kind, m, ["t"])
+
+
+def _reach(name: str, kind: str) -> str:
+    gap, back = "lead(t) OVER (ORDER BY t) - t", "t - lag(t) OVER (ORDER BY t)"
+    return f"{name} AS (SELECT t, 0.5 * coalesce({back}, {gap}) AS l, 0.5 * coalesce({gap}, {back}) AS r FROM (SELECT DISTINCT CAST(epoch_us(ts) // 60000000 AS DOUBLE) AS t FROM events WHERE event_type = '{kind}'))"
+
+
 @query(
     "match_non_uniform",
-    f"""WITH {EV}{every(5, 'e', 'error')}{every(1, 'u', 'purchase')}, ee AS (SELECT t, 0.5 * coalesce(t - lag(t) OVER (ORDER BY t), lead(t) OVER (ORDER BY t) - t) AS l, 0.5 * coalesce(lead(t) OVER (ORDER BY t) - t, t - lag(t) OVER (ORDER BY t)) AS r FROM e WHERE m % 3 <> 0),
-uu AS (SELECT t, 0.5 * coalesce(t - lag(t) OVER (ORDER BY t), lead(t) OVER (ORDER BY t) - t) AS l, 0.5 * coalesce(lead(t) OVER (ORDER BY t) - t, t - lag(t) OVER (ORDER BY t)) AS r FROM u WHERE m % 4 <> 0)
+    f"""WITH {_reach("ee", "error")}, {_reach("uu", "purchase")}
 SELECT ee.t AS a, uu.t AS b FROM ee JOIN uu ON uu.t BETWEEN ee.t - ee.l - 1e-5 AND ee.t + ee.r + 1e-5 OR ee.t BETWEEN uu.t - uu.l - 1e-5 AND uu.t + uu.r + 1e-5""",
 )
 def match_non_uniform(spark, sf_dir):
-    a = Source("e", grouped(spark, sf_dir, 5, "error").where("m % 3 <> 0").drop("h"), ["t"])
-    b = Source("u", grouped(spark, sf_dir, 1, "purchase").where("m % 4 <> 0").drop("h"), ["t"])
-    return keys(matching.match([pts(a), pts(b)]), "a", "b")
+    return keys(matching.match([pts(moments(spark, sf_dir, k)) for k in ("error", "purchase")]), "a", "b")
 
 
 @query(
@@ -754,12 +763,12 @@ def recurrence_ema(spark, sf_dir):
 def _halo(boundary: str, at: str, where: str = "true", value: str = "n") -> None:
     @query(
         f"halo_{boundary}",
-        f"""WITH {GRID}, g AS (SELECT x AS i, n FROM grid WHERE y = 3), size AS (SELECT count(*) AS n FROM g), b AS (SELECT unnest(range(0, CAST(ceil(n / 4.0) AS BIGINT))) AS block, n AS size FROM size),
+        f"""WITH {GRID}, g AS (SELECT x AS i, CAST(sum(n) AS BIGINT) AS n FROM grid GROUP BY x), size AS (SELECT count(*) AS n FROM g), b AS (SELECT unnest(range(0, CAST(ceil(n / 4.0) AS BIGINT))) AS block, n AS size FROM size),
 p AS (SELECT block, size, unnest(range(-2, least(4, size - block * 4) + 2)) AS pos FROM b), q AS (SELECT block, pos, size, block * 4 + pos AS j FROM p)
 SELECT CAST(block AS INTEGER) AS block, pos AS position, {value} AS n FROM (SELECT block, pos, j, size, {at} AS k FROM q) LEFT JOIN (SELECT i, n FROM g) g ON g.i = k WHERE {where}""",
     )
     def halos(spark, sf_dir):
-        g = grid(spark, sf_dir).where("y = 3").select(F.col("x").alias("i"), "n")
+        g = grid(spark, sf_dir).groupBy(F.col("x").alias("i")).agg(F.sum("n").alias("n"))
         out = halo.overlap(g, "i", "n", g.count(), 4, 2, 2, boundary, constant=-5)
         return out.select("block", F.col("position").cast("long"), F.col("n").cast("long"))
 
@@ -823,4 +832,4 @@ def flagship_rows(spark, sf_dir):
     return out.select(F.col("i_t").alias("i"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), F.element_at("t", -1).alias("t"), "m")
 
 
-from . import queries_more  # noqa: E402,F401  (adds to QUERIES and ORACLE_SQL)
+from . import queries_more, queries_stores  # noqa: E402,F401  (adds to QUERIES and ORACLE_SQL)

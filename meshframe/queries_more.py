@@ -98,9 +98,9 @@ def sample_coordinate(spark, sf_dir):
     return sel.select(df, ["t@error"]).select(F.get("`t@error`", F.lit(0)).alias("b")).distinct()
 
 
-@query("gather_sparse", f"WITH {GRID}, v AS (SELECT x, y, n FROM grid WHERE x <> 4) SELECT a.x, a.y, count(b.n) AS there, CAST(sum(b.n) AS BIGINT) AS n FROM v a JOIN v b ON abs((SELECT count(DISTINCT x) FROM v c WHERE c.x < a.x) - (SELECT count(DISTINCT x) FROM v c WHERE c.x < b.x)) <= 1 AND a.y = b.y GROUP BY 1, 2")
+@query("gather_sparse", f"WITH {GRID}, v AS (SELECT x, y, n FROM grid WHERE q <> -2147483648) SELECT a.x, a.y, count(b.n) AS there, CAST(sum(b.n) AS BIGINT) AS n FROM v a JOIN v b ON abs((SELECT count(DISTINCT x) FROM v c WHERE c.x < a.x) - (SELECT count(DISTINCT x) FROM v c WHERE c.x < b.x)) <= 1 AND a.y = b.y GROUP BY 1, 2")
 def gather_sparse(spark, sf_dir):
-    s = Source("sparse", grid(spark, sf_dir).where("x <> 4"), ["x", "y"], features=["n"], window={"x": 1}, sparse=True, match_radius={"x": 1, "y": 1})
+    s = Source("sparse", grid(spark, sf_dir).where("q <> -2147483648"), ["x", "y"], features=["n"], window={"x": 1}, sparse=True, match_radius={"x": 1, "y": 1})
     df, _ = validity.indexed(s)
     w = windows.gather(s, df)
     there = F.filter("n", lambda v: v.isNotNull())
@@ -122,9 +122,9 @@ def diagnose_empty(spark, sf_dir):
 # statistics, transforms, metrics
 
 
-@query("summary_sparse", f"WITH {GRID}, v AS (SELECT * FROM grid WHERE NOT (x = 4 AND y = 2) AND q <> -2147483648) SELECT 'n' AS feature, round(avg(n), 6) AS mean, CAST((SELECT count(DISTINCT x) * count(DISTINCT y) FROM v) - count(n) AS BIGINT) AS null_count FROM v")
+@query("summary_sparse", f"WITH {GRID}, v AS (SELECT * FROM grid WHERE q <> -2147483648) SELECT 'n' AS feature, round(avg(n), 6) AS mean, CAST((SELECT count(DISTINCT x) * count(DISTINCT y) FROM v) - count(n) AS BIGINT) AS null_count FROM v")
 def summary_sparse(spark, sf_dir):
-    s = Source("sparse", grid(spark, sf_dir).where("not (x = 4 and y = 2) and q <> -2147483648"), ["x", "y"], features=["n"], sparse=True, match_radius={"x": 1, "y": 1})
+    s = Source("sparse", grid(spark, sf_dir).where("q <> -2147483648"), ["x", "y"], features=["n"], sparse=True, match_radius={"x": 1, "y": 1})
     return stats.summary(s, coordinates=False).select("feature", F.round("mean", 6).alias("mean"), F.col("null").alias("null_count"))
 
 

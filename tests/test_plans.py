@@ -36,3 +36,36 @@ def test_expressions_stay_in_the_jvm(spark, name):
 @pytest.mark.parametrize("name,most", [("archive_mean", 3), ("metrics_by_group", 1), ("t_combination", 0), ("graph_pipeline", 0), ("batches", 3)])
 def test_exchanges(spark, name, most):
     assert len(re.findall(r"\bExchange (?:hash|range|Single)", plan(spark, name))) <= most
+
+
+def scans(frame):
+    """Paths that the plan of a frame reads, one for each scan."""
+    return re.findall(r"Location: \w+\(\d+ paths?\)\[([^\]]*)\]", frame._jdf.queryExecution().explainString(frame.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")))
+
+
+@pytest.mark.parametrize("name", ["flagship", "window_gather_2d", "match_three_sources", "match_pairwise", "gridded_graph"])
+def test_sources_are_read_once(spark, name, monkeypatch):
+    """Plans read the tables written from a source, never the source again; each source wrote its cells once."""
+    from meshframe.sources import grid
+
+    wrote = []
+    monkeypatch.setattr(grid, "stash", lambda df, label, real=grid.stash: wrote.append(label) or real(df, label))
+    frame = queries.QUERIES[name](spark, FOLDER)
+    assert not [s for s in scans(frame) if FOLDER in s and "lineitem" not in s]
+    assert wrote.count("cells") <= (3 if "three" in name or "pairwise" in name else 2)
+
+
+def test_windows_of_one_dim_are_cut_in_stretches(spark):
+    assert "SinglePartition" not in plan(spark, "window_valid_fraction")
+
+
+def test_long_axes_are_numbered_in_stretches(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from meshframe.sources import grid
+
+    monkeypatch.setattr(grid, "SHORT_AXIS", 10)
+    df = spark.range(3000).select((F.col("id") * F.col("id") % 7919).cast("double").alias("t"), F.lit(1).alias("v"))
+    got = grid.Source("s", df, ["t"]).axis("t").orderBy("idx").collect()
+    want = sorted({float(i * i % 7919) for i in range(3000)})
+    assert [(r.t, r.idx) for r in got] == [(t, i) for i, t in enumerate(want)]
