@@ -385,6 +385,102 @@ def test_stream_into_archive(spark, tmp_path):
     assert {r.x: r.v for r in a.read().collect()} == pytest.approx(want) and a.generation() == 2
 
 
+def test_archives_open_again(spark, tmp_path):
+    axes, path = {"x": axis(spark, [0, 10, 20], "x")}, str(tmp_path / "archive")
+    df = spark.createDataFrame([(1.0, 2.0), (11.0, 3.0), (2.0, 4.0)], "x double, v double")
+    a = archive.Archive(spark, path, axes, ["v"])
+    a.stage(df)
+    a.flush(7)
+    a.stage(df, "late")
+    b = archive.Archive(spark, path, axes, ["v"], existing="append")
+    assert b.mark() == 7 and len(b.fragments()) == 1
+    b.stage(df.limit(0), "late")  # a fragment that comes again replaces its first try
+    b.stage(df, "late")
+    b.flush(8)
+    assert {r.x: r.v for r in b.read().collect()} == {0.0: 3.0, 10.0: 3.0} and b.mark() == 8 and not b.fragments()
+    assert {r.v__count for r in b.sums().collect()} == {4, 2}
+    with pytest.raises(ValueError):
+        archive.Archive(spark, path, axes, ["w"], existing="append")
+
+
+def test_a_killed_stream_counts_nothing_twice(spark, tmp_path, monkeypatch):
+    """The first run dies between staging and merging, the second inside its checkpoint's batch."""
+    rows = [(float(i % 25), float(i)) for i in range(80)]
+    for i in range(4):
+        spark.createDataFrame(rows[i * 20 : i * 20 + 20], "x double, v double").coalesce(1).write.parquet(str(tmp_path / "in" / f"p{i}"))
+    axes, path = {"x": axis(spark, [0, 10, 20], "x")}, str(tmp_path / "archive")
+
+    def run(fail):
+        a = archive.Archive(spark, path, axes, ["v"], existing="append")
+        if fail:
+            def broken(mark=None):
+                if mark == fail:
+                    raise RuntimeError("killed")
+                archive.Archive.flush(a, mark)
+            a.flush = broken
+        incremental.into_archive(incremental.file_stream(spark, str(tmp_path / "in" / "*"), "x double, v double"), a, str(tmp_path / "cp"), every=2)
+        return a
+
+    with pytest.raises(Exception, match="killed"):
+        run(1)
+    with pytest.raises(Exception, match="killed"):
+        run(3)
+    a = run(0)
+    assert a.mark() == 3 and sum(r.v__count for r in a.sums().collect()) == 80
+    assert sum(r.v__sum for r in a.sums().collect()) == sum(v for _, v in rows)
+
+
+def test_caches_tell_data_apart(spark, tmp_path):
+    from meshframe.sources.grid import cache
+
+    def source(frame, least=0, **kw):
+        return Source("s", frame, ["x"], features=["v"], preprocessors=[lambda own, df: df.where(F.col("v") >= least)], **kw)
+
+    folder, a, b = str(tmp_path / "cache"), spark.range(5).select(F.col("id").alias("x"), F.col("id").alias("v")), spark.range(9).select(F.col("id").alias("x"), (F.col("id") * 2).alias("v"))
+    assert cache(source(a), folder).frame.count() == 5 and cache(source(b), folder).frame.count() == 9
+    assert cache(source(a, 3), folder).frame.count() == 2 and source(a).config_hash() == source(a).config_hash()
+    assert source(a).config_hash() != source(a, invalid_value=3.0).config_hash()
+    path = str(tmp_path / "files")
+    a.write.parquet(path)
+    before = source(spark.read.parquet(path)).config_hash()
+    assert before == source(spark.read.parquet(path)).config_hash()
+    b.write.mode("overwrite").parquet(path)
+    assert before != source(spark.read.parquet(path)).config_hash() and cache(source(spark.read.parquet(path)), folder).frame.count() == 9
+
+
+def test_frames_of_one_dim_across_stretches(spark, monkeypatch):
+    from meshframe.operators import validity
+
+    monkeypatch.setattr(validity, "STRETCH", 10)
+    df = spark.range(95).select(F.col("id").alias("i_t"), (F.col("id") % 7).alias("v"))
+    got = {r.i_t: r.s for r in validity.frame_sum(df, F.col("v"), "t", [], 3, 1, "s").collect()}
+    assert got == {i: sum(k % 7 for k in range(max(0, i - 3), min(95, i + 2))) for i in range(95)}
+
+
+def test_policies(spark):
+    from meshframe.operators import policies
+
+    assert [p.drop for p in policies.rotation([{"t": 1.0}], [["a"], []])] == [("a",), ()]
+    with pytest.raises(ValueError):
+        policies.rotation([{"t": 1.0}, {"t": 0.5}], [["a"], [], ["b"]])
+    assert policies.merged_chunks([[1, 5, 1, 4, 1], [2, 2, 2, 2, 2]], [2, 2]) == [[6, 6], [4, 6]]
+    items, at = policies.arranged(["bb", "a", "cc", "d"], len)
+    assert items == ["a", "d", "bb", "cc"] and policies.restored(items, at) == ["bb", "a", "cc", "d"]
+    entered = []
+
+    @policies.factory
+    def scaled():
+        import contextlib
+
+        @contextlib.contextmanager
+        def manage():
+            entered.append(1)
+            yield lambda x: x * 2
+        return manage()
+
+    assert list(policies.prepared([1, 2, 3], scaled)) == [2, 4, 6] and entered == [1]
+
+
 def test_gridded_runs(spark, tmp_path):
     """Predictions of matched windows reach their cells; extents one after another give what all at once gives."""
     import itertools as it
@@ -400,7 +496,7 @@ def test_gridded_runs(spark, tmp_path):
     whole, parts = (archive.Archive(spark, str(tmp_path / n), axes, ["v"]) for n in ("whole", "parts"))
     assert cast(run, whole) and cast(run, parts, [{"t": (0, 6)}, {"t": (5, 11)}])
     assert {(r.t, r.y): r.v for r in whole.read().collect()} == want == {(r.t, r.y): r.v for r in parts.read().collect()}
-    assert not cast(run, whole, [{"t": (0,)}])
+    assert not cast(run, whole, [{"t": (0,)}]) and cast(run, whole, [{"t": (0,)}]).error is not None
 
 
 def test_config(tmp_path):
