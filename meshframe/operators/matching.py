@@ -103,12 +103,13 @@ def _bucketed(p: Points, right: DataFrame, j: int, olds: Sequence[tuple[int, Poi
     return right, equal
 
 
-def match(sources: Sequence[Points], method: str = "multi") -> DataFrame:
+def match(sources: Sequence[Points], method: str = "multi", allow_product: bool = False) -> DataFrame:
     """(k0, k1, ...): keys of one point of each source that all lie near each other.
 
     method: "multi" (each pair in reach), "locus" (each pair's reaches overlap) or "l2" (Euclidean: the distance from all
     points joined before, so the order of sources matters with three or more). Optional sources come last and give null
-    where nothing matches. Sources without a dim in common with any other pair with all of it.
+    where nothing matches. A source without a dim in common with any other pairs with all of it, which must be asked for
+    by ``allow_product``.
     """
     if method not in ("multi", "locus", "l2"):
         raise ValueError("method must be multi, locus or l2")
@@ -117,6 +118,8 @@ def match(sources: Sequence[Points], method: str = "multi") -> DataFrame:
     df = _prefixed(done[0][1], order[0])
     for j in order[1:]:
         p = sources[j]
+        if not allow_product and not any(set(p.dims) & set(o.dims) for _, o in done):
+            raise ValueError(f"source {j} shares no dim with those before it: its pairs are a product (allow_product)")
         if method == "l2":
             conditions = [_distance([i for i, _ in done], j, {i: [d for d in o.dims if d in p.dims] for i, o in done})]
         else:
@@ -133,9 +136,12 @@ def match(sources: Sequence[Points], method: str = "multi") -> DataFrame:
 
 
 def match_pairwise(sources: Sequence[Points], locus: bool = False) -> DataFrame:
-    """The matches of all pairs of sources, joined naturally on the keys they share; equals ``match``."""
+    """The matches of all pairs of sources with a dim in common, joined naturally on the keys they share; equals ``match``."""
     tables = []
-    for i, j in itertools.combinations(range(len(sources)), 2):
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(sources)), 2) if set(sources[i].dims) & set(sources[j].dims)]
+    if {i for p in pairs for i in p} != set(range(len(sources))):
+        raise ValueError("a source shares no dim with any other")
+    for i, j in sorted(pairs):
         m = match([sources[i], sources[j]], "locus" if locus else "multi")
         tables.append(m.select(F.col("k0").alias(f"k{i}"), F.col("k1").alias(f"k{j}")))
     out = tables[0]
@@ -238,6 +244,6 @@ def diagnose(sources: Sequence[tuple[str, Points]]) -> str | None:
         if p.required and not p.frame.limit(1).count():
             return f"{name} has no valid windows"
     for (a, p), (b, q) in itertools.combinations([s for s in sources if s[1].required], 2):
-        if not match([p, q]).limit(1).count():
+        if not match([p, q], allow_product=True).limit(1).count():
             return f"{a} and {b} do not match"
     return None

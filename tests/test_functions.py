@@ -457,6 +457,20 @@ def test_frames_of_one_dim_across_stretches(spark, monkeypatch):
     assert got == {i: sum(k % 7 for k in range(max(0, i - 3), min(95, i + 2))) for i in range(95)}
 
 
+def test_scratch_tables_go(spark, tmp_path):
+    from meshframe.sources.store import SharedPath
+    from meshframe.sources.tables import fresh_path, scratch, stash
+
+    with scratch(spark):
+        kept = stash(spark.range(5), "test")
+        other = fresh_path(spark, "test")
+        assert kept.count() == 5
+        path = SharedPath(spark, kept.inputFiles()[0]).parent
+        assert path.exists() and path.join("..", "x").name == "x" and path.parent.children()
+    assert not path.exists() and not SharedPath(spark, other).exists()
+    assert stash(spark.range(3), "test").count() == 3
+
+
 def test_policies(spark):
     from meshframe.operators import policies
 

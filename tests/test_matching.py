@@ -25,6 +25,7 @@ def line(spark, name, values, **kw):
     return Source(name, df, ["x"], **kw)
 
 
+# Worked examples of which points match, as the semantics state them.
 def test_one_dim(spark):
     assert found(spark, [[1, 2, 3], [2, 3, 4], [3, 4, 5]]) == [(2, 1, 0)]
     assert found(spark, [[1, 2, 3], [4, 5, 6], [3, 1, 0]], 2) == [(2, 0, 0)]
@@ -166,6 +167,14 @@ def test_index_of(spark, mode):
         assert got[i] == want, (v, mode)
 
 
+def test_products_are_asked_for(spark):
+    p, q = matching.plain_points(spark, [1.0, 2.0]), matching.plain_points(spark, [5.0, 6.0, 7.0])
+    q = matching.Points(q.frame.withColumnsRenamed({"c_0": "c_y", "l_0": "l_y", "r_0": "r_y"}), ["y"], {"y": 1.0})
+    with pytest.raises(ValueError):
+        matching.match([p, q])
+    assert matching.match([p, q], allow_product=True).count() == 6
+
+
 def test_cartesian(spark):
     a = spark.range(3).select(F.col("id").alias("n"), F.col("id").alias("v"))
     b = spark.range(4).select(F.col("id").alias("n"), (F.col("id") * 10).alias("v"))
