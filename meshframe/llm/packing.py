@@ -13,6 +13,8 @@ from .common import bounded_batches, gapless_rank, stash
 from .tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
+#: Pieces of one length that a task numbers, on average at most.
+SLICE_ROWS = 100_000
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -92,7 +94,8 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | Non
     Documents longer than a sequence give full pieces and a rest. The driver sees how many pieces have each length (at
     most ``capacity`` numbers) and plans the patterns; each piece then finds its sequence by its rank among the pieces
     of its length, which is numbered in slices so that a common length is no single task. Null keys are kept, repeated
-    rows packed each, null and empty texts are one end id. An empty table gives no spans.
+    rows packed each, null and empty texts are one end id. An empty table gives no spans; further columns are ignored. A text
+    of any length is one row in memory with its ids, and is cut as it comes.
     """
     bounded_batches(df.sparkSession)
     cut = stash(pieces(df, key, text, path or tokenizer_path(), capacity), "pack-pieces")
@@ -110,7 +113,8 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | Non
             offset += length * pattern[length]
         sequence += times
     tables = {x: np.array(rows, np.int64) for x, rows in segments.items()}
-    ranked = gapless_rank(cut, ["length"], F.xxhash64("key", "start", "ids_crc32"), [F.col("key"), F.col("start"), F.col("ids_crc32"), F.col("doc_tokens")], "rank", slices=256)
+    slices = max(16, -(-max(counts.values(), default=0) // SLICE_ROWS))
+    ranked = gapless_rank(cut, ["length"], F.xxhash64("key", "start", "ids_crc32"), [F.col("key"), F.col("start"), F.col("ids_crc32"), F.col("doc_tokens")], "rank", slices)
     kind = cut.schema["key"].dataType.simpleString()
 
     def place(batches: Iterator) -> Iterator:

@@ -137,3 +137,32 @@ def pivotal(rows, targets, leaf, fanout, seed):
         if nodes <= 1:
             return out
         nodes, now = -(-nodes // fanout), left
+
+
+def line_first(text):
+    """(cleaned, share of characters lost) of a text, line by line; the rules spelled out anew."""
+    space = " \t\n\x0b\x0c\r"
+
+    def solid(x):
+        return sum(c not in space for c in x)
+
+    def bad(line):
+        words = [w for w in re.split("[ \t\n\x0b\x0c\r]+", line) if w]
+        bars = [w for w in words if w in ("|", "»", "›", "•", "·")]
+        if len(bars) >= 3 and len(bars) * 4 >= len(words):
+            return True
+        phrases = ["all rights reserved", "terms of use", "terms of service", "privacy policy", "accept cookies", "accept all cookies", "enable javascript", "click here", "follow us", "share this", "read more", "skip to content", "subscribe to", "login to", "log in to", "copyright (c)", "copyright ©"]
+        phrases += [f"sign {a} {b}" for a in ("in", "up") for b in ("to", "for", "now")]
+        low = line.lower()
+        if len(line) <= 200 and (any(p in low for p in phrases) or re.search("copyright [0-9]{4}", low)):
+            return True
+        if 10 * sum(line.count(c) for c in "#*$%&|<>") > solid(line):
+            return True
+        if 3 * sum(w.endswith("!!") for w in words) > len(words):
+            return True
+        marked = any(w.rstrip("\"'”’»)]")[-1:] in set(".!?…:;,。！？।؟،።") for w in words)
+        return len(words) >= 12 and not marked and not any("\u0e00" <= c <= "\u0e7f" for c in line)
+
+    text = text or ""
+    cleaned = "\n".join(x for x in text.split("\n") if not bad(x))
+    return cleaned, solid(text) - solid(cleaned)

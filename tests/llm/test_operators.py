@@ -394,6 +394,20 @@ def test_line_counts(docs, rows):
         assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0])
 
 
+def test_lines_are_judged_as_spelled_out(docs, rows):
+    """The rules again, sharing no pattern with the operator, over prose, menus, boilerplate, junk and other scripts."""
+    extra = ["Home | About | News | Shop\nA line of prose, which is fine.", "Sign up for news\n" + "fine words, all of them. " * 20, "# # # $ $\nwords " * 30, "WOW!! NOW!! GO!! yes\n" + "good prose here, at last. " * 30, "copyright 2020 someone\nthis one has twelve words and more than that but no marks in it at all\nend.", "यह एक लंबी पंक्ति है जिसमें बहुत सारे शब्द हैं और यह यहाँ समाप्त होती है।\n" * 5]
+    data = [(i, t) for i, t in rows] + [(10_000 + i, t) for i, t in enumerate(extra)]
+    df = docs.sparkSession.createDataFrame(data, "doc_id long, text string")
+    texts = dict(data)
+    out = {r.doc_id: r for r in quality.measure(df).collect()}
+    for i, t in texts.items():
+        cleaned, lost = brute.line_first(t)
+        n, chars, _, _, repeat = brute.line_counts(t)
+        assert (out[i].cleaned or "") == cleaned
+        assert out[i].kept == (n >= 50 and 100 * repeat <= 50 * n and lost <= 0.3 * chars)
+
+
 def test_lines(spark):
     rng = random.Random(1)
     clean = "\n".join(prose(rng, 15, 9999) + "." for _ in range(8))
