@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WORD, bounded_batches, components, stash
-from .substrings import SLICE_CHARS, Slice, _factor, _mix, _spans, grams
+from .substrings import _SPACE, SLICE_CHARS, Slice, _factor, _mix, _spans, grams
 
 #: Lanes of a signature (a byte each) in bands: a pair at 0.8 shares no band with probability 5e-7.
 BANDS, ROWS = 48, 6
@@ -79,19 +79,19 @@ def plausible(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarra
 
 def _spaced(part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, starts, ends): the slice's words with one space after each."""
-    sizes = part.ends - part.starts
-    ends = np.cumsum(sizes + 1) - 1
     raw = np.frombuffer(part.data + b" ", np.uint8)
-    at = _spans(part.starts, sizes + 1)
-    at[ends] = len(raw) - 1
-    return raw[at], ends - sizes, ends
+    solid = ~_SPACE[raw]
+    keep = solid.copy()
+    keep[1:] |= solid[:-1]  # the space after a word
+    ends = np.cumsum(part.ends - part.starts + 1) - 1
+    return np.where(solid, raw, np.uint8(32))[keep], ends - (part.ends - part.starts), ends
 
 
 def _spelled(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
     """A cryptographic digest of the shingles that lie there, in the order given: it says which words a set holds."""
     said = hashlib.blake2b(digest_size=16)
-    for i in range(0, len(starts), 1 << 16):
-        x, n = starts[i : i + (1 << 16)], ends[i : i + (1 << 16)] + 1 - starts[i : i + (1 << 16)]
+    for i in range(0, len(starts), 1 << 14):
+        x, n = starts[i : i + (1 << 14)], ends[i : i + (1 << 14)] + 1 - starts[i : i + (1 << 14)]
         said.update(raw[_spans(x, n)].tobytes())
     return said.digest()
 
