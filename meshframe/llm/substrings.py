@@ -4,13 +4,16 @@ A window is ``k`` consecutive words. Of its m-word grams the one with the least
 is its minimiser; consecutive windows with one minimiser occurrence are a super-k-mer and travel as one packed string.
 Equal windows have equal minimisers, so they meet in one bucket.
 
-Frequent grams are counted over the whole table first. A window with a rare gram goes by a rare gram, which
-occurs in few places unless it is spread thinly over very many slices (see frequent_grams); a window of frequent grams alone lies inside a repeated passage,
-and each slice of the input sends such a window once: what repeats inside the slice is settled there.
+Frequent grams are counted over the whole table first. A window with a rare gram goes by a rare gram, which occurs in
+few places. A window of frequent grams alone lies inside a repeated passage; it goes as a digest of its words, dealt by
+digest and salt, so that no bucket gets a passage whole. Each slice of the input sends a window once: what repeats
+inside the slice is settled there.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 import struct
 from collections.abc import Iterator
@@ -25,14 +28,20 @@ K, M = 35, 4
 #: Characters of text that a task looks at together, and text of super-k-mers that a bucket is laid out for.
 SLICE_CHARS, BUCKET_BYTES = 4 << 20, 20 << 20
 #: A gram is frequent if it makes up this share of a bucket's super-k-mers; no gram is below the least count.
-HOT_SHARE, LEAST_HOT = 0.25, 64
-#: Times in a slice from which a gram is reported; a frequent one has more in some slice.
-LEAST_LOCAL = 4
+HOT_SHARE, LEAST_HOT = 0.25, 256
+#: A gram found fewer times in a slice is reported as so many, with the chance that keeps its expected count.
+SPREAD = 64
+#: Frequent grams that are broadcast at most (64 MB); beyond, the threshold rises.
+MOST_HOT = 8_000_000
+#: Tasks that buckets are dealt to at most; beyond, a task takes several, one after another.
+MOST_TASKS = 32_768
 
 _WORDS = re.compile(WORD)
 _TOP = np.uint64(1 << 63)
 #: What tells rows apart: 96 bits.
 KEY = np.dtype([("key", "<i8"), ("tag", "<i4")])
+#: A digest of a window's words and its place.
+PLACE = np.dtype([("high", "<u8"), ("low", "<u8"), ("key", "<i8"), ("tag", "<i4"), ("start", "<i4")])
 _SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
 
 
@@ -208,8 +217,8 @@ def _split(text: bytes) -> list[bytes]:
     return text.split()  # bytes.split knows exactly the ASCII white space
 
 
-def _slices(batches: Iterator) -> Iterator[Slice]:
-    """About SLICE_CHARS of text at a time."""
+def _slices(batches: Iterator, chars: int) -> Iterator[Slice]:
+    """About ``chars`` bytes of text at a time."""
     keys: list = []
     texts: list[bytes] = []
     size = 0
@@ -219,7 +228,7 @@ def _slices(batches: Iterator) -> Iterator[Slice]:
             texts.append(data)
             keys.append(tuple(key))
             size += len(data)
-            if size >= SLICE_CHARS:
+            if size >= chars:
                 yield Slice(keys, texts)
                 keys, texts, size = [], [], 0
     if keys:
@@ -246,29 +255,58 @@ def _unpack(blob: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, bytes
     raw = zstandard.ZstdDecompressor().decompress(blob)
     kind, n = struct.unpack_from("<BI", raw)
     at = 5
+    if kind == 2:
+        none = np.zeros(0, np.int32)
+        return kind, np.frombuffer(raw, PLACE, n, at), none, none, b""
     keys, starts, counts = np.frombuffer(raw, KEY, n, at), np.frombuffer(raw, "<i4", n, at + 12 * n), np.frombuffer(raw, "<i4", n, at + 16 * n)
     return kind, keys, starts, counts, raw[at + 20 * n :]
 
 
+def _pack_places(places: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack("<BI", 2, len(places)) + places.tobytes())
+
+
+def _digests(part: Slice, starts: np.ndarray, counts: np.ndarray, k: int) -> bytes:
+    """16 bytes for each window of some runs of windows: BLAKE2b of its words, each ended by a space."""
+    out = []
+    for start, n in zip(starts.tolist(), counts.tolist(), strict=True):
+        words = part.spell(start, start + n + k - 1)
+        line = b" ".join(words) + b" "
+        at = np.cumsum([0, *[len(w) + 1 for w in words]]).tolist()
+        out += [hashlib.blake2b(line[at[i] : at[i + k]], digest_size=16).digest() for i in range(n)]
+    return b"".join(out)
+
+
+def _slice_number(at: int) -> int:
+    """A well mixed number of the slice ``at`` of this task."""
+    from pyspark import TaskContext
+
+    return int(_mix(np.array([(TaskContext.get().partitionId() << 32) + at], np.uint64))[0])
+
+
 def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers from each start on, ``lengths`` of them, one span after another."""
     ends = np.cumsum(lengths)
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
-def frequent_grams(keyed: DataFrame, k: int = K, m: int = M) -> tuple[np.ndarray, int]:
-    """(sorted hashes of the frequent grams, buckets) for a table of (key, tag, text).
+def frequent_grams(keyed: DataFrame, k: int = K, m: int = M) -> tuple[np.ndarray, int, int]:
+    """(sorted hashes of the frequent grams, buckets, words) for a table of (key, tag, text).
 
-    Counts come from every text, but a slice does not report a gram that it holds fewer than LEAST_LOCAL times: one that is
-    spread thinly over very many slices is taken for rare, and its bucket grows with their number. At most words / threshold grams are frequent, some 60 for each bucket, so their
-    number is bounded by that of the buckets.
+    Counts come from every text. A gram that a slice holds fewer than SPREAD times is reported as SPREAD times with the
+    chance that keeps its expected count, so grams that are spread thinly over all slices are counted too, and a count of
+    n has a standard deviation of sqrt(SPREAD * n) at most. Counts decide only how windows travel, never the result. At
+    most words / threshold grams are frequent, some 60 for each bucket; where they would be more than MOST_HOT, only
+    the most frequent ones are.
     """
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         total = 0
-        for part in _slices(batches):
+        for at, part in enumerate(_slices(batches, SLICE_CHARS)):
             total += len(part.hashes)
             g = grams(part.hashes, m)
             inside = np.ones(len(g), bool)
@@ -276,8 +314,9 @@ def frequent_grams(keyed: DataFrame, k: int = K, m: int = M) -> tuple[np.ndarray
                 cut = part.docs[1:-1] - back
                 inside[cut[(cut >= 0) & (cut < len(g))]] = False
             found, n = np.unique(g[inside], return_counts=True)
-            often = n >= LEAST_LOCAL
-            yield pa.RecordBatch.from_arrays([pa.array(found[often].view(np.int64)), pa.array(n[often])], ["gram", "n"])
+            draw = _mix(found ^ np.uint64(_slice_number(at))) >> np.uint64(11)
+            told = draw * 2.0**-53 * SPREAD < n
+            yield pa.RecordBatch.from_arrays([pa.array(found[told].view(np.int64)), pa.array(np.maximum(n[told], SPREAD))], ["gram", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["gram", "n"])
 
     counts = keyed.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -286,23 +325,35 @@ def frequent_grams(keyed: DataFrame, k: int = K, m: int = M) -> tuple[np.ndarray
     buckets = max(width(keyed.sparkSession), -(-total * 18 // BUCKET_BYTES))
     super_kmers = 2 * total / (k - m + 2)
     least = max(LEAST_HOT, HOT_SHARE * super_kmers / buckets)
-    hot = [r["gram"] for r in counts.where(F.col("gram").isNotNull() & (F.col("n") >= least)).select("gram").collect()]
-    return np.sort(np.array(hot, np.int64).view(np.uint64)), buckets
+    level = F.floor(F.log2("n") * 8)  # a few hundred levels tell how far the threshold must rise
+    often = counts.where(F.col("gram").isNotNull() & (F.col("n") >= least)).withColumn("level", level)
+    lowest, held = 0, 0
+    for r in sorted(often.groupBy("level").agg(F.count(F.lit(1)).alias("grams")).collect(), reverse=True):
+        held += r["grams"]
+        if held > MOST_HOT:
+            lowest = r["level"] + 1
+            break
+    hot = often.where(F.col("level") >= lowest).select("gram").toArrow().column("gram").to_numpy()
+    return np.sort(hot.astype(np.int64).view(np.uint64)), buckets, total
 
 
 def repeated_windows(keyed: DataFrame, k: int = K, m: int = M) -> DataFrame:
     """(key, tag, start, n): n windows from the word at ``start`` of text ``key`` are found elsewhere too, in any text.
 
     ``keyed`` has (key long, tag int, text). Overlapping rows may come; every repeated window is in at least one.
+
+    A digest is dealt by itself and one of as many salts as the square root of the number of slices. A bucket settles the
+    digests that it holds several times and passes on one row for each digest; at most a row for each salt meets then.
     """
-    hot, buckets = frequent_grams(keyed, k, m)
+    hot, buckets, total = frequent_grams(keyed, k, m)
+    salts = max(1, math.isqrt(total * 7 // SLICE_CHARS))
     sent = keyed.sparkSession.sparkContext.broadcast(hot)
 
     def split(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         hot = sent.value
-        for at, piece in enumerate(_slices(batches)):
+        for at, piece in enumerate(_slices(batches, SLICE_CHARS)):
             ends = piece.docs
             starts, doc = _starts(ends, k)
             if not len(starts):
@@ -316,7 +367,7 @@ def repeated_windows(keyed: DataFrame, k: int = K, m: int = M) -> DataFrame:
             a, n = _runs(starts[again], doc[again])
             if len(a):
                 d = doc[again][a]
-                rows.append(((int(keys[0]['key']) + at) % buckets, _pack(0, keys[d], starts[again][a] - ends[d], n)))
+                rows.append((_slice_number(at) % buckets, _pack(0, keys[d], starts[again][a] - ends[d], n)))
             sends = np.zeros(len(starts), bool)
             sends[first] = True
             ranks = g >> np.uint64(1)
@@ -325,59 +376,107 @@ def repeated_windows(keyed: DataFrame, k: int = K, m: int = M) -> DataFrame:
             place = minimisers(ranks, k - m + 1)[starts[sends]]
             a, n = _runs(starts[sends], place)
             begin, d = starts[sends][a], doc[sends][a]
+            known = ranks[place[a]] >= _TOP
+            if known.any():
+                places = np.zeros(int(n[known].sum()), PLACE)
+                of_doc = np.repeat(d[known], n[known])
+                digests = np.frombuffer(_digests(piece, begin[known], n[known], k), "<u8").reshape(-1, 2)
+                places["high"], places["low"] = digests[:, 0], digests[:, 1]
+                places["key"], places["tag"] = keys["key"][of_doc], keys["tag"][of_doc]
+                places["start"] = _spans(begin[known], n[known]) - ends[of_doc]
+                bucket = (_mix(digests[:, 0] ^ _factor(_slice_number(at) % salts)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                    rows.append((int(bucket[part[0]]), _pack_places(places[part])))
+                a, n, begin, d = a[~known], n[~known], begin[~known], d[~known]
             bucket = (_mix(g[place[a]]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(order) else []:
                 froms, tos = piece.starts[begin[part]].tolist(), piece.ends[begin[part] + n[part] + k - 2].tolist()
                 text = b"\n".join([piece.data[x:y] for x, y in zip(froms, tos, strict=True)])
                 rows.append((int(bucket[part[0]]), _pack(1, keys[d[part]], begin[part] - ends[d[part]], n[part], text)))
-            b, blobs = zip(*rows, strict=True)
+            b, blobs = zip(*rows, strict=True)  # a slice with a window sends something
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def ranges(keys, starts, counts):
-            return pa.RecordBatch.from_arrays([pa.array(keys["key"]), pa.array(keys["tag"]), pa.array(starts, pa.int32()), pa.array(counts, pa.int32())], ["key", "tag", "start", "n"])
-
-        held, texts = [], []
+        def ranges(keys, starts, counts, digests=None):
+            columns = [pa.array(keys["key"]), pa.array(keys["tag"]), pa.array(starts, pa.int32()), pa.array(counts, pa.int32())]
+            columns.append(pa.nulls(len(keys), pa.binary()) if digests is None else pa.array(digests, pa.binary()))
+            return pa.RecordBatch.from_arrays(columns, ["key", "tag", "start", "n", "digest"])
+
+        def settle(held: list, texts: list[bytes]) -> Iterator:
+            """The repeated windows among super-k-mers of one bucket."""
+            keys, starts, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            hashes, spots, base = [], [], 0
+            for text in texts:
+                h, a, b = tokenise(text)
+                hashes.append(h)
+                spots.append(np.stack([a + base, b + base]).astype(np.int64 if base > 1 << 30 else np.int32))
+                base += len(text) + 1
+            data = b"\n".join(texts)
+            texts.clear()
+            hashes, spots = np.concatenate(hashes), np.concatenate(spots, axis=1)
+
+            def spell(first: int, end: int) -> list[bytes]:
+                return _split(data[spots[0, first] : spots[1, end - 1]])
+
+            sizes = counts.astype(np.int64) + k - 1
+            at, of = _starts(np.concatenate([[0], np.cumsum(sizes)]), k)
+            labels = equal_windows(at, hashes, grams(hashes, m), k, m, spell)
+            _, inverse, times = np.unique(labels, return_inverse=True, return_counts=True)
+            again = times[inverse] > 1
+            a, n = _runs(at[again], of[again])
+            d = of[again][a]
+            yield ranges(keys[d], starts[d] + (at[again][a] - (np.cumsum(sizes) - sizes)[d]), n)
+
+        def digested(places: np.ndarray) -> Iterator:
+            """Places whose digest the bucket has twice; one row with the digest for each, with its place if it is alone."""
+            places = places[np.lexsort((places["low"], places["high"]))]
+            cut = np.flatnonzero((places["high"][1:] != places["high"][:-1]) | (places["low"][1:] != places["low"][:-1])) + 1
+            first = np.concatenate([[0], cut])
+            times = np.diff(np.concatenate([first, [len(places)]]))
+            several = places[np.repeat(times > 1, times)]
+            yield ranges(several, several["start"], np.ones(len(several), np.int32))
+            lone = places[first]
+            raw = lone[["high", "low"]].tolist()
+            yield ranges(lone, lone["start"], (times == 1).astype(np.int32), [struct.pack("<QQ", *x) for x in raw])
+
+        def finish(held: list, texts: list[bytes], places: list) -> Iterator:
+            if held:
+                yield from settle(held, texts)
+            if places:
+                yield from digested(np.concatenate(places))
+                places.clear()
+
+        held, texts, places, now = [], [], [], None
         for batch in batches:
-            for blob in batch.column(1):
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if bucket != now:
+                    yield from finish(held, texts, places)
+                    now = bucket
                 kind, keys, starts, counts, text = _unpack(blob.as_py())
                 if kind == 0:
                     yield ranges(keys, starts, counts)
-                else:
+                elif kind == 1:
                     held.append((keys, starts, counts))
                     texts.append(text)
-        if not held:
-            return
-        keys, starts, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-        held.clear()
-        hashes, spots, base = [], [], 0
-        for text in texts:
-            h, a, b = tokenise(text)
-            hashes.append(h)
-            spots.append(np.stack([a + base, b + base]).astype(np.int64 if base > 1 << 30 else np.int32))
-            base += len(text) + 1
-        data = b"\n".join(texts)
-        texts.clear()
-        hashes, spots = np.concatenate(hashes), np.concatenate(spots, axis=1)
-
-        def spell(first: int, end: int) -> list[bytes]:
-            return _split(data[spots[0, first] : spots[1, end - 1]])
-
-        sizes = counts.astype(np.int64) + k - 1
-        at, of = _starts(np.concatenate([[0], np.cumsum(sizes)]), k)
-        labels = equal_windows(at, hashes, grams(hashes, m), k, m, spell)
-        _, inverse, times = np.unique(labels, return_inverse=True, return_counts=True)
-        again = times[inverse] > 1
-        a, n = _runs(at[again], of[again])
-        d = of[again][a]
-        yield ranges(keys[d], starts[d] + (at[again][a] - (np.cumsum(sizes) - sizes)[d]), n)
+                else:
+                    places.append(keys)
+        yield from finish(held, texts, places)
 
     packed = keyed.mapInArrow(split, "bucket int, blob binary")
-    dealt = packed.repartitionById(buckets, F.pmod(F.col("bucket"), F.lit(buckets)))
-    return dealt.mapInArrow(count, "key long, tag int, start int, n int")
+    tasks = min(buckets, MOST_TASKS)
+    dealt = packed.repartitionById(tasks, F.pmod(F.col("bucket"), F.lit(tasks)))
+    if buckets > tasks:
+        dealt = dealt.sortWithinPartitions("bucket")
+    found = stash(dealt.mapInArrow(count, "key long, tag int, start int, n int, digest binary"), "substring-ranges")
+    place = F.when(F.col("n") > 0, F.struct("key", "tag", "start", "n"))
+    spread = found.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("times"), F.collect_list(place).alias("places"))
+    lone = spread.where("times > 1").select(F.explode("places").alias("p")).select("p.*")
+    return found.where("digest is null").drop("digest").unionByName(lone)
 
 
 def remove_repeats(df: DataFrame, text: str = "text", k: int = K, m: int = M) -> DataFrame:

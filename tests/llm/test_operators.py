@@ -310,18 +310,35 @@ def test_pack_edges(spark):
 # 5
 
 
-@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("hot", [0, 1, 64])
 def test_substrings(docs, rows, monkeypatch, hot):
     if hot:
         monkeypatch.setattr(substrings, "LEAST_HOT", 3)
-        monkeypatch.setattr(substrings, "LEAST_LOCAL", 1)
+        monkeypatch.setattr(substrings, "SPREAD", hot)
         monkeypatch.setattr(substrings, "HOT_SHARE", 1e-6)
         monkeypatch.setattr(substrings, "SLICE_CHARS", 3000)
+        monkeypatch.setattr(substrings, "MOST_TASKS", 2)
     for k in (35, 5):
         out = substrings.remove_repeats(docs, k=k).select("doc_id", "n_words", "n_removed", "kept_text")
         assert sorted(map(tuple, out.collect())) == sorted(brute.repeats(rows, k))
 
 
+def test_frequent_windows_travel_as_digests(spark, monkeypatch):
+    """A passage in every slice, with other white space, beside texts of its own words: no bucket gets its text."""
+    for name, value in (("LEAST_HOT", 64), ("HOT_SHARE", 1e-6), ("SPREAD", 8), ("SLICE_CHARS", 600)):
+        monkeypatch.setattr(substrings, name, value)
+    passage = [f"w{i}" for i in range(60)]
+    rows = [(i, f"a{i} b{i} " + (" ", "\n", "\t ")[i % 3].join(passage) + f" c{i}") for i in range(300)]
+    rows += [(1000 + i, " ".join(f"{i}x{j}" for j in range(70))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hot, _, _ = substrings.frequent_grams(docs.selectExpr("doc_id key", "0 tag", "text"))
+    assert {int(x) for x in substrings.grams(substrings.tokenise(" ".join(passage).encode())[0], substrings.M)} <= {int(x) for x in hot}
+    out = substrings.remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_text")
+    assert sorted(map(tuple, out.collect())) == sorted(brute.repeats(rows, 35))
+    monkeypatch.setattr(substrings, "MOST_HOT", 10)
+    assert len(substrings.frequent_grams(docs.selectExpr("doc_id key", "0 tag", "text"))[0]) <= 10
+
+
 def test_equal_windows_survive_hash_collisions():
     words = [b"0", b"1", b"2", b"3", b"0", b"1", b"2", b"4", b"5", b"6"]
     # every window has one hash; then all words have one hash too
