@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_batches, stash, width
+from .common import WORD, bounded_batches, give_back, stash, tidy, width
 
 K, M = 35, 4
 #: Characters of text that a task looks at together, and text of super-k-mers that a bucket is laid out for.
@@ -231,6 +231,7 @@ def _slices(batches: Iterator, chars: int) -> Iterator[Slice]:
             if size >= chars:
                 yield Slice(keys, texts)
                 keys, texts, size = [], [], 0
+                give_back()
     if keys:
         yield Slice(keys, texts)
 
@@ -319,7 +320,7 @@ def frequent_grams(keyed: DataFrame, k: int = K, m: int = M) -> tuple[np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array(found[told].view(np.int64)), pa.array(np.maximum(n[told], SPREAD))], ["gram", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["gram", "n"])
 
-    counts = keyed.mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    counts = keyed.mapInArrow(tidy(count), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     counts = stash(counts.where(F.col("gram").isNull() | (F.col("n") >= LEAST_HOT)), "substring-grams")
     total = counts.where("gram is null").agg(F.sum("n")).first()[0] or 0
     buckets = max(width(keyed.sparkSession), -(-total * 18 // BUCKET_BYTES))
@@ -353,11 +354,13 @@ def repeated_windows(keyed: DataFrame, k: int = K, m: int = M) -> DataFrame:
         import pyarrow as pa
 
         hot = sent.value
-        for at, piece in enumerate(_slices(batches, SLICE_CHARS)):
+
+        def parcels(at: int, piece: Slice) -> list[tuple[int, bytes]]:
+            """(bucket, blob) of what a slice sends."""
             ends = piece.docs
             starts, doc = _starts(ends, k)
             if not len(starts):
-                continue
+                return []
             keys = np.array(piece.keys, KEY)
             g = grams(piece.hashes, m)
             labels = equal_windows(starts, piece.hashes, g, k, m, piece.spell)
@@ -395,8 +398,15 @@ def repeated_windows(keyed: DataFrame, k: int = K, m: int = M) -> DataFrame:
                 froms, tos = piece.starts[begin[part]].tolist(), piece.ends[begin[part] + n[part] + k - 2].tolist()
                 text = b"\n".join([piece.data[x:y] for x, y in zip(froms, tos, strict=True)])
                 rows.append((int(bucket[part[0]]), _pack(1, keys[d[part]], begin[part] - ends[d[part]], n[part], text)))
-            b, blobs = zip(*rows, strict=True)  # a slice with a window sends something
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            return rows
+
+        at = 0
+        for piece in _slices(batches, SLICE_CHARS):
+            if rows := parcels(at, piece):
+                b, blobs = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            piece = rows = b = blobs = None  # nothing of a slice is held while the next one is made; enumerate would hold it
+            at += 1
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -450,6 +460,7 @@ def repeated_windows(keyed: DataFrame, k: int = K, m: int = M) -> DataFrame:
             if places:
                 yield from digested(np.concatenate(places))
                 places.clear()
+            give_back()
 
         held, texts, places, now = [], [], [], None
         for batch in batches:
@@ -467,12 +478,12 @@ def repeated_windows(keyed: DataFrame, k: int = K, m: int = M) -> DataFrame:
                     places.append(keys)
         yield from finish(held, texts, places)
 
-    packed = keyed.mapInArrow(split, "bucket int, blob binary")
+    packed = keyed.mapInArrow(tidy(split), "bucket int, blob binary")
     tasks = min(buckets, MOST_TASKS)
     dealt = packed.repartitionById(tasks, F.pmod(F.col("bucket"), F.lit(tasks)))
     if buckets > tasks:
         dealt = dealt.sortWithinPartitions("bucket")
-    found = stash(dealt.mapInArrow(count, "key long, tag int, start int, n int, digest binary"), "substring-ranges")
+    found = stash(dealt.mapInArrow(tidy(count), "key long, tag int, start int, n int, digest binary"), "substring-ranges")
     place = F.when(F.col("n") > 0, F.struct("key", "tag", "start", "n"))
     spread = found.where("digest is not null").groupBy("digest").agg(F.count(F.lit(1)).alias("times"), F.collect_list(place).alias("places"))
     lone = spread.where("times > 1").select(F.explode("places").alias("p")).select("p.*")
@@ -522,7 +533,7 @@ def remove_repeats(df: DataFrame, text: str = "text", k: int = K, m: int = M) ->
                 kept.append(" ".join(left))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], [*others, "n_words", "n_removed", "kept_text"])
 
-    return joined.select(*others, "__ranges").mapInArrow(drop, schema + ", n_words long, n_removed long, kept_text string")
+    return joined.select(*others, "__ranges").mapInArrow(tidy(drop), schema + ", n_words long, n_removed long, kept_text string")
 
 
 def op5_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,15 @@
+import gc
 import hashlib
 import math
 import random
 import sys
 import zlib
 from pathlib import Path
+from types import SimpleNamespace
+from unittest.mock import MagicMock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -339,6 +343,23 @@ def test_frequent_windows_travel_as_digests(spark, monkeypatch):
     assert len(substrings.frequent_grams(docs.selectExpr("doc_id key", "0 tag", "text"))[0]) <= 10
 
 
+def test_slices_leave_nothing_behind(spark, monkeypatch):
+    """Nothing of a slice is held while the next one is read, and what was freed goes back."""
+    keyed, back, alive = MagicMock(), [], []
+    keyed.sparkSession.sparkContext.broadcast = lambda x: SimpleNamespace(value=x)
+    for name, stand_in in (("frequent_grams", lambda *_: (np.zeros(0, np.uint64), 4, 1000)), ("stash", MagicMock()), ("_slice_number", lambda at: at), ("SLICE_CHARS", 1000), ("give_back", lambda: back.append(1))):
+        monkeypatch.setattr(substrings, name, stand_in)
+    substrings.repeated_windows(keyed)
+    split = keyed.mapInArrow.call_args[0][0]
+
+    def batches():
+        for i in range(4):
+            alive.append(sum(isinstance(x, substrings.Slice) for x in gc.get_objects()))
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([0], pa.int32()), pa.array([prose(random.Random(i), 500)])], ["key", "tag", "text"])
+
+    assert len(list(split(batches()))) == 4 and alive == [0] * 4 and len(back) >= 4
+
+
 def test_equal_windows_survive_hash_collisions():
     words = [b"0", b"1", b"2", b"3", b"0", b"1", b"2", b"4", b"5", b"6"]
     # every window has one hash; then all words have one hash too
