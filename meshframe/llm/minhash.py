@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_batches, components, stash
+from .common import WORD, bounded_batches, components, stash, tidy
 from .substrings import _SPACE, SLICE_CHARS, Slice, _factor, _mix, _spans, grams
 
 #: Lanes of a signature (a byte each) in bands: a pair at 0.8 shares no band with probability 5e-7.
@@ -133,7 +133,7 @@ def sketch(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([keys.slice(at, end - at), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["key", "n_shingles", "digest", "sig"])
                 at = end
 
-    return df.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInArrow(run, "key long, n_shingles long, digest binary, sig binary")
+    return df.select(F.col(key).cast("long").alias("key"), F.col(text)).mapInArrow(tidy(run), "key long, n_shingles long, digest binary, sig binary")
 
 
 def _with_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -150,7 +150,7 @@ def _with_sets(texts: DataFrame, size: int) -> DataFrame:
                 sets.append((np.unique(grams(h, size)) if len(h) >= size else _whole(h)).tobytes())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sets, pa.binary())], ["rep", "text", "set"])
 
-    return texts.select("rep", "text").mapInArrow(run, "rep long, text string, set binary")
+    return texts.select("rep", "text").mapInArrow(tidy(run), "rep long, text string, set binary")
 
 
 def _whole(h: np.ndarray) -> np.ndarray:
@@ -173,7 +173,7 @@ def _pruned(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
 
     with_a = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a")
     both = with_a.join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
@@ -193,7 +193,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
 
     with_a = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long")
 
 
 def _across(rows: DataFrame, threshold: float, percent: int) -> DataFrame:
@@ -270,7 +270,7 @@ def _across(rows: DataFrame, threshold: float, percent: int) -> DataFrame:
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select("key", "i", "j", "band", "rep", "comp", "sig", "set", "side").mapInArrow(run, "a long, b long")
+    return dealt.select("key", "i", "j", "band", "rep", "comp", "sig", "set", "side").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:

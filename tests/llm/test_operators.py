@@ -685,6 +685,18 @@ def test_bayes_bounds():
         assert sum(comb(lanes, k) * p**k * (1 - p) ** (lanes - k) for k in range(m)) < 1e-3
 
 
+def test_workers_let_an_encoder_go(spark):
+    """A worker that packed before holds no tables of the encoder while it sketches; packing itself keeps them."""
+    path = tokens.tokenizer_path()
+    frame = MagicMock()
+    packing.pieces(frame, "doc_id", "text", path)
+    minhash.sketch(frame, "doc_id", "text", 5)
+    cut, sketch = (c[0][0] for c in frame.select.return_value.mapInArrow.call_args_list)
+    tokens.encoder(path)
+    assert not list(cut(iter([]))) and tokens.encoder.cache_info().currsize == 1
+    assert not list(sketch(iter([]))) and tokens.encoder.cache_info().currsize == 0
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(200)] + [(rng.randrange(300, 900), rng.randrange(300, 900)) for _ in range(500)]
