@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, gapless_rank, stash
+from .common import bounded_batches, gapless_rank, stash, tidy
 from .tokens import encoder, tokenizer_path
 
 CAPACITY = 2048
@@ -68,7 +69,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, di
 
 
 def pieces(df: DataFrame, key: str, text: str, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """Each document's ids cut at multiples of the capacity: (key, start, length, ids_crc32, doc_tokens)."""
+    """Each document's ids cut at multiples of the capacity: (key, start, length, ids_crc32, doc_tokens).
+
+    Equal texts that come one after another, as the copies of a mix do, are encoded once.
+    """
     kind = df.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator) -> Iterator:
@@ -77,15 +81,19 @@ def pieces(df: DataFrame, key: str, text: str, path: str, capacity: int = CAPACI
         encode = encoder(path).encode
         for batch in batches:
             keys, rows = [], []
-            for k, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            every, texts = iter(batch.column(0).to_pylist()), batch.column(1).to_pylist()
+            for (_, copies), ids in zip(groupby(texts), encode([t for t, _ in groupby(texts)]), strict=True):
+                own = []
                 for start in range(0, len(ids), capacity):
                     part = ids[start : start + capacity]
-                    keys.append(k)
-                    rows.append((start, len(part), zlib.crc32(part.astype("<u4").tobytes()), len(ids)))
+                    own.append((start, len(part), zlib.crc32(part.astype("<u4").tobytes()), len(ids)))
+                for _ in copies:
+                    keys += [next(every)] * len(own)
+                    rows += own
             numbers = np.array(rows, np.int64).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([pa.array(keys, batch.column(0).type), *(pa.array(numbers[:, i]) for i in range(4))], ["key", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return df.select(F.col(key).alias("key"), F.col(text)).mapInArrow(cut, f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return df.select(F.col(key).alias("key"), F.col(text)).mapInArrow(tidy(cut, encodes=True), f"key {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def pack(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:

@@ -293,6 +293,19 @@ def test_pack(docs, rows, capacity):
     assert used <= sum(map(len, ids.values())) / capacity + 2
 
 
+def test_copies_in_a_row_are_encoded_once(spark, monkeypatch):
+    frame, asked, encode = MagicMock(), [], tokens.ChunkEncoder.encode
+    monkeypatch.setattr(tokens.ChunkEncoder, "encode", lambda self, texts: asked.extend(texts) or encode(self, texts))
+    packing.pieces(frame, "doc_id", "text", tokens.tokenizer_path(), 4)
+    cut = frame.select.return_value.mapInArrow.call_args[0][0]
+    texts = ["one two three four five six", "one two three four five six", None, None, "seven", "one two three four five six"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 1, 2, None, 3, 4]), pa.array(texts)], ["doc_id", "text"])
+    (out,) = cut(iter([batch]))
+    want = [(k, at, len(x[at : at + 4]), zlib.crc32(np.array(x[at : at + 4], "<u4").tobytes()), len(x)) for k, x in zip([1, 1, 2, None, 3, 4], plain_ids(texts), strict=True) for at in range(0, len(x), 4)]
+    assert [tuple(r.values()) for r in out.to_pylist()] == want
+    assert asked == [texts[0], None, "seven", texts[0]]
+
+
 def test_fill_is_closest():
     rng = random.Random(2)
     for _ in range(200):
