@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .centroids import OP11_SQL, op11_kd_filter
 from .minhash import OP10_SQL, op10_bayes_minhash
 from .mixing import op2_pivotal
 from .packing import op4_bin_slack
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_blocked_bloom": op8_blocked_bloom,
     "op9_sstable": op9_sstable,
     "op10_bayes_minhash": op10_bayes_minhash,
+    "op11_kd_filter": op11_kd_filter,
 }
 
 ORACLE_SQL = {
@@ -34,4 +36,5 @@ ORACLE_SQL = {
     "op7_line_first": OP7_SQL,
     "op8_blocked_bloom": OP8_SQL,
     "op10_bayes_minhash": OP10_SQL,
+    "op11_kd_filter": OP11_SQL,
 }
