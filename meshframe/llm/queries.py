@@ -8,6 +8,7 @@ from .mixing import op2_pivotal
 from .packing import op4_bin_slack
 from .projections import OP1_SQL, op1_collision_counting
 from .quality import OP7_SQL, op7_line_first
+from .search import OP13_SQL, op13_max_trees
 from .sharding import OP6_SQL, op6_rendezvous
 from .sstable import op9_sstable
 from .substrings import OP5_SQL, op5_super_kmers
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_sstable": op9_sstable,
     "op10_bayes_minhash": op10_bayes_minhash,
     "op11_kd_filter": op11_kd_filter,
+    "op13_max_trees": op13_max_trees,
 }
 
 ORACLE_SQL = {
@@ -37,4 +39,5 @@ ORACLE_SQL = {
     "op8_blocked_bloom": OP8_SQL,
     "op10_bayes_minhash": OP10_SQL,
     "op11_kd_filter": OP11_SQL,
+    "op13_max_trees": OP13_SQL,
 }
