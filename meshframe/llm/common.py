@@ -62,6 +62,24 @@ def tidy(run: Callable[[Iterator], Iterator], encodes: bool = False) -> Callable
     return tidied
 
 
+def cut(text: str | None, fold: bytes, chunk: int) -> Iterator[list[bytes]]:
+    """The parts of a text between blanks after ``fold``, a table of bytes; some ``chunk`` bytes at a time, null has none."""
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    if len(raw) <= chunk:
+        yield raw.translate(fold).split()
+        return
+    at = 0
+    while at < len(raw):
+        part = raw[at : at + chunk].translate(fold)
+        at += len(part)
+        held = [part]
+        while at < len(raw) and held[-1][-1:] != b" ":  # to the end of the part
+            more = raw[at : at + 65536].translate(fold)
+            held.append(more[: more.find(b" ") + 1 or len(more)])
+            at += len(held[-1])
+        yield b"".join(held).split()
+
+
 def width(spark: SparkSession) -> int:
     """Partitions for explicit exchanges: what the session gives its shuffles."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .centroids import OP11_SQL, op11_kd_filter
+from .lm import OP12_SQL, op12_backoff_automaton
 from .minhash import OP10_SQL, op10_bayes_minhash
 from .mixing import op2_pivotal
 from .packing import op4_bin_slack
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_sstable": op9_sstable,
     "op10_bayes_minhash": op10_bayes_minhash,
     "op11_kd_filter": op11_kd_filter,
+    "op12_backoff_automaton": op12_backoff_automaton,
     "op13_max_trees": op13_max_trees,
 }
 
@@ -39,5 +41,6 @@ ORACLE_SQL = {
     "op8_blocked_bloom": OP8_SQL,
     "op10_bayes_minhash": OP10_SQL,
     "op11_kd_filter": OP11_SQL,
+    "op12_backoff_automaton": OP12_SQL,
     "op13_max_trees": OP13_SQL,
 }
