@@ -397,3 +397,23 @@ def stream_into_archive(spark, sf_dir):
     a = archive.Archive(spark, f"{path}/archive", {"c": _axis(spark)}, ["cents"])
     incremental.into_archive(stream.select((cents / 100.0).alias("c"), cents.alias("cents")), a, f"{path}/checkpoint", every=2)
     return archive.means(a.sums(), ["i_c"], ["cents"])
+
+
+@query("two_streams_one_archive", ARCHIVE)
+def two_streams_one_archive(spark, sf_dir):
+    """The events in two folders, each a stream with a checkpoint of its own; the first runs again after the second."""
+    path = fresh_path(spark, "stream-archive")
+    raw = table(spark, sf_dir, "events")
+    part = F.pmod(F.xxhash64("user_id"), F.lit(3))
+    cents = F.round(F.col("value") * 100).cast("long")
+    a = archive.Archive(spark, f"{path}/archive", {"c": _axis(spark)}, ["cents"])
+
+    def run(name, which):
+        raw.where(which).repartition(3, "event_id").write.mode("append").parquet(f"{path}/{name}")
+        stream = incremental.file_stream(spark, f"{path}/{name}", raw.schema, 2)
+        incremental.into_archive(stream.select((cents / 100.0).alias("c"), cents.alias("cents")), a, f"{path}/checkpoint-{name}", every=2)
+
+    run("one", part == 0)
+    run("two", part == 1)
+    run("one", part == 2)
+    return archive.means(a.sums(), ["i_c"], ["cents"])

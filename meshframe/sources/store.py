@@ -46,6 +46,36 @@ class SharedPath:
         path, fs = self._file_system()
         return fs.delete(path, True)
 
+    def names(self) -> list[str]:
+        """The names in a folder, in order."""
+        path, fs = self._file_system()
+        return sorted(s.getPath().getName() for s in fs.listStatus(path))
+
+    def read_text(self) -> str:
+        path, fs = self._file_system()
+        source = fs.open(path)
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+        finally:
+            source.close()
+
+    def write_new(self, text: str) -> bool:
+        """Writes a small file; False if there is one of this name."""
+        path, fs = self._file_system()
+        if fs.exists(path):
+            return False
+        try:
+            out = fs.create(path, False)
+        except Exception:
+            if fs.exists(path):
+                return False
+            raise
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        return True
+
     def children(self) -> list[SharedPath]:
         path, fs = self._file_system()
         return [self.join(s.getPath().getName()) for s in fs.listStatus(path)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from importlib import import_module
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.archive import Archive, cell_sums, means, placed
+from ..sources.store import SharedPath
 
 
 class Extents:
@@ -75,28 +77,37 @@ def windowed(stream: DataFrame, time: str, width: str, late: str, keys: Sequence
     return stream.withWatermark(time, late).groupBy(w.alias("w"), *keys).agg(F.sum(value).alias("total"), F.count(value).alias("n")).select(F.col("w.start").alias("start"), *keys, "total", "n")
 
 
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the stream that has this checkpoint folder: made when it first starts, kept in the folder."""
+    kept = SharedPath(spark, checkpoint).join("archive-stream")
+    kept.write_new(uuid.uuid4().hex)
+    return kept.read_text()
+
+
 def into_archive(stream: DataFrame, archive: Archive, checkpoint: str, every: int = 1):
     """Runs what is there now into the archive: micro-batches are staged and merged, ``every`` so many and at the end.
 
-    A batch is a fragment under its number, and a generation is marked with the last batch it holds. So one that was
-    merged or staged before a restart, with the archive opened to append, is not counted again.
+    A batch is a run under the stream's name and its number, and what is merged is marked with the last batch it holds,
+    for each stream. So one that was merged or staged before a restart, with the archive opened to append, is not counted
+    again, and streams with checkpoints of their own share an archive, at the same time or one after another.
     """
     if every < 1:
         raise ValueError("every must be 1 or more")
+    name = stream_id(archive.spark, checkpoint)
     last = -1
 
     def merge(batch: DataFrame, epoch: int) -> None:
         nonlocal last
-        if archive.mark() < epoch:
-            archive.stage(batch, f"e{epoch}")
+        if archive.mark(name) < epoch:
+            archive.stage(batch, f"e{epoch}", name)
             last = epoch
             if (epoch + 1) % every == 0:
-                archive.flush(epoch)
+                archive.flush(epoch, name)
 
     query = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    staged = [int(f.rsplit("/e", 1)[1]) for f in archive.fragments() if f.rsplit("/e", 1)[-1].isdigit()]
-    archive.flush(max([last, *staged]))
+    staged = [int(f.rsplit("~e", 1)[1]) for f in archive.fragments(name)]
+    archive.flush(max([last, *staged]), name)
     return query
 
 

@@ -413,10 +413,10 @@ def test_a_killed_stream_counts_nothing_twice(spark, tmp_path, monkeypatch):
     def run(fail):
         a = archive.Archive(spark, path, axes, ["v"], existing="append")
         if fail:
-            def broken(mark=None):
+            def broken(mark=None, stream=""):
                 if mark == fail:
                     raise RuntimeError("killed")
-                archive.Archive.flush(a, mark)
+                archive.Archive.flush(a, mark, stream)
             a.flush = broken
         incremental.into_archive(incremental.file_stream(spark, str(tmp_path / "in" / "*"), "x double, v double"), a, str(tmp_path / "cp"), every=2)
         return a
