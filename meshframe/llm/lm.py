@@ -128,6 +128,20 @@ class Level:
     following: np.ndarray | None = None  # different words that follow the context, by entry
 
 
+def _different(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the different keys in order, for each key its place among them); keys are not negative."""
+    shift = max(1, (len(keys) - 1).bit_length())
+    if int(keys.max(initial=0)).bit_length() + shift > 63:
+        return np.unique(keys, return_inverse=True)
+    # key and position in one number: sorting numbers is faster than sorting positions by them
+    both = np.sort(keys << shift | np.arange(len(keys)))
+    own = both >> shift
+    new = np.r_[True, own[1:] != own[:-1]] if len(own) else np.zeros(0, bool)
+    inverse = np.empty(len(keys), np.int64)
+    inverse[both & ((1 << shift) - 1)] = np.cumsum(new) - 1
+    return own[new], inverse
+
+
 def first_level(texts: Texts) -> Level:
     n = len(texts.words)
     own = np.bincount(texts.ids[texts.counted], minlength=n)
@@ -142,11 +156,13 @@ def next_level(texts: Texts, below: Level, length: int) -> Level:
     ctx = np.r_[-1, below.at[:-1]]
     some = np.flatnonzero((texts.place >= length - 1) & (ctx >= 0) & (texts.ids != 1))
     some = some[live[ctx[some]]]
-    keys, first, inverse = np.unique(ctx[some] * len(texts.words) + texts.ids[some], return_index=True, return_inverse=True)
+    keys, inverse = _different(ctx[some] * len(texts.words) + texts.ids[some])
     at = np.full(len(texts.ids), -1, np.int64)
     at[some] = inverse
+    suffix = np.empty(len(keys), np.int64)
+    suffix[inverse] = below.at[some]
     own = np.bincount(inverse[texts.counted[some]], minlength=len(keys))
-    return Level(keys // len(texts.words), keys % len(texts.words), below.at[some[first]], at, own)
+    return Level(keys // len(texts.words), keys % len(texts.words), suffix, at, own)
 
 
 @dataclass(frozen=True)
@@ -179,7 +195,8 @@ def _mix(columns: list[np.ndarray]) -> np.ndarray:
 
 
 class Asked:
-    """The n-grams of one level of a slice in the order in which they are sent: by bucket, context and word.
+    """The n-grams of one level of a slice in the order in which they are sent: by bucket and, in it, as in the level, so that
+    those of one context are together.
 
     ``number`` names words in the whole corpus. A bucket gets whole contexts, but of hot ones a salt's share of the words.
     """
@@ -189,7 +206,7 @@ class Asked:
         if len(levels) == 1:
             hashes = np.array([zlib.crc32(w) for w in texts.words], np.int64)
             self.bucket = (_mix([hashes]) % np.uint64(facts.buckets)).astype(np.int64)
-            self.order = np.argsort(self.bucket, kind="stable")
+            self.order = self._by_bucket(facts)
             return
         names, at = [number[self.level.word]], self.level.context
         for below in reversed(levels[:-1]):
@@ -203,7 +220,11 @@ class Asked:
         salt = _mix([names[0], h.astype(np.int64)]) % salts.astype(np.uint64)
         h = np.where(self.hot, _mix([h.astype(np.int64), salt]), h)
         self.bucket = (h % np.uint64(facts.buckets)).astype(np.int64)
-        self.order = np.lexsort((*self.columns[::-1], self.bucket))
+        self.order = self._by_bucket(facts)
+
+    def _by_bucket(self, facts: Facts) -> np.ndarray:
+        small = self.bucket.astype(np.uint16) if facts.buckets < 1 << 16 else self.bucket  # these are sorted in linear time
+        return np.argsort(small, kind="stable")
 
     def bodies(self, texts: Texts) -> Iterator[tuple[int, bytes]]:
         """(bucket, n-grams and their counts)."""
@@ -216,13 +237,9 @@ class Asked:
                 words = [texts.words[i] for i in some.tolist()]
                 yield int(sent[a]), _pack([own, np.frombuffer(b"".join(words), np.uint8), np.fromiter(map(len, words), np.int64, len(words))])
                 continue
-            context = [c[some] for c in self.columns[:-1]]
-            new = np.zeros(b - a, bool)
-            new[0] = True
-            for c in context:
-                new[1:] |= c[1:] != c[:-1]
-            first = np.flatnonzero(new)
-            yield int(sent[a]), _pack([own, self.columns[-1][some], np.diff(np.r_[first, b - a]), self.hot[some][first], *[c[first] for c in context]])
+            of = self.level.context[some]
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            yield int(sent[a]), _pack([own, self.columns[-1][some], np.diff(np.r_[first, b - a]), self.hot[some[first]], *[c[some[first]] for c in self.columns[:-1]]])
 
     def take(self, replies: list[tuple[int, bytes]], hot: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray | None:
         """Sets counts from the replies, in the order of buckets; gives the names of words for the first level."""
@@ -271,6 +288,21 @@ def _answer_words(bodies: list[bytes], bucket: int, buckets: int) -> tuple[list[
     return [_pack([counts[p], p * buckets + bucket]) for p in places], (int(words.sum()), int((words > 0).sum()))
 
 
+def _joined(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Columns of whole numbers with the same order of rows, in as few as their bits allow."""
+    out: list[np.ndarray] = []
+    room = 0
+    for c in columns:
+        bits = int(c.max(initial=0)).bit_length()
+        if bits <= room:
+            out[-1] = out[-1] << bits | c
+            room -= bits
+        else:
+            out.append(c)
+            room = 63 - bits
+    return out
+
+
 def _answer(bodies: list[bytes], length: int) -> tuple[list[bytes], tuple[np.ndarray, np.ndarray]]:
     """(counts of the n-grams of each slice and the words that follow their contexts, (hot contexts, such words here))."""
     parts = [_unpack(b) for b in bodies]
@@ -279,7 +311,7 @@ def _answer(bodies: list[bytes], length: int) -> tuple[list[bytes], tuple[np.nda
     hot = np.concatenate([np.repeat(p[3], p[2]) for p in parts])
     context = [np.concatenate([np.repeat(p[4 + i], p[2]) for p in parts]) for i in range(length - 1)]
     del parts
-    order = np.lexsort((word, *context[::-1]))
+    order = np.lexsort(_joined([*context, word])[::-1])
     apart = np.zeros(len(order), bool)  # another context than the one before
     apart[0] = True
     for c in context:
@@ -338,10 +370,36 @@ class Automaton:
             following.append(states[-1][known])
         self.next_root = states[0]
         self.fail, self.mass = np.concatenate(self.fail), np.concatenate(self.mass)
-        keys = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys = np.r_[keys[order], -1]
-        self.weights, self.following = (np.r_[np.concatenate(x)[order], 0] if keys.size else np.zeros(1, np.int64) for x in (weights, following))
+        # the last arc is none: no key is negative
+        self.keys, self.weights, self.following = (np.concatenate([*x, [last]]).astype(np.int64) for x, last in ((keys, -1), (weights, 0), (following, 0)))
+        self._place_arcs()
+
+    def _place_arcs(self) -> None:
+        """A table of arcs by a hash of their key; one whose place is taken goes to the next that is free."""
+        arcs = len(self.keys) - 1
+        self.bits = max(4, (4 * arcs).bit_length())
+        self.table = np.full(1 << self.bits, -1, np.int32 if arcs < 2**31 else np.int64)
+        waiting, place = np.arange(arcs), self._place(self.keys[:-1])
+        while len(waiting):
+            free = self.table[place] < 0
+            self.table[place[free]] = waiting[free]
+            left = self.table[place] != waiting
+            waiting, place = waiting[left], (place[left] + 1) & ((1 << self.bits) - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def arc(self, keys: np.ndarray) -> np.ndarray:
+        """The arc of each key, or -1."""
+        place = self._place(keys)
+        at = self.table[place].astype(np.int64)
+        waiting = np.flatnonzero((at >= 0) & (self.keys[at] != keys))
+        while len(waiting):
+            place[waiting] = (place[waiting] + 1) & ((1 << self.bits) - 1)
+            at[waiting] = self.table[place[waiting]]
+            waiting = waiting[(at[waiting] >= 0) & (self.keys[at[waiting]] != keys[waiting])]
+        return at
 
     def read(self, ids: np.ndarray, start: np.ndarray, length: np.ndarray, warm: np.ndarray) -> np.ndarray:
         """Sums of weights of runs of tokens, all read at once from left to right, each with a state of its own.
@@ -361,9 +419,8 @@ class Automaton:
             waiting = np.flatnonzero(now)
             s = now[waiting]
             while len(waiting):
-                key = s * self.n + w[waiting]
-                at = np.searchsorted(self.keys[:-1], key)
-                hit = self.keys[at] == key
+                at = self.arc(s * self.n + w[waiting])
+                hit = at >= 0
                 done = waiting[hit]
                 gain[done] += self.weights[at[hit]] - self.root[w[done]]
                 to[done] = self.following[at[hit]]
