@@ -294,7 +294,7 @@ def _joined(columns: list[np.ndarray]) -> list[np.ndarray]:
     room = 0
     for c in columns:
         bits = int(c.max(initial=0)).bit_length()
-        if bits <= room:
+        if out and bits <= room:
             out[-1] = out[-1] << bits | c
             room -= bits
         else:
