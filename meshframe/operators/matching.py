@@ -1,8 +1,10 @@
 """Proximity joins of sources: every dim of every pair within tolerance, planned as equi-joins on buckets.
 
-Spark plans a band predicate alone as a nested loop. Here each point of one side lies in one bucket as wide as the
-largest reach, the other side's points in three neighbouring ones, so that a pair meets in one bucket exactly once and
-the band is a residual condition of a hash or sort-merge join.
+Spark plans a band predicate alone as a nested loop. Here points lie in buckets of a level, the power of two of their own
+reach. A pair meets at the level of the point that reaches farther: that point lies in one bucket there, the other is
+looked up in three neighbouring ones, so that a pair meets in one bucket exactly once and the band is a residual condition
+of a hash or sort-merge join. Few points that reach far (beside a gap of an axis) make buckets of their own and leave those
+of all others small. Where all points reach equally far there is one level.
 """
 
 from __future__ import annotations
@@ -10,13 +12,13 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..sources.grid import EPS, RADIUS, Source, resolutions
+from ..sources.grid import EPS, RADIUS, Source, neighbours, resolutions
 
 #: Dims that buckets are made of; more would multiply the copies of a side by three each.
 BUCKET_DIMS = 2
@@ -24,26 +26,43 @@ BUCKET_DIMS = 2
 
 @dataclass(frozen=True)
 class Points:
-    """(key, c_<dim>, l_<dim>, r_<dim>): coordinates in double with their reach below and above; ``most`` bounds it."""
+    """(key, c_<dim>, l_<dim>, r_<dim>): coordinates in double with their reach below and above; ``most`` bounds it.
+
+    ``levels``: for dims whose points reach unequally far, the largest reach of each level there is; see ``reach_levels``.
+    """
 
     frame: DataFrame
     dims: Sequence[str]
     most: Mapping[str, float]
     required: bool = True
+    levels: Mapping[str, Mapping[int, float]] = field(default_factory=dict)
+
+
+def _level(left: Column, right: Column) -> Column:
+    """The power of two of a reach."""
+    return F.ceil(F.log2(F.greatest(left, right, F.lit(0.0)) + EPS)).cast("int")
+
+
+def reach_levels(frame: DataFrame, left: str, right: str) -> dict[int, float]:
+    """{level: largest reach in it}; as many as there are powers of two between the least and the largest reach."""
+    rows = frame.groupBy(_level(F.col(left), F.col(right)).alias("level")).agg(F.max(F.greatest(left, right)).alias("most")).collect()
+    return {r["level"]: r["most"] for r in rows if r["level"] is not None}
 
 
 def points(source: Source, centers: DataFrame, key: Column | None = None, radius: float = RADIUS) -> Points:
     """The centres of a source as points; the key is a struct of their steps unless given."""
     df = centers.withColumn("key", key if key is not None else F.struct(*[f"i_{d}" for d in source.dim_names]))
     df = df.select("key", *[source.coordinate(d).alias(f"c_{d}") for d in source.dim_names])
-    most = {}
+    most, levels = {}, {}
     for d, (table, reach, high) in resolutions(source, radius).items():
         most[d] = high
+        if table is not None:
+            levels[d] = reach_levels(table, "left", "right")
         if table is None:
             df = df.withColumns({f"l_{d}": F.lit(reach), f"r_{d}": F.lit(reach)})
         else:
             df = df.join(table.select(F.col("c").alias(f"c_{d}"), F.col("left").alias(f"l_{d}"), F.col("right").alias(f"r_{d}")), f"c_{d}")
-    return Points(df, source.dim_names, most, not source.optional)
+    return Points(df, source.dim_names, most, not source.optional, levels)
 
 
 def plain_points(spark: SparkSession, coords: Sequence, resolution=None, radius: float = RADIUS) -> Points:
@@ -62,7 +81,9 @@ def plain_points(spark: SparkSession, coords: Sequence, resolution=None, radius:
     dims = [str(i) for i in range(d)]
     rows = [(i, *[float(v) for j in range(d) for v in (x[i, j], res[i, j, 0] * radius, res[i, j, 1] * radius)]) for i in range(n)]
     schema = "key long, " + ", ".join(f"c_{j} double, l_{j} double, r_{j} double" for j in dims)
-    return Points(spark.createDataFrame(rows, schema), dims, {j: float((res[:, int(j)] * radius).max()) if n else 0.0 for j in dims})
+    found = Points(spark.createDataFrame(rows, schema), dims, {j: float((res[:, int(j)] * radius).max()) if n else 0.0 for j in dims})
+    uneven = [j for j in dims if n and np.ptp(res[:, int(j)].max(axis=1)) > 0]
+    return replace(found, levels={j: reach_levels(found.frame, f"l_{j}", f"r_{j}") for j in uneven})
 
 
 def _near(i: int, j: int, dims: Sequence[str], locus: bool) -> Column:
@@ -90,17 +111,68 @@ def _prefixed(p: Points, j: int) -> DataFrame:
     return p.frame.select(*[F.col(c).alias(f"p{j}_{c}") for c in p.frame.columns])
 
 
-def _bucketed(p: Points, right: DataFrame, j: int, olds: Sequence[tuple[int, Points]], locus: bool) -> tuple[DataFrame, list[Column]]:
-    """The new side in three buckets for each of the leading shared dims, and the equalities with the joined side."""
+def _widths(own: Mapping[int, float], other: Mapping[int, float], locus: bool) -> dict[int, float]:
+    """For each level of ``own`` a width that no pair passes of which one point is at it and the other at it or below."""
+    out = {}
+    for level, most in own.items():
+        below = max([m for n, m in other.items() if n <= level], default=0.0)
+        out[level] = max(most + below if locus else max(most, below), EPS) + 2 * EPS
+    return out
+
+
+def _by_level(of: Mapping[int, Column], level: Column) -> Column:
+    """The array for a level, of few; null at other levels."""
+    out = None
+    for n, array in of.items():
+        out = F.when(level == n, array) if out is None else out.when(level == n, array)
+    return out
+
+
+def _lookups(d: str, i: int, j: int, left: Mapping[int, float] | None, right: Mapping[int, float] | None, locus: bool) -> tuple[Column | None, Column]:
+    """Arrays of the buckets (level, number) of a point on the left and on the right; None for the left if it is in one.
+
+    At a level that both sides have, both kinds of pairs (which side reaches farther) have levels of their own: twice the
+    level for pairs whose left point is at it, once more for pairs whose right point alone is.
+    """
+    x, y = F.col(f"p{i}_c_{d}"), F.col(f"p{j}_c_{d}")
+
+    def bucket(c: Column, kind: int, width: float, beside: Sequence[int]) -> list[Column]:
+        at = F.floor(c / width)
+        return [F.struct(F.lit(kind).alias("level"), (at + k).cast("long").alias("at")) for k in beside]
+
+    upper, lower = _widths(left, right, locus), _widths(right, left, locus)
+    x_level, y_level = _level(F.col(f"p{i}_l_{d}"), F.col(f"p{i}_r_{d}")), _level(F.col(f"p{j}_l_{d}"), F.col(f"p{j}_r_{d}"))
+    if len(left) == 1:
+        x_level = F.lit(next(iter(left)))
+    if len(right) == 1:
+        y_level = F.lit(next(iter(right)))
+    of_left = {n: [*bucket(x, 2 * n, upper[n], (0,)), *[b for m in lower if m > n for b in bucket(x, 2 * m + 1, lower[m], (0,))]] for n in left}
+    of_right = {m: [*[b for n in upper if n >= m for b in bucket(y, 2 * n, upper[n], (-1, 0, 1))], *(bucket(y, 2 * m + 1, lower[m], (-1, 0, 1)) if any(n < m for n in left) else [])] for m in right}
+    array = lambda buckets: F.array(*buckets) if buckets else F.array().cast("array<struct<level:int,at:bigint>>")
+    y_buckets = _by_level({m: array(b) for m, b in of_right.items()}, y_level)
+    if all(len(b) == 1 for b in of_left.values()) and len(left) == 1:
+        return None, y_buckets
+    return _by_level({n: array(b) for n, b in of_left.items()}, x_level), y_buckets
+
+
+def _bucketed(p: Points, df: DataFrame, right: DataFrame, j: int, olds: Sequence[tuple[int, Points]], locus: bool) -> tuple[DataFrame, DataFrame, list[Column], bool]:
+    """Both sides with their buckets for each of the leading shared dims, the equalities, and whether rows of the joined side
+    come more than once."""
     i, best = max(olds, key=lambda o: len(set(o[1].dims) & set(p.dims)))
-    equal = []
+    equal, again = [], False
     shared = [d for d in p.dims if d in best.dims]
     for d in sorted(shared, key=lambda d: best.most[d] + p.most[d])[:BUCKET_DIMS]:
-        width = max(best.most[d] + p.most[d] if locus else max(best.most[d], p.most[d]), EPS) + 2 * EPS
-        at = F.floor(F.col(f"p{j}_c_{d}") / width)
-        right = right.withColumn(f"p{j}_b_{d}", F.explode(F.array(at - 1, at, at + 1)))
-        equal.append(F.floor(F.col(f"p{i}_c_{d}") / width) == F.col(f"p{j}_b_{d}"))
-    return right, equal
+        levels = [q.levels.get(d) or {math.ceil(math.log2(q.most[d] + EPS)): q.most[d]} for q in (best, p)]
+        of_left, of_right = _lookups(d, i, j, *levels, locus)
+        right = right.withColumn(f"p{j}_b_{d}", F.explode(of_right))
+        if of_left is None:
+            (n, width), = _widths(*levels, locus).items()
+            equal += [F.floor(F.col(f"p{i}_c_{d}") / width) == F.col(f"p{j}_b_{d}.at")]
+            right = right.where(F.col(f"p{j}_b_{d}.level") == 2 * n)
+        else:
+            df, again = df.withColumn(f"p{j}_a_{d}", F.explode(of_left)), True
+            equal += [F.col(f"p{j}_a_{d}.{f}") == F.col(f"p{j}_b_{d}.{f}") for f in ("level", "at")]
+    return df, right, equal, again
 
 
 def match(sources: Sequence[Points], method: str = "multi", allow_product: bool = False) -> DataFrame:
@@ -127,10 +199,16 @@ def match(sources: Sequence[Points], method: str = "multi", allow_product: bool
             for i, o in done:
                 near = _near(i, j, [d for d in o.dims if d in p.dims], method == "locus")
                 conditions.append(near if o.required else near | F.col(f"p{i}_key").isNull())
-        right, equal = _bucketed(p, _prefixed(p, j), j, [d for d in done if d[1].required] or done, method == "locus")
-        how = "inner" if p.required else "left"
-        df = df.join(right, reduce(lambda a, b: a & b, [*equal, *conditions]), how)
-        df = df.drop(*[c for c in df.columns if c.startswith(f"p{j}_b_")])
+        left, right, equal, again = _bucketed(p, df, _prefixed(p, j), j, [d for d in done if d[1].required] or done, method == "locus")
+        how = "inner" if p.required or again else "left"
+        both = left.join(right, reduce(lambda a, b: a & b, [*equal, *conditions]), how)
+        both = both.drop(*[c for c in both.columns if c.startswith((f"p{j}_a_", f"p{j}_b_"))])
+        if again and not p.required:  # rows without a match come back once, whatever number of buckets they were in
+            keys = [f"p{i}_key" for i, _ in done]
+            found = both.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+            alone = df.join(found, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]), "left_anti")
+            both = both.unionByName(alone, allowMissingColumns=True)
+        df = both
         done.append((j, p))
     return df.select(*[F.col(f"p{i}_key").alias(f"k{i}") for i in range(len(sources))])
 
@@ -155,7 +233,7 @@ def match_anchor(sources: Sequence[Points], allow_empty: bool = False) -> DataFr
     each other. Points without a match in every source go, or have empty lists with ``allow_empty``."""
     out = sources[0].frame.select(F.col("key").alias("k0"))
     for j, p in enumerate(sources[1:], 1):
-        m = match([sources[0], Points(p.frame, p.dims, p.most)]).groupBy("k0").agg(F.sort_array(F.collect_list("k1")).alias(f"m{j}"))
+        m = match([sources[0], replace(p, required=True)]).groupBy("k0").agg(F.sort_array(F.collect_list("k1")).alias(f"m{j}"))
         out = out.join(m, "k0", "left" if allow_empty else "inner")
         if allow_empty:
             out = out.withColumn(f"m{j}", F.coalesce(F.col(f"m{j}"), F.from_json(F.lit("[]"), m.schema[f"m{j}"].dataType)))
@@ -200,42 +278,51 @@ def index_of(df: DataFrame, value: str, axis: DataFrame, coordinate: str, mode:
     """``df`` with the index of each value on an axis (coordinate, idx ascending from 0).
 
     nearest: ties take the lower index, values outside the nearer end; with ``tol`` what is farther is null. strict: exact
-    or null. left and right: the last coordinate not above the value (-1 before the first). Intervals of the axis are cut
-    into buckets of the mean gap, some two for each coordinate, and values are joined by their bucket: no value meets the
-    whole axis.
+    or null. left and right: the last coordinate not above the value (-1 before the first). Intervals of the axis are filed
+    by level, the power of two of their width, in the one to three buckets of that level that they meet; a value is looked
+    up in one bucket of each level there is. So a value meets a few intervals, however uneven the axis.
     """
     if mode == "strict":
         return df.join(axis.select(F.col(coordinate).alias(value), F.col("idx").alias(out)), value, "left").select(*df.columns, out)
     if mode not in ("nearest", "left", "right"):
         raise ValueError("mode must be nearest, strict, left or right")
-    w = Window.orderBy("idx")
-    x = axis.select(F.col(coordinate).cast("double").alias("__c"), F.col("idx").alias("__i"), "idx")
-    following, preceding = F.lead("__c").over(w), F.lag("__c").over(w)
-    low, high, n = axis.agg(F.min(F.col(coordinate).cast("double")), F.max(F.col(coordinate).cast("double")), F.count(F.lit(1))).first()
-    width = max((high - low) / max(n - 1, 1), 1e-12)
+    x = neighbours(axis.select(F.col(coordinate).cast("double").alias("__c"), F.col("idx").alias("__i")), "__c", "__i", "__b4", "__next")
     if mode == "nearest":
-        x = x.withColumns({"__from": (preceding + F.col("__c")) / 2, "__to": (following + F.col("__c")) / 2})
+        x = x.withColumns({"__from": (F.col("__b4") + F.col("__c")) / 2, "__to": (F.col("__next") + F.col("__c")) / 2})
     else:
-        x = x.withColumns({"__from": F.col("__c"), "__to": following})
-
-    def bucket(c: Column) -> Column:
-        return F.floor((c - low) / width).cast("long")
-
-    reach = F.sequence(bucket(F.coalesce("__from", F.lit(low))), bucket(F.coalesce("__to", F.lit(high))))
-    x = x.withColumn("__b", F.explode(reach)).select("__c", "__i", "__from", "__to", "__b")
+        x = x.withColumns({"__from": F.col("__c"), "__to": F.col("__next")})
+    low, high = axis.agg(F.min(F.col(coordinate).cast("double")), F.max(F.col(coordinate).cast("double"))).first()
+    if low is None:
+        return df.withColumn(out, F.when(F.col(value).isNotNull() & F.lit(mode != "nearest"), F.lit(-1)).cast("long"))
+    x = x.withColumns({"__lo": F.coalesce("__from", F.lit(low)), "__hi": F.coalesce("__to", F.lit(high))})
+    x = x.withColumn("__level", F.ceil(F.log2(F.greatest(F.col("__hi") - F.col("__lo"), F.lit(EPS)))).cast("int"))
+    levels = sorted(r[0] for r in x.select("__level").distinct().collect())  # powers of two between the least and the largest gap
+
+    def bucket(c: Column, level: Column) -> Column:
+        return F.floor(c / F.pow(F.lit(2.0), level)).cast("long")
+
+    x = x.withColumn("__b", F.explode(F.sequence(bucket(F.col("__lo"), F.col("__level")), bucket(F.col("__hi"), F.col("__level")))))
+    x = x.select("__c", "__i", "__from", "__to", "__level", "__b")
     v = F.col(value).cast("double")
-    rows = df.withColumn("__at", bucket(F.greatest(F.lit(low), F.least(F.lit(high), v))))
+    at = F.greatest(F.lit(low), F.least(F.lit(high), v))
     if mode == "nearest":
         inside = (F.col("__from").isNull() | (v > F.col("__from"))) & (F.col("__to").isNull() | (v <= F.col("__to")))
     else:
         inside = (v >= F.col("__from")) & (F.col("__to").isNull() | (v < F.col("__to")))
-    joined = rows.join(x, (F.col("__at") == F.col("__b")) & inside, "left")
     found = F.col("__i")
-    if mode != "nearest":
-        found = F.coalesce(found, F.when(v.isNotNull(), F.lit(-1)))
-    elif tol is not None:
+    if mode == "nearest" and tol is not None:
         found = F.when(F.abs(v - F.col("__c")) <= tol, found)
-    return joined.select(*[F.col(c) for c in df.columns], found.alias(out))
+    if len(levels) == 1:
+        rows = df.withColumn("__at", bucket(at, F.lit(levels[0])))
+        joined = rows.join(x, (F.col("__at") == F.col("__b")) & inside, "left")
+        found = found if mode == "nearest" else F.coalesce(found, F.when(v.isNotNull(), F.lit(-1)))
+        return joined.select(*[F.col(c) for c in df.columns], found.alias(out))
+    # each value but null lies in one interval of one level, but for those before the first of mode left and right
+    outside = v.isNull() if mode == "nearest" else v.isNull() | (v < low)
+    rows = df.where(~outside).withColumn("__at", F.explode(F.array(*[F.struct(F.lit(n).alias("n"), bucket(at, F.lit(n)).alias("b")) for n in levels])))
+    joined = rows.join(x, (F.col("__at.n") == F.col("__level")) & (F.col("__at.b") == F.col("__b")) & inside)
+    alone = df.where(outside).withColumn(out, F.when(v.isNotNull(), F.lit(-1)).cast("long"))
+    return joined.select(*[F.col(c) for c in df.columns], found.alias(out)).unionByName(alone)
 
 
 def diagnose(sources: Sequence[tuple[str, Points]]) -> str | None:

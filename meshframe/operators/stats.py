@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.grid import Source, cell_valid
+from ..sources.grid import Source, cell_valid, neighbours
 
 #: Percentiles of a summary; the 50th is named median.
 PERCENTS = tuple(range(1, 100))
@@ -147,7 +147,7 @@ def max_resolution(source: Source) -> dict[str, float]:
     out = {}
     for d in source.dim_names:
         a = source.axis(d).select(source.coordinate(d).alias("c"), "idx")
-        out[d] = a.select((F.lead("c").over(Window.orderBy("idx")) - F.col("c")).alias("g")).agg(F.max("g")).first()[0] or 0.0
+        out[d] = neighbours(a, "c").agg(F.max(F.col("after") - F.col("c"))).first()[0] or 0.0
     return out
 
 

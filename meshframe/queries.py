@@ -832,4 +832,4 @@ def flagship_rows(spark, sf_dir):
     return out.select(F.col("i_t").alias("i"), F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), F.element_at("t", -1).alias("t"), "m")
 
 
-from . import queries_more, queries_stores  # noqa: E402,F401  (adds to QUERIES and ORACLE_SQL)
+from . import queries_more, queries_scale, queries_stores  # noqa: E402,F401  (adds to QUERIES and ORACLE_SQL)

@@ -224,6 +224,27 @@ class Tolerance:
     most: float
 
 
+#: Steps of an axis in a stretch whose neighbours are found together.
+STRETCH = 50_000
+
+
+def neighbours(axis: DataFrame, value: str, index: str = "idx", before: str = "before", after: str = "after") -> DataFrame:
+    """``axis`` with the values one step before and after; steps are numbered without gaps.
+
+    The axis is cut in stretches of steps. The last row of one and the first of the next go to both, so each stretch finds
+    its neighbours alone and no task sees the whole axis.
+    """
+    from pyspark.sql import Window
+
+    at = F.pmod(F.col(index), F.lit(STRETCH))
+    own = F.floor(F.col(index) / STRETCH)
+    both = F.array_compact(F.array(own, F.when(at == 0, own - 1), F.when(at == STRETCH - 1, own + 1)))
+    cut = axis.withColumns({"__own": own, "__stretch": F.explode(both)})
+    w = Window.partitionBy("__stretch").orderBy(index)
+    found = cut.withColumns({before: F.lag(value).over(w), after: F.lead(value).over(w)})
+    return found.where("__own = __stretch").drop("__own", "__stretch")
+
+
 def resolutions(source: Source, radius: float = RADIUS) -> dict[str, tuple[DataFrame | None, float, float]]:
     """For each dim (table of (coordinate, left, right) or None, scalar reach, largest reach), without the slack.
 
@@ -231,16 +252,13 @@ def resolutions(source: Source, radius: float = RADIUS) -> dict[str, tuple[DataF
     uniform the least of each is its resolution; if any is not, every dim has per-coordinate gaps, those at the ends
     repeated. ``match_radius`` comes before: r means a reach of r, "p%" p percent of the gap.
     """
-    from pyspark.sql import Window
-
     gaps, uniform = {}, True
     for d in source.dim_names:
         if source.sparse:
             gaps[d] = (None, 0.0, 0.0)
             continue
         a = source.axis(d).select(source.coordinate(d).alias("c"), "idx")
-        w = Window.orderBy("idx")
-        a = a.select("c", F.round(F.lead("c").over(w) - F.col("c"), DECIMALS).alias("after"), F.round(F.col("c") - F.lag("c").over(w), DECIMALS).alias("before"))
+        a = neighbours(a, "c").select("c", F.round(F.col("after") - F.col("c"), DECIMALS).alias("after"), F.round(F.col("c") - F.col("before"), DECIMALS).alias("before"))
         low, high = a.agg(F.min("after"), F.max("after")).first()
         gaps[d] = (a, low or 0.0, high or 0.0)
         uniform = uniform and (high or 0.0) - (low or 0.0) < UNIFORM

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshframe.operators import matching, validity, windows
+from meshframe.sources import grid
 from meshframe.sources.grid import EPS, Source, cache, equal_extents, reader, resolutions, synthetic
 
 
@@ -282,3 +283,79 @@ def test_sparse_centers(spark):
     there = set(cells)
     want = [(i, j) for i, j in cells if 1 <= i <= 6 and j <= 5 and sum((a, b) in there for a in (i - 1, i, i + 1) for b in (j, j + 1)) >= 4]
     assert rows(validity.sparse_centers(s, 0.6).select("i_x", "i_y")) == sorted(want)
+
+
+# reaches and gaps of all sizes
+
+
+def uneven(rng, n, start=0.0):
+    """Coordinates with gaps from 0.1 to a million times that."""
+    gaps = rng.choice([0.1, 0.3, 1.0, 20.0, 1e3, 1e5], n, p=[0.4, 0.3, 0.15, 0.1, 0.03, 0.02])
+    return (start + np.cumsum(gaps)).round(3)
+
+
+@pytest.mark.parametrize("locus", [False, True])
+@pytest.mark.parametrize("dims", [1, 2])
+def test_levels_find_what_enumeration_finds(spark, locus, dims):
+    rng = np.random.default_rng(dims + 7 * locus)
+    grids, res = [], []
+    for n in (25, 20, 15):
+        g = np.stack([uneven(rng, n) if d == 0 else rng.uniform(0, 4, n) for d in range(dims)], axis=1)
+        r = np.stack([rng.choice([0.2, 1.5, 40.0, 1e4, 1e5], (n, dims)) * rng.uniform(0.5, 1, (n, dims)) for _ in range(2)], axis=2)
+        grids.append(g)
+        res.append(r)
+    want = enumerate_matches(grids, res, 0.5, locus)
+    assert found(spark, grids, res, method="locus" if locus else "multi") == want and want
+    p = [matching.plain_points(spark, g, r) for g, r in zip(grids, res)]
+    assert all(len(x.levels["0"]) > 2 for x in p)
+    optional = matching.match([p[0], matching.replace(p[1], required=False)], "locus" if locus else "multi").collect()
+    pairs = enumerate_matches(grids[:2], res[:2], 0.5, locus)
+    alone = [(i, None) for i in range(25) if i not in {a for a, _ in pairs}]
+    assert sorted(map(tuple, optional), key=repr) == sorted([*pairs, *alone], key=repr)
+
+
+def test_a_gap_does_not_widen_other_buckets(spark):
+    """Beside a gap of a million times the median the candidates stay within 8 times the matches; they were a product before."""
+    x = np.r_[np.arange(2000.0), 1e6 + np.arange(2000.0)]
+    sources = [line(spark, n, x + s) for n, s in (("a", 0.0), ("b", 0.25))]
+    points = [matching.points(s, validity.centers(s)) for s in sources]
+    assert all(len(p.levels["x"]) > 1 for p in points)
+    left, right, equal, again = matching._bucketed(points[1], matching._prefixed(points[0], 0), matching._prefixed(points[1], 1), 1, [(0, points[0])], False)
+    candidates = left.join(right, matching.reduce(lambda a, b: a & b, equal)).count()
+    matches = matching.match(points).count()
+    assert again and matches >= 4000 and candidates <= 8 * matches
+
+
+@pytest.mark.parametrize("stretch", [3, 50])
+def test_neighbours_across_stretches(spark, monkeypatch, stretch):
+    monkeypatch.setattr(grid, "STRETCH", stretch)
+    axis = spark.createDataFrame([(i * i * 1.0, i) for i in range(13)], "c double, idx long").repartition(4)
+    got = {r.idx: (r.before, r.after) for r in grid.neighbours(axis, "c").collect()}
+    assert got == {i: (None if i == 0 else (i - 1.0) ** 2, None if i == 12 else (i + 1.0) ** 2) for i in range(13)}
+
+
+@pytest.mark.parametrize("mode", ["nearest", "left", "right"])
+def test_index_on_uneven_axes(spark, mode):
+    rng = np.random.default_rng(3)
+    x = np.r_[uneven(rng, 60), 1e12]
+    axis = spark.createDataFrame([(float(c), i) for i, c in enumerate(x)], "c double, idx long")
+    values = [*rng.uniform(-5, x[-2] + 10, 80), *x[::7], *((x[:-1] + x[1:]) / 2)[::5], -1e9, 2e12, None]
+    df = spark.createDataFrame([(None if v is None else float(v), i) for i, v in enumerate(values)], "v double, n int")
+    got = {r.n: r.idx for r in matching.index_of(df, "v", axis, "c", mode).collect()}
+    for n, v in enumerate(values):
+        want = None
+        if v is not None:
+            want = int(np.searchsorted((x[:-1] + x[1:]) / 2, v)) if mode == "nearest" else int(np.searchsorted(x, v, "right")) - 1
+        assert got[n] == want
+    assert len(got) == len(values)
+    near = {r.n: r.idx for r in matching.index_of(df, "v", axis, "c", "nearest", 0.2).collect()}
+    at = [None if v is None else int(np.searchsorted((x[:-1] + x[1:]) / 2, v)) for v in values]
+    assert all(near[n] == (at[n] if abs(x[at[n]] - v) <= 0.2 else None) for n, v in enumerate(values) if v is not None)
+
+
+def test_a_far_coordinate_does_not_gather_values(spark):
+    """60,000 values on 20,000 coordinates and one far away: no bucket holds more than a few intervals."""
+    axis = spark.range(20_000).selectExpr("cast(id as double) c", "id idx").unionByName(spark.createDataFrame([(1e15, 20_000)], "c double, idx long"))
+    df = spark.range(60_000).selectExpr("id % 20000 + 0.25 as v", "id as n")
+    out = matching.index_of(df, "v", axis, "c")
+    assert out.where("idx <> cast(v as long)").count() == 0 and out.count() == 60_000
