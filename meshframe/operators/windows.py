@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import itertools
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,37 +13,125 @@ from ..sources.grid import Source
 from .validity import indexed
 
 
+#: Cells of a window up to which centres are exploded to them; larger windows are cut from tiles.
+EXPLODED = 9
+#: Steps of a tile in a dim: so many for each step of the window beside the centre, and at least so many.
+TILE_STEPS, LEAST_STEPS = 4, 8
+#: Window cells in a batch that leaves a tile.
+BATCH_CELLS = 1 << 20
+
+
 def gather(source: Source, centers: DataFrame) -> DataFrame:
     """``centers`` (with i_<dim>) with an array column for each feature and dim: the window's values in row-major order.
 
-    Centres are exploded to the steps of their window (its size, a constant, bounds the copies) and joined to the cells,
-    which were written once with the source's axes. Missing cells are null.
+    Missing cells are null. Windows of up to EXPLODED cells: centres are exploded to their steps and joined to the cells,
+    which were written once with the source's axes. Larger ones are cut from tiles (``from_tiles``), and cost one exchange
+    whose size does not depend on the window's.
     """
     df, sizes = indexed(source)
     span = {d: source.span(d, sizes[d]) for d in source.dim_names}
     keys = [f"i_{d}" for d in source.dim_names]
-    wide = [d for d in source.dim_names if span[d] != (0, 0)]
+    large = math.prod(1 + sum(s) for s in span.values()) > EXPLODED
+    if large:
+        out = from_tiles(df, centers, {f"i_{d}": span[d] for d in source.dim_names}, source.feature_names)
+    else:
+        out = _exploded(df, centers, source, span)
+    for d in source.dim_names:
+        axis = source.axis(d).select(F.col("idx").alias(f"i_{d}"), F.col(d))
+        if span[d] == (0, 0):
+            near = axis.select(f"i_{d}", F.array(d).alias(d))
+        else:
+            near = from_tiles(axis, axis.select(f"i_{d}"), {f"i_{d}": span[d]}, [d])
+        out = out.join(near, f"i_{d}")
+    return out.select(*keys, *source.feature_names, *source.dim_names)
+
+
+def _exploded(df: DataFrame, centers: DataFrame, source: Source, span: Mapping[str, tuple[int, int]]) -> DataFrame:
+    keys = [f"i_{d}" for d in source.dim_names]
     axes = [[*range(-span[d][0], span[d][1] + 1)] for d in source.dim_names]
     offsets = list(itertools.product(*axes))
     rows = F.array(*[F.struct(F.lit(n).alias("__p"), *[F.lit(o).cast("long").alias(f"o_{d}") for d, o in zip(source.dim_names, at, strict=True)]) for n, at in enumerate(offsets)])
     spread = centers.select(*keys).withColumn("__o", F.explode(rows))
     spread = spread.select(*keys, F.col("__o.__p").alias("__p"), *[(F.col(f"i_{d}") + F.col(f"__o.o_{d}")).alias(f"a_{d}") for d in source.dim_names])
     values = df.select(*[F.col(f"i_{d}").alias(f"a_{d}") for d in source.dim_names], *source.feature_names)
-    at = [f"a_{d}" for d in source.dim_names]
-    cells = spread.join(values, at, "left")
+    cells = spread.join(values, [f"a_{d}" for d in source.dim_names], "left")
     lists = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__p", *source.feature_names))).alias("__w"))
     out = centers.select(*keys).join(lists, keys)
-    out = out.select(*keys, *[field_of("__w", f).alias(f) for f in source.feature_names])
-    for d in source.dim_names:
-        if d in wide:
-            axis = source.axis(d).select(F.col("idx").alias("a"), F.col(d).alias("v"))
-            steps = source.axis(d).select(F.col("idx").alias(f"i_{d}"))
-            near = steps.withColumn("a", F.explode(F.sequence(F.col(f"i_{d}") - span[d][0], F.col(f"i_{d}") + span[d][1]))).join(axis, "a", "left")
-            near = near.groupBy(f"i_{d}").agg(F.array_sort(F.collect_list(F.struct("a", "v"))).alias("__x"))
-            out = out.join(near.select(f"i_{d}", F.transform("__x", lambda x: x["v"]).alias(d)), f"i_{d}")
-        else:
-            out = out.join(source.axis(d).select(F.col("idx").alias(f"i_{d}"), F.array(d).alias(d)), f"i_{d}")
-    return out.select(*keys, *source.feature_names, *source.dim_names)
+    return out.select(*keys, *[field_of("__w", f).alias(f) for f in source.feature_names])
+
+
+def tiled(cells: DataFrame, centers: DataFrame, span: Mapping[str, tuple[int, int]], features: Sequence[str]) -> tuple[DataFrame, list[int]]:
+    """Cells and centres (feature columns null, centre true) with the tile t_0, t_1, ... they are for, and the steps of a tile.
+
+    A centre is in one tile. A cell is in its own and in those that have it in their halo: a tile has TILE_STEPS steps for
+    each of the halo's, so these copies are a fixed share, whatever the window.
+    """
+    steps = [max(LEAST_STEPS, TILE_STEPS * sum(s)) for s in span.values()]
+    wide, own = cells.select(*span, *features, F.lit(False).alias("centre")), centers.select(*span, *[F.lit(None).cast(cells.schema[f].dataType).alias(f) for f in features], F.lit(True).alias("centre"))
+    for n, ((i, (before, after)), size) in enumerate(zip(span.items(), steps, strict=True)):
+        first, last = (F.floor((F.col(i) + by) / size).cast("long") for by in (-after, before))
+        wide = wide.withColumn(f"t_{n}", F.explode(F.sequence(first, last)) if before + after else first)
+        own = own.withColumn(f"t_{n}", F.floor(F.col(i) / size).cast("long"))
+    return wide.unionByName(own), steps
+
+
+def from_tiles(cells: DataFrame, centers: DataFrame, span: Mapping[str, tuple[int, int]], features: Sequence[str]) -> DataFrame:
+    """``centers`` (the index columns that are the keys of ``span``) with the features of the window around each, as arrays
+    in row-major order; null where there is no cell. Of cells with equal indexes one counts; repeated centres come once each.
+
+    Cells and centres meet in tiles, boxes of cells with a halo as deep as the window. A tile is an array of places of its
+    cells; a window is a box of that array, so it is found by adding numbers, and all windows of a tile are taken at once.
+    """
+    rows, steps = tiled(cells, centers, span, features)
+    names = [f"t_{n}" for n in range(len(steps))]
+    box = [s + sum(span[i]) for s, i in zip(steps, span, strict=True)]
+    fields = ", ".join([*[f"`{i}` long" for i in span], *[f"`{f}` array<{cells.schema[f].dataType.simpleString()}>" for f in features]])
+    lows, shape = [before for before, _ in span.values()], [1 + sum(s) for s in span.values()]
+
+    def cut(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        strides = np.cumprod([1, *box[:0:-1]])[::-1]
+        offsets = sum(o * s for o, s in zip(np.indices(shape).reshape(len(shape), -1), strides, strict=True))
+        k = len(span)
+
+        def windows(held: list) -> Iterator:
+            table = pa.Table.from_batches(held)
+            index = [np.asarray(table.column(n)) for n in range(k)]
+            corner = [int(np.asarray(table.column(k + len(features) + 1 + n))[0]) * s - low for n, (s, low) in enumerate(zip(steps, lows, strict=True))]
+            place = sum((i - c) * s for i, c, s in zip(index, corner, strides, strict=True))
+            centre = np.asarray(table.column(k + len(features)))
+            row_of = np.full(int(np.prod(box)), -1, np.int64)
+            row_of[place[~centre]] = np.flatnonzero(~centre)
+            asked = np.flatnonzero(centre)
+            each = max(1, BATCH_CELLS // len(offsets))
+            values = [table.column(k + n).combine_chunks() for n in range(len(features))]
+            for at in range(0, len(asked), each):
+                some = asked[at : at + each]
+                rows = row_of[(place[some] - sum(low * s for low, s in zip(lows, strides, strict=True)))[:, None] + offsets[None]].ravel()
+                take = pa.array(rows, mask=rows < 0)
+                ends = pa.array(np.arange(len(some) + 1, dtype=np.int32) * len(offsets))
+                yield pa.RecordBatch.from_arrays([pa.array(i[some]) for i in index] + [pa.ListArray.from_arrays(ends, v.take(take)) for v in values], [*span, *features])
+
+        held, now = [], None
+        for batch in batches:
+            tiles = np.stack([np.asarray(batch.column(k + len(features) + 1 + n)) for n in range(k)])
+            cuts = [0, *(np.flatnonzero((tiles[:, 1:] != tiles[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for a, b in itertools.pairwise(cuts):
+                if a == b:
+                    continue
+                tile = tuple(tiles[:, a])
+                if held and tile != now:
+                    yield from windows(held)
+                    held = []
+                now = tile
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from windows(held)
+
+    typed = rows.select(*[F.col(i).cast("long").alias(i) for i in span], *features, "centre", *names)
+    return typed.repartition(*names).sortWithinPartitions(*names).mapInArrow(cut, fields)
 
 
 def field_of(array: str, name: str) -> Column:

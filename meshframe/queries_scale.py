@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import matching
-from .queries import EV, events, keys, pts, query
+from .operators import matching, validity, windows
+from .queries import EV, GRID, IDX, events, grid_source, hour_source, keys, pts, query
 from .sources.grid import Source
 
 #: Hours whose second half lies a million hours later: an axis with a gap of a million times the median.
@@ -52,3 +52,28 @@ def match_levels_optional(spark, sf_dir):
 def nearest_uneven(spark, sf_dir):
     axis = gapped(spark, sf_dir, "error", 7).axis("t")
     return matching.index_of(events(spark, sf_dir).select("event_id", F.col("h").cast("double").alias("v")), "v", axis, "t").select("event_id", "idx")
+
+
+@query(
+    "window_gather_tiles",
+    f"""WITH {GRID} SELECT a.x, a.y, string_agg(CAST(b.n AS VARCHAR), ',' ORDER BY b.x, b.y) AS n, string_agg(CAST(b.x AS VARCHAR), ',' ORDER BY b.x, b.y) FILTER (WHERE b.y = a.y) AS xs
+FROM grid a JOIN grid b ON b.x BETWEEN a.x - 3 AND a.x + 2 AND b.y BETWEEN a.y - 2 AND a.y + 1
+WHERE a.x BETWEEN 3 AND (SELECT max(x) FROM grid) - 2 AND a.y BETWEEN 2 AND (SELECT max(y) FROM grid) - 1 GROUP BY a.x, a.y""",
+)
+def window_gather_tiles(spark, sf_dir):
+    s = grid_source(spark, sf_dir, features=["n"], window={"x": (3, 2), "y": (2, 1)}, valid_percent={("x", "y"): 0.0})
+    w = windows.gather(s, validity.centers(s))
+
+    def text(c):
+        return F.array_join(F.transform(c, lambda v: v.cast("string")), ",")
+
+    return w.select(F.get("x", F.lit(3)).alias("x"), F.get("y", F.lit(2)).alias("y"), text("n").alias("n"), text("x").alias("xs"))
+
+
+@query("window_gather_day", f"WITH {IDX} SELECT t, CAST((SELECT sum(n * (1 + o.i - ix.i + 24)) FROM ix o WHERE o.i BETWEEN ix.i - 24 AND ix.i + 24) AS BIGINT) AS weighted FROM ix WHERE i BETWEEN 24 AND size - 25")
+def window_gather_day(spark, sf_dir):
+    """Two days around each hour, summed with weights by place."""
+    s = hour_source(spark, sf_dir, features=["n"], window={"t": 24}, valid_percent={"t": 0.0})
+    w = windows.gather(s, validity.centers(s))
+    placed = F.transform("n", lambda v, i: v * (i + 1))
+    return w.select(F.get("t", F.lit(24)).alias("t"), F.aggregate(placed, F.lit(0).cast("long"), lambda a, x: a + x).alias("weighted"))
