@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from .operators import matching, validity, windows
 from .queries import EV, GRID, IDX, events, grid_source, hour_source, keys, pts, query
+from .sources import chunks
 from .sources.grid import Source
+from .sources.tables import fresh_path
 
 #: Hours whose second half lies a million hours later: an axis with a gap of a million times the median.
 GAPPED = EV + ", mid AS (SELECT (min(h) + max(h)) // 2 AS m FROM ev)"
@@ -77,3 +79,19 @@ def window_gather_day(spark, sf_dir):
     w = windows.gather(s, validity.centers(s))
     placed = F.transform("n", lambda v, i: v * (i + 1))
     return w.select(F.get("t", F.lit(24)).alias("t"), F.aggregate(placed, F.lit(0).cast("long"), lambda a, x: a + x).alias("weighted"))
+
+
+@query("chunk_store_round_trip", f"WITH {GRID} SELECT x, y, n, q, CAST(r AS DOUBLE) / 3 AS r FROM grid")
+def chunk_store_round_trip(spark, sf_dir):
+    path, s = fresh_path(spark, "array"), grid_source(spark, sf_dir)
+    chunks.save(Source("grid", s.frame.withColumn("r", F.col("r").cast("double") / 3), ["x", "y"]), path, {"x": 4, "y": 3})
+    return chunks.load(spark, path)
+
+
+@query("chunk_store_box", "SELECT event_id, user_id, CAST(round(value * 100) AS BIGINT) AS cents FROM events WHERE event_id BETWEEN 200 AND 749 AND ts >= TIMESTAMP '2024-01-01 00:00:00'")
+def chunk_store_box(spark, sf_dir):
+    """Some features of a box of an array of all events, of which the chunks in the box are opened."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "ts", F.round(F.col("value") * 100).cast("long").alias("cents"))
+    path = fresh_path(spark, "array")
+    chunks.save(Source("events", e, ["event_id"]), path, {"event_id": 100})
+    return chunks.load(spark, path, ["user_id", "cents", "ts"]).where("event_id between 200 and 749 and ts >= timestamp_ntz '2024-01-01 00:00:00'").drop("ts")
