@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import matching, validity, windows
 from .queries import EV, GRID, IDX, events, grid_source, hour_source, keys, pts, query
-from .sources import chunks
+from .sources import chunks, curve
 from .sources.grid import Source
 from .sources.tables import fresh_path
 
@@ -95,3 +95,11 @@ def chunk_store_box(spark, sf_dir):
     path = fresh_path(spark, "array")
     chunks.save(Source("events", e, ["event_id"]), path, {"event_id": 100})
     return chunks.load(spark, path, ["user_id", "cents", "ts"]).where("event_id between 200 and 749 and ts >= timestamp_ntz '2024-01-01 00:00:00'").drop("ts")
+
+
+@query("curve_box", "SELECT event_id, user_id, CAST(round(value * 100) AS BIGINT) AS cents FROM events WHERE value BETWEEN 20 AND 60 AND user_id <= 400")
+def curve_box(spark, sf_dir):
+    """A box of the events laid out along a curve by value and user."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value")
+    c = curve.save(Source("events", e, ["user_id", "value"]), fresh_path(spark, "curve"), 2000)
+    return c.read({"value": (20.0, 60.0), "user_id": (None, 400)}).select("event_id", "user_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
