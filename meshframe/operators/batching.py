@@ -43,6 +43,72 @@ def batches(df: DataFrame, key: str, batch_size: int, seed: int | None = 0, star
     return out.withColumn("batch", (F.floor(F.col("row") / batch_size) + start).cast("long"))
 
 
+def numbered_within(df: DataFrame, groups: Sequence[str], order: Column, ties: Sequence[str], out: str = "rank") -> DataFrame:
+    """Rows of each group numbered from 0 by a positive number ``order``, then ``ties``; a large group is no single task.
+
+    Rows are dealt by the logarithm of the number, which keeps their order, into slices; slices are counted and rows
+    numbered inside.
+    """
+    sliced = df.withColumn("__o", order)
+    sliced = sliced.withColumn("__s", F.floor(F.log2("__o") * 64).cast("int"))
+    keys = [*groups, "__s"]
+    counts = sliced.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*groups).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    local = sliced.withColumn("__l", F.row_number().over(Window.partitionBy(*keys).orderBy("__o", *ties)) - 1)
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return local.join(bases, same).select(*df.columns, (F.col("__base") + F.col("__l")).cast("long").alias(out))
+
+
+def draw_key(key: str, seed: int, weight: str | None = None) -> Column:
+    """A positive random number of each row: the least of several rows is one's with a chance in proportion to its weight
+    (an exponential variable with the weight as its rate)."""
+    u = (F.conv(F.substring(shuffle_key(key, seed), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+    return -F.ln(u) / (F.col(weight).cast("double") if weight else F.lit(1.0))
+
+
+def deficit_batches(df: DataFrame, bin_: str, key: str, batch_size: int, weights: Mapping | None = None, drawn: Mapping | None = None, seed: int = 0, row_weight: str | None = None) -> DataFrame:
+    """``df`` with row and batch: all rows in an order in which every bin keeps to its share from batch to batch.
+
+    Each draw goes to the bin that is farthest behind: the m-th of a bin of weight w is due at (m + 1/2) / w, so after any
+    number of draws no bin is off its share by more than about one row per bin, until it is exhausted; then the others
+    share what is left. ``weights``: a whole number for each bin, 1 if absent, 0 leaves it out (``policies.bin_weights`` times
+    some 1000, rounded, makes rare bins and such behind come sooner). ``drawn``: what each bin gave in former epochs. In a bin rows
+    are drawn at random without replacement, with chances by ``row_weight`` if given (rows whose weight is not above 0
+    are left out). Bins without rows are never drawn; null is a bin of its own.
+
+    The order needs no sort of all rows: a row's place follows from its rank in its bin and the bins' counts, of which the
+    driver sees one each.
+    """
+    if row_weight:
+        df = df.where(F.col(row_weight) > 0)
+    weights, drawn = weights or {}, drawn or {}
+    counts = {r[0]: r[1] for r in df.groupBy(bin_).agg(F.count(F.lit(1)).alias("n")).collect()}
+    bins = sorted((b for b in counts if weights.get(b, 1) > 0), key=lambda b: (b is not None, b))
+    if not bins:
+        return df.limit(0).withColumns({"row": F.lit(0).cast("long"), "batch": F.lit(0).cast("long")})
+    kind = df.schema[bin_].dataType
+    facts = [(i, b, counts[b], int(weights.get(b, 1)), int(drawn.get(b, 0))) for i, b in enumerate(bins)]
+    table = df.sparkSession.createDataFrame(facts, f"__i int, __bin {kind.simpleString()}, __n long, __w long, __d long")
+    every = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).cast("long").alias("n"), F.lit(w).cast("long").alias("w"), F.lit(d).cast("long").alias("d")) for i, _, n, w, d in facts])
+    ranked = numbered_within(df, [bin_], draw_key(key, seed, row_weight), [key], "__k")
+    own = ranked.join(F.broadcast(table), ranked[bin_].eqNullSafe(F.col("__bin")))  # a row for each bin
+    due = 2 * (F.col("__k") + F.col("__d")) + 1
+
+    def before(b: Column) -> Column:
+        """Rows of a bin that come before: their due time is less, or equal in an earlier bin."""
+        room = due * b["w"] - F.col("__w")
+        first = F.when(b["i"] < F.col("__i"), F.call_function("div", room - F.pmod(room, 2 * F.col("__w")), 2 * F.col("__w")) + 1)
+        strict = F.call_function("div", room - 1 - F.pmod(room - 1, 2 * F.col("__w")), 2 * F.col("__w")) + 1
+        return F.greatest(F.lit(0), F.least(b["n"], F.coalesce(first, strict) - b["d"]))
+
+    row = F.aggregate(every, F.lit(0).cast("long"), lambda a, b: a + before(b))
+    out = own.withColumn("row", row.cast("long"))
+    return out.select(*df.columns, "row", F.floor(F.col("row") / batch_size).cast("long").alias("batch"))
+
+
 def limit_groups(df: DataFrame, groups: Sequence[str], key: str, n: int, seed: int = 0) -> DataFrame:
     """At most n random rows of each group."""
     w = Window.partitionBy(*groups).orderBy(shuffle_key(key, seed), key)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import matching, validity, windows
+from .operators import batching, matching, partials, validity, windows
 from .queries import EV, GRID, IDX, events, grid_source, hour_source, keys, pts, query
 from .sources import chunks, curve
 from .sources.grid import Source
 from .sources.tables import fresh_path
+from .streaming import incremental
 
 #: Hours whose second half lies a million hours later: an axis with a gap of a million times the median.
 GAPPED = EV + ", mid AS (SELECT (min(h) + max(h)) // 2 AS m FROM ev)"
@@ -103,3 +104,63 @@ def curve_box(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id", "value")
     c = curve.save(Source("events", e, ["user_id", "value"]), fresh_path(spark, "curve"), 2000)
     return c.read({"value": (20.0, 60.0), "user_id": (None, 400)}).select("event_id", "user_id", F.round(F.col("value") * 100).cast("long").alias("cents"))
+
+
+PERCENTILES = (1, 10, 25, 50, 75, 90, 99)
+_CUMULATIVE = ", ".join(f"min(cents) FILTER (c >= {p / 100}) AS {'median' if p == 50 else f'p{p}'}" for p in PERCENTILES)
+
+
+@query(
+    "summary_merged",
+    f"""WITH {EV}, d AS (SELECT cents, cume_dist() OVER (ORDER BY cents) AS c FROM ev)
+SELECT 'cents' AS feature, round(avg(cents), 6) AS mean, round(stddev_pop(cents), 6) AS std, CAST(min(cents) AS DOUBLE) AS min, CAST(max(cents) AS DOUBLE) AS max, 0::BIGINT AS "null", {_CUMULATIVE} FROM d""",
+)
+def summary_merged(spark, sf_dir):
+    """The summary of the events from three increments of a store, one of which comes twice; up to 60,000 values are kept as
+    they are, so its percentiles are exact on so many."""
+    e = events(spark, sf_dir)
+    store = partials.SummaryStore(spark, fresh_path(spark, "summaries"), 60_000)
+    part = F.pmod(F.xxhash64("user_id"), F.lit(3))
+    for n in (0, 1, 1, 2):
+        store.add(Source("events", e.where(part == n), ["event_id"], features=["cents"]), f"part-{n}")
+    out = store.summary()
+    marks = [F.col("median" if p == 50 else f"p{p}").cast("long").alias("median" if p == 50 else f"p{p}") for p in PERCENTILES]
+    return out.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), "min", "max", "null", *marks)
+
+
+@query(
+    "deficit_batches",
+    """WITH t AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS i, 1 << CAST((row_number() OVER (ORDER BY event_type) - 1) % 3 AS INTEGER) AS w FROM (SELECT DISTINCT event_type FROM events)),
+u AS (SELECT event_id, event_type, -ln((CAST(('0x' || substr(md5(concat(CAST(event_id AS VARCHAR), '_5')), 1, 12)) AS BIGINT) + 0.5::DOUBLE) / 281474976710656) AS o FROM events),
+r AS (SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY o, event_id) - 1 AS k FROM u),
+d AS (SELECT event_id, r.event_type, row_number() OVER (ORDER BY (2 * k + 1) * 4 // w, i) - 1 AS row FROM r JOIN t ON r.event_type = t.event_type)
+SELECT event_id, event_type, CAST(row AS BIGINT) AS row, CAST(row // 64 AS BIGINT) AS batch FROM d""",
+)
+def deficit_batches(spark, sf_dir):
+    """All events in batches in which event types keep to weights 1, 2, 4, 1, ... as long as they last."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    kinds = sorted(r[0] for r in e.select("event_type").distinct().collect())  # a bin each
+    return batching.deficit_batches(e, "event_type", "event_id", 64, {k: 1 << i % 3 for i, k in enumerate(kinds)}, seed=5)
+
+
+@query(
+    "stream_recurrence",
+    """WITH e AS (SELECT user_id % 20 AS k, ts, CAST(round(value * 100) AS BIGINT) AS v FROM events), m AS (SELECT max(ts) - INTERVAL 6 HOURS AS mark FROM e),
+l AS (SELECT k, ts, v, list(v) OVER (PARTITION BY k ORDER BY ts, v ROWS UNBOUNDED PRECEDING) AS before FROM e, m WHERE ts < mark)
+SELECT k, ts, CAST(v AS DOUBLE) AS v, round(list_reduce(list_prepend(0::DOUBLE, list_transform(list_slice(before, greatest(1, len(before) - 60), len(before)), lambda x: CAST(x AS DOUBLE))), lambda s, x: s * 0.5 + x * 0.5), 4) AS state FROM l""",
+)
+def stream_recurrence(spark, sf_dir):
+    """A running average by key over a stream of the events' files in no order of time, run twice from one checkpoint: the
+    state after each event that the watermark, six hours behind the newest, has passed."""
+    path = fresh_path(spark, "recurrence")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select((F.col("user_id") % 20).alias("k"), "ts", F.round(F.col("value") * 100).cast("double").alias("v"))
+    days = e.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    e = e.withColumn("p", F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit(days["a"]).cast("timestamp"))) / 1e6 / ((days["b"] - days["a"]).total_seconds() + 1) * 4))
+    for half in range(2):  # two runs; in each files of hours in any order, none later than the watermark allows
+        for p in (2 * half, 2 * half + 1):
+            e.where(F.col("p") == p).drop("p").coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = incremental.file_stream(spark, f"{path}/in", "k long, ts timestamp_ntz, v double", 2).withColumn("ts", F.col("ts").cast("timestamp"))
+        out = incremental.keyed_recurrence(stream, "k", "ts", "v", lambda x, s: s * 0.5 + x * 0.5, 0.0, "6 hours")
+        out.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/out").trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.schema("k long, ts timestamp, v double, state double").parquet(f"{path}/out")
+    return found.select("k", F.col("ts").cast("timestamp_ntz").alias("ts"), "v", F.round("state", 4).alias("state"))

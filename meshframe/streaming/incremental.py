@@ -131,3 +131,62 @@ def epochs(plan: Callable[[int], DataFrame], repeat: bool = False) -> Iterator[D
     """A plan for each epoch, with the epoch's number as its seed."""
     for n in itertools.count() if repeat else range(1):
         yield plan(n)
+
+
+def keyed_recurrence(stream: DataFrame, key: str, time: str, value: str, step: Callable[[float, float], float], initial: float, late: str, ttl: str | None = None) -> DataFrame:
+    """(key, time, value, state) for each event of a stream: state = step(value, state before), by event time for each key.
+
+    For output mode append. Events wait until the watermark, ``late`` behind the newest time, has passed them; then they
+    are taken in the order of time (then value), so files may come in any order. An event that comes when its key has gone
+    on past its time is dropped, as the watermark says; null keys are one key, events with null times are dropped. Keys
+    without events for ``ttl`` of event time begin anew. State, with the events that wait, is kept by key in the stream's
+    checkpoint, so a restart goes on.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    fields = {f.name: f.dataType.simpleString() for f in stream.schema.fields}
+    ends = pd_timedelta(ttl) if ttl else None
+
+    def run(group: tuple, frames, state: GroupState):
+        import pandas as pd
+
+        waiting_t, waiting_v, now, last = (list(x) if isinstance(x, list | tuple) else x for x in state.get) if state.exists else ([], [], initial, None)
+        for frame in frames:
+            frame = frame[frame[time].notna()]
+            waiting_t += frame[time].astype("datetime64[us]").astype("int64").tolist()
+            waiting_v += frame[value].astype("float64").tolist()
+        mark = state.getCurrentWatermarkMs() * 1000
+        events = sorted(zip(waiting_t, waiting_v, strict=True))
+        ready = [e for e in events if e[0] < mark]
+        events = [e for e in events if e[0] >= mark]
+        out = []
+        for t, v in ready:
+            if last is not None and t < last:
+                continue
+            if ends is not None and last is not None and t - last > ends:
+                now = initial
+            now, last = step(v, now), t
+            out.append((t, v, now))
+        if not events and ends is not None and last is not None and mark - last > ends:
+            state.remove()
+        else:
+            state.update(([t for t, _ in events], [v for _, v in events], now, last))
+            wake = min((t for t, _ in events), default=None)
+            if wake is None and ends is not None and last is not None:
+                wake = last + ends
+            if wake is not None:
+                state.setTimeoutTimestamp(max(wake // 1000 + 1, mark // 1000 + 1))
+        if out:
+            t, v, s = zip(*out, strict=True)
+            yield pd.DataFrame({key: [group[0]] * len(out), time: pd.to_datetime(list(t), unit="us"), value: v, "state": s})
+
+    rows = stream.withWatermark(time, late).select(key, time, F.col(value).cast("double").alias(value))
+    grouped = rows.groupBy(key)
+    return grouped.applyInPandasWithState(run, f"`{key}` {fields[key]}, `{time}` {fields[time]}, `{value}` double, state double", "t array<long>, v array<double>, now double, last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def pd_timedelta(text: str) -> int:
+    """Microseconds of a duration such as "2 hours"."""
+    import pandas as pd
+
+    return int(pd.Timedelta(text).total_seconds() * 1_000_000)
