@@ -85,6 +85,26 @@ def width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Most keys that are broadcast for having many rows, and rows that are few whatever the number of all rows.
+HOT_KEYS, FEW_ROWS = 100_000, 256
+
+
+def hot_rows(rows: int) -> int:
+    """Rows of a key above which it is hot: at most HOT_KEYS of ``rows`` rows' keys can have so many."""
+    return max(FEW_ROWS, rows // HOT_KEYS)
+
+
+def join_one(rows: DataFrame, one: DataFrame, key: list[str], times: str, limit: int) -> DataFrame:
+    """``rows`` joined with ``one``, which has each ``key`` once and in ``times`` how many of the rows have it.
+
+    A key with more than ``limit`` rows (see ``hot_rows``) is broadcast, so its rows stay where they are; the others meet by
+    key. A join with an aggregate on its own key is none that Spark splits at run time.
+    """
+    hot, rest = one.where(F.col(times) > limit).drop(times), one.where(F.col(times) <= limit).drop(times)
+    spread = rows.join(F.broadcast(hot), key)  # HOT_KEYS rows at most
+    return spread.unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(rest, key))
+
+
 def gapless_rank(df: DataFrame, group: list[str], salt: Column, order: list[Column], out: str, slices: int = 64) -> DataFrame:
     """Number the rows of each group from 0 without gaps, without gathering a group in one task.
 
@@ -124,14 +144,14 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("times"))
         # Large star: every larger neighbour of u moves to the least of u and its neighbours.
-        large = now.select(F.col("v").alias("c"), F.col("u").alias("x")).join(least.withColumnRenamed("u", "c"), "c").select(F.col("x").alias("u"), F.col("m").alias("v"))
+        large = join_one(now.select(F.col("v").alias("c"), F.col("u").alias("x")), least.withColumnRenamed("u", "c"), ["c"], "times", hot_rows(2 * mark[0])).select(F.col("x").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").groupBy("u", "v").agg(F.lit(1).alias("one")).drop("one")
         large = stash(large, label)
         # Small star: u and its smaller neighbours all move to the least of them.
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("times"))
+        small = join_one(large, low, ["u"], "times", hot_rows(mark[0])).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.unionByName(low.select("u", F.col("m").alias("v")))
         following = stash(small.groupBy("u", "v").agg(F.lit(1).alias("one")).drop("one"), label)
         before, now, mark = mark, following, _mark(following)

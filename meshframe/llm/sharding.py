@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gapless_rank
+from .common import gapless_rank, stash
 
-#: Slices of a shard that are numbered apart.
-SLICES = 64
+#: Slices of a shard that are numbered apart: so many, doubled until one has some SLICE_ROWS rows.
+SLICES, SLICE_ROWS = 64, 1 << 20
 
 
 def draw(*parts: Column) -> Column:
@@ -32,8 +32,12 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     """
     if not weights or any(not w > 0 for w in weights):
         raise ValueError("weights must be positive, one for each shard")
-    scored = [F.struct(_score(key, j, w).alias("score"), F.lit(j).alias("shard")) for j, w in enumerate(weights)]
-    return F.array_min(F.array(*scored))["shard"]
+    return _best(key, dict(enumerate(weights)))["shard"]
+
+
+def _best(key: Column, weights: Mapping[int, float]) -> Column:
+    """The least (score, shard) of some shards."""
+    return F.array_min(F.array(*[F.struct(_score(key, j, w).alias("score"), F.lit(j).alias("shard")) for j, w in weights.items()]))
 
 
 def shard(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[float] | None = None) -> DataFrame:
@@ -43,11 +47,22 @@ def shard(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[flo
     shard, so no task gathers a whole shard. Null and repeated keys stay rows of their own; columns named shard, slot or
     grown_shard are replaced. An empty table gives none.
     """
-    placed = df.drop("shard", "slot", "grown_shard").withColumn("shard", rendezvous(F.col(key), weights).cast("int"))
-    after = rendezvous(F.col(key), grown).cast("int") if grown else F.lit(None).cast("int")
+    rendezvous(F.col(key), weights)  # says what is wrong with weights
+    placed = df.drop("shard", "slot", "grown_shard", "__best").withColumn("__best", _best(F.col(key), dict(enumerate(weights))))
+    if grown and list(grown[: len(weights)]) == list(weights):  # the shards that come score against the best so far
+        more = {j: w for j, w in enumerate(grown) if j >= len(weights)}
+        rendezvous(F.col(key), grown)
+        after = (F.least("__best", _best(F.col(key), more)) if more else F.col("__best"))["shard"]
+    else:
+        after = rendezvous(F.col(key), grown) if grown else F.lit(None)
+    placed = stash(placed.withColumns({"shard": F.col("__best")["shard"].cast("int"), "grown_shard": after.cast("int")}).drop("__best"), "shards")
+    slices = SLICES
+    rows = placed.count()
+    while rows > slices * len(weights) * SLICE_ROWS:
+        slices *= 2
     order = draw(F.col(key), F.lit("slot"))
-    ranked = gapless_rank(placed, ["shard"], order, [order, F.col(key)], "slot", SLICES)
-    return ranked.withColumn("grown_shard", after)
+    ranked = gapless_rank(placed, ["shard"], order, [order, F.col(key)], "slot", slices)
+    return ranked.select(*[c for c in placed.columns if c != "grown_shard"], "slot", "grown_shard")
 
 
 def op6_rendezvous(spark: SparkSession, sf_dir: str) -> DataFrame:
