@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_batches, components, stash, tidy
+from .common import WORD, bounded_batches, components, hot_rows, join_one, stash, tidy
 from .substrings import _SPACE, SLICE_CHARS, Slice, _factor, _mix, _spans, grams
 
 #: Lanes of a signature (a byte each) in bands: a pair at 0.8 shares no band with probability 5e-7.
@@ -291,11 +291,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     threshold = percent / 100
     docs = stash(sketch(df, key, text, size), "minhash-sketch")
     real = docs.where(F.col("key").isNotNull() & (F.col("n_shingles") > 0))
-    classes = stash(real.groupBy("n_shingles", "digest").agg(F.min("key").alias("rep"), F.max("sig").alias("sig")), "minhash-classes")
+    classes = stash(real.groupBy("n_shingles", "digest").agg(F.min("key").alias("rep"), F.max("sig").alias("sig"), F.count(F.lit(1)).alias("times")), "minhash-classes")
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)])
     banded = classes.select("rep", F.posexplode(keys).alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     live = stash(banded.join(shared, "key"), "minhash-buckets")
+    often = hot_rows(live.count())
 
     ids = live.select("rep").distinct()
     few = ids.count() <= BROADCAST_IDS
@@ -311,27 +312,30 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     large = live.where(F.col("n") > SMALL)
     degree = large.groupBy("rep").agg(F.sum("n").alias("degree"))
     ranked = large.join(degree, "rep")
-    hubs = ranked.groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("hub"))
-    star = large.join(hubs, "key").where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+    hubs = ranked.groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("hub"), F.count(F.lit(1)).alias("times"))
+    star = join_one(large, hubs, ["key"], "times", often).where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
     first = pairs.unionByName(star).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).select("a", "b")
     links = stash(_verified(_pruned(first, sigs, threshold), texts, percent, size), "minhash-links")
     parts = components(links, "minhash-components")
     parts = stash(parts, "minhash-parts")
     state = large.join(parts.withColumnRenamed("node", "rep"), "rep", "left").join(classes.select("rep", "n_shingles"), "rep")
     state = state.select("key", "band", "n", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
-    mixed = state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n_shingles").alias("total")).where("low < high").select("key", "total")
+    mixed = state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n_shingles").alias("total"), F.count(F.lit(1)).alias("times")).where("low < high").select("key", "total", "times")
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") * 8 / BLOCK_BYTES)).cast("int")
     own = F.pmod(F.xxhash64("rep", "key"), blocks).cast("int")
     to = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"), F.when(o == own, 0).when(own < o, 1).otherwise(2).alias("side")))
-    dealt = state.join(mixed, "key").select("key", "band", "rep", "comp", F.explode(to).alias("at")).select("key", "band", "at.i", "at.j", "at.side", "rep", "comp")
+    dealt = join_one(state, mixed, ["key"], "times", often).select("key", "band", "rep", "comp", F.explode(to).alias("at")).select("key", "band", "at.i", "at.j", "at.side", "rep", "comp")
     sets = sigs.join(texts.select("rep", "set"), "rep")
     again = stash(_across(dealt.join(sets, "rep"), threshold, percent).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).select("a", "b"), "minhash-across")
     more = _verified(again, texts, percent, size)
     parts = components(links.unionByName(more), "minhash-components")
 
-    of_class = classes.select("n_shingles", "digest", "rep").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = of_class.select("n_shingles", "digest", F.coalesce("component", "rep").alias("found"))
-    out = docs.select("key", "n_shingles", "digest").join(of_class, ["n_shingles", "digest"], "left")
+    of_class = classes.select("n_shingles", "digest", "rep", "times").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    of_class = of_class.select("n_shingles", "digest", "times", F.coalesce("component", "rep").alias("found"))
+    rows = docs.select("key", "n_shingles", "digest")
+    linked = F.col("key").isNotNull() & (F.col("n_shingles") > 0)
+    out = join_one(rows.where(linked), of_class, ["n_shingles", "digest"], "times", hot_rows(docs.count()))
+    out = out.unionByName(rows.where(~linked).withColumn("found", F.lit(None).cast("long")))
     component = F.when(F.col("key").isNotNull(), F.coalesce("found", "key"))
     return out.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("key")).alias("kept"))
 

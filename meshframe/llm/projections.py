@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, components, stash, width
+from .common import bounded_batches, components, hot_rows, join_one, stash, width
 
 #: Most projections, windows' half width in standard deviations of a pair at the threshold, and its chance to be missed.
 AXES, WIDE, MISS = 64, 2.0, 1e-6
@@ -319,9 +319,12 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     edges = found.where("b is not null").select("a", "b")
     parts_of = components(edges, "vector-components")
     of_class = classes.join(links.withColumnRenamed("a", "rep"), "rep", "left").join(parts_of.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = of_class.select("raw", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
-    out = vectors.join(of_class, "raw", "left")
+    of_class = of_class.select("raw", "times", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     live = F.col("key").isNotNull()
+    linked = live & F.col("raw").isNotNull()
+    out = join_one(vectors.where(linked), of_class, ["raw"], "times", hot_rows(vectors.count()))
+    none = F.lit(None).cast("long")
+    out = out.unionByName(vectors.where(~linked).withColumns({"links": none, "component": none}))
     component = F.when(live, F.coalesce("component", "key"))
     return out.select(F.col("key").alias(key), F.when(live, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("key")).alias("kept"))
 

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_path
+from .common import bounded_batches, fresh_path, hot_rows, join_one, stash
 from .files import committed, open_fs
 from .ranges import range_shards, shard_bytes
 
@@ -81,9 +81,9 @@ def write_warc(df: DataFrame, folder: str, key: str = "page_id", url: str = "url
     spark = df.sparkSession
     pages = df.select(F.col(key).cast("long").alias("key"), F.col(url).alias("url"), F.coalesce(html, F.lit("")).alias("html"))
     size = F.octet_length("html")
-    long_ones = pages.where(size >= LEAST_PAYLOAD).select("key", F.unhex(F.sha2("html", 256)).alias("digest"))
+    long_ones = stash(pages.where(size >= LEAST_PAYLOAD).select("key", F.unhex(F.sha2("html", 256)).alias("digest")), "warc-digests")
     groups = long_ones.groupBy("digest").agg(F.min("key").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = long_ones.join(groups, "digest").where(~F.col("key").eqNullSafe(F.col("first")))
+    later = join_one(long_ones, groups, ["digest"], "n", hot_rows(long_ones.count())).where(~F.col("key").eqNullSafe(F.col("first")))
     later = later.groupBy("key", "digest").agg(F.min("first").alias("first"))
     rows = pages.select("key", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("first"))
     weight = F.octet_length("html") + 256
