@@ -8,6 +8,7 @@ from collections.abc import Iterator, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import stash
 from .validity import in_bins
 from .windows import field_of
 
@@ -33,11 +34,25 @@ def numbered(df: DataFrame, order: Sequence[Column], out: str = "row") -> DataFr
     return ranked.withColumn(out, F.col("__base") + F.col(out)).select(*df.columns, out)
 
 
+def in_order(df: DataFrame, keys: Sequence[str | Column], out: str = "row") -> DataFrame:
+    """``df`` with its rows numbered from 0 in the order of ``keys``, which tell all rows apart.
+
+    Rows are sorted by ranges of the keys; a row's number is its place in its range and the sizes of the ranges before, of
+    which there are as many as partitions. The sorted rows are written once, as ranges that were drawn again might differ.
+    """
+    mine = F.monotonically_increasing_id()  # the partition above 33 bits, the place in it below
+    rows = stash(df.orderBy(*keys).withColumn("__m", mine), "ordered")
+    counts = rows.groupBy(F.shiftrightunsigned("__m", 33).alias("__p")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    bases = counts.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    placed = rows.withColumns({"__p": F.shiftrightunsigned("__m", 33), "__at": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))}).join(F.broadcast(bases), "__p")
+    return placed.select(*df.columns, (F.col("__base") + F.col("__at")).cast("long").alias(out))
+
+
 def batches(df: DataFrame, key: str, batch_size: int, seed: int | None = 0, start: int = 0) -> DataFrame:
     """``df`` with row and batch; the last batch may be short. seed None keeps the order of the key."""
     if seed is None:
-        w = Window.orderBy(key)
-        out = df.withColumn("row", (F.row_number().over(w) - 1).cast("long"))
+        out = in_order(df, [key])
     else:
         out = numbered(df, [shuffle_key(key, seed), F.col(key)])
     return out.withColumn("batch", (F.floor(F.col("row") / batch_size) + start).cast("long"))

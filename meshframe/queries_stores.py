@@ -85,11 +85,12 @@ def policy_rotation(spark, sf_dir):
     return policies.centers_in_turn(s, "t", 50, turns).select("config", F.col("i_t").alias("i"))
 
 
-@query("policy_required", "SELECT * FROM (VALUES ('hours', true), ('error', false), ('purchase', false)) v(name, required)")
+@query("policy_required", f"WITH {HOURLY}{every(3, 'b', 'error')}{every(24, 'd', 'purchase')} SELECT 'hours' AS name, true AS required, count(*) AS cells FROM hourly UNION ALL SELECT 'error', false, count(*) FROM b UNION ALL SELECT 'purchase', false, count(*) FROM d")
 def policy_required(spark, sf_dir):
-    sources = three(spark, sf_dir)
+    """Which sources policies in turn always need, with their cells."""
     turns = policies.rotation([{"t": 1.0}], [["error"], ["purchase"], []])
-    return spark.createDataFrame([(s.name, s.required) for s in policies.required_under(sources, turns)], "name string, required boolean")
+    parts = [s.cells().agg(F.count(F.lit(1)).alias("cells")).select(F.lit(s.name).alias("name"), F.lit(s.required).alias("required"), "cells") for s in policies.required_under(three(spark, sf_dir), turns)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query("percents_override", f"WITH {GRID}, a AS (SELECT x, y, CASE WHEN sum(CASE WHEN q <> -2147483648 THEN 1 ELSE 0 END) OVER (PARTITION BY y ORDER BY x RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) >= {validity.least_valid(0.3, 3)} THEN 1 ELSE 0 END AS ok FROM grid), b AS (SELECT x, y, sum(ok) OVER (PARTITION BY x ORDER BY y RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS c FROM a) SELECT x, y FROM b WHERE c >= 3 AND x BETWEEN 1 AND (SELECT max(x) FROM grid) - 1 AND y BETWEEN 1 AND (SELECT max(y) FROM grid) - 1")
@@ -117,19 +118,32 @@ def sparsity_order(spark, sf_dir):
     return spark.createDataFrame([(policies.sparsest_first([a, b])[0].name,)], "first string")
 
 
-@query("order_checks", "SELECT true AS numbered, false AS by_value, true AS by_event")
+_NO_DESCENT = "NOT EXISTS (SELECT 1 FROM (SELECT {c} AS c, lead({c}) OVER (ORDER BY {by}) AS n FROM {t}) WHERE n {less} c)"
+
+
+@query(
+    "order_checks",
+    "SELECT "
+    + ", ".join(
+        f"{_NO_DESCENT.format(c=c, by=by, t=t, less=less)} AS {name}"
+        for name, c, by, t, less in (("by_time", "ts", "event_id", "events", "<"), ("by_user", "user_id", "event_id", "events", "<"), ("by_name", "n_name", "n_nationkey", "nation", "<="), ("by_date", "o_orderdate", "o_orderkey", "orders", "<"))
+    ),
+)
 def order_checks(spark, sf_dir):
-    e = stash(batching.batches(table(spark, sf_dir, "events").select("event_id", "value"), "event_id", 64, seed=2), "order")
-    one = e.select(F.col("event_id").cast("long").alias("position"), "event_id", "value")
-    return spark.createDataFrame([(policies.is_sorted(e, "row", ["row"], strict=True), policies.is_sorted(e, "row", ["value"]), policies.is_sorted(one, "position", ["event_id"], strict=True))], "numbered boolean, by_value boolean, by_event boolean")
+    """Whether tables in the order of their keys ascend in other columns too."""
+    found = []
+    for t, key, column, strict in (("events", "event_id", "ts", False), ("events", "event_id", "user_id", False), ("nation", "n_nationkey", "n_name", True), ("orders", "o_orderkey", "o_orderdate", False)):
+        df = batching.in_order(table(spark, sf_dir, t).select(key, column), [key], "position")
+        found.append(policies.is_sorted(df, "position", [column], strict=strict))
+    return spark.createDataFrame([tuple(found)], "by_time boolean, by_user boolean, by_name boolean, by_date boolean")
 
 
 @query("match_order", f"WITH {HOURLY}{every(3, 'b', 'error')}, m AS (SELECT hourly.t AS a, b.t AS b FROM hourly JOIN b ON abs(hourly.t - b.t) <= 1.5 + 1e-5) SELECT a, b, row_number() OVER (ORDER BY a, b) AS place FROM m")
 def match_order(spark, sf_dir):
     from .queries import match_two_sources
 
-    placed = policies.ordered(match_two_sources(spark, sf_dir), ["a", "b"]).collect()  # as many as matches; only to see the order
-    return spark.createDataFrame([(r.a, r.b, i + 1) for i, r in enumerate(placed)], "a double, b double, place long")
+    placed = batching.in_order(match_two_sources(spark, sf_dir), ["a", "b"], "place")
+    return placed.select("a", "b", (F.col("place") + 1).alias("place"))
 
 
 @query(
@@ -161,10 +175,18 @@ def batch_replay(spark, sf_dir):
 # selectors, graphs, metrics
 
 
-@query("sample_available", "SELECT 'n,t,error__m' AS there, 'grid/hours,error' AS labels")
+@query("sample_available", f"WITH {SAMPLES}, v AS (SELECT (SELECT sum(n) FROM ix o WHERE o.i BETWEEN p.i - 2 AND p.i) AS n, m FROM pairs p) SELECT 'n' AS feature, CAST(sum(n) AS BIGINT) AS total FROM v UNION ALL SELECT 'error__m', CAST(sum(m) AS BIGINT) FROM v")
 def sample_available(spark, sf_dir):
-    _, sel = _samples(spark, sf_dir)
-    return spark.createDataFrame([(",".join(sel.available(["n", ["t", "none"], "error__m"])), ",".join(sel.groups()))], "there string, labels string")
+    """Of some names those that the samples have, with the sum of all their values."""
+    df, sel = _samples(spark, sf_dir)
+    there = [f for f in sel.available(["n", ["none"], "error__m", "absent"]) if isinstance(f, str)]
+    found = sel.select(df, there)
+    sums = [F.sum(F.aggregate(f"`{f}`", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total") for f in there]
+    parts = [found.agg(t).select(F.lit(f).alias("feature"), "total") for f, t in zip(there, sums, strict=True)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 @query("sample_only", f"WITH {SAMPLES} SELECT a, CAST(m AS BIGINT) AS m FROM pairs")
