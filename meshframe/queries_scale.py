@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import batching, matching, partials, validity, windows
+from .operators import batchfiles, batching, matching, partials, validity, windows
 from .queries import EV, GRID, IDX, events, grid_source, hour_source, keys, pts, query
 from .sources import chunks, curve
 from .sources.grid import Source
@@ -164,3 +164,12 @@ def stream_recurrence(spark, sf_dir):
         out.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/out").trigger(availableNow=True).start().awaitTermination()
     found = spark.read.schema("k long, ts timestamp, v double, state double").parquet(f"{path}/out")
     return found.select("k", F.col("ts").cast("timestamp_ntz").alias("ts"), "v", F.round("state", 4).alias("state"))
+
+
+@query("batch_files", "WITH s AS (SELECT event_id, row_number() OVER (ORDER BY md5(concat(CAST(event_id AS VARCHAR), '_4')), event_id) - 1 AS row FROM events) SELECT event_id, CAST(row // 100 AS BIGINT) AS batch, CAST(row // 100 // 5 % 4 AS BIGINT) AS rank FROM s")
+def batch_files(spark, sf_dir):
+    """Batches of 100 events in files of 5 batches, as four ranks read them."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+    path = fresh_path(spark, "batches")
+    batchfiles.write_batches(batching.batches(e, "event_id", 100, seed=4), path, 5)
+    return batchfiles.read_ranks(spark, path, 4, "event_id long, row long, batch long").select("event_id", "batch", "rank")

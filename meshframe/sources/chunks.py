@@ -31,7 +31,7 @@ KINDS = {"bigint": "<i8", "int": "<i4", "smallint": "<i2", "tinyint": "<i1", "do
 TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "smallint": T.ShortType(), "tinyint": T.ByteType(), "double": T.DoubleType(), "float": T.FloatType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "timestamp_ntz": T.TimestampNTZType(), "date": T.DateType()}
 
 
-def _files(path: str):
+def files_at(path: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
@@ -39,7 +39,7 @@ def _files(path: str):
 
 def _put(path: str, name: str, data: bytes) -> None:
     """A file under a temporary name, renamed when it is whole."""
-    fs, base = _files(path)
+    fs, base = files_at(path)
     folder = f"{base}/{name}".rsplit("/", 1)[0]
     fs.create_dir(folder, recursive=True)
     draft = f"{folder}/.{uuid.uuid4().hex}.tmp"
@@ -49,7 +49,7 @@ def _put(path: str, name: str, data: bytes) -> None:
 
 
 def _get(path: str, name: str, at: int = 0, size: int | None = None) -> bytes:
-    fs, base = _files(path)
+    fs, base = files_at(path)
     with fs.open_input_file(f"{base}/{name}") as f:
         f.seek(at)
         return f.read() if size is None else f.read(size)
@@ -268,7 +268,7 @@ class ChunkWriter(DataSourceArrowWriter):
         _put(self.path, "array.json", json.dumps({**self.layout, "shards": [m.shard for m in done], "index": name}).encode())
 
     def abort(self, messages) -> None:
-        fs, base = _files(self.path)
+        fs, base = files_at(self.path)
         for m in messages:
             if m is not None and m.shard:
                 fs.delete_file(f"{base}/shards/{m.shard}")
