@@ -23,7 +23,7 @@ BATCH, MISS = 48, 1e-6
 SMALL, BLOCK = 8, 4096
 #: Bytes of shingle sets that a block has on average at most; long texts make more blocks, not larger ones.
 BLOCK_BYTES = 32 << 20
-#: Ids up to which the candidates' texts are picked by broadcast (16 MB); beyond, by shuffle.
+#: Ids up to which the candidates' texts are picked by broadcast (16 MB, some 133 MB with the hash table); beyond, by shuffle.
 BROADCAST_IDS = 2_000_000
 
 _WORDS = re.compile(WORD)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stash
+
 #: Words of 64 bits in a block of the filter; a key sets one bit in each.
 WORDS = 8
 BITS_PER_KEY = 16
@@ -71,7 +73,8 @@ def judge(df: DataFrame, url: str, rules: DataFrame, default: str = "allow") ->
         return base.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    starts = F.array_compact(F.array(*[F.when(F.char_length("path") >= n, F.substring("path", 1, n)) for n in lengths]))
+    some = F.split(F.lit(",".join(map(str, lengths))), ",").cast("array<int>")
+    starts = F.transform(F.filter(some, lambda n: n <= F.char_length("path")), lambda n: F.substr(F.col("path"), F.lit(1), n))
     urls = base.where("host <> ''").select("host", "path")
     keys = urls.select("host", "path", F.explode(suffixes).alias("suffix")).select("host", "path", F.explode(F.transform(starts, lambda p: F.concat("suffix", p))).alias("key"))
     bloom = bloom_filter(listed, "key", blocks)
@@ -87,6 +90,8 @@ def judge(df: DataFrame, url: str, rules: DataFrame, default: str = "allow") ->
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("key", "listed"), rank).alias("best"))
     tied = hits.groupBy("host", "path", "key").agg(F.min("listed").alias("verdict"))
     best = best.select("host", "path", F.col("best.key").alias("key")).join(tied, ["host", "path", "key"]).select("host", "path", F.col("key").alias("rule"), "verdict")
+    # a table, not an aggregate: so Spark splits the join where many rows share host and path
+    best = stash(best, "url-rules")
     # rows without a host fit no rule: a key of their own keeps them from meeting in one task
     alone = F.concat(F.lit("\x00"), F.xxhash64(*[F.col(c) for c in df.drop("host", "path", "rule", "verdict").columns]).cast("string"))
     rows = base.withColumn("__host", F.when(F.col("host") == "", alone).otherwise(F.col("host")))
