@@ -2,7 +2,10 @@
 
 A stage is a function of (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return the
 columns that they were given; columns of ``docs`` that share a name with a working column are set aside and come back
-unchanged. Null ids, texts and sources and repeated rows go through as the operators define; empty tables stay empty.
+unchanged. Null ids, texts and sources and repeated rows go through as the operators define; empty tables stay empty. Very long
+texts are one row in memory, and are worked on whole. Ties: near_dedup keeps the least id of a group and of rows with one
+id and alike texts any one (they differ in other columns at most, the one with the least hash of all columns stays);
+mixing and packing break ties by hashes of ids and texts, so reruns agree; quality and substring_dedup know none.
 """
 
 from __future__ import annotations
