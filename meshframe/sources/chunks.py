@@ -306,7 +306,9 @@ def save(source: Source, path: str, chunks: Mapping[str, int]) -> None:
     """Writes the cells of a source as a chunked array, ``chunks`` steps of each dim in a chunk (all where it names none).
 
     An array that is there is replaced in one step, when all chunks are written. Of features null and NaN are kept apart;
-    they must be numbers, booleans, dates or times. Two cells with the same coordinates are an error.
+    they must be numbers, booleans, dates or times. Two cells with the same coordinates are an error. The coordinates of each
+    dim pass through the driver and are held by readers, as in any array store: dims have some 10^8 steps at most. Cells do
+    not; a chunk is written by one task and has MOST_CELLS places at most.
     """
     spark = source.frame.sparkSession
     dims = source.dim_names
