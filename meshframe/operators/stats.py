@@ -13,6 +13,8 @@ from ..sources.grid import Source, cell_valid, neighbours
 
 #: Percentiles of a summary; the 50th is named median.
 PERCENTS = tuple(range(1, 100))
+#: Slices in which values are ranked.
+SLICES = 1000
 
 
 def _finite(x: Column) -> Column:
@@ -24,13 +26,51 @@ def statistic_names() -> list[str]:
     return ["mean", "std", "min", "max", "null", "logstd", *["median" if p == 50 else f"p{p}" for p in PERCENTS]]
 
 
-def summary(source: Source, exact: bool = False, coordinates: bool = True, accuracy: int = 10_000) -> DataFrame:
+def slice_shares() -> Column:
+    """Shares of all values at which a sketch is asked for the bounds of slices, as a constant."""
+    return F.split(F.lit(",".join(str(i / SLICES) for i in range(1, SLICES))), ",").cast("array<double>")
+
+
+def counted(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, value, n): the different values of each feature and how often they occur."""
+    each = F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), _finite(F.col(f)).alias("value")) for f in features]))
+    return df.select(each).where("value is not null").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def ranked_percentiles(counts: DataFrame, bounds: DataFrame) -> DataFrame:
+    """(feature, pct): for each percentile the least value that so many of all values do not exceed, whatever their number.
+
+    ``counts`` has (feature, value, n), each value once; ``bounds`` (feature, bounds) with ascending values, which cut the
+    values into slices and may come from a sketch: they decide how even slices are, not the result. Slices are summed up,
+    and the values of those that hold a percentile are ranked within their slice.
+    """
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(SLICES.bit_length()))])
+    below = F.aggregate(steps, F.lit(0), lambda k, step: F.when(F.get("bounds", k + step - 1) < F.col("value"), k + step).otherwise(k))
+    cut = counts.join(F.broadcast(bounds), "feature").select("feature", "value", "n", below.alias("__slice"))  # a row a feature
+    sums = cut.groupBy("feature", "__slice").agg(F.sum("n").alias("held"))
+    w = Window.partitionBy("feature")  # SLICES rows
+    upto = F.sum("held").over(w.orderBy("__slice"))
+    spans = sums.select("feature", "__slice", (upto - F.col("held")).alias("__before"), upto.alias("__upto"), F.sum("held").over(w).alias("__all"))
+
+    def percent(rank: str) -> Column:
+        """The greatest percentile that so many values reach."""
+        return F.least(F.expr(f"{rank} * 100 div __all"), F.lit(max(PERCENTS)))
+
+    wanted = spans.where(percent("__before") < percent("__upto")).drop("__upto")
+    at = F.col("__before") + F.sum("n").over(Window.partitionBy("feature", "__slice").orderBy("value"))
+    ranked = cut.join(F.broadcast(wanted), ["feature", "__slice"]).withColumn("__upto", at).withColumn("__before", F.col("__upto") - F.col("n"))
+    found = ranked.where(percent("__before") < percent("__upto")).select("feature", "value", F.explode(F.sequence(percent("__before") + 1, percent("__upto"))).alias("p"))
+    return found.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("p", "value"))).alias("found")).select("feature", F.col("found.value").alias("pct"))
+
+
+def summary(source: Source, exact: bool = False, coordinates: bool = True, accuracy: int = 10_000, ranked: bool = False) -> DataFrame:
     """One row for each feature (and numeric coordinate): mean, std (population), min, max, null, logstd, p1..p99.
 
     One aggregation over all features. Missing and infinite values are left out; ``null`` counts them, for a sparse source
     also the cells that are not stored. logstd is null unless all values are above 0. Percentiles are those of a sketch of bounded size, whose
-    ranks are off by at most 1 / ``accuracy`` of all values; ``exact`` ones keep each distinct value in one task, which is
-    for small sources.
+    ranks are off by at most 1 / ``accuracy`` of all values; with ``ranked`` the sketch only cuts the values into slices, and
+    percentiles have just their rank, for an exchange of the different values. ``exact`` ones, which lie between two values,
+    keep each distinct value in one task, which is for small sources.
     """
     df = source.cells()
     names = list(source.feature_names)
@@ -41,12 +81,15 @@ def summary(source: Source, exact: bool = False, coordinates: bool = True, accur
     aggs = []
     for f in names:
         x = _finite(F.col(f))
-        pct = F.percentile(x, fractions) if exact else F.percentile_approx(x, fractions, accuracy)
+        pct = F.percentile(x, fractions) if exact else F.percentile_approx(x, slice_shares() if ranked else fractions, accuracy)
         logs = F.when(F.min(x) > 0, F.stddev_pop(F.when(x > 0, F.ln(x))))
         aggs.append(F.struct(F.lit(f).alias("feature"), F.avg(x).alias("mean"), F.stddev_pop(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), (size - F.count(x)).cast("long").alias("null"), logs.alias("logstd"), pct.alias("pct")).alias(f))
-    row = df.agg(*aggs).select(F.explode(F.array(*[F.col(f) for f in names])).alias("s"))
-    named = [F.get("s.pct", F.lit(i)).alias("median" if p == 50 else f"p{p}") for i, p in enumerate(PERCENTS)]
-    return row.select("s.feature", "s.mean", "s.std", "s.min", "s.max", "s.null", "s.logstd", *named)
+    row = df.agg(*aggs).select(F.inline(F.array(*[F.col(f) for f in names])))
+    if ranked and not exact:
+        found = ranked_percentiles(counted(df, names), row.select("feature", F.col("pct").alias("bounds")))
+        row = row.drop("pct").join(found, "feature", "left")
+    named = [F.get("pct", F.lit(i)).alias("median" if p == 50 else f"p{p}") for i, p in enumerate(PERCENTS)]
+    return row.select("feature", "mean", "std", "min", "max", "null", "logstd", *named)
 
 
 def summaries(sources: Sequence[Source], keep: str = "last", prefixed: bool = False, **kw) -> DataFrame:

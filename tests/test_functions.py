@@ -126,6 +126,21 @@ def test_degenerate_quantiles():
 # statistics
 
 
+def test_summary_by_rank(spark):
+    """A coarse sketch only cuts the values into slices; percentiles have just their rank, with many ties and in several features."""
+    rng = np.random.default_rng(3)
+    rows = [(i, float(x), float(round(y)) if i % 11 else None) for i, (x, y) in enumerate(zip(rng.lognormal(2, 3, 5000), rng.normal(0, 4, 5000), strict=True))]
+    df = spark.createDataFrame(rows, "x int, v double, w double").withColumn("none", F.lit(None).cast("double"))
+    got = {r.feature: r for r in stats.summary(Source("s", df, ["x"]), accuracy=20, ranked=True).collect()}
+    assert set(got) == {"v", "w", "none", "x"}
+    for f, values in (("v", [r[1] for r in rows]), ("w", [r[2] for r in rows if r[2] is not None]), ("x", [r[0] for r in rows])):
+        values = np.sort(values)
+        assert [got[f]["median" if p == 50 else f"p{p}"] for p in stats.PERCENTS] == [values[-(-len(values) * p // 100) - 1] for p in stats.PERCENTS]
+    assert got["none"].median is None and got["none"]["null"] == 5000
+    one = stats.summary(Source("s", df.limit(1), ["x"], features=["v"]), coordinates=False, ranked=True).first()
+    assert one.p1 == one.p99 == rows[0][1]
+
+
 def test_summary(spark):
     rng = np.random.default_rng(1)
     v = rng.lognormal(size=200)
