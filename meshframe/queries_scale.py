@@ -116,10 +116,10 @@ _CUMULATIVE = ", ".join(f"min(cents) FILTER (c >= {p / 100}) AS {'median' if p =
 SELECT 'cents' AS feature, round(avg(cents), 6) AS mean, round(stddev_pop(cents), 6) AS std, CAST(min(cents) AS DOUBLE) AS min, CAST(max(cents) AS DOUBLE) AS max, 0::BIGINT AS "null", {_CUMULATIVE} FROM d""",
 )
 def summary_merged(spark, sf_dir):
-    """The summary of the events from three increments of a store, one of which comes twice; up to 60,000 values are kept as
-    they are, so its percentiles are exact on so many."""
+    """The summary of the events from three increments of a store, one of which comes twice; the store keeps the different
+    values beside the sketches, so percentiles of any number of events are exact."""
     e = events(spark, sf_dir)
-    store = partials.SummaryStore(spark, fresh_path(spark, "summaries"), 60_000)
+    store = partials.SummaryStore(spark, fresh_path(spark, "summaries"), 60_000, values=True)
     part = F.pmod(F.xxhash64("user_id"), F.lit(3))
     for n in (0, 1, 1, 2):
         store.add(Source("events", e.where(part == n), ["event_id"], features=["cents"]), f"part-{n}")

@@ -82,3 +82,43 @@ def test_stream_into_summaries(spark, tmp_path):
     df.limit(10).write.mode("append").parquet(str(tmp_path / "in"))
     partials.into_summaries(stream, store, ["i"], ["v", "w"], str(tmp_path / "cp"))
     assert store.merged().agg(F.sum(F.col("n") + F.col("missing"))).first()[0] == 620
+
+
+def ranked(df, feature):
+    values = np.sort([x[0] for x in df.select(feature).collect() if x[0] is not None and math.isfinite(x[0])])
+    return [values[-(-len(values) * p // 100) - 1] for p in stats.PERCENTS]
+
+
+def percentiles(row):
+    return [row["median" if p == 50 else f"p{p}"] for p in stats.PERCENTS]
+
+
+def test_store_with_values_is_exact_above_its_sketches(spark, tmp_path, monkeypatch):
+    """Far more values than a sketch keeps, increments that come again and merges: each percentile has just its rank."""
+    monkeypatch.setattr(partials, "FAN", 3)
+    df = table(spark, 6000).withColumn("w", F.round("w")).cache()
+    store = partials.SummaryStore(spark, str(tmp_path / "store"), 50, values=True)
+    for n in (0, 1, 1, 2, 0, 3, 4, 2, 5):
+        store.add(source(df.where(F.pmod("i", F.lit(6)) == n)), f"b{n}")
+    got = {r.feature: r for r in store.summary().collect()}
+    assert {f: percentiles(r) for f, r in got.items()} == {f: ranked(df, f) for f in ("v", "w")}
+    rough = {r.feature: r for r in partials.summary_of(store.merged()).collect()}
+    assert percentiles(rough["v"]) != percentiles(got["v"])
+    assert [(r["mean"], r["null"], r["max"]) for _, r in sorted(got.items())] == [(r["mean"], r["null"], r["max"]) for _, r in sorted(rough.items())]
+
+
+def test_store_with_values_of_nothing(spark, tmp_path):
+    store = partials.SummaryStore(spark, str(tmp_path / "store"), values=True)
+    store.add(source(table(spark, 50).where("i < 0")), "none")
+    store.add(source(table(spark, 50).withColumn("w", F.lit(None).cast("double"))), "some")
+    got = {r.feature: r for r in store.summary().collect()}
+    assert percentiles(got["w"]) == [None] * 99 and got["w"]["null"] == 50 and percentiles(got["v"]) == ranked(table(spark, 50), "v")
+
+
+def test_spread_far_from_zero(spark):
+    """Values whose squares no double holds to the last place keep their deviation, in one partial and over blocks."""
+    df = spark.range(3000).select(F.col("id").alias("i"), (F.pmod("id", F.lit(10)) + F.col("id") / 1000 + 1e9 / 7).alias("v"), (F.pmod("id", F.lit(7)) + 1e8).alias("w"))
+    parts = partials.partial(Source("s", df.withColumn("b", F.expr("int(sqrt(i) / 7)")), ["i", "b"], features=["v", "w"]), by=["b"]).drop("b")
+    for found in (partials.partial(source(df)), partials.merged(parts)):
+        got = {r.feature: r["std"] for r in partials.summary_of(found).collect()}
+        assert got == pytest.approx({f: np.std([x[0] for x in df.select(f).collect()]) for f in ("v", "w")}, rel=1e-6)
