@@ -11,6 +11,7 @@ import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,8 @@ _FOLD = bytes.maketrans(bytes(range(65, 91)) + b"\t\n\x0b\x0c\r", bytes(range(97
 END, BEGIN = b"\n", b"\t"
 #: Tokens of a slice, bytes of a text cut into words at once, n-grams a bucket adds up.
 SLICE_TOKENS, CHUNK, BUCKET = 1_000_000, 4 << 20, 600_000
+#: Bytes that a slice sends in one batch.
+SENT = 1 << 20
 #: A context that occurs this often, or as often as a HOT_SHARE-th of all tokens, is dealt over several buckets.
 HOT, HOT_SHARE = 50_000, 1_000_000
 #: Subtracted from each count; the share added to the counts of words (query contract); times that a context of two or
@@ -36,23 +39,27 @@ UNIT = 10**10
 LANE = 160
 
 
-def _pack(arrays: list[np.ndarray]) -> bytes:
-    """Arrays in one compressed piece; whole numbers in as few bytes as they need."""
+@lru_cache
+def _zstd():
+    """A compressor and a decompressor: making one takes longer than most pieces."""
     import zstandard
 
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
+def _pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays in one compressed piece; whole numbers in as few bytes as they need."""
     head, body = [len(arrays)], []
     for a in arrays:
         most = int(a.max(initial=0))
         kind = next(i for i, t in enumerate(("<u1", "<u2", "<u4", "<u8")) if most < 1 << (8 << i) or t == "<u8")
         head += [kind, len(a)]
         body.append(a.astype(f"<u{1 << kind}").tobytes())
-    return zstandard.ZstdCompressor(level=1).compress(np.array(head, "<i8").tobytes() + b"".join(body))
+    return _zstd()[0].compress(np.array(head, "<i8").tobytes() + b"".join(body))
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
-    import zstandard
-
-    raw = zstandard.ZstdDecompressor().decompress(data)
+    raw = _zstd()[1].decompress(data)
     n = int(np.frombuffer(raw, "<i8", 1)[0])
     head = np.frombuffer(raw, "<i8", 1 + 2 * n)[1:].tolist()
     at, out = 8 * (1 + 2 * n), []
@@ -288,48 +295,25 @@ def _answer_words(bodies: list[bytes], bucket: int, buckets: int) -> tuple[list[
     return [_pack([counts[p], p * buckets + bucket]) for p in places], (int(words.sum()), int((words > 0).sum()))
 
 
-def _joined(columns: list[np.ndarray]) -> list[np.ndarray]:
-    """Columns of whole numbers with the same order of rows, in as few as their bits allow."""
-    out: list[np.ndarray] = []
-    room = 0
-    for c in columns:
-        bits = int(c.max(initial=0)).bit_length()
-        if out and bits <= room:
-            out[-1] = out[-1] << bits | c
-            room -= bits
-        else:
-            out.append(c)
-            room = 63 - bits
-    return out
-
-
 def _answer(bodies: list[bytes], length: int) -> tuple[list[bytes], tuple[np.ndarray, np.ndarray]]:
     """(counts of the n-grams of each slice and the words that follow their contexts, (hot contexts, such words here))."""
     parts = [_unpack(b) for b in bodies]
     sizes = [len(p[0]) for p in parts]
-    own, word = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-    hot = np.concatenate([np.repeat(p[3], p[2]) for p in parts])
-    context = [np.concatenate([np.repeat(p[4 + i], p[2]) for p in parts]) for i in range(length - 1)]
+    own, word, times, hot, *context = (np.concatenate([p[i] for p in parts]) for i in range(3 + length))
     del parts
-    order = np.lexsort(_joined([*context, word])[::-1])
-    apart = np.zeros(len(order), bool)  # another context than the one before
-    apart[0] = True
+    # contexts get numbers a word at a time, so that each step sorts one number; they come once for each slice, not for each n-gram
+    number = np.zeros(len(times), np.int64)
     for c in context:
-        s = c[order]
-        apart[1:] |= s[1:] != s[:-1]
-    s = word[order]
-    new = apart.copy()
-    new[1:] |= s[1:] != s[:-1]
-    first = np.flatnonzero(new)
-    total = np.add.reduceat(own[order], first)
-    group = np.cumsum(apart) - 1
-    follow = np.bincount(group[first], total > 0, group[-1] + 1).astype(np.int64)
-    count, following = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
-    count[order] = total[np.cumsum(new) - 1]
-    following[order] = follow[group]
-    begin = order[np.flatnonzero(apart)]
-    is_hot = hot[begin].astype(bool)
-    mine = (_mix([c[begin][is_hot] for c in context]), follow[is_hot])
+        contexts, number = _different(number << int(c.max()).bit_length() | c)
+    of = np.repeat(number, times)
+    bits = int(word.max()).bit_length()
+    grams, inverse = _different(of << bits | word)
+    total = np.bincount(inverse, own, len(grams)).astype(np.int64)
+    follow = np.bincount(grams >> bits, total > 0, len(contexts)).astype(np.int64)
+    count, following = total[inverse], follow[of]
+    is_hot, some = np.zeros(len(contexts), bool), np.empty(len(contexts), np.int64)
+    is_hot[number], some[number] = hot.astype(bool), np.arange(len(number))
+    mine = (_mix([c[some[is_hot]] for c in context]), follow[is_hot])
     ends = np.cumsum(sizes)
     return [_pack([count[a:b], following[a:b]]) for a, b in zip(ends - sizes, ends, strict=True)], mine
 
@@ -377,7 +361,7 @@ class Automaton:
     def _place_arcs(self) -> None:
         """A table of arcs by a hash of their key; one whose place is taken goes to the next that is free."""
         arcs = len(self.keys) - 1
-        self.bits = max(4, (4 * arcs).bit_length())
+        self.bits = max(4, (2 * arcs).bit_length())
         self.table = np.full(1 << self.bits, -1, np.int32 if arcs < 2**31 else np.int64)
         waiting, place = np.arange(arcs), self._place(self.keys[:-1])
         while len(waiting):
@@ -518,6 +502,19 @@ def _by_slice(batches: Iterator, folder: str) -> Iterator[tuple[tuple, Texts, di
         yield head, load(head), replies
 
 
+def _together(bodies: Iterator[tuple[int, bytes]]) -> Iterator[list[tuple[int, bytes]]]:
+    """Bodies in lists of some SENT bytes: a batch of rows for each would cost more than its contents."""
+    some, held = [], 0
+    for bucket, body in bodies:
+        some.append((bucket, body))
+        held += len(body)
+        if held >= SENT:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def _levels(texts: Texts, replies: dict[int, list[tuple[int, bytes]]], length: int, facts: Facts) -> tuple[list[Level], np.ndarray | None, Asked | None]:
     """The levels of a slice up to ``length``, with counts as far as there are replies; the last one as it is asked."""
     levels: list[Level] = []
@@ -568,9 +565,10 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", order: int = 3
 
             for head, texts, replies in _by_slice(batches, folder):
                 _, _, asked = _levels(texts, replies, k, facts)
-                for bucket, body in asked.bodies(texts):
-                    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*head, k, bucket, body), kinds, strict=True)], ["slice", "file", "at", "size", "level", "bucket", "body"])
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+                for some in _together(asked.bodies(texts)):
+                    columns = [*[[v] * len(some) for v in (*head, k)], *map(list, zip(*some, strict=True))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["slice", "file", "at", "size", "level", "bucket", "body"])
 
         def answer(batches: Iterator, k=k) -> Iterator:
             import pyarrow as pa

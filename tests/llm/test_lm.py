@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from meshframe.llm import lm
@@ -134,3 +135,39 @@ def test_predicts_held_out_texts(spark):
     rows = corpus()
     some = [r for r in found(spark, rows) if r[1] and r[2] > 20]
     assert some and sum(r[6] for r in some) > 0.8 * sum(r[5] for r in some)
+
+
+def test_a_slice_sends_few_batches(spark):
+    """Rows of small bodies go together, in order, and large ones alone."""
+    sizes = [10, 20, lm.SENT, 5, lm.SENT // 2, lm.SENT // 2, 7]
+    bodies = [(i, b"x" * n) for i, n in enumerate(sizes)]
+    got = list(lm._together(iter(bodies)))
+    assert [[i for i, _ in g] for g in got] == [[0, 1, 2], [3, 4, 5], [6]]
+    assert [b for g in got for b in g] == bodies and list(lm._together(iter([]))) == []
+
+
+@pytest.mark.parametrize("length", [2, 3, 4])
+def test_bucket_adds_up(length):
+    """Counts of n-grams and of words that follow a context, over slices, against dictionaries; wide and narrow numbers."""
+    rng = random.Random(length)
+    wide = [rng.randrange(1 << 36) for _ in range(6)]
+    slices = []
+    for _ in range(5):
+        grams = {tuple(rng.choice(wide) for _ in range(length - 1)): {} for _ in range(8)}
+        for g in grams.values():
+            g |= {rng.choice([1, 2, 3, wide[0]]): rng.choice([0, 0, 1, 7]) for _ in range(3)}
+        slices.append(grams)
+    count, follow = Counter(), defaultdict(set)
+    for grams in slices:
+        for c, words in grams.items():
+            for w, n in words.items():
+                count[c, w] += n
+                follow[c] |= {w} if n else set()
+    hot = {c for grams in slices for c in grams if sum(c) % 2}
+    whole = lambda x: np.array(x, np.int64)
+    bodies = [lm._pack([whole([n for g in s.values() for n in g.values()]), whole([w for g in s.values() for w in g]), whole([len(g) for g in s.values()]), whole([c in hot for c in s]), *[whole([c[i] for c in s]) for i in range(length - 1)]]) for s in slices]
+    replies, (names, following) = lm._answer(bodies, length)
+    for s, reply in zip(slices, replies, strict=True):
+        got = [x.tolist() for x in lm._unpack(reply)]
+        assert got == [[count[c, w] for c, g in s.items() for w in g], [len(follow[c]) for c, g in s.items() for _ in g]]
+    assert dict(zip(names.tolist(), following.tolist(), strict=True)) == {int(lm._mix([whole([x]) for x in c])[0]): len(follow[c]) for c in hot}
