@@ -273,6 +273,32 @@ def _across(rows: DataFrame, threshold: float, percent: int) -> DataFrame:
     return dealt.select("key", "i", "j", "band", "rep", "comp", "sig", "set", "side").mapInArrow(tidy(run), "a long, b long")
 
 
+def _dealt(state: DataFrame, often: int) -> DataFrame:
+    """Blocks (key, band, i, j, side, rep, comp) of the buckets' members (key, band, rep, n_shingles, comp) of several components.
+
+    A bucket of one block is compared as it is. In a larger one the members of its largest component, which need no comparison
+    with each other, have blocks of their own, the last ones: each goes to the blocks of the other members alone. So
+    rows grow with the group times the blocks of what is not in it yet, not with the square of the group.
+    """
+    each = state.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    largest = F.max_by(F.struct("comp", "n", "size"), F.struct("n", -F.col("comp")))
+    mixed = each.groupBy("key").agg(largest.alias("main"), F.sum("n").alias("times"), F.sum("size").alias("total"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+
+    def blocks(n, size):
+        return F.ceil(F.greatest(n / BLOCK, size * 8 / BLOCK_BYTES)).cast("int")
+
+    one = blocks(F.col("times"), F.col("total")) <= 1
+    others = F.when(one, 1).otherwise(blocks(F.col("times") - F.col("main.n"), F.col("total") - F.col("main.size")))
+    mixed = stash(mixed.select("key", "times", F.when(~one, F.col("main.comp")).alias("main"), others.alias("others"), F.when(one, 0).otherwise(blocks(F.col("main.n"), F.col("main.size"))).alias("mains")), "minhash-mixed")
+    is_main = F.col("comp").eqNullSafe(F.col("main"))
+    h = F.xxhash64("rep", "key")
+    own = F.when(is_main, F.col("others") + F.pmod(h, F.greatest("mains", F.lit(1)))).otherwise(F.pmod(h, F.col("others"))).cast("int")
+    last = F.col("others") - 1 + F.when(is_main, 0).otherwise(F.col("mains"))
+    to = F.transform(F.sequence(F.lit(0), last), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"), F.when(o == own, 0).when(own < o, 1).otherwise(2).alias("side")))
+    placed = join_one(state, mixed, ["key"], "times", often)
+    return placed.select("key", "band", "rep", "comp", F.explode(to).alias("at")).select("key", "band", "at.i", "at.j", "at.side", "rep", "comp")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept) for each row of ``df``.
 
@@ -293,7 +319,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     real = docs.where(F.col("key").isNotNull() & (F.col("n_shingles") > 0))
     classes = stash(real.groupBy("n_shingles", "digest").agg(F.min("key").alias("rep"), F.max("sig").alias("sig"), F.count(F.lit(1)).alias("times")), "minhash-classes")
     keys = F.array(*[F.xxhash64(F.lit(i), F.substring("sig", i * ROWS + 1, ROWS)) for i in range(BANDS)])
-    banded = classes.select("rep", F.posexplode(keys).alias("band", "key"))
+    banded = classes.select("rep", "n_shingles", F.posexplode(keys).alias("band", "key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     live = stash(banded.join(shared, "key"), "minhash-buckets")
     often = hot_rows(live.count())
@@ -312,19 +338,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     large = live.where(F.col("n") > SMALL)
     degree = large.groupBy("rep").agg(F.sum("n").alias("degree"))
     ranked = large.join(degree, "rep")
-    hubs = ranked.groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("hub"), F.count(F.lit(1)).alias("times"))
+    hubs = stash(ranked.groupBy("key").agg(F.max_by("rep", F.struct("degree", -F.col("rep"))).alias("hub"), F.count(F.lit(1)).alias("times")), "minhash-hubs")
     star = join_one(large, hubs, ["key"], "times", often).where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
     first = pairs.unionByName(star).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).select("a", "b")
     links = stash(_verified(_pruned(first, sigs, threshold), texts, percent, size), "minhash-links")
     parts = components(links, "minhash-components")
     parts = stash(parts, "minhash-parts")
-    state = large.join(parts.withColumnRenamed("node", "rep"), "rep", "left").join(classes.select("rep", "n_shingles"), "rep")
-    state = state.select("key", "band", "n", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp"))
-    mixed = state.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.sum("n_shingles").alias("total"), F.count(F.lit(1)).alias("times")).where("low < high").select("key", "total", "times")
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("total") * 8 / BLOCK_BYTES)).cast("int")
-    own = F.pmod(F.xxhash64("rep", "key"), blocks).cast("int")
-    to = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(o, own).alias("i"), F.greatest(o, own).alias("j"), F.when(o == own, 0).when(own < o, 1).otherwise(2).alias("side")))
-    dealt = join_one(state, mixed, ["key"], "times", often).select("key", "band", "rep", "comp", F.explode(to).alias("at")).select("key", "band", "at.i", "at.j", "at.side", "rep", "comp")
+    state = large.join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+    state = stash(state.select("key", "band", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp")), "minhash-state")
+    dealt = _dealt(state, often)
     sets = sigs.join(texts.select("rep", "set"), "rep")
     again = stash(_across(dealt.join(sets, "rep"), threshold, percent).groupBy("a", "b").agg(F.count(F.lit(1)).alias("times")).select("a", "b"), "minhash-across")
     more = _verified(again, texts, percent, size)
